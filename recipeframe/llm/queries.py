@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from recipeframe.functions.shared import fresh_path
 from recipeframe.llm.context_mixing import score_texts
+from recipeframe.llm.simhash import simhash_components
+from recipeframe.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +21,42 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    path = fresh_path(spark, "warc")
+    write_warc(pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload")), path)
+    records = read_warc(spark, path)
+    digest = F.coalesce(F.sha1("payload"), F.col("digest"))  # of the payload read; a revisit has its header's
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    return records.select(F.col("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_mixing": op1_context_mixing,
+    "op2_warc": op2_warc,
+    "op4_simhash": op4_simhash,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_context_mixing": op1_context_mixing}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS b FROM pages),
+        g AS (SELECT html, max(page_id) AS first, count(*) AS n FROM p WHERE b >= 1000 GROUP BY html)
+        SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN n > 1 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n > 1 AND page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN g ON p.html = g.html AND p.b >= 1000
+    """,
+}
