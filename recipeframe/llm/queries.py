@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recipeframe.functions.shared import fresh_path
+from recipeframe.llm.additive_quantisation import nearest
 from recipeframe.llm.context_mixing import score_texts
 from recipeframe.llm.simhash import simhash_components
 from recipeframe.llm.warc import read_warc, write_warc
@@ -35,10 +36,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
+    "op9_additive_quantisation": op9_additive_quantisation,
 }
 
 
