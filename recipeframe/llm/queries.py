@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recipeframe.functions.shared import fresh_path
 from recipeframe.llm.additive_quantisation import nearest
 from recipeframe.llm.context_mixing import score_texts
+from recipeframe.llm.decontamination import find_contamination
 from recipeframe.llm.simhash import simhash_components
 from recipeframe.llm.warc import read_warc, write_warc
 
@@ -40,11 +41,16 @@ def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
     "op9_additive_quantisation": op9_additive_quantisation,
+    "op10_decontamination": op10_decontamination,
 }
 
 
