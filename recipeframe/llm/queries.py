@@ -12,6 +12,9 @@ from recipeframe.llm.additive_quantisation import nearest
 from recipeframe.llm.context_mixing import score_texts
 from recipeframe.llm.decontamination import find_contamination
 from recipeframe.llm.simhash import simhash_components
+from recipeframe.llm.toxicity import fit as fit_toxicity
+from recipeframe.llm.toxicity import score_texts as score_toxicity
+from recipeframe.llm.toxicity import training_rows
 from recipeframe.llm.warc import read_warc, write_warc
 
 
@@ -37,6 +40,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(training_rows(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_decontamination": op10_decontamination,
 }
