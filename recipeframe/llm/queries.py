@@ -11,6 +11,7 @@ from recipeframe.functions.shared import fresh_path
 from recipeframe.llm.additive_quantisation import nearest
 from recipeframe.llm.context_mixing import score_texts
 from recipeframe.llm.decontamination import find_contamination
+from recipeframe.llm.pii import report as report_pii
 from recipeframe.llm.simhash import simhash_components
 from recipeframe.llm.toxicity import fit as fit_toxicity
 from recipeframe.llm.toxicity import score_texts as score_toxicity
@@ -36,6 +37,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_pii(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -58,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_warc": op2_warc,
+    "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op9_additive_quantisation": op9_additive_quantisation,
