@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from recipeframe.functions.shared import fresh_path
 from recipeframe.llm.additive_quantisation import nearest
+from recipeframe.llm.chat import SQL as CHAT_SQL
+from recipeframe.llm.chat import rotate
 from recipeframe.llm.context_mixing import score_texts
 from recipeframe.llm.decontamination import find_contamination
+from recipeframe.llm.mixing import mix, with_domain
 from recipeframe.llm.pii import report as report_pii
 from recipeframe.llm.simhash import simhash_components
 from recipeframe.llm.toxicity import fit as fit_toxicity
 from recipeframe.llm.toxicity import score_texts as score_toxicity
 from recipeframe.llm.toxicity import training_rows
+from recipeframe.llm.url_filters import judge
 from recipeframe.llm.warc import read_warc, write_warc
 
 
@@ -52,6 +56,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of pages are the quality labels of the same ids: 0 is bad."""
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return judge(_table(spark, sf_dir, "pages"), outcomes)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(with_domain(_table(spark, sf_dir, "documents")))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_url_filters": op6_url_filters,
+    "op7_mixing": op7_mixing,
+    "op8_chat": op8_chat,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_decontamination": op10_decontamination,
 }
@@ -88,4 +109,42 @@ SQL: dict[str, str] = {
                CASE WHEN n > 1 AND page_id <> first THEN first END AS refers_to
         FROM p LEFT JOIN g ON p.html = g.html AND p.b >= 1000
     """,
+    "op8_chat": CHAT_SQL,
+    "op6_url_filters": """
+        WITH u AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+        ), outcome AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+        h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM p LEFT JOIN outcome USING (page_id) GROUP BY host),
+        h1 AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM h0),
+        h2 AS (SELECT *, CASE WHEN len(l) >= 2 AND array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') THEN 2 ELSE 1 END AS size FROM h1),
+        h AS (SELECT host, n, k, array_to_string(l[-size:], '.') AS suffix, array_to_string(CASE WHEN len(l) <= size THEN l ELSE l[-size - 1:] END, '.') AS domain FROM h2),
+        d AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain),
+        s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+        sums AS (
+            SELECT level, CAST(sum(k) AS DOUBLE) AS k, CAST(sum(n) AS DOUBLE) AS n, count(*) AS g, CAST(sum(n * n) AS DOUBLE) AS nn, sum(CAST(k * k AS DOUBLE) / n) AS kk
+            FROM (SELECT 'h' AS level, n, k FROM h UNION ALL SELECT 'd', n, k FROM d UNION ALL SELECT 's', n, k FROM s) WHERE n > 0 GROUP BY level
+        ), r AS (SELECT *, k / n * (1 - k / n) AS noise, kk - n * (k / n) * (k / n) AS spread FROM sums),
+        w AS (SELECT level, k, n, noise * (n - nn / n - (g - 1)) AS room, noise, spread, g FROM r),
+        c AS (SELECT level, k, n, least(greatest(CASE WHEN room > 0 THEN (spread - (g - 1) * noise) / room ELSE 0.001 END, 0.001), 0.5) AS r FROM w),
+        z AS (
+            SELECT coalesce(max(CASE WHEN level = 's' THEN (1 - r) / r END), 1) AS ss, coalesce(max(CASE WHEN level = 'd' THEN (1 - r) / r END), 1) AS sd,
+                   coalesce(max(CASE WHEN level = 'h' THEN (1 - r) / r END), 1) AS sh, (coalesce(max(k), 0) + 0.5) / (coalesce(max(n), 0) + 1) AS top FROM c
+        ), sm AS (SELECT suffix, (k + ss * top) / (n + ss) AS m FROM s, z),
+        dm AS (SELECT domain, (k + sd * m) / (n + sd) AS m FROM d JOIN sm USING (suffix), z),
+        hm AS (SELECT host, (k + sh * m) / (n + sh) AS m, n + sh AS total FROM h JOIN dm USING (domain), z),
+        hb AS (SELECT host, m - 1.2816 * sqrt(m * (1 - m) / (total + 1)) AS bound FROM hm),
+        f AS (
+            SELECT page_id, host, path, CASE
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+            FROM p
+        )
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound >= 0.3 THEN 'block' ELSE 'allow' END AS verdict
+        FROM f JOIN hb USING (host)
+    """,
 }
