@@ -15,16 +15,15 @@ shuffled but the counts of the items' words.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"\w+")
+_IN_WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 MATCH, MISS, GAP = 2, -1, -2
 
@@ -43,37 +42,68 @@ class Block:
     """Some test items with their seeds: size bounded by ``block_items``."""
 
     parameters: DecontaminationParameters
-    words: dict
+    words: pa.Array  # distinct words; a word's id is its place
     items: list  # (item id, word ids)
     seeds: dict | None = None  # length: (sorted keys, starts into places, places of (item, position))
 
 
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lower-case words of texts as one binary array, the text of each, and each text's first word.
+
+    A word is a run of ASCII letters, digits and underscores and of characters
+    beyond ASCII, but for signs: those of Latin-1, general and CJK punctuation.
+    """
+    lower = pc.utf8_lower(texts.cast(pa.string()).fill_null(""))
+    offsets = np.frombuffer(lower.buffers()[1], dtype=np.int32)[lower.offset : lower.offset + len(lower) + 1].astype(np.int64)
+    data = np.frombuffer(lower.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = _IN_WORD[data]
+    for lead, first, last, size in ((0xE2, 0x80, 0x81, 3), (0xE3, 0x80, 0x80, 3), (0xC2, 0x80, 0xBF, 2), (0xC3, 0x97, 0x97, 2), (0xC3, 0xB7, 0xB7, 2)):
+        at = np.flatnonzero(data[:-1] == lead)
+        at = at[(data[at + 1] >= first) & (data[at + 1] <= last)]
+        for k in range(size):
+            inside[at + k] = False
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    begins[edges] = inside[edges]  # a text's first byte begins a word though the text before ended in one
+    starts = np.flatnonzero(begins)
+    kept = np.cumsum(inside)
+    ends = np.append(kept[starts[1:] - 1], kept[-1] if len(kept) else 0) if len(starts) else np.zeros(0, np.int64)
+    places = np.zeros(len(starts) + 1, dtype=np.int32)
+    places[1:] = ends
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    first = np.searchsorted(starts, offsets)
+    return words, np.repeat(np.arange(len(lower)), np.diff(first)), first
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    return [w.decode() for w in _cut(pa.array([text], pa.string()))[0].to_pylist()]
 
 
-def _keys(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key of each n-gram; n-grams with an unknown word get key zero."""
-    m = len(ids) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out, known = np.zeros(m, dtype=np.uint64), np.ones(m, dtype=bool)
+def _ids(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Places of words among ``known``; -1 for others."""
+    return pc.index_in(words, known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _keys(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of the n-gram at each place."""
+    out = np.zeros(len(at), dtype=np.uint64)
     for k in range(n):
-        part = ids[k : k + m]
-        out = (out + part.astype(np.uint64) + np.uint64(1)) * _MIX
+        out = (out + ids[at + k].astype(np.uint64) + np.uint64(1)) * _MIX
         out ^= out >> np.uint64(31)
-        known &= part >= 0
-    return np.where(known, out | np.uint64(1), np.uint64(0))
+    return out
 
 
-def _count_words(batches, words: dict):
-    seen, total = Counter(), 0
+def _count_words(batches, words: pa.Array):
+    seen, total = np.zeros(len(words), dtype=np.int64), 0
     for b in batches:
-        for t in b.column(0).to_pylist():
-            found = words_of(t)
-            total += len(found)
-            seen.update(w for w in found if w in words)
-    yield pa.RecordBatch.from_arrays([pa.array([words[w] for w in seen] + [-1], pa.int64()), pa.array([*seen.values(), total], pa.int64())], names=["word", "n"])
+        if b.num_rows:
+            ids = _ids(_cut(b.column(0))[0], words)
+            total += len(ids)
+            seen += np.bincount(ids[ids >= 0], minlength=len(words))
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], names=["word", "n"])
 
 
 def _plant_seeds(block: Block, counts: np.ndarray, total: int) -> None:
@@ -90,7 +120,7 @@ def _plant_seeds(block: Block, counts: np.ndarray, total: int) -> None:
             n = min(len(ids), p.lengths[-1])
             taken = dict.fromkeys(range(len(ids) - n + 1), n) if n else {}
         for at, n in taken.items():
-            found.setdefault(n, []).append((int(_keys(ids[at : at + n], n)[0]), i, at))
+            found.setdefault(n, []).append((int(_keys(ids, np.array([at]), n)[0]), i, at))
     block.seeds = {}
     for n, rows in found.items():
         rows.sort()
@@ -99,33 +129,37 @@ def _plant_seeds(block: Block, counts: np.ndarray, total: int) -> None:
         block.seeds[n] = (distinct, np.append(first, len(rows)), np.array([r[1:] for r in rows], dtype=np.int64))
 
 
-def _windows(block: Block, ids: np.ndarray) -> list[tuple[int, int, int]]:
-    """``(item, from, to)``: stretches of a text that share a seed with an item."""
-    hits = []
-    for n, (keys, first, places) in block.seeds.items():
-        own = _keys(ids, n)
-        if not len(own):
-            continue
-        at = np.flatnonzero(own)
-        k = np.searchsorted(keys, own[at])
+def _windows(block: Block, ids: np.ndarray, owner: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """``(text, item, from, to)``: stretches of texts, in places among all words, that share a seed with an item."""
+    hits, at, run = [], np.arange(len(ids)), 0
+    for n in sorted(block.seeds):
+        at = at[at + n <= len(ids)]
+        for k in range(run, n):  # known words of one text only
+            at = at[(ids[at + k] >= 0) & (owner[at + k] == owner[at])]
+        run = n
+        keys, start, places = block.seeds[n]
+        own = _keys(ids, at, n)
+        k = np.searchsorted(keys, own)
         same = k < len(keys)
-        same[same] = keys[k[same]] == own[at[same]]
-        at, k = at[same], k[same]
-        size = first[k + 1] - first[k]
-        which = np.repeat(first[k] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        hits.append(np.stack([places[which, 0], np.repeat(at, size) - places[which, 1]], axis=1))
+        same[same] = keys[k[same]] == own[same]
+        where, k = at[same], k[same]
+        size = start[k + 1] - start[k]
+        which = np.repeat(start[k] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        where = np.repeat(where, size)
+        hits.append(np.stack([owner[where], places[which, 0], where - places[which, 1]], axis=1))
     if not hits:
         return []
-    hits = np.unique(np.concatenate(hits), axis=0)
+    hits = np.concatenate(hits)
+    hits = hits[np.lexsort(hits.T[::-1])]
     out, slack = [], block.parameters.slack
-    for item, diagonal in hits.tolist():
+    for text, item, diagonal in hits.tolist():
         size = len(block.items[item][1])
         start, end = diagonal - slack, diagonal + size + slack
-        if out and out[-1][0] == item and start <= out[-1][1] + 2 * slack and out[-1][2] - out[-1][1] < 2 * size + 4 * slack:
-            out[-1] = (item, out[-1][1], max(end, out[-1][2]))
+        if out and out[-1][:2] == (text, item) and start <= out[-1][2] + 2 * slack and out[-1][3] - out[-1][2] < 2 * size + 4 * slack:
+            out[-1] = (text, item, out[-1][2], max(end, out[-1][3]))
         else:
-            out.append((item, start, end))
-    return [(i, max(0, a), min(len(ids), b)) for i, a, b in out]
+            out.append((text, item, start, end))
+    return [(t, i, max(int(first[t]), a), min(int(first[t + 1]), b)) for t, i, a, b in out]
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
@@ -158,27 +192,25 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
     return out
 
 
-def _matches(texts: list, block: Block) -> list[list[tuple]]:
+def _matches(texts: pa.Array, block: Block) -> list[list[tuple]]:
     """For each text its ``(item id, score, from word, to word)``, the best for each item."""
-    todo, where = [], []
-    for k, text in enumerate(texts):
-        get = block.words.get
-        ids = np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
-        for item, a, b in _windows(block, ids):
-            todo.append((block.items[item][1], ids[a:b]))
-            where.append((k, item, a))
-    best: list[dict] = [{} for _ in texts]
-    for (k, item, a), (score, begin, end) in zip(where, align(todo), strict=True):
-        name, ids = block.items[item]
-        share = score / (MATCH * len(ids))
-        if share >= block.parameters.least_score and share > best[k].get(item, (None, 0))[1]:
-            best[k][item] = (name, share, a + begin, a + end)
+    best: list[dict] = [{} for _ in range(len(texts))]
+    if len(texts):
+        words, owner, first = _cut(texts)
+        ids = _ids(words, block.words)
+        places = _windows(block, ids, owner, first)
+        pairs = [(block.items[i][1], ids[a:b]) for _, i, a, b in places]
+        for (text, item, a, _), (score, begin, end) in zip(places, align(pairs), strict=True):
+            name, own = block.items[item]
+            share, a = score / (MATCH * len(own)), a - int(first[text])
+            if share >= block.parameters.least_score and share > best[text].get(item, (None, 0))[1]:
+                best[text][item] = (name, share, a + begin, a + end)
     return [sorted(x.values(), key=lambda r: (r[0] is None, r[0], r[1:])) for x in best]
 
 
 def _report(batches, block: Block):
     for b in batches:
-        ids, found = b.column(0).to_pylist(), _matches(b.column(1).to_pylist(), block)
+        ids, found = b.column(0).to_pylist(), _matches(b.column(1), block)
         rows = [(i, *m) for i, own in zip(ids, found, strict=True) for m in own]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -187,7 +219,7 @@ def _report(batches, block: Block):
 
 def _keep_clean(batches, block: Block, text: int):
     for b in batches:
-        clean = [not m for m in _matches(b.column(text).to_pylist(), block)]
+        clean = [not m for m in _matches(b.column(text), block)]
         yield b.filter(pa.array(clean))
 
 
@@ -198,9 +230,10 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParameter
     n = -(-items.count() // p.block_items)
     for i in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct().orderBy("item_id", "text").collect()
-        words: dict = {}
-        coded = [(r.item_id, np.array([words.setdefault(w, len(words)) for w in words_of(r.text)], dtype=np.int64)) for r in rows]
-        block = Block(p, words, [c for c in coded if len(c[1])])
+        cut, _, first = _cut(pa.array([r.text for r in rows], pa.string()))
+        words = pc.unique(cut)
+        ids = _ids(cut, words)
+        block = Block(p, words, [(r.item_id, ids[first[i] : first[i + 1]]) for i, r in enumerate(rows) if first[i] < first[i + 1]])
         if not block.items:
             continue
         sent = spark.sparkContext.broadcast(words)
@@ -221,7 +254,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, parameters: Decont
     ``docs`` has ``doc_id, text``, ``benchmark`` ``item_id, text``; other columns
     are ignored. Returns ``doc_id, item_id, score`` (1 for a perfect copy)``,
     start_word, end_word`` of the best alignment of each item in each text.
-    Words are runs of letters, digits and underscores, in lower case. Null or
+    Words are lower-case runs of letters, digits and underscores. Null or
     empty texts and items match nothing; null ids are returned as they are;
     repeated rows each give their own matches; an item that repeats counts once.
     Empty tables give an empty result. Texts are read whole, whatever their length.
