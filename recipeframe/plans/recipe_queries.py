@@ -54,8 +54,8 @@ recipe_query(
         op("join", right="customer", left_on="o_custkey", right_on="c_custkey", how="left"),
         op("pivot", index=["c_mktsegment"], columns="o_orderstatus", values="price_per_key", aggfunc="sum"),
     ],
-    """SELECT c_mktsegment, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / o_custkey END), 6) AS "F", round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / o_custkey END), 6) AS "O",
-       round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice / o_custkey END), 6) AS "P" FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1""",
+    """SELECT c_mktsegment, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / nullif(o_custkey, 0) END), 6) AS "F", round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / nullif(o_custkey, 0) END), 6) AS "O",
+       round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice / nullif(o_custkey, 0) END), 6) AS "P" FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1""",
     ("customer",),
 )
 

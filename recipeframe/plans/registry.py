@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from recipeframe.plans import recipe_queries  # noqa: F401
+    from recipeframe.plans import metric_queries, profile_queries, recipe_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
