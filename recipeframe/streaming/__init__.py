@@ -1 +1 @@
-
+"""Incremental jobs."""
