@@ -95,9 +95,21 @@ def _keys(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _pieces(batches, text: int, most: int = 4 << 20):
+    """Slices of batches of about ``most`` bytes of text (or one longer text), so that working arrays stay small."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        part = np.cumsum(pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            yield b.slice(i, j - i)
+
+
 def _count_words(batches, words: pa.Array):
     seen, total = np.zeros(len(words), dtype=np.int64), 0
-    for b in batches:
+    for b in _pieces(batches, 0):
         if b.num_rows:
             ids = _ids(_cut(b.column(0))[0], words)
             total += len(ids)
@@ -209,7 +221,7 @@ def _matches(texts: pa.Array, block: Block) -> list[list[tuple]]:
 
 
 def _report(batches, block: Block):
-    for b in batches:
+    for b in _pieces(batches, 1):
         ids, found = b.column(0).to_pylist(), _matches(b.column(1), block)
         rows = [(i, *m) for i, own in zip(ids, found, strict=True) for m in own]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -218,7 +230,7 @@ def _report(batches, block: Block):
 
 
 def _keep_clean(batches, block: Block, text: int):
-    for b in batches:
+    for b in _pieces(batches, text):
         clean = [not m for m in _matches(b.column(text), block)]
         yield b.filter(pa.array(clean))
 
