@@ -9,7 +9,7 @@ in a new seeded order for every epoch and takes its budget as a prefix of these
 tokens: whole epochs, then the first texts of one more, the last of them cut.
 
 Only the leaves' totals come to the driver (``most_leaves`` at most). A prefix
-needs running sums in seeded order; a leaf is cut into hash ranges of a few
+needs running sums in seeded order; a leaf is cut into hash ranges of about a
 thousand texts, whose sums are added up first, so a leaf that holds a third of
 the corpus is spread over as many tasks as its texts ask for.
 """
@@ -33,7 +33,7 @@ class MixParameters:
     budget: int | None = None
     most_epochs: int = 4
     seed: int = 17
-    range_rows: int = 4096  # texts in a hash range
+    range_rows: int = 1024  # texts in a hash range
     most_leaves: int = 1_000_000
 
 
