@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recipeframe.functions.shared import materialize
+
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = '"“”„«»‹›'
 #: Words that report what others said; fixed values.
@@ -217,12 +219,10 @@ def _inputs(counts) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, parameters: ToxicityParameters | None = None) -> ToxicityModel:
-    """Learn from ``doc_id, text, toxic`` (0 or 1; rows with a null label are left out)."""
+    """Learn from the rows of ``training_rows``: ``doc_id, text, toxic`` (0 or 1; rows with a null label are left out)."""
     p = parameters or ToxicityParameters()
     own = labelled.filter("toxic is not null").select("text", (F.col("toxic") > 0).alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("at"))
-    rows = own.count()
-    if rows > p.fit_rows:
-        own = own.filter(F.col("at") < int((1 << 20) * p.fit_rows / rows))
+    own = materialize(own, "labelled")  # at most ``fit_rows`` texts, read several times below
     first, second = own.filter(F.col("at") % 3 < 2), own.filter(F.col("at") % 3 == 2)
     base = first.agg(F.sum(F.col("label").cast("int")).alias("toxic"), F.count("*").alias("n")).first()
     rate = ((base["toxic"] or 0) + 0.5) / (base["n"] + 1)
@@ -282,11 +282,16 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> Dat
     return docs.mapInArrow(lambda it: _keep_calm(it, sent.value, at, limit), docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, parameters: ToxicityParameters | None = None) -> DataFrame:
     """Labelled texts to learn from: those whose id's CRC-32 isn't divisible by five.
 
-    If labels of an id repeat, the larger counts; a null id has no label.
+    If labels of an id repeat, the larger counts; a null id has no label. Of more
+    than ``fit_rows`` labels about that many are used, chosen by a hash of the id;
+    so many can be broadcast, and no text moves to meet its label.
     """
-    own = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
-    texts = docs.select("doc_id", "text").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return texts.join(own, "doc_id")
+    p = parameters or ToxicityParameters()
+    own = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic is not null")
+    rows = own.count()
+    if rows > p.fit_rows:
+        own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int((1 << 20) * p.fit_rows / rows))
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
