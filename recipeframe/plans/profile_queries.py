@@ -128,7 +128,7 @@ def _(s, d):
     return rounded(P.association_matrix(P.pair_correlations(table(s, d, "lineitem"), columns), "pearson", columns))
 
 
-@query("q20_suggested_roles", "SELECT * FROM (VALUES ('event_id', 'integer', 'identifier'), ('user_id', 'integer', 'continuous'), ('value', 'float', 'continuous'), ('event_type', 'categorical', 'discrete')) t(\"column\", inferred_type, role)")
+@query("q20_suggested_roles", "SELECT * FROM (VALUES ('event_id', 'integer', 'identifier'), ('value', 'float', 'continuous'), ('event_type', 'categorical', 'discrete')) t(\"column\", inferred_type, role) UNION ALL SELECT 'user_id', 'integer', CASE WHEN count(DISTINCT user_id) <= 20 THEN 'discrete' ELSE 'continuous' END FROM events")
 def _(s, d):
     return P.suggested_roles(P.column_profiles(_e(s, d)))
 
