@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recipeframe.functions.shared import materialize
 from recipeframe.operators import xml_tables as X
 from recipeframe.plans.recipe_queries import rounded
 from recipeframe.plans.registry import query, table
@@ -30,7 +31,8 @@ def _documents(s, d):
 
 
 def _nodes(s, d):
-    return shred_documents(_documents(s, d))
+    """Parsed once and stored: most queries read the nodes several times."""
+    return materialize(shred_documents(_documents(s, d)), "nodes")
 
 
 _STATUS = "CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus WHEN o_orderkey % 3 = 1 THEN '' END"
