@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from recipeframe.functions.ranks import running_sum
 
 
 def _zero(c: Column) -> Column:
@@ -53,7 +54,7 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve of a 0/1 label, by average ranks of distinct scores; NULL with one class."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("pos"))
-    ranked = by.withColumn("rank", F.sum("n").over(W.orderBy("s")) - F.col("n") + (F.col("n") + 1) / 2)
+    ranked = running_sum(by, ["s"], F.col("n"), "upto").withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     t = ranked.agg(F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     return t.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 

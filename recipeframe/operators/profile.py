@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from recipeframe.functions.ranks import numbered
+
 #: Tokens and patterns of the type rules; fixed values.
 MISSING = ("", "na", "n/a", "null", "none", "nan", "missing", "<na>")
 TRUE, FALSE = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
@@ -236,6 +238,6 @@ def systematic_sample(df: DataFrame, order: str, rows: int) -> DataFrame:
     n = df.count()
     if n <= rows:
         return df
-    ranked = df.withColumn("_k", F.row_number().over(W.orderBy(order)) - 1)
+    ranked = numbered(df, [order], "_k").withColumn("_k", F.col("_k") - 1)
     places = [(i * (n - 1)) // (rows - 1) for i in range(rows)] if rows > 1 else [0]
     return ranked.filter(F.col("_k").isin(*places)).drop("_k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from recipeframe.functions.ranks import numbered
 from recipeframe.operators import metrics as E
 from recipeframe.operators import models as M
 from recipeframe.plans.recipe_queries import rounded
@@ -137,7 +138,7 @@ def _(s, d):
 
 @query("k03_greedy_order", f"SELECT src AS node, count(*) AS degree, CAST(row_number() OVER (ORDER BY count(*) DESC, src) AS INT) AS place FROM {_EDGE} GROUP BY 1")
 def _(s, d):
-    return _edges(s, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).withColumn("place", F.row_number().over(W.orderBy(F.desc("degree"), "node")))
+    return _edges(s, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).transform(lambda e: numbered(e, [F.desc("degree"), "node"], "place")).withColumn("place", F.col("place").cast("int"))
 
 
 # ---- bytes

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from recipeframe.plans import metric_queries, model_queries, more_queries, profile_queries, recipe_queries, xml_queries  # noqa: F401
+    from recipeframe.plans import learning_queries, metric_queries, model_queries, more_queries, profile_queries, recipe_queries, xml_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
