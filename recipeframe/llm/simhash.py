@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from recipeframe.functions.graph import connected_components
 from recipeframe.functions.shared import hot_keys, lookup_join, materialize
+from recipeframe.llm.near_copies import near_copy_components
 
 RADIUS = 4
 #: (first bit, bits) of six segments: any four bits leave two of them untouched.
@@ -193,13 +194,14 @@ def simhash_components(docs: DataFrame, keep: list[str] | None = None) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """Keep one row of each component: that of the smallest id (null last), then of the smallest text hash.
+    """Keep one row of each component of near copies: that of the smallest id (null last), then of the smallest text hash.
 
-    Rows that repeat both id and text count as one. Only ids, hashes and
-    fingerprints are shuffled to choose; the texts move once, to meet the choice.
+    Near copies are those of ``near_copies``, not the links of ``simhash_components``.
+    Rows that repeat both id and text count as one. Ids and hashes are
+    shuffled to choose, and the texts that may have a near copy; then texts move once, to meet the choice.
     """
     columns = docs.columns
     own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = simhash_components(own, keep=["_hash", "_id"])
+    found = near_copy_components(own, ["doc_id", "_hash", "_id"])
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")).alias("first")).select("first._id", "first._hash")
     return own.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*columns)
