@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from recipeframe.functions.ranks import running_sum
+from recipeframe.functions.shared import materialize
 
 
 def _zero(c: Column) -> Column:
@@ -123,14 +126,48 @@ def dispersion_metrics(df: DataFrame, vector: str, label: str) -> DataFrame:
     return sse.join(sizes, "one").join(db, "one").select(ch.alias("calinski_harabasz"), "davies_bouldin")
 
 
-def silhouette(df: DataFrame, vector: str, label: str, key: str, sample: int = 1000) -> DataFrame:
-    """Exact Euclidean silhouette of a hash sample of rows; noise is left out, NULL with fewer than two clusters."""
+def _distance_sums(block: list, labels: list):
+    """For each row, the sum of its distances to the rows of a block and their number, by their label."""
+    other = np.array([r.v for r in block])
+    hot = np.array([[r.k == k for k in labels] for r in block], dtype=float)
+    squares, sizes = (other**2).sum(axis=1), hot.sum(axis=0).astype(np.int64)
+
+    def build(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                own = np.array(part.column("v").to_pylist(), dtype=float).reshape(part.num_rows, -1)
+                d = np.sqrt(np.maximum((own**2).sum(axis=1)[:, None] - 2 * (own @ other.T) + squares, 0.0)) @ hot
+                at = np.repeat(np.arange(part.num_rows), len(labels))
+                own_rows = part.select(["id", "k"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*own_rows.columns, pa.array(labels * part.num_rows, own_rows.column(1).type), pa.array(d.ravel()), pa.array(np.tile(sizes, part.num_rows))], names=["id", "k", "o", "d", "n"])
+
+    return build
+
+
+def silhouette(df: DataFrame, vector: str, label: str, key: str, block_rows: int = 4096) -> DataFrame:
+    """Exact Euclidean silhouette of all rows; noise is left out, NULL with fewer than two clusters.
+
+    All distances count, so the time grows with the square of the rows: rows come
+    in blocks of about ``block_rows``, each sent by itself to all rows, and leave
+    a sum for each row and cluster, never a pair. ``key`` must be unique.
+    """
     own = df.filter(F.col(label) != -1).select(F.col(key).alias("id"), F.col(label).alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    own = own.orderBy(F.xxhash64("id"), "id").limit(sample)
-    d = F.sqrt(F.aggregate(F.zip_with(F.col("a.v"), F.col("b.v"), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-    by = own.alias("a").join(own.alias("b"), F.col("a.id") != F.col("b.id")).groupBy(F.col("a.id").alias("id"), F.col("a.k").alias("k"), F.col("b.k").alias("o")).agg(F.avg(d).alias("d"))
-    near = by.groupBy("id", "k").agg(F.max(F.when(F.col("k") == F.col("o"), F.col("d"))).alias("a"), F.min(F.when(F.col("k") != F.col("o"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    own = materialize(own, "rows")
+    blocks = -(-own.count() // block_rows)
+    sums = []
+    for i in range(blocks):
+        block = own.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).select("k", "v").collect()
+        if block:
+            kinds = dict(own.dtypes)
+            labels = sorted({r.k for r in block})
+            sums.append(materialize(own.mapInArrow(_distance_sums(block, labels), f"id {kinds['id']}, k {kinds['k']}, o {kinds['k']}, d double, n long"), "sums"))
+    if not sums:
+        return own.agg(F.lit(None).cast("double").alias("silhouette"))
+    by = reduce(DataFrame.unionByName, sums).groupBy("id", "k", "o").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    inside = F.when(F.col("k") == F.col("o"), F.try_divide(F.col("d"), F.col("n") - 1))
+    near = by.groupBy("id", "k").agg(F.max(inside).alias("a"), F.min(F.when(F.col("k") != F.col("o"), F.col("d") / F.col("n"))).alias("b"))
+    s = F.when(F.col("a").isNull(), 0.0).otherwise(_zero(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))))
     return near.agg(F.when(F.count("b") == F.count("*"), F.avg(s)).alias("silhouette"))
 
 
