@@ -9,8 +9,9 @@ lookups. In each slab of rows the nearest by that estimate are reranked with
 their original vectors in double precision, and only those are merged.
 
 The codebooks come from a bounded sample (``sample_rows``); every row is indexed
-and searched. Queries come in blocks of about ``block_queries``, each broadcast
-by itself, against all rows.
+and searched. Queries come in blocks of about ``block_bytes`` of vectors, each
+broadcast by itself, against all rows. Vectors of different lengths have no
+distance; each length has an index of its own, and is searched by its own queries.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ class QuantisationParameters:
     rounds: int = 6
     beam: int = 4
     slab_rows: int = 8192
-    rerank: int = 96  # rows of a slab that are reranked for each query
-    block_queries: int = 2048
+    rerank: int = 1024  # rows of a slab that are reranked for each query
+    block_bytes: int = 32 << 20  # vectors of queries that are broadcast at once
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -108,31 +109,21 @@ def _rows(column: pa.Array) -> np.ndarray:
 def _encode(batches, books, beam):
     for b in batches:
         if b.num_rows:
-            x = _rows(b.column(1)).astype(np.float32)
+            x = _rows(b.column(2)).astype(np.float32)
             codes = encode(books, x, beam)
             norm = (sum(books[m][codes[:, m]] for m in range(len(books))) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["vec_id", "vector", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["row", "vec_id", "vector", "codes", "norm"])
 
 
-def build_index(vectors: DataFrame, p: QuantisationParameters | None = None, vector: str = "embedding"):
-    """Codebooks, and a table ``vec_id, vector, codes, norm`` of every usable row.
-
-    Only vectors of the most frequent length (the shorter, if lengths tie) take
-    part. Returns ``None`` and an empty table if no row is usable.
-    """
-    p = p or QuantisationParameters()
-    own = usable(vectors.select("vec_id", F.col(vector).cast("array<double>").alias("vector")), "vector")
-    size = own.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if size is None:
-        return None, own.select("vec_id", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
-    own = own.filter(F.size("vector") == size["dims"])
-    order = F.xxhash64("vec_id", F.lit(5))
+def build_index(own: DataFrame, p: QuantisationParameters):
+    """Codebooks, and a table ``row, vec_id, vector, codes, norm`` of all of ``own``: ``row, vec_id, vector``, of one length."""
+    order = F.xxhash64("row", F.lit(5))
     sample = own.select("vector", order.alias("at")).orderBy("at").limit(p.sample_rows).select("vector").toArrow()
     books = fit_codebooks(_rows(sample.column("vector").combine_chunks()).astype(np.float32), p)
     shared, beam = own.sparkSession.sparkContext.broadcast(books), p.beam
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.repartition(parts, "vec_id")
-    return books, materialize(dealt.mapInArrow(lambda it: _encode(it, shared.value, beam), "vec_id long, vector array<double>, codes binary, norm float"), "index")
+    schema = "row long, vec_id long, vector array<double>, codes binary, norm float"
+    return books, materialize(own.repartition(parts, "row").mapInArrow(lambda it: _encode(it, shared.value, beam), schema), "index")
 
 
 def _smallest(scores: np.ndarray, k: int):
@@ -151,20 +142,22 @@ def _smallest(scores: np.ndarray, k: int):
 
 
 def _search(batches, books, ids, queries, p, k):
+    """The ``k`` nearest of the rows of some batches to each query: its row, its place among the queries, id, distance."""
     if not len(ids):
         return
-    tables = np.einsum("qd,mwd->qmw", queries.astype(np.float32), books)
     best: list = []
+    words = books.reshape(-1, books.shape[2]).T
 
     def slab(rows):
-        order = np.argsort(rows[0], kind="stable")
-        vec, x, codes, norm = (r[order] for r in rows)
+        order = np.argsort(rows[1], kind="stable")
+        own, vec, x, codes, norm = (r[order] for r in rows)
         for i in range(0, len(ids), 256):
             part = slice(i, i + 256)
-            near = np.broadcast_to(norm[None], (len(ids[part]), len(norm))).copy()
+            tables = (queries[part].astype(np.float32) @ words).reshape(-1, *books.shape[:2])
+            near = np.broadcast_to(norm[None], (len(tables), len(norm))).copy()
             for m in range(len(books)):
-                near -= 2 * np.take(tables[part, m], codes[:, m], axis=1)
-            near[ids[part][:, None] == vec[None]] = np.inf
+                near -= 2 * np.take(tables[:, m], codes[:, m], axis=1)
+            near[ids[part][:, None] == own[None]] = np.inf
             q, r = _smallest(near, p.rerank)
             fine = np.isfinite(near[q, r])
             q, r = q[fine] + i, r[fine]
@@ -173,7 +166,7 @@ def _search(batches, books, ids, queries, p, k):
             q, r, exact = q[at], r[at], exact[at]
             first = np.searchsorted(q, q)  # the query's first row
             top = np.arange(len(q)) - first < k
-            best.append((ids[q[top]], vec[r[top]], exact[top]))
+            best.append((q[top], vec[r[top]], exact[top]))
 
     def merged():
         q, v, s = (np.concatenate(x) for x in zip(*best, strict=True))
@@ -182,24 +175,45 @@ def _search(batches, books, ids, queries, p, k):
         top = np.arange(len(q)) - np.searchsorted(q, q) < k
         best[:] = [(q[top], v[top], s[top])]
 
-    held, n = [], 0
+    held, n, slabs = [], 0, 0
     for b in batches:
         if not b.num_rows:
             continue
-        codes = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8 if books.shape[1] <= 256 else np.uint16).reshape(b.num_rows, -1)
-        held.append((b.column(0).to_numpy(zero_copy_only=False), _rows(b.column(1)), codes, b.column(3).to_numpy(zero_copy_only=False)))
+        codes = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8 if books.shape[1] <= 256 else np.uint16).reshape(b.num_rows, -1)
+        own, vec, norm = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
+        held.append((own, vec, _rows(b.column(2)), codes, norm))
         n += b.num_rows
         if n >= p.slab_rows:
             slab([np.concatenate(x) for x in zip(*held, strict=True)])
-            held, n = [], 0
-            if len(best) > 64:
+            held, n, slabs = [], 0, slabs + 1
+            if slabs % 8 == 0:
                 merged()
     if held:
         slab([np.concatenate(x) for x in zip(*held, strict=True)])
     if best:
         merged()
         q, v, s = best[0]
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(s)], names=["query_row", "vec_id", "score"])
+
+
+def _search_length(own: DataFrame, k: int, every: int, p: QuantisationParameters) -> DataFrame | None:
+    """``query_row, query_id, vec_id, score`` of vectors of one length: what each task found for each query."""
+    asked = materialize(own.filter(F.col("vec_id") % every == 0), "queries")
+    n = asked.count()
+    if not n:
+        return None
+    spark = own.sparkSession
+    books, index = build_index(own, p)
+    blocks = -(-n * books.shape[2] * 8 // p.block_bytes)
+    shared, found = spark.sparkContext.broadcast(books), None
+    for i in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("row", F.lit(9)), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((block.column("row").to_numpy(), _rows(block.column("vector").combine_chunks())))
+        part = index.mapInArrow(lambda it, sent=sent: _search(it, shared.value, *sent.value, p, k), "query_row long, vec_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    return found.join(asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, p: QuantisationParameters | None = None, vector: str = "embedding") -> DataFrame:
@@ -207,31 +221,22 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, p: QuantisationPa
 
     Returns ``query_id, rank`` (from 1)``, vec_id, score`` (Euclidean distance of
     the original vectors, in double precision), ties to the smaller id. Rows with
-    a null id, or with a vector that is null, zero, not finite or of a length
-    that isn't the most frequent, take no part. A row is never its own neighbour,
-    nor are rows that repeat its id; if a query's id repeats, its smallest vector
-    asks. No usable row gives an empty result; with fewer than ``k`` other rows
-    all are returned.
+    a null id, or with a vector that is null, zero or not finite, take no part. A
+    row is never its own neighbour, but rows that repeat its id are, and each of
+    them asks for itself, so that a repeated id has ``k`` rows for each. Only
+    vectors of one length are neighbours. No usable row gives an empty result;
+    with fewer than ``k`` other rows all are returned.
     """
     p = p or QuantisationParameters()
-    spark = vectors.sparkSession
-    books, index = build_index(vectors, p, vector)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if books is None:
-        return empty
-    asked = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = materialize(asked, "queries")
-    blocks = -(-asked.count() // p.block_queries)
-    shared, found = spark.sparkContext.broadcast(books), None
-    for i in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(blocks)) == i).toArrow().combine_chunks()
-        if not block.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((block.column("vec_id").to_numpy(), _rows(block.column("vector").combine_chunks())))
-        part = index.mapInArrow(lambda it, sent=sent: _search(it, shared.value, *sent.value, p, k), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    own = usable(vectors.select("vec_id", F.col(vector).cast("array<double>").alias("vector")), "vector")
+    own = materialize(own.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "vector"), "vectors")
+    found = None
+    for length in sorted(r[0] for r in own.select(F.size("vector")).distinct().collect()):
+        part = _search_length(own.filter(F.size("vector") == length), k, every, p)
+        if part is not None:
+            found = part if found is None else found.unionByName(part)
     if found is None:
-        return empty
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = W.partitionBy("query_row").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

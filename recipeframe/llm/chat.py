@@ -3,67 +3,92 @@
 For each participant the dialogue is rendered with that speaker as the
 assistant and all others as named users; system turns stay what they are. The
 loss mask covers what the assistant says. Only DataFrame expressions are used.
-A dialogue is rendered in chunks of ``chunk_turns`` turns, so that no row or task
-ever holds an unbounded dialogue; repeated turns that would make a chunk larger
-than ``most_rows`` are dealt to further chunks.
+
+A dialogue is one row for each participant. Only where its rendered turns pass
+``most_chars`` is it written in parts: consecutive stretches of its turns, cut
+by the running size of the turns before, so parts join up to the dialogue, and
+nothing about them depends on how the table is partitioned. These running sizes
+are taken by ranges, so that no task holds such a dialogue whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from recipeframe.functions.ranks import running_sum
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
+_FRAME = 48  # characters that a turn's marks and head take, whoever speaks
+
+
+def _parts(turns: DataFrame, most_chars: int) -> DataFrame:
+    """Add ``part``, a turn's stretch of the dialogue, and ``copy``, the number of a repeated turn."""
+    size = F.length("text") + F.length("name") + _FRAME
+    turns = turns.withColumn("size", size.cast("long"))
+    over = turns.groupBy("conv_id").agg(F.sum(F.col("n") * F.col("size")).alias("chars")).filter(F.col("chars") > most_chars).select(F.col("conv_id").alias("long_id"))
+    copies = lambda t: t.withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
+    whole = copies(turns.join(over, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_anti")).withColumn("part", F.lit(0).cast("long"))
+    if over.isEmpty():
+        return whole.drop("n", "size")
+    long = turns.join(over, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi")
+    long = running_sum(long, ["conv_id", "turn", "role", "text"], F.col("n") * F.col("size"), "upto")
+    start = long.groupBy(F.col("conv_id").alias("long_id")).agg(F.min(F.col("upto") - F.col("n") * F.col("size")).alias("start"))
+    long = copies(long.join(start, F.col("conv_id").eqNullSafe(F.col("long_id"))))
+    before = F.col("upto") - (F.col("n") - F.col("copy")) * F.col("size") - F.col("start")
+    return whole.unionByName(long.withColumn("part", F.floor(before / most_chars).cast("long")).select(*whole.columns)).drop("n", "size")
 
 
-def rotate(turns: DataFrame, chunk_turns: int = 256, most_rows: int = 4096) -> DataFrame:
-    """Render ``conv_id, turn, role, text`` once for each chunk and participant.
+def rotate(turns: DataFrame, most_chars: int = 4 << 20) -> DataFrame:
+    """Render ``conv_id, turn, role, text`` once for each participant.
 
-    Returns ``conv_id, perspective`` (the speaker who is the assistant)``, chunk,
-    part`` (0 but for overfull chunks)``, n_turns, n_trained, text, mask`` (start:end
-    of trained content in code points, comma-joined). Participants are all
-    distinct roles of the dialogue but ``system``; a null role speaks as
-    ``unknown``, a null text is empty, a null turn comes first, in chunk 0. Equal
-    turns are ordered by role and text, and repeated rows are all rendered. Rows
-    without a conversation id belong to no dialogue and are left out. Template
-    marks inside texts and names are broken up. Empty input gives an empty result.
+    Returns ``conv_id, perspective`` (the speaker who is the assistant)``, part``
+    (0, but for dialogues above ``most_chars``)``, n_turns, n_trained, text, mask``
+    (start:end of trained content in the row's text, in code points,
+    comma-joined). Participants are all distinct roles of the dialogue but
+    ``system``. A null role is a participant too: a user without a name, and the
+    null perspective. A null text is empty, a null turn comes first. Rows without
+    a conversation id are one dialogue, that of the null id. Equal turns are
+    ordered by role and text, and repeated rows are all rendered. Template marks
+    in texts and names are broken up, and control characters in names are
+    written as spaces. Empty input gives an empty result.
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
-    own = turns.filter("conv_id IS NOT NULL").select(
-        "conv_id", "turn", safe(F.coalesce("role", F.lit("unknown"))).alias("role"), safe(F.coalesce("text", F.lit(""))).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(0)).cast("long").alias("chunk"), F.monotonically_increasing_id().alias("row"),
+    own = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    own = own.withColumn("text", safe(F.col("text"))).withColumn("name", safe(F.regexp_replace(F.coalesce("role", F.lit("")), "[\\x00-\\x1F\\x7F]", " ")))
+    speakers = turns.filter("role IS NULL OR role <> 'system'").select(F.col("conv_id").alias("of"), F.col("role").alias("perspective")).distinct()
+    dealt = _parts(own, most_chars)
+    seen = dealt.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("mine", F.col("role").eqNullSafe(F.col("perspective")))
+    head = F.when(F.col("mine"), f"{BEGIN}assistant\n").when(F.col("role") == "system", f"{BEGIN}system\n").when(F.col("role").isNull(), f"{BEGIN}user\n").otherwise(F.concat(F.lit(f"{BEGIN}user name="), "name", F.lit("\n")))
+    seen = seen.withColumn("head", head)
+    order = W.partitionBy("conv_id", "perspective", "part").orderBy("turn", "role", "text", "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.sum((F.length("head") + F.length("text") + len(END) + 1).cast("long")).over(order)
+    placed = seen.withColumn("at", upto - F.length("text") - len(END) - 1)
+    span = F.when(F.col("mine"), F.concat_ws(":", F.col("at").cast("string"), (F.col("at") + F.length("text")).cast("string")))
+    # ``at`` grows with the turns' order, so it is the order of both lists
+    rows = placed.select("conv_id", "perspective", "part", "mine", F.struct("at", F.concat("head", "text", F.lit(f"{END}\n")).alias("x")).alias("said"), F.when(F.col("mine"), F.struct("at", span.alias("x"))).alias("span"))
+    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["x"]), by)
+    return rows.groupBy("conv_id", "perspective", "part").agg(
+        F.count("*").alias("n_turns"), F.sum(F.col("mine").cast("long")).alias("n_trained"), joined("said", "").alias("text"), joined("span", ",").alias("mask"),
     )
-    speakers = own.filter("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
-    over = own.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows)
-    over = over.select("conv_id", "chunk", F.ceil(F.col("n") / most_rows).cast("long").alias("parts"))
-    dealt = own.join(over, ["conv_id", "chunk"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0).cast("long")))
-    said = dealt.groupBy("conv_id", "chunk", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    seen = said.join(speakers, "conv_id")
-    head = f"CASE WHEN x.role = perspective THEN '{BEGIN}assistant\\n' WHEN x.role = 'system' THEN '{BEGIN}system\\n' ELSE concat('{BEGIN}user name=', x.role, '\\n') END"
-    seen = seen.withColumn("p", F.expr(f"transform(m, x -> struct({head} AS head, x.text AS body, x.role = perspective AS own))"))
-    text = F.expr(f"array_join(transform(p, x -> concat(x.head, x.body, '{END}\\n')), '')")
-    step = f"struct(a.at + length(x.head) + length(x.body) + {len(END) + 1} AS at, IF(x.own, concat(a.spans, array(concat(a.at + length(x.head), ':', a.at + length(x.head) + length(x.body)))), a.spans) AS spans)"
-    mask = F.expr(f"array_join(aggregate(p, struct(0 AS at, CAST(array() AS array<string>) AS spans), (a, x) -> {step}, a -> a.spans), ',')")
-    return seen.select("conv_id", "perspective", "chunk", "part", F.size("p").cast("long").alias("n_turns"), F.size(F.filter("p", lambda x: x["own"])).cast("long").alias("n_trained"), text.alias("text"), mask.alias("mask"))
 
 
-#: The same rows in DuckDB's SQL, for dialogues that need no further parts.
+#: The same rows in DuckDB's SQL, for dialogues of one part.
 SQL = f"""
     WITH own AS (
-        SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-               CAST(coalesce(floor(turn / 256), 0) AS BIGINT) AS chunk
-        FROM conversations WHERE conv_id IS NOT NULL
-    ), speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM own WHERE role <> 'system'),
+        SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text, replace(regexp_replace(coalesce(role, ''), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '<|', '< |') AS name FROM conversations
+    ), speakers AS (SELECT DISTINCT conv_id AS of, role AS perspective FROM own WHERE role IS NULL OR role <> 'system'),
     said AS (
-        SELECT o.*, perspective, o.role = perspective AS mine,
-               CASE WHEN o.role = perspective THEN '{BEGIN}assistant' WHEN o.role = 'system' THEN '{BEGIN}system' ELSE '{BEGIN}user name=' || o.role END || chr(10) AS head
-        FROM own o JOIN speakers USING (conv_id)
+        SELECT o.*, perspective, role IS NOT DISTINCT FROM perspective AS mine,
+               CASE WHEN role IS NOT DISTINCT FROM perspective THEN '{BEGIN}assistant' WHEN role = 'system' THEN '{BEGIN}system' WHEN role IS NULL THEN '{BEGIN}user' ELSE '{BEGIN}user name=' || name END || chr(10) AS head
+        FROM own o JOIN speakers ON conv_id IS NOT DISTINCT FROM of
     ), placed AS (
-        SELECT *, CAST(coalesce(sum(length(head) + length(text) + {len(END) + 1}) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
+        SELECT *, CAST(coalesce(sum(length(head) + length(text) + {len(END) + 1}) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
         FROM said
     )
-    SELECT conv_id, perspective, chunk, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, CAST(sum(CAST(mine AS INT)) AS BIGINT) AS n_trained,
-           string_agg(head || text || '{END}' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+    SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, CAST(sum(CAST(mine AS INT)) AS BIGINT) AS n_trained,
+           string_agg(head || text || '{END}' || chr(10), '' ORDER BY begins) AS text,
            coalesce(string_agg(CASE WHEN mine THEN (begins + length(head)) || ':' || (begins + length(head) + length(text)) END, ',' ORDER BY begins), '') AS mask
-    FROM placed GROUP BY conv_id, perspective, chunk
+    FROM placed GROUP BY conv_id, perspective
 """

@@ -1,15 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A word sequence of a test item is a seed if, from the corpus counts of its
-words alone, it is expected less than ``expected`` times in the whole corpus;
-for each place in the item the shortest such length in ``lengths`` is taken. The
+A pattern of words of a test item is a seed if, from the corpus counts of its
+words alone, it is expected less than ``expected`` times in the whole corpus; for
+each place in the item the first such of ``patterns`` is taken of those without a
+gap, and the first of those with one, which a changed word doesn't break. The
 test doesn't look at how often the sequence itself occurs, so a passage that was
 copied a million times is found like one that was copied once. Passages that
 share a seed with an item are aligned with it word by word (Smith-Waterman), and
 the score over that of a perfect copy tells exact, edited and unrelated apart.
 
-The test items are the query set: they are taken in blocks of ``block_items``,
-each broadcast by itself, against all whole texts. Nothing of the corpus is
+The test items are the query set: they are taken in blocks of ``block_items``, or
+``block_bytes`` of text, each broadcast by itself, against all whole texts. Nothing of the corpus is
 shuffled but the counts of the items' words.
 """
 
@@ -31,20 +32,22 @@ MATCH, MISS, GAP = 2, -1, -2
 @dataclass
 class DecontaminationParameters:
     expected: float = 0.5
-    lengths: tuple = (3, 4, 5, 6, 8)
+    #: Places of a seed's words, from its first; tried in turn.
+    patterns: tuple = ((0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 3, 4), (0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 4, 5, 6, 7), (0, 2), (0, 1, 3), (0, 2, 3), (0, 1, 3, 4))
     least_score: float = 0.5  # of a perfect copy's
     slack: int = 12  # words around a seed's diagonal
     block_items: int = 20_000
+    block_bytes: int = 16 << 20
 
 
 @dataclass
 class Block:
-    """Some test items with their seeds: size bounded by ``block_items``."""
+    """Some test items with their seeds: size bounded by ``block_items`` and ``block_bytes`` (or one larger item)."""
 
     parameters: DecontaminationParameters
     words: pa.Array  # distinct words; a word's id is its place
     items: list  # (item id, word ids)
-    seeds: dict | None = None  # length: (sorted keys, starts into places, places of (item, position))
+    seeds: dict | None = None  # pattern: (sorted keys, starts into places, places of (item, position))
 
 
 def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -86,10 +89,10 @@ def _ids(words: pa.Array, known: pa.Array) -> np.ndarray:
     return pc.index_in(words, known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _keys(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key of the n-gram at each place."""
+def _keys(ids: np.ndarray, at: np.ndarray, pattern: tuple) -> np.ndarray:
+    """A 64-bit key of the pattern's words at each place."""
     out = np.zeros(len(at), dtype=np.uint64)
-    for k in range(n):
+    for k in pattern:
         out = (out + ids[at + k].astype(np.uint64) + np.uint64(1)) * _MIX
         out ^= out >> np.uint64(31)
     return out
@@ -120,37 +123,39 @@ def _count_words(batches, words: pa.Array):
 
 def _plant_seeds(block: Block, counts: np.ndarray, total: int) -> None:
     p = block.parameters
-    share = np.log(np.maximum(counts, 1) / max(total, 1))
+    share, least = np.log(np.maximum(counts, 1) / max(total, 1)), np.log(p.expected) - np.log(max(total, 1))
     found: dict = {}
     for i, (_, ids) in enumerate(block.items):
-        taken = {}
-        for n in p.lengths:
-            for at in range(len(ids) - n + 1):
-                if at not in taken and np.log(max(total, 1)) + share[ids[at : at + n]].sum() <= np.log(p.expected):
-                    taken[at] = n
-        if not taken:  # too short or too plain: its longest sequences, however frequent
-            n = min(len(ids), p.lengths[-1])
-            taken = dict.fromkeys(range(len(ids) - n + 1), n) if n else {}
-        for at, n in taken.items():
-            found.setdefault(n, []).append((int(_keys(ids, np.array([at]), n)[0]), i, at))
+        open_ = {False: np.ones(len(ids), dtype=bool), True: np.ones(len(ids), dtype=bool)}  # places without a seed, by whether it has a gap
+        taken = []
+        for pattern in p.patterns:
+            gap, n = len(pattern) <= pattern[-1], len(ids) - pattern[-1]
+            if n > 0:
+                at = np.flatnonzero((sum(share[ids[k : k + n]] for k in pattern) <= least) & open_[gap][:n])
+                open_[gap][at] = False
+                taken += [(pattern, at)] * (len(at) > 0)
+        if not taken and len(ids):  # too short or too plain: its longest sequences, however frequent
+            pattern = tuple(range(min(len(ids), max(len(x) for x in p.patterns))))
+            taken = [(pattern, np.arange(len(ids) - pattern[-1]))]
+        for pattern, at in taken:
+            found.setdefault(pattern, []).extend(zip(_keys(ids, at, pattern).tolist(), [i] * len(at), at.tolist(), strict=True))
     block.seeds = {}
-    for n, rows in found.items():
+    for pattern, rows in found.items():
         rows.sort()
         keys = np.array([r[0] for r in rows], dtype=np.uint64)
         distinct, first = np.unique(keys, return_index=True)
-        block.seeds[n] = (distinct, np.append(first, len(rows)), np.array([r[1:] for r in rows], dtype=np.int64))
+        block.seeds[pattern] = (distinct, np.append(first, len(rows)), np.array([r[1:] for r in rows], dtype=np.int64))
 
 
 def _windows(block: Block, ids: np.ndarray, owner: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
     """``(text, item, from, to)``: stretches of texts, in places among all words, that share a seed with an item."""
-    hits, at, run = [], np.arange(len(ids)), 0
-    for n in sorted(block.seeds):
-        at = at[at + n <= len(ids)]
-        for k in range(run, n):  # known words of one text only
-            at = at[(ids[at + k] >= 0) & (owner[at + k] == owner[at])]
-        run = n
-        keys, start, places = block.seeds[n]
-        own = _keys(ids, at, n)
+    hits, known = [], np.flatnonzero(ids >= 0)
+    for pattern, (keys, start, places) in block.seeds.items():
+        at = known[known + pattern[-1] < len(ids)]
+        for k in pattern[1:]:  # known words of one text only
+            at = at[ids[at + k] >= 0]
+        at = at[owner[at + pattern[-1]] == owner[at]]
+        own = _keys(ids, at, pattern)
         k = np.searchsorted(keys, own)
         same = k < len(keys)
         same[same] = keys[k[same]] == own[same]
@@ -239,7 +244,8 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParameter
     """The test items as prepared blocks, one after another; each is broadcast by its user."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").filter("text is not null")
-    n = -(-items.count() // p.block_items)
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-rows // p.block_items), -(-size // p.block_bytes))
     for i in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct().orderBy("item_id", "text").collect()
         cut, _, first = _cut(pa.array([r.text for r in rows], pa.string()))
@@ -279,7 +285,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, parameters: Decont
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, parameters: DecontaminationParameters | None = None) -> DataFrame:
-    """The rows of ``docs`` that hold no test item; all columns stay as they are."""
+    """The rows of ``docs`` that hold no test item; all columns stay as they are.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together.
+    """
     p, out = parameters or DecontaminationParameters(), docs
     at = docs.columns.index("text")
     for sent in blocks_of(docs, benchmark, p):

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from recipeframe.functions.ranks import running_sum
 from recipeframe.functions.shared import materialize
 
 
@@ -37,9 +38,12 @@ class MixParameters:
     most_leaves: int = 1_000_000
 
 
+_SPACES = "[\\x20\\x09-\\x0D]+"
+
+
 def count_tokens(text: str = "text") -> Column:
     """Maximal runs without ASCII white space."""
-    return F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _SPACES), lambda x: x != "")).cast("long")
 
 
 def pour(amount: int, children: list[tuple[float, int]]) -> list[int]:
@@ -124,8 +128,11 @@ def mix(docs: DataFrame, p: MixParameters | None = None, keep: list[str] | None
     ranges = F.ceil(F.col("n") / p.range_rows)
     part = part.withColumn("_range", F.floor(F.col("place") / F.lit(float(1 << 63)) * ranges).cast("long"))
     sums = part.groupBy(*p.levels, "_range").agg(F.sum("n_tokens").alias("_sum"), F.first("rest").alias("_rest"))
-    before = F.sum("_sum").over(W.partitionBy(*p.levels).orderBy("_range")) - F.col("_sum")
-    offsets = sums.withColumn("_before", before).filter("_before < _rest").select(*p.levels, "_range", "_before")
+    # over all ranges of all leaves at once, by ranges of their own: a leaf may have any number of them
+    every = running_sum(sums, [*p.levels, "_range"], F.col("_sum"), "_upto")
+    first = every.groupBy(*p.levels).agg(F.min(F.col("_upto") - F.col("_sum")).alias("_first"))
+    offsets = every.join(first, list(p.levels)).withColumn("_before", F.col("_upto") - F.col("_sum") - F.col("_first"))
+    offsets = offsets.filter("_before < _rest").select(*p.levels, "_range", "_before")
     order = W.partitionBy(*p.levels, "_range").orderBy("place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
     part = part.join(offsets, [*p.levels, "_range"]).withColumn("_start", F.col("_before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
     part = part.filter("_start < rest").withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("_start")))
@@ -133,6 +140,13 @@ def mix(docs: DataFrame, p: MixParameters | None = None, keep: list[str] | None
     return whole.select(*columns).unionByName(part.select(*columns))
 
 
+def cut_text(text: Column, tokens: Column) -> Column:
+    """A text up to the end of its ``tokens``-th token, white space and all; the whole text, if it has no more."""
+    words, gaps = F.split(text, _SPACES), F.regexp_extract_all(text, F.lit(f"({_SPACES})"), F.lit(1))
+    upto = tokens.cast("int") + F.when(F.element_at(words, 1) == "", 1).otherwise(0)  # a leading gap follows an empty word
+    return F.array_join(F.zip_with(F.slice(words, F.lit(1), upto), F.slice(gaps, F.lit(1), F.greatest(upto - 1, F.lit(0))), lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
+
+
 def with_domain(docs: DataFrame) -> DataFrame:
     """Add the top level of the tree: sources named by one digit are ``web``, all others ``curated``."""
     return docs.withColumn("domain", F.when(F.coalesce(F.col("source"), F.lit("")).rlike("^src[0-9]$"), "web").otherwise("curated"))

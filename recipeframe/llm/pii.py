@@ -6,13 +6,16 @@ corpus is asked how much each term tells: with ``M`` texts, ``n_t`` that hold th
 term, ``n_e`` that hold the entity and ``n_te`` where they stand together, the
 term's information about the entity, log2(n_te M / (n_t n_e)), is set against
 what there is to know, log2(M / n_e). From ``generalise_at`` of it a term is
-replaced by a general word, from ``remove_at`` it is removed, in the texts where
-it stands by that entity.
+replaced by a general word, from ``remove_at`` it is removed, wherever it stands:
+in the texts that hold the entity and in those that only hold the term, where it
+tells as much. Pairs are learned from windows around entities, which keeps their
+number in proportion to the text; whole texts are searched for the terms found.
 
 Only DataFrame expressions are used. A pattern's matches are found by marking
 them with two private-use characters and splitting at these, which gives their
 places in code points. Term counts are combined before each shuffle, and pairs
-of terms and entities are counted only inside windows, never within a group.
+of terms and entities are counted only inside windows, never within a group. No
+text is shuffled, unless the texts with telling terms are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ class DisclosureParameters:
     least_texts: int = 3  # where term and entity stand together
     generalise_at: float = 0.8
     remove_at: float = 0.9
+    broadcast_rows: int = 100_000  # of terms, or of texts that hold some: beyond, they are joined by shuffles
 
 
 def _matches(text: str, pattern: str) -> str:
@@ -106,6 +110,10 @@ def find_entities(docs: DataFrame, text: str = "_text") -> DataFrame:
     return out
 
 
+def _word(p: DisclosureParameters) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{p.least_letters},}}+(?![\p{{L}}\p{{N}}])"
+
+
 def _near_terms(found: DataFrame, p: DisclosureParameters) -> DataFrame:
     """``row, entity, term, start, end`` of the words in the windows around entities, outside of all entities."""
     arrays = [F.expr(f"transform({k}, x -> struct(x.start AS start, x.end AS end, concat('{k}:', lower(x.text)) AS entity))") for k in KINDS]
@@ -119,20 +127,29 @@ def _near_terms(found: DataFrame, p: DisclosureParameters) -> DataFrame:
         )).alias("_s"),
     )
     sides = sides.select("row", "_all", "entity", "_s.*")
-    word = rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{p.least_letters},}}+(?![\p{{L}}\p{{N}}])"
-    words = sides.select("row", "_all", "entity", "at", "cut_left", "cut_right", F.length("side").alias("n"), F.explode(F.expr(_matches("side", word))).alias("m"))
+    words = sides.select("row", "_all", "entity", "at", "cut_left", "cut_right", F.length("side").alias("n"), F.explode(F.expr(_matches("side", _word(p)))).alias("m"))
     whole = words.filter("NOT (cut_left AND m.start = 0) AND NOT (cut_right AND m.end = n)")
     out = whole.select("row", "_all", "entity", F.lower("m.text").alias("term"), F.expr("at + m.start").cast("int").alias("start"), F.expr("at + m.end").cast("int").alias("end"))
     return out.filter("NOT exists(_all, x -> x.start < end AND x.end > start)").select("row", "entity", "term", "start", "end")
 
 
+def _small(table: DataFrame, p: DisclosureParameters) -> DataFrame:
+    """A table to join to, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(table) if table.count() <= p.broadcast_rows else table
+
+
+def _words(docs: DataFrame, p: DisclosureParameters) -> DataFrame:
+    """``of`` (a hash of the text) and ``term``, for each distinct run of letters of each text."""
+    runs = docs.select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    return runs.filter(F.length("term") >= p.least_letters)
+
+
 def _disclosing(near: DataFrame, found: DataFrame, docs: DataFrame, p: DisclosureParameters) -> DataFrame:
     """``entity, term, action``: the pairs whose information passes a threshold."""
     together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= p.least_texts)
     entities = found.select("row", F.explode(F.array_distinct(F.concat(*[F.expr(f"transform({k}, x -> concat('{k}:', lower(x.text)))") for k in KINDS]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     together = materialize(together.join(entities, "entity"), "pairs")
-    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= p.least_letters)
-    texts = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(together.select("term").distinct(), "term")
+    texts = _words(docs, p).join(_small(together.select("term").distinct(), p), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.count()
     known = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     told = F.log2(F.col("n_te") * F.lit(float(max(total, 1))) / (F.greatest("n_t", "n_te") * F.col("n_e")))
@@ -142,22 +159,27 @@ def _disclosing(near: DataFrame, found: DataFrame, docs: DataFrame, p: Disclosur
 
 
 def inspect_texts(docs: DataFrame, parameters: DisclosureParameters | None = None) -> DataFrame:
-    """Rows of ``docs`` whose text may hold personal data, with what was found.
+    """All rows of ``docs``, with what was found in each text.
 
     All columns of ``docs`` stay, below ``own``; ``_text`` is the text inspected,
     ``email, ip, card, phone`` are arrays of ``start, end, text``, and ``terms``
-    an array of ``start, end, action`` in order. Rows not returned hold nothing.
+    an array of ``start, end, action`` in order.
     """
     p = parameters or DisclosureParameters()
-    own = docs.filter(may_hold("text")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), plain(F.col("text")).alias("_text"), F.monotonically_increasing_id().alias("row"))
-    found = materialize(find_entities(own), "entities")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), plain(F.col("text")).alias("_text"), F.xxhash64("text").alias("of"), F.coalesce(may_hold("text"), F.lit(False)).alias("may"))
+    found = materialize(find_entities(own.filter("may").withColumn("row", F.monotonically_increasing_id())), "entities")
     near = materialize(_near_terms(found, p), "near")
-    telling = near.join(_disclosing(near, found, docs, p), ["entity", "term"]).select("row", F.struct("start", "end", "action").alias("span"))
-    # a term by two entities gets the stronger action: "remove" sorts last
-    per_text = telling.groupBy("row", "span.start", "span.end").agg(F.max("span.action").alias("action"))
-    per_text = per_text.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    # a term that tells of two entities gets the stronger action: "remove" sorts last
+    telling = materialize(_disclosing(near, found, docs, p).groupBy("term").agg(F.max("action").alias("action")), "telling")
+    held = _words(docs, p).join(_small(telling, p), "term").groupBy("of").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("told"))
+    held = _small(materialize(held, "held"), p)
+    none = [F.expr(f"CAST(array() AS array<{_SPAN}>)").alias(k) for k in KINDS]
+    columns = ["own", "_text", "of", *KINDS]
+    every = found.select(*columns).unionByName(own.filter("NOT may").select("own", "_text", "of", *none)).join(held, "of", "left")
+    inside = " OR ".join(f"exists({k}, x -> x.start < m.end AND x.end > m.start)" for k in KINDS)
+    terms = f"transform(filter({_matches('_text', _word(p))}, m -> map_contains_key(told, lower(m.text)) AND NOT ({inside})), m -> struct(m.start AS start, m.end AS end, told[lower(m.text)] AS action))"
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,action:string>>)")
-    return found.join(per_text, "row", "left").withColumn("terms", F.coalesce("terms", empty))
+    return every.select("own", "_text", *KINDS, F.when(F.col("told").isNotNull(), F.expr(terms)).otherwise(empty).alias("terms"))
 
 
 def _listed(kind: str, array: str) -> Column:
@@ -176,10 +198,7 @@ def report(docs: DataFrame, parameters: DisclosureParameters | None = None) -> D
     found = inspect_texts(docs, parameters)
     base = F.array_join(F.concat(*[_listed(k, k) for k in KINDS]), ",")
     every = F.array_join(F.concat(*[_listed(k, k) for k in KINDS], _listed("term", "terms")), ",")
-    rows = found.select(F.col("own.doc_id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
-    none = docs.filter(~F.coalesce(may_hold("text"), F.lit(False)))
-    zero = F.lit(0).cast("long")
-    return rows.unionByName(none.select("doc_id", *[zero.alias(f"n_{k}") for k in KINDS], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans")))
+    return found.select(F.col("own.doc_id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
 def sanitise(docs: DataFrame, parameters: DisclosureParameters | None = None) -> DataFrame:
@@ -187,7 +206,7 @@ def sanitise(docs: DataFrame, parameters: DisclosureParameters | None = None) ->
 
     Where spans overlap, the one that starts first (then the longer) is replaced.
     ``n_chars``, if there is such a column, is counted anew for changed texts. Rows
-    without personal data stay exactly as they are.
+    without personal data and telling terms stay exactly as they are; so do null texts.
     """
     found = inspect_texts(docs, parameters)
     spans = [F.expr(f"transform({k}, x -> struct(x.start AS start, -x.end AS end, '{LABELS[k]}' AS label))") for k in KINDS]
@@ -197,4 +216,4 @@ def sanitise(docs: DataFrame, parameters: DisclosureParameters | None = None) ->
     fold = "aggregate(_spans, struct(0 AS pos, '' AS out), (a, s) -> IF(s.start < a.pos, a, struct(-s.end AS pos, concat(a.out, substring(own.text, a.pos + 1, s.start - a.pos), s.label) AS out)), a -> concat(a.out, substring(own.text, a.pos + 1)))"
     changed = ordered.withColumn("_new", F.when(F.size("_spans") > 0, F.expr(fold)).otherwise(F.col("own.text")))
     columns = [F.col("_new").alias(c) if c == "text" else F.when(F.size("_spans") > 0, F.length("_new")).otherwise(F.col("own.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"own.`{c}`").alias(c) for c in docs.columns]
-    return changed.select(*columns).unionByName(docs.filter(~F.coalesce(may_hold("text"), F.lit(False))))
+    return changed.select(*columns)

@@ -135,7 +135,12 @@ SQL: dict[str, str] = {
         ), sm AS (SELECT suffix, (k + ss * top) / (n + ss) AS m FROM s, z),
         dm AS (SELECT domain, (k + sd * m) / (n + sd) AS m FROM d JOIN sm USING (suffix), z),
         hm AS (SELECT host, (k + sh * m) / (n + sh) AS m, n + sh AS total FROM h JOIN dm USING (domain), z),
-        hb AS (SELECT host, m - 1.2816 * sqrt(m * (1 - m) / (total + 1)) AS bound FROM hm),
+        ab AS (SELECT host, m * total AS a, total - m * total AS b FROM hm),
+        -- the beta distribution below and above the limit of 0.3: each integral is taken over a power of its variable, where it has no pole
+        hb AS (
+            SELECT host, list_sum(list_transform(range(4000), lambda i: pow(1 - pow((i + 0.5) / 4000 * pow(0.3, a), 1 / a), b - 1))) * pow(0.3, a) / a AS under,
+                   list_sum(list_transform(range(4000), lambda i: pow(1 - pow((i + 0.5) / 4000 * pow(0.7, b), 1 / b), a - 1))) * pow(0.7, b) / b AS over, a, b FROM ab
+        ),
         f AS (
             SELECT page_id, host, path, CASE
                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -144,7 +149,7 @@ SQL: dict[str, str] = {
                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
             FROM p
         )
-        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound >= 0.3 THEN 'block' ELSE 'allow' END AS verdict
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN under <= 0.1 * (under + over) AND a >= 0.3 * (a + b) THEN 'block' ELSE 'allow' END AS verdict
         FROM f JOIN hb USING (host)
     """,
 }

@@ -1,7 +1,7 @@
 """SimHash fingerprints, their links by pivot distance tables, and components.
 
 A fingerprint's distances to a few reference fingerprints (pivots) are computed
-once. By the triangle inequality two fingerprints within ``radius`` bits differ
+once and go along wherever it goes. By the triangle inequality two fingerprints within ``radius`` bits differ
 by at most ``radius`` in each of these distances, so a pair is discarded as soon
 as one coordinate differs by more, and the few survivors are verified bit by
 bit. Pairs meet in blocks: of six bit segments, two fingerprints that differ in
@@ -70,10 +70,17 @@ def add_fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> Da
 
 # ---------------------------------------------------------------- links
 
-def _pivot_table(values: np.ndarray) -> np.ndarray:
+def pivot_table(values: np.ndarray) -> np.ndarray:
+    """Distances of each fingerprint to each of PIVOTS."""
     return np.bitwise_count(values[:, None] ^ PIVOTS[None]).astype(np.int8)
 
 
+def _add_distances(batches):
+    for b in batches:
+        table = pivot_table(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in table], pa.binary())], names=["fp", "distances"])
+
+
 def _small_blocks(values, group, table):
     """Links inside many small sorted blocks, by comparing each row with the one d places on."""
     size = np.bincount(group)
@@ -110,12 +117,11 @@ def _links(batches):
     """Links inside the blocks of a partition sorted by block."""
     held: list[tuple] = []
 
-    def compare(keys, values):
+    def compare(keys, values, table):
         change = np.ones(len(keys), dtype=bool)
         change[1:] = (keys[1:] != keys[:-1]).any(axis=1)
         group = np.cumsum(change) - 1
         size = np.bincount(group)
-        table = _pivot_table(values)
         small = size[group] <= _SMALL
         pairs = list(_small_blocks(values[small], np.cumsum(change[small]) - 1, table[small])) if small.any() else []
         starts = np.flatnonzero(change)
@@ -127,28 +133,31 @@ def _links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def columns(b):
-        return np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2)], axis=1), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2)], axis=1)
+        table = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.int8).reshape(b.num_rows, len(PIVOTS))
+        return keys, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64), table
 
     for b in batches:
         if not b.num_rows:
             continue
-        keys, values = columns(b)
+        keys, values, table = columns(b)
         same = (keys == keys[-1]).all(axis=1)
         cut = len(keys) - int(same[::-1].argmin()) if not same.all() else 0  # the last block may go on in the next batch
         if held and not (held[0][0][0] == keys[0]).all():
             yield from compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held = []
         if cut:
-            held.append((keys[:cut], values[:cut]))
+            held.append((keys[:cut], values[:cut], table[:cut]))
             yield from compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held = []
-        held.append((keys[cut:], values[cut:]))
+        held.append((keys[cut:], values[cut:], table[cut:]))
     if held:
         yield from compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def link_fingerprints(nodes: DataFrame, most_block: int = 50_000) -> DataFrame:
     """``a, b``: links that connect all fingerprints within RADIUS bits; ``nodes`` has distinct ``fp long``."""
+    nodes = materialize(nodes.select("fp").mapInArrow(_add_distances, "fp long, distances binary"), "distances")
     fp = F.col("fp")
     keys = []
     for k, (s, t) in enumerate(combinations(range(len(SEGMENTS)), 2)):
@@ -156,17 +165,17 @@ def link_fingerprints(nodes: DataFrame, most_block: int = 50_000) -> DataFrame:
         low = F.shiftrightunsigned(fp, i).bitwiseAND(F.lit((1 << m) - 1))
         high = F.shiftrightunsigned(fp, j).bitwiseAND(F.lit((1 << n) - 1))
         keys.append(F.lit(k << 32).cast("long") + F.shiftleft(high, 11) + low)
-    blocks = nodes.select(F.explode(F.array(*keys)).alias("block"), "fp")
+    blocks = nodes.select(F.explode(F.array(*keys)).alias("block"), "fp", "distances")
     large = blocks.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > most_block)
     large = materialize(large.select("block", F.ceil(F.col("n") / (most_block // 2)).cast("int").alias("parts")), "blocks")
     if large.isEmpty():
-        dealt = blocks.select("block", F.lit(0).cast("long").alias("part"), "fp")
+        dealt = blocks.select("block", F.lit(0).cast("long").alias("part"), "fp", "distances")
     else:
         mine = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long"))
         other = F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
-        split = blocks.join(large, "block").select("block", mine.alias("mine"), other, "fp")
+        split = blocks.join(large, "block").select("block", mine.mine.alias("mine"), other, "fp", "distances")
         pair = F.least("mine", F.col("other").cast("long")) * 100_000 + F.greatest("mine", F.col("other").cast("long"))
-        dealt = blocks.join(large, "block", "left_anti").select("block", F.lit(0).cast("long").alias("part"), "fp").unionByName(split.select("block", pair.alias("part"), "fp"))
+        dealt = blocks.join(large, "block", "left_anti").select("block", F.lit(0).cast("long").alias("part"), "fp", "distances").unionByName(split.select("block", pair.alias("part"), "fp", "distances"))
     parts = dealt.repartition("block", "part").sortWithinPartitions("block", "part", "fp")
     return parts.mapInArrow(_links, "a long, b long")
 
@@ -197,11 +206,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Keep one row of each component of near copies: that of the smallest id (null last), then of the smallest text hash.
 
     Near copies are those of ``near_copies``, not the links of ``simhash_components``.
-    Rows that repeat both id and text count as one. Ids and hashes are
+    Rows that repeat both id and text count as one. Null and blank texts have no
+    shingle; they are copies of each other. All columns of ``docs`` stay as they
+    are, whatever their names. An empty table gives an empty result. Ids and hashes are
     shuffled to choose, and the texts that may have a near copy; then texts move once, to meet the choice.
     """
-    columns = docs.columns
-    own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = near_copy_components(own, ["doc_id", "_hash", "_id"])
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")).alias("first")).select("first._id", "first._hash")
-    return own.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, F.col("text"), F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    found = near_copy_components(own, ["doc_id", "hash", "id"])
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "id")).alias("first")).select("first.id", "first.hash")
+    once = own.select("row", "id", "hash").join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -5,21 +5,27 @@ words that begin with them, which are much more frequent in toxic texts than in
 clean ones. A word is looked up by running the lexicon's Levenshtein automaton
 over it: the states are sets of (trie node, edits so far), made only when a word
 leads to them, so a misspelling costs as much as an exact word and no list of
-variants is kept. Each hit is then judged by its context window: inside quotation
-marks, or near a word of reporting, it counts as quoted, otherwise as direct. A
-logistic model over these counts gives the score. It is fitted on labelled texts
-that the lexicon has not seen, so that words which only happen to be rare there
-don't look like evidence.
-
-``fit_rows`` bounds the labelled rows that are used (all, if there are fewer);
-what comes to the driver is the lexicon and counts of count vectors, both bounded.
+variants is kept. Each hit is then judged by its context window: the words before
+and after it, and whether it stands inside quotation marks of its line, each with
+a weight. Weights say how much more often a context is that of a clean text's hit
+than hits are in general; they start from a short list of reporting words and
+are moved by labelled windows. A hit whose weights add up to ``quoted_at`` counts
+as quoted, any other as direct. A logistic model over these counts gives the
+score. Context weights and logistic model are learned from labelled texts that
+the lexicon has not seen, so that words which only happen to be rare there don't
+look like evidence.
+
+``fit_rows`` bounds the labelled rows that are used (all, if there are fewer), and
+with them all that comes to the driver: the lexicon, context words, and counts of
+count vectors.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +34,12 @@ from pyspark.sql import functions as F
 
 from recipeframe.functions.shared import materialize
 
-_WORD = re.compile(r"[^\W\d_]+")
-_QUOTES = '"“”„«»‹›'
-#: Words that report what others said; fixed values.
+_WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile('["“”„«»‹›\n]')
+QUOTED = '"'  # stands for quotation marks among the context weights
+#: Words that report what others said, for a start; fixed values.
 REPORTING = frozenset("said says say called calls calling quote quoted quotes wrote writes word term slur insult reported sagte nannte schrieb wort dijo llamó palabra escribió dit appelé mot écrit".split())
 FEATURES = ("word", "rare", "stem", "near", "quoted", "quoted_near")
-_MOST = 6  # counts of a text are cut there as inputs of the model
 
 
 @dataclass
@@ -44,10 +50,12 @@ class ToxicityParameters:
     stem_texts: int = 12
     stem_lengths: tuple = (4, 5, 6, 7)
     least_precision: float = 0.9
-    lexicon: int = 20_000
     near_length: int = 5  # shortest word that may be misspelled, by one edit
     near_two: int = 9  # by two
     window: int = 6  # words before and after a hit
+    start_weight: float = 1.5  # of a reporting word and of quotation marks, before any evidence
+    context_events: float = 2.0  # clean windows' worth of evidence that the start counts as
+    quoted_at: float = 1.0
     l2: float = 1.0
 
 
@@ -58,18 +66,23 @@ class ToxicityModel:
     stems: frozenset = frozenset()
     bias: float = 0.0
     weights: tuple = (0.0,) * len(FEATURES)
+    context: dict | None = None  # word of a window: weight
+
+    def __post_init__(self):
+        if self.context is None:
+            self.context = dict.fromkeys([*REPORTING, QUOTED], self.parameters.start_weight)
 
 
 class Automaton:
     """The Levenshtein automata of all lexicon words at once, along their trie; determinised as words need it."""
 
     def __init__(self, model: ToxicityModel):
-        p = model.parameters
+        p = self.p = model.parameters
         self.next, self.accept, self.most = [{}], [""], [0]
         for word, n in sorted(model.words.items()):
             if n < p.common_texts or len(word) < p.near_length:
                 continue
-            node, edits = 0, 2 if len(word) >= p.near_two else 1
+            node, edits = 0, self._edits(word)
             for c in word:
                 self.most[node] = max(self.most[node], edits)
                 if c not in self.next[node]:
@@ -81,6 +94,9 @@ class Automaton:
             self.accept[node], self.most[node] = word, max(self.most[node], edits)
         self.reset()
 
+    def _edits(self, word: str) -> int:
+        return 2 if len(word) >= self.p.near_two else 1
+
     def reset(self):
         start = self._close({(0, 0)})
         self.ids, self.sets, self.moves = {start: 0}, [start], [{}]
@@ -121,7 +137,7 @@ class Automaton:
             at = self._step(at, c) if to is None else to
             if not self.sets[at]:
                 return False
-        return any(self.accept[node] and edits <= (2 if len(self.accept[node]) >= 9 else 1) for node, edits in self.sets[at])
+        return any(self.accept[node] and edits <= self._edits(self.accept[node]) for node, edits in self.sets[at])
 
 
 class Matcher:
@@ -141,33 +157,35 @@ class Matcher:
             return "stem"
         return "near" if len(word) >= self.p.near_length - 1 and self.automaton.near(word) else ""
 
-    def counts(self, text: str | None) -> tuple:
-        """How often each of FEATURES is in a text."""
+    def hits(self, text: str | None):
+        """Kind and context of each hit: words of its window, and QUOTED if it stands inside quotation marks of its line."""
         lower = (text or "").lower()
-        out, known = dict.fromkeys(FEATURES, 0), self.known
+        words, known = _WORD.findall(lower), self.known
         if len(known) > 400_000:
             known.clear()
-        hits = []
-        for m in _WORD.finditer(lower):
-            w = m.group()
-            if w not in known:
-                known[w] = self.kind(w)
-            if known[w]:
-                hits.append((m.start(), m.end(), known[w]))
-        for start, end, kind in hits:
-            if self._quoted(lower, start, end):
+        for w in set(words) - known.keys():
+            known[w] = self.kind(w)
+        found = [i for i, w in enumerate(words) if known[w]]
+        if not found:
+            return
+        starts = [m.start() for m in _WORD.finditer(lower)]
+        marks = [m.start() for m in _MARKS.finditer(lower)]
+        at, open_, reach = 0, 0, self.p.window
+        for i in found:
+            while at < len(marks) and marks[at] < starts[i]:
+                open_ = 0 if lower[marks[at]] == "\n" else open_ + 1
+                at += 1
+            inside = open_ % 2 == 1 and at < len(marks) and lower[marks[at]] != "\n"  # and closed on the same line
+            yield known[words[i]], words[max(0, i - reach) : i] + words[i + 1 : i + 1 + reach] + [QUOTED] * inside
+
+    def counts(self, text: str | None) -> tuple:
+        """How often each of FEATURES is in a text."""
+        out, weight = dict.fromkeys(FEATURES, 0), self.model.context
+        for kind, window in self.hits(text):
+            if sum(weight.get(w, 0.0) for w in window) >= self.p.quoted_at:
                 kind = "quoted_near" if kind == "near" else "quoted"
             out[kind] += 1
-        return tuple(min(out[k], _MOST) for k in FEATURES)
-
-    def _quoted(self, lower: str, start: int, end: int) -> bool:
-        reach = 12 * self.p.window
-        before, after = lower[max(0, start - reach) : start], lower[end : end + reach]
-        words_before = _WORD.findall(before)[-self.p.window :]
-        line_before, line_after = before.rsplit("\n", 1)[-1], after.split("\n", 1)[0]
-        marks = sum(line_before.count(q) for q in _QUOTES)
-        inside = marks % 2 == 1 and any(q in line_after for q in _QUOTES)
-        return inside or any(w in REPORTING for w in words_before)
+        return tuple(out[k] for k in FEATURES)
 
 
 # ---------------------------------------------------------------- fitting
@@ -191,6 +209,28 @@ def _term_batch(toxic, clean) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["term", "toxic", "clean"])
 
 
+def _contexts(batches, model):
+    """For each word of the windows of exact hits: the windows of toxic and of clean texts it is in; an empty word counts all."""
+    matcher, toxic, clean = Matcher(model), Counter(), Counter()
+    for b in batches:
+        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for kind, window in matcher.hits(text):
+                if kind == "word":
+                    (toxic if label else clean).update({"", *window})
+    yield _term_batch(toxic, clean)
+
+
+def context_weights(counts: dict, p: ToxicityParameters) -> dict:
+    """Log of how much likelier than any hit a hit with this context is a clean text's; ``counts`` is word: (toxic, clean)."""
+    toxic, clean = counts.get("", (0, 0))
+    rate, k = (clean + 1) / (toxic + clean + 2), p.context_events
+    out = dict.fromkeys([*REPORTING, QUOTED], p.start_weight)
+    for word, (t, c) in counts.items():
+        if word:  # clean windows there were, against those expected of as many windows
+            out[word] = math.log((c + k * math.exp(out.get(word, 0.0))) / (rate * (t + c) + k))
+    return {w: x for w, x in out.items() if abs(x) >= 0.05}
+
+
 def _vectors(batches, model):
     matcher, seen = Matcher(model), Counter()
     for b in batches:
@@ -223,7 +263,7 @@ def fit(labelled: DataFrame, parameters: ToxicityParameters | None = None) -> To
     p = parameters or ToxicityParameters()
     own = labelled.filter("toxic is not null").select("text", (F.col("toxic") > 0).alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("at"))
     own = materialize(own, "labelled")  # at most ``fit_rows`` texts, read several times below
-    first, second = own.filter(F.col("at") % 3 < 2), own.filter(F.col("at") % 3 == 2)
+    first, second, rest = own.filter(F.col("at") % 6 < 4), own.filter(F.col("at") % 6 == 4), own.filter(F.col("at") % 6 > 3)
     base = first.agg(F.sum(F.col("label").cast("int")).alias("toxic"), F.count("*").alias("n")).first()
     rate = ((base["toxic"] or 0) + 0.5) / (base["n"] + 1)
     terms = first.select("text", "label").mapInArrow(lambda it: _terms(it, p), "term string, toxic long, clean long")
@@ -231,11 +271,16 @@ def fit(labelled: DataFrame, parameters: ToxicityParameters | None = None) -> To
     enough = F.when(F.col("term").endswith("*"), p.stem_texts).otherwise(p.least_texts)
     sure = (F.col("toxic") + rate) / (F.col("toxic") + F.col("clean") + 1)  # shrunk to the rate of toxic texts
     fine = terms.filter((F.col("toxic") >= enough) & (sure >= p.least_precision * (1 - 1 / (1 + F.col("toxic")))))
-    kept = fine.orderBy(F.desc("toxic"), "term").limit(p.lexicon).collect()
-    words = {r.term: r.toxic for r in kept if not r.term.endswith("*")}
-    model = ToxicityModel(p, words, frozenset(r.term[:-1] for r in kept if r.term.endswith("*")))
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
-    vectors = second.select("text", "label").mapInArrow(lambda it: _vectors(it, sent.value), "counts array<long>, label long, n long")
+    kept = list(zip(*fine.select("term", "toxic").toArrow().to_pydict().values(), strict=True))
+    words = {term: toxic for term, toxic in kept if not term.endswith("*")}
+    model = ToxicityModel(p, words, frozenset(term[:-1] for term, _ in kept if term.endswith("*")))
+    spark = labelled.sparkSession
+    lexicon = spark.sparkContext.broadcast(model)
+    seen = second.select("text", "label").mapInArrow(lambda it: _contexts(it, lexicon.value), "term string, toxic long, clean long")
+    seen = seen.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow().to_pydict()
+    model = replace(model, context=context_weights(dict(zip(seen["term"], zip(seen["toxic"], seen["clean"], strict=True), strict=True)), p))
+    sent = spark.sparkContext.broadcast(model)
+    vectors = rest.select("text", "label").mapInArrow(lambda it: _vectors(it, sent.value), "counts array<long>, label long, n long")
     table = vectors.groupBy("counts", "label").agg(F.sum("n").alias("n")).collect()
     if not table:
         model.bias = float(np.log(rate / (1 - rate))) if base["n"] else -5.0
@@ -277,7 +322,10 @@ def _keep_calm(batches, model, text, limit):
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``limit``; all columns stay as they are."""
+    """The rows of ``docs`` whose score is below ``limit``; all columns stay as they are.
+
+    Null and empty texts have no hit and stay; repeated rows stay or go together.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     return docs.mapInArrow(lambda it: _keep_calm(it, sent.value, at, limit), docs.schema)
 

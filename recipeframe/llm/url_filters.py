@@ -4,8 +4,14 @@ Labelled pages tell how often a host's pages are bad. A rate from few pages is
 shrunk towards its registered domain's, that towards its suffix's, and that
 towards the rate of all pages, by beta-binomial priors. A prior's strength comes
 from the data: the more the units of a level differ beyond chance, the weaker.
-A host is blocked if even the lower bound of its posterior rate is too high, so a
-host with few labels is never blocked by bad luck.
+A host is blocked if even the lower bound of its posterior rate, a quantile of
+the beta distribution (or the mean, if that is lower), is too high, so a host with few labels is never blocked by
+bad luck.
+
+Which suffixes have two labels is a table (``suffixes``, short or of any size); a
+two-label ending also counts as one where the pages show it: at least
+``suffix_domains`` different names stand below it, none of which has more than
+``suffix_share`` of its hosts.
 
 All counting is by aggregates that combine before they shuffle; a host with a
 third of all pages is looked up from a broadcast of at most a thousand hosts.
@@ -15,6 +21,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +32,20 @@ from recipeframe.functions.shared import hot_keys, lookup_join, materialize
 
 #: (verdict, host, path): a rule fits its host and all subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Suffixes of two labels; fixed values.
+#: Suffixes of two labels that are known without a table; fixed values.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_RULES = 1000
 
 
 @dataclass
 class ReputationParameters:
-    z: float = 1.2816  # of the posterior's lower bound: 90 of 100
+    below: float = 0.1  # probability that a rate is below its lower bound
     limit: float = 0.3  # least bad rate that is blocked
     least_correlation: float = 0.001
     most_correlation: float = 0.5
+    suffixes: tuple = TWO_LABELS
+    suffix_domains: int = 1000
+    suffix_share: float = 0.05
 
 
 def host_of(url: Column) -> Column:
@@ -54,15 +66,52 @@ def split_urls(pages: DataFrame) -> DataFrame:
     return own.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
 
 
-def rule_for(rules=RULES) -> tuple[Column, Column]:
-    """The longest fitting rule as text, and its verdict; null if none fits. At most MOST_RULES rules."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
-        fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
-        rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    return rule, verdict
+def host_rules(hosts: DataFrame, rules=RULES) -> DataFrame:
+    """``host, rules``: the rules whose host is each host or above it, the longest first; any number of rules."""
+    spark = hosts.sparkSession
+    table = spark.createDataFrame([(h, p, h + p, kind) for kind, h, p in rules], "above string, path string, rule string, kind string")
+    labels = F.split("host", "[.]")
+    above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("above"))
+    met = above.distinct().join(F.broadcast(table) if len(rules) <= 100_000 else table, "above")
+    longest = F.array_sort(F.collect_list(F.struct((-F.length("rule")).alias("size"), (-F.length("above")).alias("of_host"), "path", "rule", "kind")))
+    return met.groupBy("host").agg(longest.alias("rules"))
+
+
+def beta_below(x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The beta distribution's probability of values below ``x`` (0 < x < 1), by its continued fraction."""
+    a, b = np.broadcast_arrays(np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64))
+    x = np.broadcast_to(np.asarray(x, dtype=np.float64), a.shape)
+    turn = x > (a + 1) / (a + b + 2)  # there the fraction for the other tail is the fast one
+    p, q, y = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    lgamma = np.vectorize(math.lgamma, otypes=[np.float64])
+    front = np.exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(y) + q * np.log1p(-y)) / p if a.size else np.zeros(a.shape)
+    tiny, c = 1e-300, np.ones_like(p)
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    d = 1 / safe(1 - (p + q) * y / (p + 1))
+    h = d.copy()
+    for m in range(1, 1000):
+        for top in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / safe(1 + top * d), safe(1 + top / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-14):
+            break
+    return np.clip(np.where(turn, 1 - front * h, front * h), 0, 1)
+
+
+def beta_quantile(below: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The value that a beta variable is below with probability ``below``."""
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(52):
+        mid = (low + high) / 2
+        less = beta_below(mid, a, b) < below
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
+    return (low + high) / 2
+
+
+def _bounds(batches, below: float):
+    for b in batches:
+        a, rest = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b"))
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.minimum(beta_quantile(below, a, rest), a / (a + rest)))], names=[*b.schema.names[:5], "bound"])
 
 
 def _strength(groups: DataFrame, p: ReputationParameters) -> tuple[float, float, float]:
@@ -90,12 +139,15 @@ def reputation(pages: DataFrame, p: ReputationParameters | None = None) -> DataF
     p = p or ReputationParameters()
     hosts = pages.groupBy("host").agg(F.count("*").alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     bare = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
-    labels = F.split(bare, "[.]")
-    two = F.array_join(F.slice(labels, -2, 2), ".")
-    size = F.when(F.size(labels) < 2, 1).otherwise(F.when(two.isin(*TWO_LABELS), 2).otherwise(1))
-    hosts = hosts.withColumn("labels", labels).withColumn("suffix", F.array_join(F.when(size == 2, F.slice("labels", -2, 2)).otherwise(F.slice("labels", -1, 1)), "."))
-    hosts = hosts.withColumn("domain", F.array_join(F.when(F.size("labels") <= size, F.col("labels")).when(size == 2, F.slice("labels", -3, 3)).otherwise(F.slice("labels", -2, 2)), ".")).drop("labels")
-    hosts = materialize(hosts, "hosts")
+    hosts = materialize(hosts.withColumn("labels", F.split(bare, "[.]")).withColumn("two", F.array_join(F.slice("labels", -F.least(F.size("labels"), F.lit(2)), F.lit(2)), ".")), "hosts")
+    long = _two_label_suffixes(hosts, p).withColumn("long", F.lit(True))
+    if long.count() <= 100_000:  # a checked size
+        long = F.broadcast(long)
+    size = F.when(F.col("long") & (F.size("labels") >= 2), 2).otherwise(1)
+    hosts = hosts.join(long, "two", "left").withColumn("size", size)
+    last = lambda n: F.array_join(F.slice("labels", -F.least(F.size("labels"), n), n), ".")
+    hosts = hosts.select("host", "n_pages", "n", "k", last(F.col("size")).alias("suffix"), last(F.col("size") + 1).alias("domain"))
+    hosts = materialize(hosts, "domains-of-hosts")
     domains = materialize(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("members")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("members"))
     s_suffix, k, n = _strength(suffixes, p)
@@ -106,8 +158,17 @@ def reputation(pages: DataFrame, p: ReputationParameters | None = None) -> DataF
     domain_mean = domain_mean.select("domain", ((F.col("k") + s_domain * F.col("prior")) / (F.col("n") + s_domain)).alias("prior"))
     full = lookup_join(hosts, domain_mean, "domain", hot_keys(domains, "domain", "members"))
     a, total = F.col("k") + s_host * F.col("prior"), F.col("n") + s_host
-    mean = a / total
-    return full.select("host", "n_pages", "n", "k", mean.alias("mean"), (mean - p.z * F.sqrt(mean * (1 - mean) / (total + 1))).alias("bound"))
+    rows = full.select("host", "n_pages", "n", "k", (a / total).alias("mean"), a.alias("_a"), (total - a).alias("_b"))
+    return rows.mapInArrow(lambda it: _bounds(it, p.below), "host string, n_pages long, n long, k long, mean double, bound double")
+
+
+def _two_label_suffixes(hosts: DataFrame, p: ReputationParameters) -> DataFrame:
+    """``two``: the endings of two labels that are suffixes, by the table or by what stands below them."""
+    known = hosts.sparkSession.createDataFrame([(x,) for x in p.suffixes], "two string")
+    below = hosts.filter("size(labels) > 2").groupBy("two", F.expr("labels[size(labels) - 3]").alias("name")).agg(F.count("*").alias("n"))
+    seen = below.groupBy("two").agg(F.count("*").alias("names"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    seen = seen.filter((F.col("names") >= p.suffix_domains) & (F.col("most") <= p.suffix_share * F.col("n")))
+    return known.unionByName(seen.select("two")).distinct()
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, p: ReputationParameters | None = None, rules=RULES) -> DataFrame:
@@ -123,7 +184,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, p: ReputationParameters | None
     own = split_urls(pages.select("page_id", "url")).drop("url")
     labelled = own.join(outcomes.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id", "left")
     known = materialize(reputation(labelled, p), "reputation")
-    rule, verdict = rule_for(rules)
-    found = lookup_join(own, known.select("host", "bound"), "host", hot_keys(known, "host", "n_pages"))
+    known = materialize(known.join(host_rules(known.select("host"), rules), "host", "left"), "judged-hosts")
+    found = lookup_join(own, known.select("host", "bound", "rules"), "host", hot_keys(known, "host", "n_pages"))
+    first = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1))
     by_host = F.when(F.col("bound") >= p.limit, "block").otherwise("allow")
-    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))
+    return found.select("page_id", "host", "path", first["rule"].alias("rule"), F.coalesce(first["kind"], by_host).alias("verdict"))

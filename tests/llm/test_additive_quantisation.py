@@ -1,6 +1,10 @@
+import os
+
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from recipeframe.llm.additive_quantisation import QuantisationParameters, encode, fit_codebooks, nearest
+from recipeframe.llm.additive_quantisation import QuantisationParameters, _search, encode, fit_codebooks, nearest
 
 
 def brute(rows, every=100, k=10):
@@ -41,5 +45,45 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, codes string, rank int")
     got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest(df).orderBy("query_id", "rank").collect()]
     assert got[:2] == [(0, 1, 1, 0.0), (0, 2, 2, 0.0)] and len([g for g in got if g[0] == 0]) == 5
-    assert [g[2] for g in got if g[0] == 100] == [0, 1, 2, 50]
+    assert [g[1:3] for g in got if g[0] == 100] == [(r, i) for r, i in enumerate([100, 0, 1, 2, 50], 1) for _ in range(2)]  # both rows ask
     assert nearest(df.filter("vec_id in (3, 4, 5)")).count() == 0 and nearest(df.limit(0)).count() == 0
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=size).tolist()) for size, ids in ((8, range(300)), (5, range(300, 420)), (3, [500, 501]), (2, [600])) for i in ids]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    size = {i: len(v) for i, v in rows}
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    want = {q: [i for _, i in brute([r for r in rows if size[r[0]] == size[q]], 100)[q]] for q in (0, 100, 200, 300, 400, 500)}
+    assert got == want  # so few rows are all reranked
+
+
+def test_recall_in_full_slabs(spark):
+    """One task that holds 50,000 rows, so that few of each slab are reranked."""
+    path = "/root/testdata/check_l/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the larger tables aren't here")
+    table = spark.read.parquet(path).filter("embedding IS NOT NULL").orderBy("vec_id").limit(50_000).toArrow()
+    ids, x = table.column("vec_id").to_numpy(), np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+    p = QuantisationParameters()
+    fine = np.isfinite(x).all(1) & (x != 0).any(1)
+    ids, x = ids[fine], x[fine]
+    books = fit_codebooks(x[np.random.default_rng(1).choice(len(x), p.sample_rows, replace=False)].astype(np.float32), p)
+    codes = encode(books, x.astype(np.float32), p.beam)
+    norm = (sum(books[m][codes[:, m]] for m in range(p.books)) ** 2).sum(1).astype(np.float32)
+    asked = np.flatnonzero(ids % 100 == 0)[:300]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.array(ids), pa.array(list(x), pa.list_(pa.float64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["row", "vec_id", "vector", "codes", "norm"])
+    slabs = [batch.slice(i, p.slab_rows) for i in range(0, len(ids), p.slab_rows)]
+    found = next(_search(iter(slabs), books, asked, x[asked], p, 10)).to_pydict()
+    got = {q: set() for q in asked.tolist()}
+    for q, v in zip(found["query_row"], found["vec_id"]):
+        got[q].add(v)
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(got[q] & set(ids[np.argsort(d, kind="stable")[:10]].tolist()))
+    assert hits >= 0.95 * 10 * len(asked)

@@ -53,3 +53,39 @@ def test_edited_copies_and_odd_rows(spark):
     assert {r.doc_id for r in find_contamination(docs, items.filter("item_id = 13")).collect()} >= {1, 6}  # a one-word item
     assert find_contamination(docs.limit(0), items).count() == 0
     assert find_contamination(docs, items.limit(0)).count() == 0 and drop_contaminated(docs, items.limit(0)).count() == len(rows)
+
+
+def test_recall_of_edited_copies_of_real_items(spark):
+    sf, rng = "/root/testdata/sf0.01", np.random.default_rng(6)
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    pool = [w for r in docs.limit(50).collect() for w in words_of(r.text)]
+    fill = lambda n: " ".join(rng.choice(pool, n))
+
+    def edit(words, how):
+        for i in range(len(words) - 1, -1, -1):
+            if how == "third" and i % 3 == 2 or how == "fourth" and i % 4 == 3:
+                words[i] = rng.choice(pool)
+            if how == "dropped" and i % 8 == 7:
+                del words[i]
+            if how == "added" and i % 6 == 5:
+                words.insert(i, rng.choice(pool))
+        return " ".join(words)
+
+    kinds = ("third", "fourth", "dropped", "added")
+    planted = [(100_000 + len(kinds) * n + k, f"{fill(200)} {edit(words_of(r.text), how)} {fill(200)}", r.item_id, how) for n, r in enumerate(items) for k, how in enumerate(kinds)]
+    own = spark.createDataFrame([(i, t) for i, t, _, _ in planted], "doc_id long, text string")
+    corpus = docs.select("doc_id", "text").unionByName(own)
+    score = {i: smith_waterman(*two) / (2 * len(two[0])) for i, two in ((i, _coded(t, next(r.text for r in items if r.item_id == item))) for i, t, item, _ in planted)}
+    found = {(r.doc_id, r.item_id) for r in find_contamination(corpus, spark.createDataFrame(items)).collect()}
+    for how in kinds:
+        due = [(i, item) for i, t, item, h in planted if h == how and score[i] >= 0.5]
+        if how != "third":
+            assert len(due) > 30
+        assert sum(x in found for x in due) >= 0.9 * len(due), how
+
+
+def _coded(text, item):
+    """Words of an item and of a text as numbers."""
+    a, b = words_of(item), words_of(text)
+    ids = {w: i for i, w in enumerate(a)}
+    return [ids[w] for w in a], [ids.get(w, -1) for w in b]

@@ -1,6 +1,9 @@
 import random
+import re
 
-from recipeframe.llm.mixing import MixParameters, budgets, mix, pour, with_domain
+from pyspark.sql import functions as F
+
+from recipeframe.llm.mixing import MixParameters, budgets, cut_text, mix, pour, with_domain
 
 SCHEMA = "doc_id long, text string, lang string, source string, place string, n_tokens string"
 
@@ -57,3 +60,12 @@ def test_odd_rows(spark):
     docs = with_domain(spark.createDataFrame([(None, "a b", None, None, "", ""), (1, None, "en", "src1", "", ""), (2, " \n", "en", "src1", "", ""), (3, "x " * 100_000, "en", "src1", "", ""), (3, "y z", "en", "src1", "", ""), (3, "y z", "en", "src1", "", "")], SCHEMA))
     got = mix(docs, MixParameters(share=1.0)).collect()
     assert sum(r.take_tokens for r in got) == 100_006 and {r.doc_id for r in got} == {None, 3}
+
+
+def test_texts_are_cut_after_a_token(spark):
+    texts = ["a  b\n\nc", " \t a b ", "one", "", "  ", "é\x0b😀 z", "w " * 50_000]
+    rows = [(t, n) for t in texts for n in (1, 2, 3, 40_000)]
+    got = spark.createDataFrame(rows, "t string, n long").select("t", "n", cut_text(F.col("t"), F.col("n")).alias("c")).collect()
+    for t, n, c in got:
+        m = [x.end() for x in re.finditer("[^\\x20\\x09-\\x0D]+", t)]
+        assert c == (t[: m[n - 1]] if n <= len(m) else t)

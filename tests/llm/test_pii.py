@@ -1,7 +1,10 @@
 import hashlib
 import re
+from math import log2
 
-from recipeframe.llm.pii import DisclosureParameters, report, sanitise
+import regex
+
+from recipeframe.llm.pii import KINDS, DisclosureParameters, report, sanitise
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+".replace("\\x20-", " -")), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -22,6 +25,12 @@ def by_hand(text):
     return out
 
 
+def base(text):
+    """Spans of each kind."""
+    found = [x.split(":") for x in by_hand(text)]
+    return {k: [(int(a), int(b)) for kind, a, b in found if kind == k] for k in KINDS}
+
+
 def check(rows):
     for r, text in rows:
         want = by_hand(text)
@@ -55,19 +64,61 @@ def test_whole_table_and_clean_rows_stay(spark):
 
 
 def test_telling_terms(spark):
-    # "zanzibar" stands only by one address; "common" stands everywhere
-    rows = [(i, f"common words zanzibar boss@corp.example.com common {i}") for i in range(5)] + [(9, "zanzibarish alone"), (10, "clean common text")]
-    rows += [(100 + i, f"common filler number {i}") for i in range(400)]
+    # "zanzibar" stands only by one address, or alone; "common" stands everywhere
+    rows = [(i, f"common words zanzibar boss@corp.example.com common {i}") for i in range(5)] + [(9, "zanzibarish alone"), (10, "clean common text"), (11, "far " * 60 + "Zanzibar again")]
+    rows += [(100 + i, f"common words filler number {i}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    p = DisclosureParameters()
-    got = {r.doc_id: r.spans for r in report(docs, p).collect()}
-    assert got[1] == "email:22:43,term:7:12,term:13:21" or got[1] == "email:22:43,term:13:21" or "term:13:21" in got[1]
-    assert "term:0:6" not in got[1] and got[9] == got[10] == ""
-    clean = {r.doc_id: r.text for r in sanitise(docs, p).collect()}
-    assert "zanzibar" not in clean[1] and "[EMAIL]" in clean[1] and clean[1].startswith("common ") and clean[9] == "zanzibarish alone"
+    for p in (DisclosureParameters(), DisclosureParameters(broadcast_rows=-1)):
+        got = {r.doc_id: r.spans for r in report(docs, p).collect()}
+        assert got[1] == "email:22:43,term:13:21" and got[11] == "term:240:248" and got[9] == got[10] == ""
+        clean = {r.doc_id: r.text for r in sanitise(docs, p).collect()}
+        assert clean[1] == "common words [REMOVED] [EMAIL] common 1" and clean[9] == "zanzibarish alone" and clean[11].endswith("[REMOVED] again")
     assert report(docs.limit(0)).count() == 0 and sanitise(docs.limit(0)).count() == 0
 
 
+def brute_force_terms(texts, p):
+    """Action of each term, by counting over plain Python sets."""
+    word = regex.compile(r"(?<![\p{L}\p{N}])\p{L}{%d,}+(?![\p{L}\p{N}])" % p.least_letters)
+    holds, near = {}, {}
+    for i, t in texts.items():
+        spans = [(a, b, k) for k, own in base(t).items() for a, b in own]
+        for a, b, k in spans:
+            entity = f"{k}:{t[a:b].lower()}"
+            holds.setdefault(entity, set()).add(i)
+            for m in word.finditer(t):
+                inside = a - p.window <= m.start() and m.end() <= a or b <= m.start() and m.end() <= b + p.window
+                # a word that a window's edge cuts off from its neighbours doesn't count
+                edge = m.end() == b + p.window and len(t) > b + p.window or m.start() == a - p.window and a > p.window
+                if inside and not edge and not any(x < m.end() and y > m.start() for x, y, _ in spans):
+                    near.setdefault((entity, m.group().lower()), set()).add(i)
+    words = [set(regex.split(r"[^\p{L}]+", t.lower())) for t in texts.values()]
+    out = {}
+    for (entity, term), both in near.items():
+        if len(both) >= p.least_texts:
+            n_t, known = max(sum(term in w for w in words), len(both)), log2(len(texts) / len(holds[entity]))
+            share = log2(len(both) * len(texts) / (n_t * len(holds[entity]))) / known if known > 0 else 0
+            if share >= p.generalise_at:
+                out[term] = max(out.get(term, ""), "remove" if share >= p.remove_at else "generalise")
+    return out, word
+
+
+def test_terms_of_a_real_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
+    # copies of texts with personal data, so that their words stand by it often
+    some = docs.filter("contains(text, '@') OR text RLIKE '[+][0-9]'").limit(60)
+    copies = some.selectExpr("doc_id", "explode(sequence(1, 3)) AS k", "text").selectExpr("100000 + 10 * doc_id + k AS doc_id", "concat(text, ' copy', k) AS text")
+    docs = docs.select("doc_id", "text").unionByName(copies)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    p = DisclosureParameters()
+    want, word = brute_force_terms(texts, p)
+    assert len(want) > 50
+    for r in report(docs, p).collect():
+        t = texts[r.doc_id]
+        spans = [x for own in base(t).values() for x in own]
+        own = [(m.start(), m.end()) for m in word.finditer(t) if m.group().lower() in want and not any(x < m.end() and y > m.start() for x, y in spans)]
+        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")] == own, r.doc_id
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a@b.cd", 6), (1, None, None), (2, "a@b.cd", 6), (2, "a@b.cd", 6)], "doc_id long, text string, n_chars long")
     assert sorted((str(r.doc_id), r.n_email) for r in report(docs).collect()) == [("1", 0), ("2", 1), ("2", 1), ("None", 1)]

@@ -1,4 +1,6 @@
-from recipeframe.llm.toxicity import Automaton, Matcher, ToxicityModel, ToxicityParameters, drop_toxic, fit, score_texts, training_rows
+import random
+
+from recipeframe.llm.toxicity import QUOTED, Automaton, Matcher, ToxicityModel, ToxicityParameters, context_weights, drop_toxic, fit, score_texts, training_rows
 
 
 def distance(a, b):
@@ -36,6 +38,39 @@ def test_kinds_and_quotation():
     assert m.counts(None) == m.counts("") == (0,) * 6
 
 
+def test_context_on_both_sides_and_over_the_whole_line():
+    m = Matcher(ToxicityModel(ToxicityParameters(), WORDS))
+    quoted = lambda t: m.counts(t)[4:] == (1, 0) and sum(m.counts(t)) == 1
+    assert quoted("idiot, he said") and quoted('"' + "word salad " * 700 + 'you idiot" she read') and quoted("„du idiot“")
+    assert not quoted("you idiot") and not quoted('one " mark, you idiot') and not quoted('"red" you idiot "blue"') and not quoted('"open\nyou idiot" closed')
+    assert m.counts("you id1ot")[3] == 1 and m.counts("idiot " * 50)[0] == 50
+
+
+def test_evidence_moves_context_weights():
+    p = ToxicityParameters()
+    none = context_weights({}, p)
+    assert none["said"] == none[QUOTED] == p.start_weight
+    seen = {"": (900, 100), "movie": (1, 60), "said": (300, 5), "you": (450, 50), QUOTED: (2, 40)}
+    got = context_weights(seen, p)
+    assert got["movie"] > p.quoted_at and got["said"] < 0.5 and "you" not in got and got[QUOTED] > p.start_weight
+    m = Matcher(ToxicityModel(p, WORDS, context=got))
+    assert m.counts("idiot of the movie")[4] == 1 and m.counts("he said idiot")[4] == 0
+
+
+def test_quotation_is_learned_from_labels(spark):
+    rng = random.Random(5)
+    plain = lambda n: " ".join(rng.choice("red blue green grey pink".split()) + str(rng.randint(0, 99)) for _ in range(n))
+    rows = []
+    for i in range(3000):
+        toxic, kind = i % 3 == 0, rng.random()
+        hit = "you idiot" if toxic else "the idiot review column" if kind < 0.08 else ""
+        rows.append((i, f"{plain(20)} {hit} {plain(20)}", int(toxic)))
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), ToxicityParameters(least_precision=0.8))
+    assert model.context["review"] > 0.5 and model.context.get("you", 0) < 0
+    score = lambda t: score_texts(spark.createDataFrame([(0, t)], "doc_id long, text string"), model).first().score
+    assert score(f"{plain(20)} you idiot {plain(20)}") > 0.5 > score(f"{plain(20)} the idiot review column {plain(20)}")
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
