@@ -15,17 +15,22 @@ from pyspark.sql import functions as F
 from recipeframe.functions.shared import truncate
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Label every node of ``edges(a, b)`` with the smallest node of its component.
 
     Returns ``node, label`` for nodes that have an edge to another node. Self
     loops, repeated edges, and either direction are allowed; null ends are
-    ignored. An empty edge table gives an empty result.
+    ignored. An empty edge table gives an empty result. Rounds go on until nothing
+    moves; if ``most_rounds`` is given and isn't enough, that is an error, never a
+    result with components that are only half merged.
     """
     links = edges.filter("a is not null and b is not null and a <> b")
     links = truncate(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    for _ in range(most_rounds):
+    seen, rounds = None, 0
+    while True:
+        if most_rounds is not None and rounds >= most_rounds:
+            raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+        rounds += 1
         links = truncate(_small_star(_large_star(links)))
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:

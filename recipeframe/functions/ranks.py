@@ -31,3 +31,19 @@ def running_sum(df: DataFrame, order: list[Column | str], value: Column, name: s
 def numbered(df: DataFrame, order: list[Column | str], name: str = "number") -> DataFrame:
     """Add ``name``: each row's place from 1 in a total order."""
     return running_sum(df, order, F.lit(1).cast("long"), name)
+
+
+def running_extreme(df: DataFrame, order: list[Column | str], value: Column, name: str, larger: bool = False) -> DataFrame:
+    """Add ``name``: the least (or ``larger``: the largest) ``value`` of all rows up to and with this one."""
+    pick, best = (F.max, max) if larger else (F.min, min)
+    own = df.withColumn("_v", value)
+    ranged = materialize(own.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, carried = None, {}
+    for part, extreme in ranged.groupBy("_part").agg(pick("_v")).orderBy("_part").collect():
+        carried[part] = before
+        before = extreme if before is None else before if extreme is None else best(before, extreme)
+    start = F.lit(None)
+    if any(v is not None for v in carried.values()):
+        start = F.try_element_at(F.create_map(*[F.lit(x) for kv in carried.items() if kv[1] is not None for x in kv]), F.col("_part"))
+    inside = pick("_v").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn(name, (F.greatest if larger else F.least)(start, inside)).drop("_v", "_part")

@@ -19,12 +19,15 @@ _UNSET = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate files: the cluster's ``spark.checkpoint.dir``.
 
-    Only when that is unset (tests, a laptop) a local folder is made, which also
-    becomes the session's checkpoint folder.
+    Only when that is unset and the session runs in one process (tests, a laptop)
+    a local folder is made, which also becomes the session's checkpoint folder; on
+    a cluster its absence is an error, as executors share no local folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _UNSET:
         _UNSET[app] = tempfile.mkdtemp(prefix="recipeframe-")

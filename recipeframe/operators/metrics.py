@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from recipeframe.functions.quantiles import quantiles
 from recipeframe.functions.ranks import running_sum
 from recipeframe.functions.shared import materialize
 
@@ -64,7 +65,9 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def regression_metrics(df: DataFrame, target: str, pred: str) -> DataFrame:
     e, y = F.col(target) - F.col(pred), F.col(target)
-    s = df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"), F.sum(e * e).alias("see"), F.var_pop(e).alias("ve"), F.var_pop(y).alias("vy"), F.count("*").alias("n"))
+    s = df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("see"), F.var_pop(e).alias("ve"), F.var_pop(y).alias("vy"), F.count("*").alias("n"))
+    middle = quantiles(df.select(F.lit(1).alias("one"), F.abs(e).alias("e")), ["one"], "e", [0.5]).select("one", F.col("q")[0].alias("median_ae"))
+    s = s.withColumn("one", F.lit(1)).join(middle, "one", "left")
     return s.select("rmse", "mae", (1 - F.try_divide("see", F.col("vy") * F.col("n"))).alias("r2"), "median_ae", (1 - F.try_divide("ve", "vy")).alias("explained_variance"))
 
 
@@ -190,18 +193,33 @@ def label_agreement(runs: DataFrame) -> DataFrame:
     return s.select(*keys, F.col("n").cast("long").alias("n"), (F.col("n") / rows).alias("coverage"), F.coalesce(F.try_divide(F.col("pij") - expected, most - expected), F.lit(1.0)).alias("ari"))
 
 
-def coassignment(runs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``a, b, eligible, consensus``: how often two rows share a cluster, of the runs where neither is noise.
+def label_classes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the same labels in all runs as one class: membership ``row, class`` (its smallest row), and ``class, size, labels`` (run to label, noise left out)."""
+    by = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("label") != -1, F.struct("run", "label")))).alias("labels"))
+    by = materialize(by, "label-vectors")
+    classes = by.groupBy("labels").agg(F.min("row").alias("class"), F.count("*").alias("size"))
+    return by.join(classes, "labels").select("row", "class"), classes.select("class", "size", "labels")
 
-    ``rows`` (``row``) is the bounded set of rows that is looked at.
+
+def coassignment(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Membership of all rows in classes, and ``a, b, pairs, eligible, consensus`` of each two classes (and of a class with itself).
+
+    ``eligible`` are the runs where neither is noise, ``consensus`` the share of
+    them in which they are in one cluster; both are the same for all ``pairs`` of
+    rows of the two classes. Pairs that are never eligible are left out.
     """
-    own = runs.join(rows, "row", "left_semi").filter("label <> -1")
-    both = own.alias("a").join(own.alias("b"), (F.col("a.run") == F.col("b.run")) & (F.col("a.row") < F.col("b.row")))
-    return both.groupBy(F.col("a.row").alias("a"), F.col("b.row").alias("b")).agg(F.count("*").alias("eligible"), F.avg((F.col("a.label") == F.col("b.label")).cast("double")).alias("consensus"))
+    members, classes = label_classes(runs)
+    each = materialize(classes.select("class", "size", F.explode("labels").alias("l")).select("class", "size", "l.run", "l.label"), "classes")
+    met = each.alias("x").join(each.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.class") <= F.col("y.class")))
+    by = met.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n")).agg(F.count("*").alias("eligible"), F.avg((F.col("x.label") == F.col("y.label")).cast("double")).alias("consensus"))
+    pairs = F.when(F.col("a") == F.col("b"), F.col("m") * (F.col("m") - 1) / 2).otherwise(F.col("m") * F.col("n")).cast("long")
+    return members, by.select("a", "b", pairs.alias("pairs"), "eligible", "consensus").filter("pairs > 0")
 
 
 def consensus_consistency(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.avg(F.greatest("consensus", 1 - F.col("consensus"))).alias("consistency"))
+    """Mean over all pairs of rows of how sure their consensus is; ``pairs`` as of ``coassignment``."""
+    sure = F.greatest("consensus", 1 - F.col("consensus"))
+    return pairs.agg((F.sum(sure * F.col("pairs")) / F.sum("pairs")).alias("consistency"))
 
 
 def stability_report(runs: DataFrame) -> DataFrame:
@@ -211,24 +229,48 @@ def stability_report(runs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- splits and distributions
 
+def _placed_in_class(df: DataFrame, label: str, key: str, seed: int, range_rows: int = 100_000) -> DataFrame:
+    """Add ``_k``, each row's place in the seeded hash order of its class, and ``_n``, the class's rows.
+
+    A class is cut into ranges of the hash, of about ``range_rows`` rows; only
+    their counts are summed up in one place, rows are ranked within a range.
+    """
+    own = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1))
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    own = own.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    ranges = F.ceil(F.col("_n") / range_rows)
+    own = own.withColumn("_range", F.least(F.floor(F.col("_h") / F.lit(float(1 << 63)) * ranges), ranges - 1))
+    counts = own.groupBy("_label", "_range").agg(F.count("*").alias("_c"))
+    counts = counts.select(F.col("_label").alias("_l"), F.col("_range").alias("_r"), (F.sum("_c").over(W.partitionBy("_label").orderBy("_range")) - F.col("_c")).alias("_before"))
+    placed = own.join(counts, F.col("_label").eqNullSafe(F.col("_l")) & (F.col("_range") == F.col("_r")))
+    inside = F.row_number().over(W.partitionBy("_label", "_range").orderBy("_h", key))
+    return placed.withColumn("_k", F.col("_before") + inside).drop("_h", "_label", "_range", "_l", "_r", "_before")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.25, seed: int = 42) -> DataFrame:
     """Add ``is_test``: of each class the first rows in a seeded hash order."""
-    by = W.partitionBy(label)
-    ranked = df.withColumn("_k", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), key), key))).withColumn("_n", F.count("*").over(by))
-    return ranked.withColumn("is_test", F.col("_k") <= F.round(F.col("_n") * test)).drop("_k", "_n")
+    return _placed_in_class(df, label, key, seed).withColumn("is_test", F.col("_k") <= F.round(F.col("_n") * test)).drop("_k", "_n")
+
+
+def plain_split(df: DataFrame, key: str, test: float = 0.25, seed: int = 42) -> DataFrame:
+    """Add ``is_test``: the first rows in a seeded hash order, at least one and never all."""
+    ranked = _placed_in_class(df.withColumn("_one", F.lit(1)), "_one", key, seed).drop("_one")
+    most = F.greatest(F.least(F.round(F.col("_n") * test), F.col("_n") - 1), F.lit(1))
+    return ranked.withColumn("is_test", F.col("_k") <= most).drop("_k", "_n")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold``; there are no more folds than rows of the smallest class."""
     least = df.groupBy(label).count().agg(F.min("count")).first()[0] or folds
     k = max(2, min(folds, least))
-    return df.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)) - 1) % k).cast("int"))
+    return _placed_in_class(df, label, key, seed).withColumn("fold", ((F.col("_k") - 1) % k).cast("int")).drop("_k", "_n")
 
 
 def wasserstein(left: DataFrame, right: DataFrame, columns: list[str], points: int = 100) -> DataFrame:
     """First Wasserstein distance of each column, by quantiles at the midpoints of ``points`` steps."""
-    at = F.array(*[F.lit((i + 0.5) / points) for i in range(points)])
-    q = lambda d, n: d.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), at).alias(c) for c in columns]).unpivot([], columns, "column", n)
+    at = [(i + 0.5) / points for i in range(points)]
+    long = lambda d: d.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    q = lambda d, n: quantiles(long(d), ["column"], "value", at).select("column", F.col("q").alias(n))
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, t: s + t) / points
     return q(left, "a").join(q(right, "b"), "column").select("column", gap.alias("distance"))
 

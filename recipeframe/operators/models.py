@@ -12,12 +12,13 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as G
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler, PCA, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Binarizer, MaxAbsScaler, MinMaxScaler, PCA, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from recipeframe.functions.graph import connected_components
+from recipeframe.functions.shared import materialize
 
 
 @dataclass
@@ -40,15 +42,25 @@ def _ovr(make):
     return lambda **o: C.OneVsRest(classifier=make(**o))
 
 
+def _bernoulli(threshold: float = 0.0, **o):
+    """Naive Bayes on whether a (scaled) feature is above a threshold."""
+    return Pipeline(stages=[Binarizer(threshold=threshold, outputCol="binary"), C.NaiveBayes(modelType="bernoulli", featuresCol="binary", **o)])
+
+
+def perceptron(features: int, classes: int, hidden: tuple = ((8,), (16,))) -> Spec:
+    """A multilayer perceptron for as many features and classes, with some hidden layers to choose from."""
+    return Spec(C.MultilayerPerceptronClassifier, {"layers": [[features, *h, classes] for h in hidden], "maxIter": [100], "seed": [42]}, "standard")
+
+
 CLASSIFIERS = {
     "dt": Spec(C.DecisionTreeClassifier, {"maxDepth": [3, 6]}), "rf": Spec(C.RandomForestClassifier, {"numTrees": [20], "maxDepth": [5]}), "hgbc": Spec(_ovr(lambda **o: C.GBTClassifier(**o)), {"maxIter": [10]}),
     "gnb": Spec(lambda **o: C.NaiveBayes(modelType="gaussian", **o)), "mnb": Spec(lambda **o: C.NaiveBayes(modelType="multinomial", **o), scaling="minmax"), "compnb": Spec(lambda **o: C.NaiveBayes(modelType="complement", **o), scaling="minmax"),
-    "lsvc": Spec(_ovr(lambda **o: C.LinearSVC(**o)), {"regParam": [0.01]}, "standard"), "sgd": Spec(C.LogisticRegression, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, "standard"),
+    "bnb": Spec(_bernoulli, scaling="standard"), "lsvc": Spec(_ovr(lambda **o: C.LinearSVC(**o)), {"regParam": [0.01]}, "standard"), "sgd": Spec(C.LogisticRegression, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, "standard"),
 }
 REGRESSORS = {
     "linear": Spec(G.LinearRegression), "ridge": Spec(lambda **o: G.LinearRegression(elasticNetParam=0.0, **o), {"regParam": [0.1, 1.0]}, "standard"), "lasso": Spec(lambda **o: G.LinearRegression(elasticNetParam=1.0, **o), {"regParam": [0.1]}, "standard"),
     "elasticnet": Spec(lambda **o: G.LinearRegression(elasticNetParam=0.5, **o), {"regParam": [0.1]}, "standard"), "huber": Spec(lambda **o: G.LinearRegression(loss="huber", **o), {"epsilon": [1.35]}, "standard"),
-    "decision_tree": Spec(G.DecisionTreeRegressor, {"maxDepth": [3, 6]}), "random_forest": Spec(G.RandomForestRegressor, {"numTrees": [20]}),
+    "decision_tree": Spec(G.DecisionTreeRegressor, {"maxDepth": [3, 6]}), "random_forest": Spec(G.RandomForestRegressor, {"numTrees": [20]}), "boosting": Spec(G.GBTRegressor, {"maxIter": [10]}),
 }
 CLUSTERERS = {
     "kmeans": Spec(K.KMeans, {"k": [2, 3]}, "standard"), "gmm": Spec(K.GaussianMixture, {"k": [2]}, "standard"), "bisecting": Spec(K.BisectingKMeans, {"k": [2, 3]}, "standard"),
@@ -72,7 +84,10 @@ def pipeline(spec: Spec, params: dict, scaling: str = "auto", **columns) -> Pipe
         stages.append(SCALERS[scaling]().setInputCol("features").setOutputCol("scaled"))
         at = "scaled"
     model = spec.make(**params)
-    return Pipeline(stages=[*stages, model.setFeaturesCol(at) if not isinstance(model, C.OneVsRest) else model.setFeaturesCol(at)])
+    if isinstance(model, Pipeline):  # its first stage reads the features
+        model.getStages()[0].setInputCol(at)
+        return Pipeline(stages=[*stages, *model.getStages()])
+    return Pipeline(stages=[*stages, model.setFeaturesCol(at)])
 
 
 def candidates(grid: dict) -> list[dict]:
@@ -116,25 +131,37 @@ def cluster_search(df: DataFrame, spec: Spec, repeats: int = 3) -> DataFrame:
 
 # ---------------------------------------------------------------- models from aggregates
 
-def moments(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Count, mean and second moments of columns (for each group): one row each, features squared in size."""
-    x = [F.col(f"`{c}`").cast("double") for c in columns]
-    sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(x)] + [F.sum(a * b).alias(f"p{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if j >= i]
-    return df.groupBy(*by or []).agg(F.count("*").alias("n"), *sums)
-
-
-def _matrix(row, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-    s, p = np.array([row[f"s{i}"] for i in range(k)]), np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            p[i, j] = p[j, i] = row[f"p{i}_{j}"]
-    return float(row["n"]), s, p
+def _sums(batches, groups: int):
+    """Sums and second moments of the number columns of some rows, for each group in the first column."""
+    held: dict = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[groups:]], axis=1)
+        full = np.hstack([np.ones((len(x), 1)), x])
+        keys = np.array(b.column(0).to_pylist(), dtype=object) if groups else np.zeros(len(x), dtype=object)
+        for key in set(keys.tolist()):
+            own = full[keys == key] if groups else full
+            held[key] = held.get(key, 0) + own.T @ own
+    for key, p in held.items():
+        at = np.arange(p.size)
+        yield pa.RecordBatch.from_arrays([pa.array([None if not groups else str(key)] * p.size, pa.string()), pa.array(at), pa.array(p.ravel())], names=["group", "at", "value"])
+
+
+def moments(df: DataFrame, columns: list[str], by: str | None = None) -> dict:
+    """For each group (by its text; None without groups) ``n``, sums and second moments of columns; what comes back is the square of the features in size."""
+    own = df.select(*([F.col(f"`{by}`").cast("string").alias("_by")] if by else []), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    k, groups, out = len(columns) + 1, int(by is not None), {}
+    for r in own.mapInArrow(lambda it: _sums(it, groups), "group string, at long, value double").groupBy("group", "at").agg(F.sum("value").alias("value")).collect():
+        out.setdefault(r["group"], np.zeros(k * k))[r["at"]] = r["value"]
+    full = {g: p.reshape(k, k) for g, p in out.items()}
+    return {g: (float(p[0, 0]), p[0, 1:], p[1:, 1:]) for g, p in full.items()}
 
 
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 0.0) -> tuple[float, np.ndarray]:
     """Intercept and coefficients of least squares with an L2 penalty, from the normal equations."""
     k = len(features)
-    n, s, p = _matrix(moments(df, [*features, target]).first(), k + 1)
+    n, s, p = moments(df, [*features, target])[None]
     c = p - np.outer(s, s) / n
     w = np.linalg.solve(c[:k, :k] + alpha * np.eye(k), c[:k, k])
     return float(s[k] / n - w @ s[:k] / n), w
@@ -143,7 +170,7 @@ def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 0.0) -
 def matching_pursuit(df: DataFrame, features: list[str], target: str, most: int) -> dict[str, float]:
     """Orthogonal matching pursuit on the Gram matrix."""
     k = len(features)
-    n, s, p = _matrix(moments(df, [*features, target]).first(), k + 1)
+    n, s, p = moments(df, [*features, target])[None]
     c = p - np.outer(s, s) / n
     chosen: list[int] = []
     rest, w = c[:k, k].copy(), np.zeros(0)
@@ -158,22 +185,35 @@ def matching_pursuit(df: DataFrame, features: list[str], target: str, most: int)
 
 def discriminant(df: DataFrame, features: list[str], label: str, quadratic: bool = False) -> Column:
     """The predicted class as an expression: linear (shared covariance) or quadratic discriminant."""
-    k, rows = len(features), moments(df, features, [label]).orderBy(label).collect()
-    groups = [(r[label], *_matrix(r, k)) for r in rows]
-    total = sum(g[1] for g in groups)
-    cov = {g[0]: (g[3] - np.outer(g[2], g[2]) / g[1]) for g in groups}
-    shared = sum(cov.values()) / max(total - len(groups), 1)
-    entries = []
-    for value, n, s, _ in groups:
-        c = cov[value] / max(n - 1, 1) if quadratic else shared
-        inverse, mean = np.linalg.pinv(c), s / n
-        z = [F.col(f"`{f}`").cast("double") - float(m) for f, m in zip(features, mean, strict=True)]
-        form = F.lit(0.0)
-        for i in range(k):
-            for j in range(k):
-                form = form + z[i] * z[j] * float(inverse[i, j])
-        score = -0.5 * form + float(np.log(n / total) - 0.5 * np.linalg.slogdet(c)[1] * quadratic)
-        entries.append(F.struct(score.alias("score"), F.lit(value).alias("label")))
+    k, found = len(features), moments(df, features, label)
+    kind, order = df.schema[label].dataType, sorted(found)
+    total = sum(found[g][0] for g in order)
+    cov = {g: found[g][2] - np.outer(found[g][1], found[g][1]) / found[g][0] for g in order}
+    shared = sum(cov.values()) / max(total - len(order), 1)
+    x, entries = [F.col(f"`{f}`").cast("double") for f in features], []
+    for g in order:
+        n, s, _ = found[g]
+        mean, prior = s / n, float(np.log(n / total))
+        if quadratic:  # squares of the features turned by the covariance's inverse root
+            values, vectors = np.linalg.eigh(cov[g] / max(n - 1, 1))
+            values = np.maximum(values, 1e-12)
+            turned = (vectors / np.sqrt(values)).T
+            parts = [sum((v * float(c) for v, c in zip(x, row, strict=True)), F.lit(float(-row @ mean))) for row in turned]
+            score = F.lit(prior - 0.5 * float(np.log(values).sum())) - 0.5 * sum((p * p for p in parts), F.lit(0.0))
+        else:
+            w = np.linalg.pinv(shared) @ mean
+            score = sum((v * float(c) for v, c in zip(x, w, strict=True)), F.lit(prior - 0.5 * float(w @ mean)))
+        entries.append(F.struct(score.alias("score"), F.lit(g).cast(kind).alias("label")))
+    return F.array_max(F.array(*entries))["label"]
+
+
+def ridge_classifier(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> Column:
+    """The predicted class as an expression: the largest of one ridge regression for each class, on targets of one and minus one."""
+    x, entries = [F.col(f"`{f}`").cast("double") for f in features], []
+    for r in df.select(label).distinct().orderBy(label).collect():
+        own = df.withColumn("_t", F.when(F.col(label) == F.lit(r[0]), 1.0).otherwise(-1.0))
+        b, w = ridge(own, features, "_t", alpha)
+        entries.append(F.struct(sum((v * float(c) for v, c in zip(x, w, strict=True)), F.lit(float(b))).alias("score"), F.lit(r[0]).alias("label")))
     return F.array_max(F.array(*entries))["label"]
 
 
@@ -195,20 +235,106 @@ def quantile_regression(df: DataFrame, features: list[str], target: str, q: floa
     return b, w
 
 
-def nearest_neighbours(train: DataFrame, queries: DataFrame, vector: str, label: str, key: str, k: int = 5) -> DataFrame:
-    """Majority label of the ``k`` nearest training rows (Euclidean) of each query; queries are a bounded block that is checked and broadcast."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("at most 10,000 queries in a block")
-    d = F.aggregate(F.zip_with(F.col("q"), F.col("v"), lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, t: s + t)
-    own = train.select(F.col(label).alias("label"), F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    asked = F.broadcast(queries.select(F.col(key).alias("query"), F.transform(vector, lambda x: x.cast("double")).alias("q")))
-    near = own.join(asked, F.col("id") != F.col("query")).select("query", "label", "id", d.alias("d"))
-    top = near.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("d", "id"))).filter(F.col("r") <= k)
-    votes = top.groupBy("query", "label").agg(F.count("*").alias("n"))
+#: Distances between one row and many.
+DISTANCES = {
+    "euclidean": lambda d, q, x: np.sqrt((d * d).sum(-1)), "manhattan": lambda d, q, x: np.abs(d).sum(-1), "chebyshev": lambda d, q, x: np.abs(d).max(-1),
+    "canberra": lambda d, q, x: np.divide(np.abs(d), np.abs(q) + np.abs(x), out=np.zeros_like(d), where=(np.abs(q) + np.abs(x)) > 0).sum(-1),
+}
+
+
+def _top_k(batches, asked, vectors, metric: str, k: int):
+    """The ``k`` nearest of a task's rows to each query."""
+    best: dict = {}
+    for b in batches:
+        ids, labels, x = b.column(0).to_pylist(), b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), dtype=np.float64)
+        if not len(x):
+            continue
+        step = max(1, 4_000_000 // x.size)
+        for i in range(0, len(asked), step):
+            q = vectors[i : i + step, None, :]
+            d = DISTANCES[metric](q - x[None], q, x[None])
+            for row, name in enumerate(asked[i : i + step]):
+                near = np.argpartition(d[row], min(k, len(x) - 1))[: k + 1] if len(x) > k + 1 else np.arange(len(x))
+                edge = d[row][near].max()
+                near = np.flatnonzero(d[row] <= edge)  # ties at the edge are settled by id
+                own = [(float(d[row][j]), ids[j], labels[j]) for j in near if ids[j] != name]
+                best[name] = sorted(best.get(name, []) + own, key=lambda r: r[:2])[:k]
+    rows = [(q, i, y, d) for q, found in best.items() for d, i, y in found]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=["query", "id", "label", "d"])
+
+
+def neighbours(train: DataFrame, queries: DataFrame, vector: str, label: str, key: str, k: int = 5, metric: str = "euclidean", block: int = 4096) -> DataFrame:
+    """``query, id, label, d, r`` of the ``k`` nearest training rows of each query (itself left out), ties to the smaller id.
+
+    Queries come in blocks, each sent by itself to all rows; a task keeps ``k``
+    rows for each query, so pairs are never written out.
+    """
+    if metric not in DISTANCES:
+        raise ValueError(f"unknown distance {metric}")
+    own = train.select(F.col(key).cast("long").alias("id"), F.col(label).cast("double").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    asked = materialize(queries.select(F.col(key).cast("long").alias("query"), F.transform(vector, lambda x: x.cast("double")).alias("q")), "queries")
+    blocks, found = max(1, -(-asked.count() // block)), None
+    for i in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).collect()
+        sent = train.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64)))
+        part = own.mapInArrow(lambda it, sent=sent: _top_k(it, *sent.value, metric, k) if len(sent.value[0]) else iter(()), "query long, id long, label double, d double")
+        found = part if found is None else found.unionByName(part)
+    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("d", "id")))
+    return ranked.filter(F.col("r") <= k)
+
+
+def nearest_neighbours(train: DataFrame, queries: DataFrame, vector: str, label: str, key: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform", task: str = "classification") -> DataFrame:
+    """``query, prediction``: the label of most of the nearest rows' weight (ties to the smaller), or their weighted mean.
+
+    With ``weights="distance"`` a row counts by one over its distance; rows at
+    distance zero then outweigh all others.
+    """
+    near = neighbours(train, queries, vector, label, key, k, metric)
+    if weights == "distance":
+        same = F.max((F.col("d") == 0).cast("int")).over(W.partitionBy("query"))
+        near = near.withColumn("w", F.when(same == 1, (F.col("d") == 0).cast("double")).otherwise(1 / F.when(F.col("d") > 0, F.col("d"))))
+    else:
+        near = near.withColumn("w", F.lit(1.0))
+    if task == "regression":
+        return near.groupBy("query").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("prediction"))
+    votes = near.groupBy("query", "label").agg(F.sum("w").alias("n"))
     return votes.groupBy("query").agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("l"))).alias("prediction"))
 
 
+def _center_sums(batches, centers: np.ndarray):
+    total, n = np.zeros_like(centers), np.zeros(len(centers))
+    for b in batches:
+        x = np.array(b.column(0).to_pylist(), dtype=np.float64)
+        if len(x):
+            at = np.argmin((centers**2).sum(1)[None] - 2 * (x @ centers.T), axis=1)
+            np.add.at(total, at, x)
+            n += np.bincount(at, minlength=len(centers))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centers))), pa.array(n), pa.array(list(total), pa.list_(pa.float64()))], names=["c", "n", "s"])
+
+
+def mini_batch_kmeans(df: DataFrame, vector: str, key: str, k: int, rounds: int = 20, share: float = 0.2, seed: int = 42) -> np.ndarray:
+    """Centres of ``k`` clusters: each round moves them towards the means of a seeded share of the rows, by less the more rows they have seen."""
+    own = materialize(df.select(F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(key).alias("id")), "vectors")
+    first = own.orderBy(F.xxhash64(F.lit(seed), "id")).limit(32 * k).collect()  # farthest-first among a few seeded rows
+    pool = np.array([r["v"] for r in first], dtype=np.float64)
+    centers = pool[:1]
+    for _ in range(k - 1):
+        centers = np.vstack([centers, pool[((pool[:, None] - centers[None]) ** 2).sum(2).min(1).argmax()]])
+    seen = np.zeros(k)
+    for i in range(rounds):
+        part = own.filter(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v")
+        rows = part.mapInArrow(lambda it, c=centers: _center_sums(it, c), "c long, n double, s array<double>").collect()
+        n, total = np.zeros(k), np.zeros_like(centers)
+        for r in rows:
+            n[r["c"]] += r["n"]
+            total[r["c"]] += np.array(r["s"])
+        seen += n
+        met = n > 0
+        centers[met] += (n[met] / seen[met])[:, None] * (total[met] / n[met][:, None] - centers[met])
+    return centers
+
+
 def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, least: int) -> DataFrame:
     """Clusters of a plane's points, noise as -1. Pairs are looked for only in neighbouring cells of a grid of side ``eps``."""
     own = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumns({"cx": F.floor(F.col("x") / eps), "cy": F.floor(F.col("y") / eps)})
@@ -240,7 +366,7 @@ def principal_components(df: DataFrame, vector: str, k: int) -> tuple[DataFrame,
 def synthetic_gaussian(df: DataFrame, columns: list[str], rows: int, seed: int = 42, correlated: bool = True) -> DataFrame:
     """Rows drawn from a normal distribution with the columns' means and (co)variances."""
     k = len(columns)
-    n, s, p = _matrix(moments(df, columns).first(), k)
+    n, s, p = moments(df, columns)[None]
     cov = (p - np.outer(s, s) / n) / max(n - 1, 1)
     if not correlated:
         cov = np.diag(np.diag(cov))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from recipeframe.functions.ranks import numbered
+from recipeframe.functions.quantiles import column_quantiles, quantiles
+from recipeframe.functions.ranks import numbered, running_sum
+from recipeframe.functions.shared import materialize, nan_to_null
 
 #: Tokens and patterns of the type rules; fixed values.
 MISSING = ("", "na", "n/a", "null", "none", "nan", "missing", "<na>")
@@ -90,12 +92,12 @@ def numeric_summary(df: DataFrame, columns: list[str], multiplier: float = 1.5)
     """Moments, quartiles, skew, zeros, negatives, and outliers beyond the fences of each numeric column."""
     long = df.select(*[F.col(f"`{c}`").cast("string").try_cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
     long = long.filter("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('infinity')")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     n = F.count("*")
     one = long.groupBy("column").agg(
         n.alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("variance"),
-        q.alias("q"), F.when(n > 2, F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.sum((F.col("value") == 0).cast("long")).alias("zero_count"), F.sum((F.col("value") < 0).cast("long")).alias("negative_count"),
+        F.when(n > 2, F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.sum((F.col("value") == 0).cast("long")).alias("zero_count"), F.sum((F.col("value") < 0).cast("long")).alias("negative_count"),
     )
+    one = one.join(quantiles(long, ["column"], "value", [0.25, 0.5, 0.75]).select("column", "q"), "column")
     one = one.select("*", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), (F.col("zero_count") / F.col("count")).alias("zero_rate")).drop("q")
     low, high = (F.when(F.col("iqr") > 0, F.col(e) + s * multiplier * F.col("iqr")).otherwise(F.col(e)) for e, s in (("q1", -1), ("q3", 1)))
     one = one.withColumns({"outlier_lower_bound": low, "outlier_upper_bound": high})
@@ -108,8 +110,9 @@ def numeric_summary(df: DataFrame, columns: list[str], multiplier: float = 1.5)
 def text_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Lengths of each text column."""
     long = df.select(*[clean_cell(F.col(f"`{c}`")).alias(c) for c in columns]).unpivot([], columns, "column", "value").filter("value IS NOT NULL")
-    size = F.length("value")
-    return long.groupBy("column").agg(F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.avg(size).alias("mean_length"), F.percentile(size, F.lit(0.5)).alias("median_length"))
+    long = long.select("column", F.length("value").alias("size"))
+    sums = long.groupBy("column").agg(F.min("size").alias("min_length"), F.max("size").alias("max_length"), F.avg("size").alias("mean_length"))
+    return sums.join(quantiles(long, ["column"], "size", [0.5]).select("column", F.col("q")[0].alias("median_length")), "column")
 
 
 def datetime_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -148,27 +151,49 @@ def quality_issues(profiles: DataFrame, numeric: DataFrame | None = None) -> Dat
 # ---------------------------------------------------------------- relationships
 
 def pair_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson and Spearman of each pair of columns over the rows where both are present (three at least)."""
+    """Pearson and Spearman of each pair of columns over the rows where both are present (three at least).
+
+    Equal pairs of values are counted first; ranks are averages by value counts,
+    summed up along ranges; and both correlations are those of the counted values.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    keys = ["left", "right"]
     both = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs])
     long = df.select(F.explode(both).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    joint = materialize(long.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")), "joint")
+
+    def ranks(v):
+        upto = running_sum(joint.groupBy(*keys, v).agg(F.sum("w").alias("_w")), [*keys, v], F.col("_w"), "_upto")
+        first = upto.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_w")).alias("_first"))
+        return upto.join(F.broadcast(first), keys).select(*keys, v, (F.col("_upto") - F.col("_first") - (F.col("_w") - 1) / 2).alias(f"r{v}"))
+
+    ranked = joint.join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
+    w = F.col("w")
+    means = joint.groupBy(*keys).agg(F.sum("w").alias("n"), (F.sum(F.col("x") * w) / F.sum("w")).alias("mx"), (F.sum(F.col("y") * w) / F.sum("w")).alias("my"))
+    rows = ranked.join(F.broadcast(means), keys)  # a row for each pair of columns
+    middle = (F.col("n") + 1) / 2
+
+    def moments(a, b, ma, mb, name):
+        x, y = F.col(a) - ma, F.col(b) - mb
+        return [F.sum(w * x * y).alias(f"{name}xy"), F.sum(w * x * x).alias(f"{name}xx"), F.sum(w * y * y).alias(f"{name}yy")]
 
-    def ranks(v):  # average ranks by value counts: the rows of a value are never sorted
-        n = long.groupBy("left", "right", v).agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(W.partitionBy("left", "right").orderBy(v)) - F.col("_n")
-        return n.select("left", "right", v, (before + (F.col("_n") + 1) / 2).alias(f"r{v}"))
+    sums = rows.groupBy(*keys, "n").agg(*moments("x", "y", F.col("mx"), F.col("my"), "p"), *moments("rx", "ry", middle, middle, "s"))
+    corr = lambda k: nan_to_null(F.try_divide(F.col(f"{k}xy"), F.sqrt(F.col(f"{k}xx")) * F.sqrt(F.col(f"{k}yy"))))
+    return sums.filter("n >= 3").select(*keys, "n", corr("p").alias("pearson"), corr("s").alias("spearman"))
 
-    ranked = long.join(ranks("x"), ["left", "right", "x"]).join(ranks("y"), ["left", "right", "y"])
-    clean = lambda c: F.when(~F.isnan(c), c)
-    out = ranked.groupBy("left", "right").agg(F.count("*").alias("n"), F.corr("x", "y").alias("p"), F.corr("rx", "ry").alias("s"))
-    return out.filter("n >= 3").select("left", "right", "n", clean(F.col("p")).alias("pearson"), clean(F.col("s")).alias("spearman"))
+
+def ranked_relationships(pairs: DataFrame, most: int = 50) -> DataFrame:
+    """The strongest pairs (``left, right, nmi, pearson``) with their place: by shared information, then by the size of the correlation, then by name."""
+    order = [F.desc_nulls_last("nmi"), F.desc_nulls_last(F.abs("pearson")), F.asc("left"), F.asc("right")]
+    top = pairs.orderBy(*order).limit(most)
+    return top.withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
 def discretise(df: DataFrame, c: str, bins: int = 10) -> Column:
     """Right-closed quantile bins, equal edges merged; the number of bins follows the rows and distinct values."""
     row = df.agg(F.count(f"`{c}`").alias("n"), F.count_distinct(f"`{c}`").alias("u")).first()
     q = min(bins, max(2, int(row["n"] ** 0.5)), max(row["u"], 1))
-    edges = df.agg(F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(i / q) for i in range(q + 1)]))).first()[0] or []
+    edges = column_quantiles(df, {c: F.col(f"`{c}`")}, [i / q for i in range(q + 1)]).get(c, [])
     inner = sorted(set(edges))[1:-1]
     v = F.col(f"`{c}`").cast("double")
     return F.when(v.isNotNull(), reduce(lambda a, e: a + (v > F.lit(e)).cast("int"), inner, F.lit(0)))
@@ -221,8 +246,7 @@ def contingency(df: DataFrame, a: str, b: str, k: int = 8) -> DataFrame:
 def group_quartiles(df: DataFrame, by: str, c: str, k: int = 8) -> DataFrame:
     keep = [r["value"] for r in top_categories(df, by, k).collect()]
     own = F.col(f"`{by}`").cast("string")
-    q = F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    found = df.filter(own.isin(*keep) & F.col(f"`{c}`").isNotNull()).groupBy(own.alias("value")).agg(F.count("*").alias("n"), q.alias("q"))
+    found = quantiles(df.filter(own.isin(*keep)).select(own.alias("value"), F.col(f"`{c}`").alias("_c")), ["value"], "_c", [0.0, 0.25, 0.5, 0.75, 1.0])
     return found.select("value", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(("min", "q1", "median", "q3", "max"))])
 
 
@@ -233,6 +257,47 @@ def suggested_roles(profiles: DataFrame) -> DataFrame:
     return profiles.select("column", "inferred_type", role.alias("role"))
 
 
+#: Roles that a column can be given; fixed values.
+ROLES = ("identifier", "discrete", "continuous", "exclude")
+
+
+def override_roles(suggested: DataFrame, overrides: dict[str, str]) -> DataFrame:
+    """``suggested_roles`` with some roles set by hand; ``overridden`` says which.
+
+    An unknown role, an unknown column, or a continuous role for a column that
+    holds no numbers is an error.
+    """
+    if wrong := sorted({r for r in overrides.values() if r not in ROLES}):
+        raise ValueError(f"unknown roles: {', '.join(wrong)}")
+    types = {r["column"]: r["inferred_type"] for r in suggested.filter(F.col("column").isin(*overrides)).select("column", "inferred_type").collect()} if overrides else {}
+    if wrong := sorted(set(overrides) - set(types)):
+        raise ValueError(f"unknown columns: {', '.join(wrong)}")
+    if wrong := sorted(c for c, r in overrides.items() if r == "continuous" and types[c] not in ("integer", "float")):
+        raise ValueError(f"not numbers: {', '.join(wrong)}")
+    own = F.lit(None).cast("string")
+    for c, role in overrides.items():
+        own = F.when(F.col("column") == c, role).otherwise(own)
+    return suggested.withColumn("overridden", F.col("column").isin(*overrides) if overrides else F.lit(False)).withColumn("role", F.coalesce(own, "role"))
+
+
+def eligible_columns(profiles: DataFrame, most: int = 25) -> DataFrame:
+    """Columns that relationships are looked for in: not constant, no identifiers, no free text; the least missing first."""
+    return profiles.filter("NOT constant AND NOT likely_identifier AND inferred_type NOT IN ('empty', 'text')").orderBy("missing_rate", "position").limit(most).select("column")
+
+
+def not_finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, bad``: cells of each column that are no finite number; a model takes a column only without any."""
+    v = lambda c: F.col(f"`{c}`").cast("string").try_cast("double")
+    bad = [F.count_if(v(c).isNull() | F.isnan(v(c)) | (F.abs(v(c)) == F.lit(float("inf")))).alias(c) for c in columns]
+    return df.agg(*bad).unpivot([], columns, "column", "bad")
+
+
+def boolean_zero_rate(df: DataFrame, c: str) -> DataFrame:
+    """Share of a boolean column's present values that say no."""
+    v = F.lower(F.trim(F.col(f"`{c}`").cast("string")))
+    return df.agg(F.avg(F.when(v.isin(*FALSE), 1.0).when(v.isin(*TRUE), 0.0)).alias("zero_rate"))
+
+
 def systematic_sample(df: DataFrame, order: str, rows: int) -> DataFrame:
     """``rows`` evenly spaced rows, the first and the last among them."""
     n = df.count()

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from recipeframe.functions.quantiles import column_quantiles
+
 ROW = "_row_id"
 TYPES = {"string", "integer", "float", "boolean", "datetime", "category"}
 TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
@@ -241,10 +243,15 @@ def ordered_fill(df: DataFrame, columns: list[str], order: str, forward: bool, b
     in, so no single task sorts the table.
     """
     df = df.withColumn("_block", F.floor(F.col(order) / block))
-    pick = F.max_by if forward else F.min_by
+    pick, names = (F.max_by if forward else F.min_by), range(len(columns))
     ends = df.groupBy("_block").agg(*[pick(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(f"_end{i}") for i, c in enumerate(columns)])
-    over = W.orderBy(F.col("_block").asc() if forward else F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select("_block", *[F.last(f"_end{i}", ignorenulls=True).over(over).alias(f"_carry{i}") for i in range(len(columns))])
+    # over ranges of ranges first: the one window without a partition sees a row for every block * block places
+    ends = ends.withColumn("_range", F.floor(F.col("_block") / block))
+    wide = ends.groupBy("_range").agg(*[pick(F.col(f"_end{i}"), F.when(F.col(f"_end{i}").isNotNull(), F.col("_block"))).alias(f"_wide{i}") for i in names])
+    before = lambda w, c: w.orderBy(F.col(c).asc() if forward else F.col(c).desc()).rowsBetween(W.unboundedPreceding, -1)
+    wide = wide.select("_range", *[F.last(f"_wide{i}", ignorenulls=True).over(before(W, "_range")).alias(f"_wide{i}") for i in names])
+    inside = before(W.partitionBy("_range"), "_block")
+    carried = ends.join(wide, "_range").select("_block", *[F.coalesce(F.last(f"_end{i}", ignorenulls=True).over(inside), F.col(f"_wide{i}")).alias(f"_carry{i}") for i in names])
     near = W.partitionBy("_block").orderBy(F.col(order).asc() if forward else F.col(order).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     df = df.join(carried, "_block", "left")
     for i, c in enumerate(columns):
@@ -252,6 +259,13 @@ def ordered_fill(df: DataFrame, columns: list[str], order: str, forward: bool, b
     return df.drop("_block", *[f"_carry{i}" for i in range(len(columns))])
 
 
+def _mode(df: DataFrame, c: str):
+    """The most frequent value, the smallest of equally frequent ones; counted, never held in one buffer."""
+    v = F.col(f"`{c}`")
+    first = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").first()
+    return None if first is None else first["v"]
+
+
 @register_op("fill_missing")
 def _fill(df, o, ctx):
     columns, method = _need(df, o.get("columns"), "fill_missing"), o.get("method", "constant")
@@ -262,10 +276,15 @@ def _fill(df, o, ctx):
         for c in columns:
             df = df.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(o.get("value"))))
         return df
-    sums = {"mean": lambda c: F.avg(number(c)), "median": lambda c: F.percentile(number(c), F.lit(0.5)), "mode": lambda c: F.mode(F.col(f"`{c}`"), True)}
-    if method not in sums:
+    if method == "median":
+        middle = column_quantiles(df, {c: number(c) for c in columns}, [0.5])
+        row = [middle[c][0] if c in middle else None for c in columns]
+    elif method == "mean":
+        row = df.agg(*[F.avg(number(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    elif method == "mode":
+        row = [_mode(df, c) for c in columns]
+    else:
         raise ValueError(f"fill_missing: unknown method {method}")
-    row = df.agg(*[sums[method](c).alias(f"v{i}") for i, c in enumerate(columns)]).first()
     for i, c in enumerate(columns):
         own = F.col(f"`{c}`") if method == "mode" else number(c)
         df = df.withColumn(c, own if row[i] is None else F.coalesce(own, F.lit(row[i])))
@@ -288,12 +307,14 @@ def _unique(df, o, ctx):
     keep = "none" if keep in (False, None, "false", "None") else keep
     if keep not in ("first", "last", "none"):
         raise ValueError("drop_duplicates: keep must be first, last or none")
-    same = W.partitionBy(*[F.col(f"`{c}`") for c in columns])
+    # combined before the shuffle, so a row that repeats without end is one row there
+    row, keys = F.struct(*[F.col(f"`{c}`") for c in df.columns]), [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)]
     if keep == "none":
-        return df.withColumn("_n", F.count("*").over(same)).filter("_n = 1").drop("_n")
-    order = F.col(_ordered(df, ctx, "drop_duplicates"))
-    ranked = df.withColumn("_n", F.row_number().over(same.orderBy(order.asc() if keep == "first" else order.desc())))
-    return ranked.filter("_n = 1").drop("_n")
+        found = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(row).alias("_row")).filter("_n = 1")
+    else:
+        order = F.col(_ordered(df, ctx, "drop_duplicates"))
+        found = df.groupBy(*keys).agg((F.min_by if keep == "first" else F.max_by)(row, order).alias("_row"))
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def condition(o: dict) -> Column:
@@ -403,19 +424,17 @@ def _encode(df, o, ctx):
 @register_op("scale")
 def _scale(df, o, ctx):
     columns, method = _need(df, o.get("columns"), "scale"), o.get("method", "standard")
-    sums = []
-    for i, c in enumerate(columns):
-        v = number(c)
-        if method == "standard":
-            sums += [F.avg(v).alias(f"c{i}"), F.stddev_pop(v).alias(f"s{i}")]
-        elif method == "minmax":
-            sums += [F.min(v).alias(f"c{i}"), (F.max(v) - F.min(v)).alias(f"s{i}")]
-        elif method == "robust":
-            q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            sums += [q[1].alias(f"c{i}"), (q[2] - q[0]).alias(f"s{i}")]
-        else:
-            raise ValueError("scale: method must be standard, minmax or robust")
-    row = df.agg(*sums).first()
+    if method == "robust":
+        found = column_quantiles(df, {c: number(c) for c in columns}, [0.25, 0.5, 0.75])
+        row = {f"{k}{i}": v for i, c in enumerate(columns) for k, v in (zip("cs", (found[c][1], found[c][2] - found[c][0]), strict=True) if c in found else (("c", None), ("s", None)))}
+    elif method in ("standard", "minmax"):
+        sums = []
+        for i, c in enumerate(columns):
+            v = number(c)
+            sums += [F.avg(v).alias(f"c{i}"), F.stddev_pop(v).alias(f"s{i}")] if method == "standard" else [F.min(v).alias(f"c{i}"), (F.max(v) - F.min(v)).alias(f"s{i}")]
+        row = df.agg(*sums).first()
+    else:
+        raise ValueError("scale: method must be standard, minmax or robust")
     for i, c in enumerate(columns):
         center, spread = row[f"c{i}"], row[f"s{i}"]
         # without spread the whole column is zero, missing values too
@@ -425,12 +444,12 @@ def _scale(df, o, ctx):
 
 def fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> dict[str, tuple[float, float]]:
     """Outlier fences of the columns whose interquartile range isn't zero."""
-    row = df.agg(*[F.percentile(number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    found = column_quantiles(df, {c: number(c) for c in columns}, [0.25, 0.75])
     out = {}
-    for i, c in enumerate(columns):
-        q = row[i]
-        if q and q[0] is not None and q[1] - q[0] > 0:
-            out[c] = (q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0]))
+    for c in columns:
+        if c in found and found[c][1] - found[c][0] > 0:
+            low, high = found[c]
+            out[c] = (low - multiplier * (high - low), high + multiplier * (high - low))
     return out
 
 

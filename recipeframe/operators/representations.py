@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from recipeframe.functions.ranks import numbered, running_sum
 from recipeframe.functions.shared import materialize
-from recipeframe.operators.models import _matrix, moments
+from recipeframe.operators.models import moments
 
 MOST_QUERIES = 10_000
 
@@ -161,7 +161,7 @@ def bootstrap(df: DataFrame, order: list[str], rows: int, seed: int = 42) -> Dat
 def student_rows(df: DataFrame, columns: list[str], rows: int, freedom: int = 5, seed: int = 42) -> DataFrame:
     """Rows of a multivariate t distribution with the columns' means and covariances (``freedom`` above two)."""
     k = len(columns)
-    n, s, p = _matrix(moments(df, columns).first(), k)
+    n, s, p = moments(df, columns)[None]
     cov = (p - np.outer(s, s) / n) / max(n - 1, 1) * (freedom - 2) / freedom
     values, vectors = np.linalg.eigh(cov)
     root = vectors * np.sqrt(np.maximum(values, 0.0))

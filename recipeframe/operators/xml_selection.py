@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from recipeframe.functions.shared import materialize
 from recipeframe.operators import xml_tables as X
 
 #: Strategies for a repeated branch and the options each needs; fixed values.
@@ -19,7 +20,6 @@ STRATEGIES = {
     "keep_nested": (), "first": (), "last": (), "count": (), "join": ("delimiter",), "aggregate": ("function",), "pivot": ("key", "value"), "explode_rows": (), "separate_table": (),
 }
 FUNCTIONS = ("sum", "mean", "min", "max")
-MOST_SHAPES = 5_000
 
 
 def _prefixes(path: str, least: int = 1) -> Column:
@@ -86,6 +86,12 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+def check_signature(seen: str, source: str, root: str, fields: dict[str, str], rules: dict | None = None) -> None:
+    """Refuse to write a table for anything but what was previewed."""
+    if seen != signature(source, root, fields, rules):
+        raise ValueError("the preview is of another source, root, selection or rule; look at it again")
+
+
 def signature(source: str, root: str, fields: dict[str, str], rules: dict | None = None) -> str:
     """A hash of all that a preview depends on; a table is written only for the signature that was looked at."""
     import hashlib
@@ -103,37 +109,48 @@ def preview(df: DataFrame, most: int = 200) -> tuple[list, bool]:
 
 def shape_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Membership (``source_file, representative``) and the similarity of representatives: sources of one shape are compared once."""
-    shapes = X.shape_fingerprint(nodes)
-    heads = shapes.groupBy("shape").agg(F.min("source_file").alias("representative"))
-    members = shapes.join(heads, "shape").select("source_file", "representative")
-    return members, X.pair_similarity(nodes.join(heads.select(F.col("representative").alias("source_file")), "source_file", "left_semi"))
+    members, shapes = X.shape_members(nodes)
+    return members, X.shape_similarity(shapes)
 
 
-def complete_link_groups(nodes: DataFrame, least: float = 0.8) -> DataFrame:
-    """``source_file, group``: in path order, a source joins the first group all of whose shapes are like its own.
+def complete_link_groups(nodes: DataFrame) -> DataFrame:
+    """``source_file, group``: in path order, a source joins the first group whose sources are all compatible with its own.
 
-    The greedy choice is made over distinct shapes, not sources; more than
-    ``MOST_SHAPES`` of them are an error.
+    Pairs that lack nothing but a shared record root may stand together. Sources
+    of one shape share a group. Groups are filled one after another; the driver
+    holds the names of shapes and one group's links at a time, never all pairs.
     """
     members, pairs = shape_pairs(nodes)
-    heads = [r[0] for r in members.select("representative").distinct().orderBy("representative").limit(MOST_SHAPES + 1).collect()]
-    if len(heads) > MOST_SHAPES:
-        raise ValueError(f"more than {MOST_SHAPES} shapes")
-    alike = {(r["left"], r["right"]) for r in pairs.filter(F.col("similarity") >= least).select("left", "right").collect()}
-    groups: list[list[str]] = []
-    for head in heads:
-        home = next((g for g in groups if all((min(m, head), max(m, head)) in alike for m in g)), None)
-        if home is None:
-            groups.append(home := [])
-        home.append(head)
-    table = nodes.sparkSession.createDataFrame([(h, i + 1) for i, g in enumerate(groups) for h in g], "representative string, group int")
-    return members.join(F.broadcast(table), "representative").select("source_file", "group")
+    alike = materialize(pairs.filter(F.col("classification").isin("exact", "compatible_variant_candidate") | (F.col("reason") == "no_shared_record_root_evidence")).select("left", "right"), "alike")
+    left = [r[0] for r in members.select("representative").distinct().orderBy("representative").toLocalIterator()]
+    found, number = [], 0
+    while left:
+        number += 1
+        lead, near = left[0], {left[0]}
+        near |= {r[0] for r in alike.filter(F.col("left") == lead).select("right").collect()}
+        candidates = [h for h in left if h in near]
+        inside = alike.filter(F.col("left").isin(candidates) & F.col("right").isin(candidates)) if len(candidates) <= 1000 else alike.join(_names(nodes, candidates, "left"), "left", "left_semi").join(_names(nodes, candidates, "right"), "right", "left_semi")
+        links: dict[str, set] = {}
+        for r in inside.toLocalIterator():
+            links.setdefault(r["right"], set()).add(r["left"])
+        group: list[str] = []
+        for head in candidates:  # each is like the lead; it joins if it is like all that have joined
+            if len(links.get(head, set()).intersection(group)) == len(group):
+                group.append(head)
+        found += [(h, number) for h in group]
+        left = [h for h in left if h not in set(group)]
+    table = nodes.sparkSession.createDataFrame(found, "representative string, group int")
+    return members.join(table, "representative").select("source_file", "group")
+
+
+def _names(nodes: DataFrame, names: list[str], column: str) -> DataFrame:
+    return nodes.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
 
 
 def review(nodes: DataFrame, selected: DataFrame) -> DataFrame:
-    """``classification, pairs, blocking`` of the shapes of the selected sources (``source_file``)."""
+    """``classification, reason, pairs, blocking`` of the shapes of the selected sources (``source_file``)."""
     _, pairs = shape_pairs(nodes.join(selected, "source_file", "left_semi"))
-    return pairs.groupBy("classification").agg(F.count("*").alias("pairs")).withColumn("blocking", F.col("classification").isin("review_required", "incompatible"))
+    return pairs.groupBy("classification", "reason").agg(F.count("*").alias("pairs")).withColumn("blocking", F.col("classification").isin("review_required", "incompatible"))
 
 
 # ---------------------------------------------------------------- recipes of collections

@@ -11,13 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ID_NAME = r"(?i)(^|[}_-])(id|key|code|uuid|guid|identifier)$"
+from recipeframe.functions.ranks import numbered
+from recipeframe.functions.shared import materialize
+
+#: Names of identifiers (any that ends in ``_id`` is one too) and the weights of record roots and similarity; fixed values.
+ID_NAMES = ("id", "identifier", "uuid", "guid", "key", "uid")
+ROOT_WEIGHTS = {"several": 0.25, "repeated": 0.35, "children": 0.15, "identifier": 0.2, "below_the_root": 0.05}
+LEAST_ROOT_SCORE = 0.4
+PATH_WEIGHT, ATTRIBUTE_WEIGHT = 0.8, 0.2
 
 
 def depth_of(path: str) -> int:
     return path.count("/") - 1
 
 
+def named_like_id(name: Column) -> Column:
+    """Whether an expanded name's local part is an identifier's."""
+    local = F.replace(F.lower(F.trim(F.regexp_replace(name, r"^\{[^}]*\}", ""))), F.lit("-"), F.lit("_"))
+    return local.isin(*ID_NAMES) | local.endswith("_id")
+
+
 # ---------------------------------------------------------------- structure
 
 def path_profile(nodes: DataFrame) -> DataFrame:
@@ -40,18 +53,45 @@ def attribute_profile(nodes: DataFrame) -> DataFrame:
     total = own.groupBy("path").agg(F.count("*").alias("elements"))
     each = own.select("path", F.explode("attributes").alias("name", "value")).groupBy("path", "name").agg(F.count("*").alias("present"), F.count_distinct("value").alias("distinct_values"))
     full = each.join(total, "path").withColumn("presence", F.col("present") / F.col("elements"))
-    return full.withColumn("likely_id", F.col("name").rlike(ID_NAME) & (F.col("present") == F.col("distinct_values")) & (F.col("presence") == 1.0))
+    return full.withColumn("likely_id", named_like_id(F.col("name")) & (F.col("presence") >= 0.8) & (F.col("distinct_values") / F.col("present") >= 0.95))
+
+
+def text_identifiers(nodes: DataFrame) -> DataFrame:
+    """``path, presence, distinct_rate, likely_id``: elements whose own text may identify them, by name, presence and distinct values."""
+    own = nodes.filter("error IS NULL").select("path", "tag", F.trim(F.coalesce("text", F.lit(""))).alias("t"))
+    by = own.groupBy("path", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("t") != "").alias("some"), F.count_distinct(F.when(F.col("t") != "", F.col("t"))).alias("u"))
+    presence, distinct = F.col("some") / F.col("n"), F.coalesce(F.try_divide("u", "some"), F.lit(0.0))
+    return by.select("path", presence.alias("presence"), distinct.alias("distinct_rate"), (named_like_id(F.col("tag")) & (presence >= 0.8) & (distinct >= 0.95)).alias("likely_id"))
+
+
+def namespace_inventory(declared: DataFrame) -> DataFrame:
+    """``uri, prefix, sources``: each namespace with its preferred prefix (the one of most sources, then the smallest), from ``source_file, prefix, uri``."""
+    by = declared.filter("uri <> ''").groupBy("uri", "prefix").agg(F.count_distinct("source_file").alias("sources"))
+    return by.groupBy("uri").agg(F.min_by("prefix", F.struct(-F.col("sources"), "prefix")).alias("prefix"), F.max("sources").alias("sources"))
+
+
+def display_paths(paths: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Add ``display`` to rows with a canonical ``path``: each step by its preferred prefix, or its local name alone."""
+    steps = paths.select("path").distinct().select("path", F.posexplode(F.slice(F.split("path", "/"), 2, 1_000)).alias("at", "step"))
+    plain = F.replace(F.replace(F.col("step"), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    steps = steps.withColumn("uri", F.regexp_extract(plain, r"^\{([^}]*)\}", 1)).withColumn("local", F.regexp_replace(plain, r"^\{[^}]*\}", ""))
+    named = steps.join(spaces.select("uri", "prefix"), "uri", "left")
+    shown = F.when(F.coalesce("prefix", F.lit("")) != "", F.concat_ws(":", "prefix", "local")).otherwise(F.col("local"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("s")))), lambda x: x["s"])
+    return paths.join(named.groupBy("path").agg(F.concat(F.lit("/"), F.array_join(ordered, "/")).alias("display")), "path")
 
 
 def record_candidates(nodes: DataFrame) -> DataFrame:
-    """Paths scored as record roots: several, repeated, with children, with an id, and not the document root."""
+    """Paths scored as record roots, from LEAST_ROOT_SCORE: they occur several times below the document root, and may repeat, have children, or have an id (an attribute, or a child's text)."""
     paths = path_profile(nodes)
     kids = paths.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("kids"))
-    ids = attribute_profile(nodes).filter("likely_id").select("path").distinct().withColumn("has_id", F.lit(True))
-    full = paths.join(kids, "path", "left").join(ids, "path", "left")
-    yes = lambda c, w: F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
-    score = yes(F.col("occurrences") > 1, 0.25) + yes(F.col("repeated"), 0.35) + yes(F.col("kids") > 0, 0.15) + yes(F.col("has_id"), 0.2) + yes(F.col("parent_path") != "", 0.05)
-    return full.select("path", "occurrences", F.round(score, 6).alias("score")).filter("score >= 0.4")
+    named = attribute_profile(nodes).filter("likely_id").select("path")
+    by_child = text_identifiers(nodes).filter("likely_id").select(F.regexp_replace("path", "/[^/]*$", "").alias("path"))
+    ids = named.unionByName(by_child).distinct().withColumn("has_id", F.lit(True))
+    full = paths.filter((F.col("parent_path") != "") & (F.col("occurrences") >= 2)).join(kids, "path", "left").join(ids, "path", "left")
+    yes = lambda c, w: F.when(F.coalesce(c, F.lit(False)), ROOT_WEIGHTS[w]).otherwise(0.0)
+    score = ROOT_WEIGHTS["several"] + ROOT_WEIGHTS["below_the_root"] + yes(F.col("repeated"), "repeated") + yes(F.col("kids") > 0, "children") + yes(F.col("has_id"), "identifier")
+    return full.select("path", "occurrences", F.round(score, 3).alias("score")).filter(F.col("score") >= LEAST_ROOT_SCORE)
 
 
 def structure_summary(nodes: DataFrame) -> DataFrame:
@@ -64,34 +104,94 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     return path_profile(nodes).select("path", F.nullif("parent_path", F.lit("")).alias("parent_path"), F.regexp_extract("path", "([^/]*)$", 1).alias("label"))
 
 
-def shape_fingerprint(nodes: DataFrame) -> DataFrame:
-    """``source_file, shape``: sources of one structure share a hash of their paths, attributes and cardinalities."""
+def source_shapes(nodes: DataFrame) -> DataFrame:
+    """``source_file, path, attributes, repeated, optional, has_text, mixed, root_candidate`` of each path of each source by itself."""
     own = nodes.filter("error IS NULL")
-    per = own.groupBy("source_file", "path", "parent_id").agg(F.count("*").alias("n"), F.flatten(F.collect_set(F.map_keys("attributes"))).alias("a"), F.max((~F.col("leaf")).cast("int")).alias("inner"))
-    by = per.groupBy("source_file", "path").agg((F.max("n") > 1).alias("repeated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("a")))).alias("attributes"), F.max("inner").alias("inner"))
-    return by.groupBy("source_file").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "attributes", "repeated", "inner")))), 256).alias("shape"))
+    keys = ["source_file", "path"]
+    filled = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    names = own.select(*keys, F.explode(F.map_keys("attributes")).alias("name")).groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("attributes"))
+    parents = own.select(*keys, F.col("parent_id"), F.regexp_replace("path", "/[^/]*$", "").alias("parent_path"), filled("text").alias("t"), (filled("text") & ~F.col("leaf")).alias("m"), F.col("leaf"))
+    per = parents.groupBy(*keys, "parent_path", "parent_id").agg(F.count("*").alias("n"), F.bool_or("t").alias("t"), F.bool_or("m").alias("m"), F.bool_or(~F.col("leaf")).alias("inner"))
+    by = per.groupBy(*keys, "parent_path").agg(F.sum("n").alias("occurrences"), F.count("parent_id").alias("parents_with"), F.max("n").alias("most"), F.bool_or("t").alias("has_text"), F.bool_or("m").alias("m"), F.bool_or("inner").alias("inner"))
+    above = by.select("source_file", F.col("path").alias("parent_path"), F.col("occurrences").alias("parents"))
+    # text between children makes their parent mixed
+    tails = own.filter(filled("tail")).select("source_file", F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().withColumn("tail", F.lit(True))
+    ids = own.select(*keys, F.explode("attributes").alias("name", "value")).groupBy(*keys, "name").agg(F.count("*").alias("present"), F.count_distinct("value").alias("u"))
+    ids = ids.filter(named_like_id(F.col("name")) & (F.col("u") / F.col("present") >= 0.95)).groupBy(*keys).agg(F.max("present").alias("id_present"))
+    texts = own.filter(filled("text") & named_like_id(F.col("tag"))).groupBy(*keys).agg(F.count("*").alias("some"), F.count_distinct(F.trim("text")).alias("u"))
+    texts = texts.join(by.select(*keys, "occurrences"), keys).filter((F.col("some") / F.col("occurrences") >= 0.8) & (F.col("u") / F.col("some") >= 0.95))
+    texts = texts.select("source_file", F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().withColumn("child_id", F.lit(True))
+    full = by.join(above, ["source_file", "parent_path"], "left").join(names, keys, "left").join(tails, keys, "left").join(ids, keys, "left").join(texts, keys, "left")
+    has_id = F.coalesce(F.col("id_present") / F.col("occurrences") >= 0.8, F.lit(False)) | F.coalesce("child_id", F.lit(False))
+    score = ROOT_WEIGHTS["several"] + ROOT_WEIGHTS["below_the_root"] + F.when(F.col("most") > 1, ROOT_WEIGHTS["repeated"]).otherwise(0) + F.when(F.col("inner"), ROOT_WEIGHTS["children"]).otherwise(0) + F.when(has_id, ROOT_WEIGHTS["identifier"]).otherwise(0)
+    candidate = (F.col("parent_path") != "") & (F.col("occurrences") >= 2) & (F.round(score, 3) >= LEAST_ROOT_SCORE)
+    return full.select(
+        *keys, "parent_path", F.coalesce("attributes", F.array().cast("array<string>")).alias("attributes"), (F.col("parents_with") > 0).__and__(F.col("most") > 1).alias("repeated"),
+        F.coalesce(F.col("parents_with") < F.col("parents"), F.lit(False)).alias("optional"), "has_text", (F.col("m") | F.coalesce("tail", F.lit(False))).alias("mixed"), candidate.alias("root_candidate"),
+    )
 
 
-def pair_similarity(nodes: DataFrame) -> DataFrame:
-    """``left, right, path_jaccard, attribute_jaccard, similarity, classification`` of all pairs that share a path."""
-    own = nodes.filter("error IS NULL")
-    paths = own.select("source_file", F.col("path").alias("x")).distinct()
-    attributes = own.select("source_file", "path", F.explode(F.map_keys("attributes")).alias("n")).select("source_file", F.concat_ws("@", "path", "n").alias("x")).distinct()
+def _fingerprints(shapes: DataFrame) -> DataFrame:
+    """``source_file, shape, root``: a hash of all that the similarity of two sources depends on, and the document root."""
+    features = F.array_sort(F.collect_list(F.struct("path", "attributes", "repeated", "optional", "has_text", "mixed", "root_candidate")))
+    return shapes.groupBy("source_file").agg(F.sha2(F.to_json(features), 256).alias("shape"), F.max(F.when(F.col("parent_path") == "", F.col("path"))).alias("root"))
 
-    def jaccard(t, name):
-        size = t.groupBy("source_file").agg(F.count("*").alias("n"))
-        both = t.alias("a").join(t.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.source_file") < F.col("b.source_file"))).groupBy(F.col("a.source_file").alias("left"), F.col("b.source_file").alias("right")).agg(F.count("*").alias("s"))
-        full = both.join(size.select(F.col("source_file").alias("left"), F.col("n").alias("l")), "left").join(size.select(F.col("source_file").alias("right"), F.col("n").alias("r")), "right")
-        return full.select("left", "right", (F.col("s") / (F.col("l") + F.col("r") - F.col("s"))).alias(name))
 
-    some = attributes.select("source_file").distinct()
-    full = jaccard(paths, "path_jaccard").join(jaccard(attributes, "attribute_jaccard"), ["left", "right"], "left")
-    full = full.join(some.select(F.col("source_file").alias("left"), F.lit(True).alias("la")), "left", "left").join(some.select(F.col("source_file").alias("right"), F.lit(True).alias("ra")), "right", "left")
-    none = F.col("la").isNull() & F.col("ra").isNull()
-    full = full.withColumn("attribute_jaccard", F.when(none, 1.0).otherwise(F.coalesce("attribute_jaccard", F.lit(0.0))))
-    similarity = 0.8 * F.col("path_jaccard") + 0.2 * F.col("attribute_jaccard")
-    kind = F.when(similarity == 1.0, "exact").when(similarity >= 0.8, "compatible_variant_candidate").when(similarity >= 0.5, "review_required").otherwise("incompatible")
-    return full.select("left", "right", "path_jaccard", "attribute_jaccard", similarity.alias("similarity"), kind.alias("classification"))
+def shape_fingerprint(nodes: DataFrame) -> DataFrame:
+    """``source_file, shape``: sources of one structure share a hash of their paths, attributes, cardinalities, texts and mixed content."""
+    return _fingerprints(source_shapes(nodes)).select("source_file", "shape")
+
+
+def shape_members(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Membership (``source_file, representative``) and the rows of ``source_shapes`` of the representatives: the first source of each shape."""
+    shapes = materialize(source_shapes(nodes), "shapes")
+    prints = materialize(_fingerprints(shapes), "fingerprints")
+    heads = prints.groupBy("shape").agg(F.min("source_file").alias("representative"))
+    return prints.join(heads, "shape").select("source_file", "representative"), shapes.join(heads.select(F.col("representative").alias("source_file")), "source_file", "left_semi")
+
+
+def all_pairs(sources: DataFrame) -> DataFrame:
+    """``left, right`` for each two of ``source_file``, in order: the matrix that is asked for, by an equi join on places."""
+    placed = materialize(numbered(sources.select("source_file").distinct(), ["source_file"], "place"), "placed")
+    earlier = placed.filter("place > 1").select(F.col("source_file").alias("right"), F.explode(F.expr("sequence(1L, place - 1)")).alias("place"))
+    return earlier.join(placed.withColumnRenamed("source_file", "left"), "place").select("left", "right")
+
+
+def shape_similarity(shapes: DataFrame) -> DataFrame:
+    """``left, right, path_jaccard, attribute_jaccard, similarity, classification, reason`` of each two sources of ``source_shapes``.
+
+    Similarity only describes. What decides, in this order: different document
+    roots are ``incompatible``; equal shapes are ``exact``; shared paths of which
+    one side has mixed content, then shared paths that repeat on one side only, or
+    no shared record root, ask for ``review_required``; all else is a
+    ``compatible_variant_candidate``, as absent paths and attributes become nulls.
+    """
+    prints = _fingerprints(shapes)
+    a, b = shapes.alias("a"), shapes.alias("b")
+    met = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.source_file") < F.col("b.source_file")))
+    differ = lambda c: F.sum((F.col(f"a.{c}") != F.col(f"b.{c}")).cast("long"))
+    shared = met.groupBy(F.col("a.source_file").alias("left"), F.col("b.source_file").alias("right")).agg(
+        F.count("*").alias("paths"), F.sum(F.size(F.array_intersect("a.attributes", "b.attributes"))).alias("names"), differ("mixed").alias("mixed"), differ("repeated").alias("cardinality"),
+        F.sum((F.col("a.root_candidate") & F.col("b.root_candidate")).cast("long")).alias("roots"),
+    )
+    sizes = shapes.groupBy("source_file").agg(F.count("*").alias("paths"), F.sum(F.size("attributes")).alias("names")).join(prints, "source_file")
+    side = lambda s: sizes.select(F.col("source_file").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("paths", "names", "shape", "root")])
+    full = all_pairs(shapes).join(side("left"), "left").join(side("right"), "right").join(shared, ["left", "right"], "left").fillna(0, ["paths", "names", "mixed", "cardinality", "roots"])
+    jaccard = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"left_{c}") + F.col(f"right_{c}") - F.col(c)), F.lit(1.0))
+    full = full.withColumn("path_jaccard", jaccard("paths")).withColumn("attribute_jaccard", jaccard("names"))
+    reason = (
+        F.when(F.col("left_root") != F.col("right_root"), "different_expanded_root_qname").when(F.col("left_shape") == F.col("right_shape"), "identical_structural_fingerprint")
+        .when(F.col("mixed") > 0, "mixed_content_shape_differs").when(F.col("cardinality") > 0, "observed_cardinality_differs")
+        .when(F.col("roots") == 0, "no_shared_record_root_evidence").otherwise("null_tolerant_shared_record_root")
+    )
+    kind = F.when(F.col("reason") == "different_expanded_root_qname", "incompatible").when(F.col("reason") == "identical_structural_fingerprint", "exact").when(F.col("reason") == "null_tolerant_shared_record_root", "compatible_variant_candidate").otherwise("review_required")
+    similarity = F.round(PATH_WEIGHT * F.col("path_jaccard") + ATTRIBUTE_WEIGHT * F.col("attribute_jaccard"), 6)
+    return full.withColumn("reason", reason).select("left", "right", "path_jaccard", "attribute_jaccard", similarity.alias("similarity"), kind.alias("classification"), "reason")
+
+
+def pair_similarity(nodes: DataFrame) -> DataFrame:
+    """``shape_similarity`` of each two sources of a collection."""
+    return shape_similarity(materialize(source_shapes(nodes), "shapes"))
 
 
 def observed_union(nodes: DataFrame) -> DataFrame:
@@ -180,19 +280,23 @@ def pivot_branch(nodes: DataFrame, root: str, branch: str, key: str, value: str,
 
 
 def null_reasons(nodes: DataFrame, root: str, fields: dict[str, str]) -> DataFrame:
-    """``source_file, record, field, status``: value, empty_element, explicit_xsi_nil, path_absent, attribute_absent or multiple."""
+    """``source_file, record, field, status``: value, empty_element, explicit_xsi_nil, path_absent, attribute_absent or multiple.
+
+    Where a field occurs several times in a record, a reason holds only if it is
+    that of all occurrences; ``multiple`` are those that disagree or have values.
+    """
     parts, below = [], _below(nodes, root)
     for name, field in fields.items():
         path, _ = field_value(field)
-        here = F.when(F.col("path") == path, F.lit(1))
+        here = F.col("path") == path
+        n = F.count_if(here)
         if field.startswith("attribute:"):
-            attribute = field.rpartition("@")[2]
-            some = F.sum(F.when((F.col("path") == path) & F.map_contains_key("attributes", F.lit(attribute)), 1))
-            status = F.when(F.count(here) == 0, "path_absent").when(some.isNull(), "attribute_absent").when(some > 1, "multiple").otherwise("value")
+            without = F.count_if(here & ~F.map_contains_key("attributes", F.lit(field.rpartition("@")[2])))
+            status = F.when(n == 0, "path_absent").when(without == n, "attribute_absent")
         else:
-            status = F.when(F.count(here) == 0, "path_absent").when(F.count(here) > 1, "multiple").when(F.bool_or(F.when(here == 1, F.col("nil"))), "explicit_xsi_nil")
-            status = status.when(F.max(F.when(here == 1, F.length(F.trim(F.coalesce("text", F.lit("")))))) == 0, "empty_element").otherwise("value")
-        parts.append(F.struct(F.lit(name).alias("field"), status.alias("status")))
+            blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
+            status = F.when(n == 0, "path_absent").when(F.count_if(here & F.col("nil")) == n, "explicit_xsi_nil").when(F.count_if(here & ~F.col("nil") & blank) == n, "empty_element")
+        parts.append(F.struct(F.lit(name).alias("field"), status.when(n > 1, "multiple").otherwise("value").alias("status")))
     found = below.groupBy("source_file", "record").agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)])
     return found.select("source_file", "record", F.explode(F.array(*[f"s{i}" for i in range(len(parts))])).alias("s")).select("source_file", "record", "s.*")
 

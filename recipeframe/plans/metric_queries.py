@@ -20,7 +20,7 @@ def _(s, d):
     return rounded(C.row_overlap(e.filter("event_id % 2 = 0").drop("event_id"), e.filter("event_id % 3 = 0").drop("event_id")))
 
 
-@query("c04_identifier_candidates", "SELECT 'c_custkey' AS \"column\", count(*) AS n FROM customer UNION ALL SELECT 'c_name', count(*) FROM customer HAVING count(*) = count(DISTINCT c_name) UNION ALL SELECT 'c_acctbal', count(*) FROM customer HAVING count(*) = count(DISTINCT c_acctbal)")
+@query("c04_identifier_candidates", "SELECT 'c_custkey' AS \"column\", count(*) AS n FROM customer HAVING count(*) = count(DISTINCT c_custkey) UNION ALL SELECT 'c_name', count(*) FROM customer HAVING count(*) = count(DISTINCT c_name) UNION ALL SELECT 'c_acctbal', count(*) FROM customer HAVING count(*) = count(DISTINCT c_acctbal)")
 def _(s, d):
     return C.identifier_candidates(table(s, d, "customer"))
 
@@ -30,12 +30,73 @@ def _(s, d):
     return rounded(C.identifier_overlap(table(s, d, "orders"), table(s, d, "customer"), "o_custkey", "c_custkey"))
 
 
-@query("c08_c09_collection", """WITH a AS (SELECT count(*) AS n FROM nation), p AS (SELECT count(*) AS n FROM nation WHERE n_nationkey < 10), q AS (SELECT count(*) AS n FROM nation WHERE n_nationkey >= 10)
-    SELECT 'all_v1' AS "left", 'nation_test' AS "right", 1.0 AS schema_jaccard, a.n AS left_rows, q.n AS right_rows, q.n AS shared, round(q.n / a.n, 6) AS left_fraction, 1.0 AS right_fraction, 'right_subset_of_left' AS label FROM a, q
-    UNION ALL SELECT 'all_v1', 'nation_train', 1.0, a.n, p.n, p.n, round(p.n / a.n, 6), 1.0, 'right_subset_of_left' FROM a, p UNION ALL SELECT 'nation_test', 'nation_train', 1.0, q.n, p.n, 0, 0.0, 0.0, 'train_test_split' FROM p, q""")
+_NATIONS = {
+    "all_v1": "true", "all_v1_copy": "true", "all_v2": "n_nationkey < 20", "nation_train": "n_nationkey < 10", "nation_test": "n_nationkey >= 10", "changed": "n_nationkey >= 0",
+}
+
+
+def _collection(s, d):
+    """The nations in parts, a changed copy, and two other tables; equal hashes stand for equal files."""
+    n = table(s, d, "nation")
+    out = {name: n.filter(rule) for name, rule in _NATIONS.items()}
+    out["changed"] = n.withColumn("n_name", F.concat("n_name", F.lit("!")))
+    out["named"] = n.select("n_nationkey", "n_name")
+    return out | {"other": table(s, d, "region")}
+
+
+_PAIRS = """WITH d AS (
+        SELECT name, n_nationkey, n_name, n_regionkey FROM nation, (VALUES ('all_v1'), ('all_v1_copy'), ('all_v2'), ('nation_train'), ('nation_test'), ('changed')) v(name)
+        WHERE CASE name WHEN 'all_v2' THEN n_nationkey < 20 WHEN 'nation_train' THEN n_nationkey < 10 WHEN 'nation_test' THEN n_nationkey >= 10 ELSE true END
+    ), full_ AS (SELECT name, n_nationkey, CASE WHEN name = 'changed' THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey FROM d),
+    k AS (SELECT name, count(*) AS n FROM full_ GROUP BY 1 UNION ALL SELECT 'named', count(*) FROM nation UNION ALL SELECT 'other', count(*) FROM region),
+    rows_ AS (SELECT name, n_nationkey, n_name, n_regionkey, false AS part FROM full_ UNION ALL SELECT name, n_nationkey, n_name, NULL, true FROM full_ UNION ALL SELECT 'named', n_nationkey, n_name, NULL, true FROM nation),
+    shared AS (SELECT x.name AS a, y.name AS b, x.part, count(*) AS s, count(DISTINCT x.n_nationkey) AS ids FROM rows_ x JOIN rows_ y ON x.name < y.name AND x.part = y.part AND x.n_nationkey = y.n_nationkey AND x.n_name = y.n_name AND x.n_regionkey IS NOT DISTINCT FROM y.n_regionkey GROUP BY 1, 2, 3),
+    keys_ AS (SELECT x.name AS a, y.name AS b, count(*) AS ids FROM rows_ x JOIN rows_ y ON x.name < y.name AND x.part AND y.part AND x.n_nationkey = y.n_nationkey GROUP BY 1, 2),
+    p AS (
+        SELECT x.name AS a, y.name AS b, x.n AS ln, y.n AS rn, CASE WHEN y.name = 'other' THEN 0.0 WHEN y.name = 'named' OR x.name = 'named' THEN 2 / 3 ELSE 1.0 END AS j, y.name NOT IN ('other', 'named') AND x.name <> 'named' AS same,
+               coalesce(s.s, 0) AS s, coalesce(i.ids, 0) AS ids
+        FROM k x JOIN k y ON x.name < y.name LEFT JOIN shared s ON s.a = x.name AND s.b = y.name AND s.part = (y.name = 'named' OR x.name = 'named') LEFT JOIN keys_ i ON i.a = x.name AND i.b = y.name
+    ), m AS (SELECT *, s / ln AS lf, s / rn AS rf, s / (ln + rn - s) AS rj, CASE WHEN b = 'other' OR least(ln, rn) < 10 THEN 0.0 ELSE greatest(ids / ln, ids / rn) END AS top_ids, a = 'nation_test' AND b = 'nation_train' AS split_ FROM p)
+    SELECT a AS "left", b AS "right", round(j, 6) AS schema_jaccard, ln AS left_rows, rn AS right_rows, s AS shared, round(lf, 6) AS left_fraction, round(rf, 6) AS right_fraction, round(rj, 6) AS row_jaccard,
+           CASE WHEN a = 'all_v1' AND b = 'all_v1_copy' THEN 'exact_duplicate' WHEN same AND ln = rn AND s = ln THEN 'content_equivalent' WHEN same AND ln <= rn AND lf = 1 AND NOT (rn <= ln AND rf = 1) THEN 'left_subset_of_right'
+                WHEN same AND rn <= ln AND rf = 1 THEN 'right_subset_of_left' WHEN same AND split_ AND rj < 0.25 THEN 'likely_train_test_split' WHEN same AND greatest(lf, rf, top_ids) >= 0.7 THEN 'likely_version_or_derivative'
+                WHEN same THEN 'same_schema_distinct_data' WHEN j >= 0.5 THEN 'related_schema' ELSE 'weak_or_unknown_relationship' END AS label
+    FROM m"""
+
+
+@query("c08_c09_collection", _PAIRS)
+def _(s, d):
+    c = C.compare_collection(_collection(s, d), hashes={"all_v1": "h", "all_v1_copy": "h", "all_v2": "g"})
+    return rounded(c.select("left", "right", "schema_jaccard", "left_rows", "right_rows", "shared", "left_fraction", "right_fraction", "row_jaccard", "label"))
+
+
+@query("c07_subset_flags", f"SELECT \"left\", \"right\", label IN ('exact_duplicate', 'content_equivalent') AS content_equivalent, label IN ('exact_duplicate', 'content_equivalent', 'left_subset_of_right') AS left_subset, label IN ('exact_duplicate', 'content_equivalent', 'right_subset_of_left') AS right_subset FROM ({_PAIRS})")
+def _(s, d):
+    return C.compare_collection(_collection(s, d), hashes={"all_v1": "h", "all_v1_copy": "h"}).select("left", "right", "content_equivalent", "left_subset", "right_subset")
+
+
+@query("a10_label_counts", f"SELECT label, count(*) AS pairs, 28 AS compared, 28 AS possible, false AS truncated FROM ({_PAIRS}) GROUP BY 1")
+def _(s, d):
+    c = _collection(s, d)
+    return C.collection_summary(C.compare_collection(c, hashes={"all_v1": "h", "all_v1_copy": "h"}), len(c))
+
+
+@query("c09_truncated", f"SELECT label, count(*) AS pairs, 5 AS compared, 28 AS possible, true AS truncated FROM (SELECT * FROM ({_PAIRS}) ORDER BY \"left\", \"right\" LIMIT 5) GROUP BY 1")
+def _(s, d):
+    c = _collection(s, d)
+    return C.collection_summary(C.compare_collection(c, 5, {"all_v1": "h", "all_v1_copy": "h"}), len(c))
+
+
+@query("c01_schema_signature", "SELECT sha256('[\"n_nationkey\",\"n_name\",\"n_regionkey\"]') AS signature, count(*) AS rows FROM nation")
 def _(s, d):
     n = table(s, d, "nation")
-    return rounded(C.compare_collection({"all_v1": n, "nation_train": n.filter("n_nationkey < 10"), "nation_test": n.filter("n_nationkey >= 10")}))
+    return n.agg(F.count("*").alias("rows")).select(C.schema_signature(n.columns).alias("signature"), "rows")
+
+
+@query("c02_canonical_text", "SELECT event_id, coalesce(printf('%.17g', CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 5 = 0 THEN floor(value) ELSE value END END), '<NA>') AS value, CAST(user_id AS VARCHAR) AS user FROM events")
+def _(s, d):
+    e = table(s, d, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.when(F.col("event_id") % 5 == 0, F.floor("value").cast("double")).otherwise(F.col("value"))))
+    return e.select("event_id", C.canonical_text(e, "value").alias("value"), C.canonical_text(e, "user_id").alias("user"))
 
 
 @query("l01_table_fingerprint", "SELECT count(*) AS rows, true AS same_bag, false AS same_as_changed FROM orders")
@@ -159,17 +220,24 @@ def _(s, d):
     return rounded(M.stability_report(_runs(s, d)))
 
 
-_CO = f"SELECT a.row AS a, b.row AS b, count(*) AS eligible, avg(CAST(a.label = b.label AS INT)) AS consensus FROM {_RUNS} a JOIN {_RUNS} b ON a.run = b.run AND a.row < b.row WHERE a.label <> -1 AND b.label <> -1 AND a.row % 97 = 1 AND b.row % 97 = 1 GROUP BY 1, 2"
+_CLASSES = f"""WITH v AS (SELECT row, {', '.join(f'max(CASE WHEN run = {r} THEN label END) AS l{r}' for r in range(3))} FROM {_RUNS} GROUP BY 1), c AS (SELECT min(row) AS class, count(*) AS n, l0, l1, l2 FROM v GROUP BY l0, l1, l2),
+    p AS (SELECT x.class AS a, y.class AS b, CASE WHEN x.class = y.class THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs, {' + '.join(f'CAST(x.l{r} <> -1 AND y.l{r} <> -1 AS INT)' for r in range(3))} AS eligible, {' + '.join(f'CAST(x.l{r} <> -1 AND x.l{r} = y.l{r} AS INT)' for r in range(3))} AS same FROM c x JOIN c y ON x.class <= y.class),
+    q AS (SELECT a, b, CAST(pairs AS BIGINT) AS pairs, CAST(eligible AS BIGINT) AS eligible, same / eligible AS consensus FROM p WHERE eligible > 0 AND pairs > 0)"""
+
+
+@query("m42_coassignment", f"{_CLASSES} SELECT a, b, pairs, eligible, round(consensus, 6) AS consensus FROM q")
+def _(s, d):
+    return rounded(M.coassignment(_runs(s, d))[1])
 
 
-@query("m42_coassignment", f"SELECT a, b, eligible, round(consensus, 6) AS consensus FROM ({_CO})")
+@query("m42_class_members", f"{_CLASSES} SELECT row, class FROM v JOIN c ON v.l0 = c.l0 AND v.l1 = c.l1 AND v.l2 = c.l2")
 def _(s, d):
-    return rounded(M.coassignment(_runs(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("row")).filter("row % 97 = 1")))
+    return M.coassignment(_runs(s, d))[0]
 
 
-@query("m43_consensus_consistency", f"SELECT round(avg(greatest(consensus, 1 - consensus)), 6) AS consistency FROM ({_CO})")
+@query("m43_consensus_consistency", f"{_CLASSES} SELECT round(sum(greatest(consensus, 1 - consensus) * pairs) / sum(pairs), 6) AS consistency FROM q")
 def _(s, d):
-    return rounded(M.consensus_consistency(M.coassignment(_runs(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("row")).filter("row % 97 = 1"))))
+    return rounded(M.consensus_consistency(M.coassignment(_runs(s, d))[1]))
 
 
 @query("m01_stratified_split", "SELECT toxic, count(*) AS n, CAST(round(count(*) * 0.25) AS BIGINT) AS n_test FROM labels GROUP BY 1")

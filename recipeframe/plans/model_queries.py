@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from recipeframe.functions.ranks import numbered
+from recipeframe.functions.shared import materialize
+from recipeframe.operators import byte_views as B
+from recipeframe.operators import graphs as G
 from recipeframe.operators import metrics as E
+from recipeframe.operators import model_selection as Y
 from recipeframe.operators import models as M
+from recipeframe.operators import runs as N
 from recipeframe.plans.recipe_queries import rounded
 from recipeframe.plans.registry import query, table
 
@@ -30,10 +33,30 @@ def _(s, d):
     return s.createDataFrame([(k, round(x, 3)) for k, x in w.items()], "feature string, weight double")
 
 
+def _coordinates(s, d):
+    """``vec_id, label`` and a column for each dimension of the embeddings, and the columns' names."""
+    e = table(s, d, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    names = [f"x{i}" for i in range(size)]
+    return e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
+
+
 @query("m15_linear_discriminant")
 def _(s, d):
-    e = table(s, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].alias(f"x{i}") for i in range(4)])
-    return e.select("vec_id", M.discriminant(e, [f"x{i}" for i in range(4)], "label").alias("prediction"))
+    e, names = _coordinates(s, d)
+    return e.select("vec_id", M.discriminant(e, names, "label").alias("prediction"))
+
+
+@query("m15_quadratic_discriminant")
+def _(s, d):
+    e, names = _coordinates(s, d)
+    return e.select("vec_id", M.discriminant(e, names[:12], "label", quadratic=True).alias("prediction"))
+
+
+@query("m18_ridge_classifier")
+def _(s, d):
+    e, names = _coordinates(s, d)
+    return e.select("vec_id", M.ridge_classifier(e, names, "label").alias("prediction"))
 
 
 @query("m25_quantile_regression")
@@ -43,8 +66,51 @@ def _(s, d):
 
 
 def _vectors(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].alias(f"x{i}") for i in range(8)])
-    return E.stratified_folds(M.assemble(e, [f"x{i}" for i in range(8)], "label"), "label", "vec_id", 3)
+    e, names = _coordinates(s, d)
+    return E.stratified_folds(M.assemble(e, names, "label"), "label", "vec_id", 3)
+
+
+def _classes(s, d):
+    e, names = _coordinates(s, d)
+    return M.assemble(e, names, "label").select("vec_id", "label", "features")
+
+
+@query("m02_plain_split", "SELECT count(*) AS rows, CAST(greatest(least(round(count(*) * 0.25), count(*) - 1), 1) AS BIGINT) AS test_rows FROM orders")
+def _(s, d):
+    split = E.plain_split(table(s, d, "orders").select("o_orderkey"), "o_orderkey")
+    return split.agg(F.count("*").alias("rows"), F.count_if("is_test").alias("test_rows"))
+
+
+@query("m06_selection")
+def _(s, d):
+    return Y.select_model(_classes(s, d), M.CLASSIFIERS["dt"], "vec_id").metrics
+
+
+@query("m07_suite")
+def _(s, d):
+    specs = {k: M.CLASSIFIERS[k] for k in ("dt", "rf", "gnb", "mnb", "compnb", "bnb", "lsvc", "hgbc")}
+    df = _classes(s, d)
+    specs["mlp"] = M.perceptron(len(df.select("features").first()[0]), df.select("label").distinct().count(), ((8,),))
+    return Y.run_suite(df, specs, "vec_id", folds=2)[0]
+
+
+@query("m07_regression_suite")
+def _(s, d):
+    o = table(s, d, "lineitem").withColumn("row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
+    df = M.assemble(o, [*_LINES, "l_tax"], "l_extendedprice").select("row", "features", F.col("l_extendedprice").alias("label"))
+    return Y.run_suite(df, {k: M.REGRESSORS[k] for k in ("linear", "ridge", "lasso", "elasticnet", "huber", "decision_tree", "random_forest", "boosting")}, "row", "regression", folds=2)[0]
+
+
+@query("m08_multi_output")
+def _(s, d):
+    o = table(s, d, "lineitem").withColumn("row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
+    df = M.assemble(o, _LINES).select("row", "features", "l_extendedprice", "l_tax")
+    return Y.multi_output(df, M.REGRESSORS["linear"], "row", ["l_extendedprice", "l_tax"], folds=2)[0]
+
+
+@query("m09_predictions")
+def _(s, d):
+    return Y.select_model(_classes(s, d), M.CLASSIFIERS["gnb"], "vec_id", folds=2).predictions
 
 
 @query("m06_m11_grid_search_tree")
@@ -71,6 +137,43 @@ def _(s, d):
     return M.nearest_neighbours(e, e.filter("vec_id % 50 = 0"), "embedding", "label", "vec_id")
 
 
+_DISTANCE_SQL = {
+    "manhattan": "sum(abs(a - b))", "chebyshev": "max(abs(a - b))", "canberra": "sum(CASE WHEN abs(a) + abs(b) > 0 THEN abs(a - b) / (abs(a) + abs(b)) ELSE 0 END)",
+}
+
+
+def _distance_query(metric, sql):
+    rows = "(SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)"
+    near = f"SELECT q.vec_id AS query, v.vec_id AS id, v.label, {sql} AS d FROM (SELECT vec_id, i, x AS a FROM {rows} WHERE vec_id % 50 = 0) q JOIN (SELECT vec_id, label, i, x AS b FROM {rows}) v ON q.i = v.i AND q.vec_id <> v.vec_id GROUP BY 1, 2, 3"
+
+    @query(f"m20_{metric}", f"SELECT query, id, CAST(r AS INT) AS r, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS r FROM ({near})) WHERE r <= 5")
+    def build(s, d):
+        e = table(s, d, "embeddings")
+        return rounded(M.neighbours(e, e.filter("vec_id % 50 = 0"), "embedding", "label", "vec_id", 5, metric).select("query", "id", "r", "d"))
+
+
+for _metric, _sql in _DISTANCE_SQL.items():
+    _distance_query(_metric, _sql)
+
+
+@query("m20_weighted_regression")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    return M.nearest_neighbours(e, e.filter("vec_id % 50 = 0"), "embedding", "label", "vec_id", weights="distance", task="regression")
+
+
+@query("m27_mini_batch_kmeans")
+def _(s, d):
+    centers = M.mini_batch_kmeans(table(s, d, "embeddings"), "embedding", "vec_id", 4)
+    return s.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster int, centre array<double>")
+
+
+@query("m28_gaussian_mixture")
+def _(s, d):
+    model = M.pipeline(M.CLUSTERERS["gmm"], {"k": 2, "seed": 42, "maxIter": 20}).fit(_classes(s, d))
+    return model.transform(_classes(s, d)).select("vec_id", "prediction")
+
+
 @query("m30_dbscan")
 def _(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
@@ -90,55 +193,77 @@ def _(s, d):
 
 # ---- run tables
 
-_TRIALS = "(SELECT event_id, CASE WHEN event_id % 6 > 0 THEN value END AS objective FROM events WHERE user_id % 3 = 0)"
+_TRIALS = "(SELECT event_id, CASE WHEN event_id % 6 > 0 THEN value END AS objective FROM events)"
 
 
 @query("o03_best_so_far", f"SELECT event_id, objective, min(objective) OVER (ORDER BY event_id) AS best FROM {_TRIALS} WHERE objective IS NOT NULL")
 def _(s, d):
-    e = table(s, d, "events").filter("user_id % 3 = 0 AND event_id % 6 > 0").select("event_id", F.col("value").alias("objective"))
-    block = F.floor(F.col("event_id") / 4096)  # least of each block first, then carried along the short list of blocks
-    own = e.withColumn("b", block)
-    ends = own.groupBy("b").agg(F.min("objective").alias("m"))
-    carried = ends.select("b", F.min("m").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)).alias("c"))
-    return own.join(carried, "b").select("event_id", "objective", F.least(F.min("objective").over(W.partitionBy("b").orderBy("event_id")), "c").alias("best"))
+    e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 6 > 0, F.col("value")).alias("objective"))
+    return N.best_so_far(e, "event_id", "objective")
+
+
+_RESULT = "CASE event_id % 5 WHEN 0 THEN '{\"loss\":\"none\"}' WHEN 1 THEN '{\"loss\":NaN,\"acc\":' || (event_id % 10) || '}' ELSE '{\"loss\":' || (event_id % 100) || ',\"acc\":' || (event_id % 10) || '}' END"
+
+
+def _results(s, d):
+    return table(s, d, "events").select("event_id", "user_id", F.expr(_RESULT.replace('\\"', '"')).alias("result"))
+
+
+@query("o01_run_metrics", "SELECT event_id, 'loss' AS metric, CAST(event_id % 100 AS DOUBLE) AS value FROM events WHERE event_id % 5 > 1 UNION ALL SELECT event_id, 'acc', event_id % 10 FROM events WHERE event_id % 5 > 1")
+def _(s, d):
+    r = _results(s, d).filter("event_id % 5 <> 1")
+    return N.extract_metrics(r, "event_id", "result", {"loss": "$.loss", "acc": "$.acc"})
 
 
-@query("o01_o02_run_metrics", "SELECT user_id, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)) FILTER (WHERE event_type = 'view'), 6) AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query("o02_run_comparison", "SELECT event_id, CASE WHEN event_id % 7 > 0 THEN user_id END AS cohort, event_id % 7 > 0 AND count(*) OVER (PARTITION BY CASE WHEN event_id % 7 > 0 THEN user_id END) > 1 AS comparable, CASE WHEN event_id % 5 > 1 THEN CAST(event_id % 100 AS DOUBLE) END AS loss, CASE WHEN event_id % 5 > 1 THEN CAST(event_id % 10 AS DOUBLE) END AS acc FROM events WHERE event_id % 5 <> 1")
 def _(s, d):
-    e = table(s, d, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").try_cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-    return rounded(e.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("v")).filter("click IS NOT NULL OR view IS NOT NULL"))
+    r = _results(s, d).filter("event_id % 5 <> 1").withColumn("cohort", F.when(F.col("event_id") % 7 > 0, F.col("user_id")))
+    return N.compare_runs(r, "event_id", ["cohort"], N.extract_metrics(r, "event_id", "result", {"loss": "$.loss", "acc": "$.acc"}), ["loss", "acc"])
 
 
 @query("o08_weighted_fitness", "SELECT l_orderkey, round(sum(CASE WHEN l_returnflag = 'R' THEN -2 * l_quantity ELSE l_quantity END), 6) AS fitness FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1")
 def _(s, d):
-    terms = s.createDataFrame([("R", -1.0, 2.0), ("A", 1.0, 1.0)], "l_returnflag string, sign double, weight double")
-    return rounded(table(s, d, "lineitem").join(terms, "l_returnflag").groupBy("l_orderkey").agg(F.sum(F.col("sign") * F.col("weight") * F.col("l_quantity")).alias("fitness")))
+    return rounded(N.weighted_fitness(table(s, d, "lineitem"), "l_orderkey", "l_returnflag", F.col("l_quantity"), {"R": (2.0, False), "A": (1.0, True)}))
 
 
 # ---- graphs: parts bought together are linked
 
-_EDGE = "(SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey)"
+_EDGE = "(SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)"
+_SEED = "(SELECT min(l_partkey) AS node FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem) UNION SELECT max(l_partkey) FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem))"
 
 
 def _edges(s, d):
-    x = table(s, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    x = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = x.alias("a"), x.alias("b")
-    return a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") != F.col("b.l_suppkey"))).select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst")).distinct()
+    return materialize(a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") != F.col("b.l_partkey"))).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct(), "edges")
 
 
-@query("k01_is_clique", f"SELECT count(*) = 3 * 2 AS is_clique FROM {_EDGE} WHERE src <= 3 AND dst <= 3")
+def _first_order(s, d):
+    """The parts of the first order: the least and the largest."""
+    lines = table(s, d, "lineitem")
+    least = lines.agg(F.min("l_orderkey")).first()[0]
+    return sorted({*lines.filter(F.col("l_orderkey") == least).agg(F.min("l_partkey"), F.max("l_partkey")).first()})
+
+
+@query("k01_is_clique", f"SELECT (SELECT count(*) FROM {_EDGE} WHERE src IN (SELECT node FROM {_SEED}) AND dst IN (SELECT node FROM {_SEED})) = (SELECT count(*) * (count(*) - 1) FROM {_SEED}) AS is_clique, (SELECT count(*) FROM {_EDGE} WHERE src IN (0, 1, 2) AND dst IN (0, 1, 2)) = 6 AS first_parts")
 def _(s, d):
-    return _edges(s, d).filter("src <= 3 AND dst <= 3").agg((F.count("*") == 3 * 2).alias("is_clique"))
+    e = _edges(s, d)
+    one = G.is_clique(e, _first_order(s, d)).withColumn("k", F.lit(1))
+    return one.join(G.is_clique(e, [0, 1, 2]).select(F.col("is_clique").alias("first_parts"), F.lit(1).alias("k")), "k").drop("k")
 
 
-@query("k02_valid_additions", f"SELECT dst AS node FROM {_EDGE} WHERE src IN (1, 2) AND dst NOT IN (1, 2) GROUP BY 1 HAVING count(*) = 2")
+@query("k02_valid_additions", f"SELECT dst AS node FROM {_EDGE} WHERE src IN (SELECT node FROM {_SEED}) AND dst NOT IN (SELECT node FROM {_SEED}) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM {_SEED})")
 def _(s, d):
-    return _edges(s, d).filter("src IN (1, 2) AND dst NOT IN (1, 2)").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).filter("n = 2").select("node")
+    return G.valid_additions(_edges(s, d), _first_order(s, d))
 
 
-@query("k03_greedy_order", f"SELECT src AS node, count(*) AS degree, CAST(row_number() OVER (ORDER BY count(*) DESC, src) AS INT) AS place FROM {_EDGE} GROUP BY 1")
+@query("k03_greedy_clique", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGE}), g AS MATERIALIZED (SELECT src AS node, count(*) AS degree, list(dst) AS near FROM e GROUP BY 1),
+    c AS (
+        SELECT 1 AS place, node, [node] AS members, near AS left_ FROM (SELECT * FROM g ORDER BY degree DESC, node LIMIT 1)
+        UNION ALL SELECT place + 1, x.node, list_append(members, x.node), list_intersect(left_, x.near) FROM (SELECT c.place, c.members, c.left_, arg_min(g.node, g.degree * -1000000 + g.node) AS pick FROM c JOIN g ON list_contains(c.left_, g.node) GROUP BY 1, 2, 3) t JOIN g x ON x.node = t.pick
+    ) SELECT CAST(place AS INT) AS place, node FROM c""")
 def _(s, d):
-    return _edges(s, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).transform(lambda e: numbered(e, [F.desc("degree"), "node"], "place")).withColumn("place", F.col("place").cast("int"))
+    return G.greedy_clique(_edges(s, d))
 
 
 # ---- bytes
@@ -149,12 +274,19 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
 
 
-@query("b01_rgb_cells", "SELECT page_id, CAST(i AS INT) AS cell, CAST(unicode(substring(u, 3 * i + 1, 1)) AS INT) AS r, CAST(unicode(substring(u, 3 * i + 2, 1)) AS INT) AS g, CAST(unicode(substring(u, 3 * i + 3, 1)) AS INT) AS b FROM (SELECT page_id, left(url, 12) AS u FROM pages), range(4) t(i)")
+_BYTE = "CAST('0x' || substring(rpad(hex(encode(html)), {size}, '0'), {at} + 1, 2) AS INT)"
+
+
+@query("b01_rgb_cells", "SELECT page_id, CAST(i AS INT) AS cell, " + ", ".join(_BYTE.format(size=384, at=f"2 * (3 * i + {k})") + f" AS {c}" for k, c in enumerate("rgb")) + " FROM pages, range(64) t(i)")
+def _(s, d):
+    p = table(s, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return B.rgb_cells(p, "page_id", "content", 64)
+
+
+@query("b02_patch_tokens", "SELECT page_id, CAST(i AS INT) AS patch, [" + ", ".join("round(" + _BYTE.format(size=512, at=f"2 * (16 * i + {k})") + " / 255, 6)" for k in range(16)) + "] AS token FROM pages, range(16) t(i)")
 def _(s, d):
-    p = table(s, d, "pages").select("page_id", F.rpad(F.hex(F.substring("url", 1, 12).cast("binary")), 24, "0").alias("h"))
-    cell = p.select("page_id", "h", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cell"))
-    byte = lambda k: F.conv(F.substring("h", F.col("cell") * 6 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
-    return cell.select("page_id", "cell", byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
+    p = table(s, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return B.patch_tokens(p, "page_id", "content", 16, 16).withColumn("token", F.transform("token", lambda v: F.round(v, 6)))
 
 
 @query("s13_s14_table_page", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) LIKE '%build%' ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 25")

@@ -11,10 +11,10 @@ from recipeframe.plans.recipe_queries import EVENTS, _events, rounded
 from recipeframe.plans.registry import query, table
 from recipeframe.operators.recipe import ROW
 
-_NAME = "CASE o_orderkey % 4 WHEN 0 THEN '/data/' || o_orderkey || '_train.csv' WHEN 1 THEN '/train/' || o_orderkey || '.test.csv' WHEN 2 THEN 'Holdout-' || o_orderkey || '.parquet' ELSE 'latest.csv' END"
+_NAME = "CASE o_orderkey % 6 WHEN 0 THEN '/data/' || o_orderkey || '_train.csv' WHEN 1 THEN '/train/' || o_orderkey || '-Test.csv' WHEN 2 THEN 'validation_' || o_orderkey || '.parquet' WHEN 3 THEN '/train/' || o_orderkey || '.test.csv' WHEN 4 THEN 'a/Training' ELSE 'latest.csv' END"
 
 
-@query("c06_filename_roles", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'test' END AS role FROM orders")
+@query("c06_filename_roles", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'test' WHEN 4 THEN 'train' END AS role FROM orders")
 def _(s, d):
     return table(s, d, "orders").select("o_orderkey", C.filename_role(F.expr(_NAME)).alias("role"))
 
@@ -40,8 +40,7 @@ def _(s, d):
 
 @query("q09_eligible_columns", "SELECT * FROM (VALUES ('user_id'), ('value'), ('event_type')) t(\"column\")")
 def _(s, d):
-    p = P.column_profiles(_events(s, d).drop(ROW))
-    return p.filter("NOT constant AND NOT likely_identifier AND inferred_type NOT IN ('empty', 'text')").orderBy("missing_rate", "position").limit(25).select("column")
+    return P.eligible_columns(P.column_profiles(_events(s, d).drop(ROW)))
 
 
 @query("q24_scatter_ranges", f"SELECT min(user_id) AS x_low, max(user_id) AS x_high, round(min(value), 6) AS y_low, round(max(value), 6) AS y_high, least(count(*), 240) AS points FROM {EVENTS} WHERE value IS NOT NULL")
@@ -55,15 +54,7 @@ def _(s, d):
 @query("q27_boolean_zero_rate", "SELECT round(avg(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS zero_rate FROM events")
 def _(s, d):
     flag = F.when(F.col("event_id") % 3 == 0, " No ").otherwise("TRUE")
-    return rounded(table(s, d, "events").agg(F.avg(F.lower(F.trim(flag)).isin(*P.FALSE).cast("int")).alias("zero_rate")))
-
-
-@query("b02_patch_tokens", "SELECT page_id, CAST(i AS INT) AS patch, [round(unicode(substring(u, 4 * i + 1, 1)) / 255, 6), round(unicode(substring(u, 4 * i + 2, 1)) / 255, 6), round(unicode(substring(u, 4 * i + 3, 1)) / 255, 6), round(unicode(substring(u, 4 * i + 4, 1)) / 255, 6)] AS token FROM (SELECT page_id, left(url, 12) AS u FROM pages), range(3) t(i)")
-def _(s, d):
-    p = table(s, d, "pages").select("page_id", F.rpad(F.hex(F.substring("url", 1, 12).cast("binary")), 24, "0").alias("h"))
-    patch = p.select("page_id", "h", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("patch"))
-    byte = lambda k: F.round(F.conv(F.substring("h", F.col("patch") * 8 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int") / 255, 6)
-    return patch.select("page_id", "patch", F.array(*[byte(k) for k in range(4)]).alias("token"))
+    return rounded(P.boolean_zero_rate(table(s, d, "events").select(flag.alias("flag")), "flag"))
 
 
 @query("p29_impute_scale", f"SELECT event_id, round((coalesce(value, m) - m) / sd, 6) AS value FROM {EVENTS}, (SELECT avg(value) AS m, (SELECT stddev_pop(coalesce(value, (SELECT avg(value) FROM {EVENTS}))) FROM {EVENTS}) AS sd FROM {EVENTS})")
@@ -76,10 +67,7 @@ def _(s, d):
 
 @query("p30_numeric_handoff", f"SELECT 'event_type' AS \"column\", count(*) AS bad FROM {EVENTS} UNION ALL SELECT 'user_id', 0 UNION ALL SELECT 'value', count(*) - count(value) FROM {EVENTS}")
 def _(s, d):
-    columns = ["event_type", "user_id", "value"]
-    number = lambda c: F.col(c).cast("string").try_cast("double")
-    sums = [F.sum((number(c).isNull() | F.isnan(number(c))).cast("long")).alias(c) for c in columns]
-    return _events(s, d).agg(*sums).unpivot([], columns, "column", "bad")
+    return P.not_finite(_events(s, d), ["event_type", "user_id", "value"])
 
 
 @query("g02_independent_gaussian")
@@ -91,3 +79,16 @@ def _(s, d):
 def _(s, d):
     pins = table(s, d, "orders").select(F.col("o_orderkey").alias("name"), F.sha2("o_orderstatus", 256).alias("sha"))
     return C.verify_hashes(pins, pins.filter("name % 5 <> 0")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("q18_ranked_relationships", f"""WITH p AS (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS c FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', corr(l_quantity, l_discount) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) FROM lineitem)
+    SELECT a AS "left", b AS "right", round(c, 6) AS pearson, CAST(row_number() OVER (ORDER BY abs(c) DESC, a, b) AS INT) AS place FROM p QUALIFY place <= 2""")
+def _(s, d):
+    pairs = P.pair_correlations(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("nmi", F.lit(0.5))
+    return rounded(P.ranked_relationships(pairs, 2).select("left", "right", "pearson", "place"))
+
+
+@query("q21_role_overrides", "SELECT * FROM (VALUES ('event_id', 'identifier', false), ('user_id', 'discrete', true), ('event_type', 'exclude', true), ('value', 'continuous', false)) t(\"column\", role, overridden)")
+def _(s, d):
+    e = table(s, d, "events").select("event_id", "user_id", "event_type", "value")
+    return P.override_roles(P.suggested_roles(P.column_profiles(e)), {"user_id": "discrete", "event_type": "exclude"}).select("column", "role", "overridden")

@@ -9,13 +9,13 @@ from recipeframe.operators import stores as S
 from recipeframe.operators import xml_selection as Z
 from recipeframe.operators import xml_tables as X
 from recipeframe.plans.registry import query, table
-from recipeframe.plans.xml_queries import FLAG, ITEM, KEY, NUM, PRICE, QTY, ROOT, STATUS, _documents, _nodes, _REASONS, _STATUS
+from recipeframe.plans.xml_queries import _REASON, _REASONS, _STATUS, BLOCK_SQL, FLAG, ITEM, KEY, NUM, PRICE, QTY, ROOT, STATUS, VARIED, _documents, _nodes, _varied_nodes
 from recipeframe.sources.xml import shred_documents
 
 NIL = f"attribute:{ROOT}/status@{{http://www.w3.org/2001/XMLSchema-instance}}nil"
 _NONE = "(SELECT min(n) = 0 FROM (SELECT count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey))"
-_BLOCKS = "(SELECT o_orderkey % 16 AS b, count(*) AS n FROM orders GROUP BY 1)"
-_LINES = "(SELECT b, sum(m) AS n, max(m) AS most FROM (SELECT o_orderkey % 16 AS b, o_orderkey, count(*) AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1)"
+_BLOCKS = f"(SELECT {BLOCK_SQL} AS b, count(*) AS n FROM orders GROUP BY 1)"
+_LINES = f"(SELECT b, sum(m) AS n, max(m) AS most FROM (SELECT {BLOCK_SQL} AS b, o_orderkey, count(*) AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1)"
 
 
 @query("x10_selectable_fields", f"SELECT * FROM (VALUES ('{KEY}', '{ROOT}', 'attribute', false, false), ('{STATUS}', '{ROOT}/status', 'text', false, false), ('{NIL}', '{ROOT}/status', 'attribute', false, true), ('{PRICE}', '{ROOT}/price', 'text', false, true)) t(field, path, kind, repeated, optional) UNION ALL SELECT f, p, k, true, {_NONE} FROM (VALUES ('{QTY}', '{ITEM}/qty', 'text'), ('{FLAG}', '{ITEM}/flag', 'text'), ('{NUM}', '{ITEM}', 'attribute')) t(f, p, k)")
@@ -40,18 +40,18 @@ def _(s, d):
     return Z.collection_inventory(shred_documents(_documents(s, d).withColumn("content", broken))).select("source_file", "status")
 
 
-@query("x30_complete_link_groups", f"SELECT 'orders-' || b AS source_file, CASE WHEN b % 4 = 0 THEN 1 ELSE 2 END AS \"group\" FROM {_BLOCKS}")
+@query("x30_complete_link_groups", f"SELECT source_file, CAST(dense_rank() OVER (ORDER BY first) AS INT) AS \"group\" FROM (SELECT source_file, min(source_file) OVER (PARTITION BY CASE kind WHEN 'priced' THEN 'plain' ELSE kind END) AS first FROM {VARIED})")
 def _(s, d):
-    return Z.complete_link_groups(_nodes(s, d), 0.9)
+    return Z.complete_link_groups(_varied_nodes(s, d))
 
 
-@query("x32_review", "SELECT 'compatible_variant_candidate' AS classification, 1 AS pairs, false AS blocking")
+@query("x32_review", f"SELECT CASE reason WHEN 'different_expanded_root_qname' THEN 'incompatible' WHEN 'mixed_content_shape_differs' THEN 'review_required' ELSE 'compatible_variant_candidate' END AS classification, reason, count(*) AS pairs, reason <> 'null_tolerant_shared_record_root' AS blocking FROM (SELECT {_REASON} AS reason FROM (SELECT DISTINCT kind FROM {VARIED}) x JOIN (SELECT DISTINCT kind FROM {VARIED}) y ON x.kind < y.kind) GROUP BY 2, 1, 4")
 def _(s, d):
-    n = _nodes(s, d)
+    n = _varied_nodes(s, d)
     return Z.review(n, n.select("source_file").distinct())
 
 
-@query("x33_shared_roots", f"SELECT '{ROOT}' AS path, count(*) AS sources, min(n) AS min_records, 1.0 AS score FROM {_BLOCKS} UNION ALL SELECT '{ITEM}', count(*), CAST(min(n) AS BIGINT), 0.8 FROM {_LINES} UNION ALL SELECT '/orders', count(*), 1, 0.4 FROM {_BLOCKS}")
+@query("x33_shared_roots", f"SELECT '{ROOT}' AS path, count(*) AS sources, min(n) AS min_records, 1.0 AS score FROM {_BLOCKS} UNION ALL SELECT '{ITEM}', count(*), CAST(min(n) AS BIGINT), 0.8 FROM {_LINES}")
 def _(s, d):
     return Z.shared_roots(_nodes(s, d))
 
@@ -83,7 +83,7 @@ def _(s, d):
 
 
 _COMMENT = "CASE WHEN o_orderkey % 4 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN '{\"price\":\"path_absent\",\"status\":\"explicit_xsi_nil\"}' WHEN 1 THEN '{\"price\":\"path_absent\",\"status\":\"empty_element\"}' ELSE '{\"price\":\"path_absent\"}' END WHEN o_orderkey % 3 = 0 THEN '{\"status\":\"explicit_xsi_nil\"}' WHEN o_orderkey % 3 = 1 THEN '{\"status\":\"empty_element\"}' END"
-_MAIN = f"SELECT 'orders-' || o_orderkey % 16 AS __source_file, CAST(row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY o_orderkey) AS BIGINT) AS __source_row, CAST(o_orderkey AS VARCHAR) AS key, {_STATUS} AS status, CASE WHEN o_orderkey % 4 <> 0 THEN printf('%.2f', o_totalprice) END AS price, {_COMMENT} AS Comments FROM orders"
+_MAIN = f"SELECT 'orders-' || {BLOCK_SQL} AS __source_file, CAST(row_number() OVER (PARTITION BY {BLOCK_SQL} ORDER BY o_orderkey) AS BIGINT) AS __source_row, CAST(o_orderkey AS VARCHAR) AS key, {_STATUS} AS status, CASE WHEN o_orderkey % 4 <> 0 THEN printf('%.2f', o_totalprice) END AS price, {_COMMENT} AS Comments FROM orders"
 
 
 def _main(s, d):
@@ -108,7 +108,7 @@ def _(s, d):
 _N = "(SELECT o_orderkey AS k, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"
 
 
-@query("x44_typed_records", f"SELECT k % 16 AS b, CAST(sum(2 * n + CAST(k % 3 = 2 AS INT) + CAST(k % 4 <> 0 AS INT)) AS BIGINT) AS content, CAST(sum(3 * n + 2 + CAST(k % 4 <> 0 AS INT)) AS BIGINT) AS paths, CAST(sum(n + 1 + CAST(k % 4 <> 0 AS INT)) AS BIGINT) AS children FROM {_N} GROUP BY 1")
+@query("x44_typed_records", f"SELECT {BLOCK_SQL.replace('o_orderkey', 'k')} AS b, CAST(sum(2 * n + CAST(k % 3 = 2 AS INT) + CAST(k % 4 <> 0 AS INT)) AS BIGINT) AS content, CAST(sum(3 * n + 2 + CAST(k % 4 <> 0 AS INT)) AS BIGINT) AS paths, CAST(sum(n + 1 + CAST(k % 4 <> 0 AS INT)) AS BIGINT) AS children FROM {_N} GROUP BY 1")
 def _(s, d):
     r = Z.typed_records(_nodes(s, d), ROOT)
     total = lambda c: F.sum(F.size(c)).cast("long")

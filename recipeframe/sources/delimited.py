@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
-from collections import Counter
+from collections import Counter, namedtuple
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,19 +14,24 @@ from pyspark.sql import types as T
 
 from recipeframe.operators.recipe import ROW
 
+Malformed = namedtuple("Malformed", "row observed expected")
 HEAD_BYTES = 128 * 1024
-INDEX_NAMES = ("index", "row", "row_id", "rownum", "")
-_SCHEMA = "path string, size long, sha256 string, encoding string, delimiter string, has_header boolean, columns array<string>, modal_width int, status string, error string"
+#: Names of exported row numbers, and the delimiters that are tried; fixed values.
+INDEX_NAMES = ("index", "row", "row_index", "row_number", "rownum", "__index_level_0__")
+DELIMITERS = ",\t;|"
+_SCHEMA = "path string, size long, sha256 string, encoding string, delimiter string, quote string, escape string, has_header boolean, columns array<string>, modal_width int, status string, error string"
 
 
 def discover(spark: SparkSession, path: str, recursive: bool = True, suffixes: tuple = ("csv", "tsv", "txt", "xml"), hidden: bool = False) -> DataFrame:
-    """``path, size, sha256, content`` of the allowed files, each once."""
+    """``path, size, sha256, content`` of the allowed files, each once; without ``hidden``, none that is hidden or in a hidden folder below ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    files = files.filter(F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*suffixes))
+    base = path.rstrip("/").split("://", 1)[-1]
+    below = F.substring(F.col("path"), F.locate(base, F.col("path")) + len(base), F.length("path"))
+    wanted = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*suffixes)
     if not hidden:
-        files = files.filter(~name.startswith("."))
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["path"])
+        wanted = wanted & ~F.contains(below, F.lit("/."))
+    # a folder is listed once, so a path stands once: contents aren't moved to look for repeats
+    return files.filter(wanted).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
 
 
 def detect_encoding(head: bytes, cut: bool = False) -> str | None:
@@ -46,21 +52,24 @@ def detect_encoding(head: bytes, cut: bool = False) -> str | None:
     return "latin-1"
 
 
-def sniff(text: str, suffix: str) -> tuple[str, bool, list[str], int]:
-    """Delimiter, whether there is a header, its names, and the modal width of the sample's rows."""
-    fallback = {"tsv": "\t"}.get(suffix, ",")
-    best = (0, fallback, 1)
-    for d in ("\t", ",", ";", "|"):
-        widths = Counter(len(r) for r in csv.reader(io.StringIO(text), delimiter=d) if r)
-        if widths:
-            width, n = max(widths.items(), key=lambda x: (x[1], x[0]))
-            if width > 1 and n * width > best[0]:
-                best = (n * width, d, width)
-    _, delimiter, width = best
-    rows = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if len(r) == width]
-    number = lambda x: x.replace(".", "", 1).replace("-", "", 1).isdigit()
-    header = bool(rows) and not any(number(x) for x in rows[0]) and len(set(rows[0])) == len(rows[0])
-    return delimiter, header, display_columns(rows[0] if header else [f"column_{i + 1}" for i in range(width)]), width
+def sniff(text: str, suffix: str) -> dict:
+    """Delimiter, quote and escape characters, whether there is a header, its names, and the modal width of the sample's rows."""
+    try:
+        found = csv.Sniffer().sniff(text, DELIMITERS)
+        form = {"delimiter": found.delimiter, "quotechar": found.quotechar or '"', "doublequote": found.doublequote or not found.escapechar, "skipinitialspace": found.skipinitialspace, "escapechar": found.escapechar}
+    except csv.Error:  # one column, or no pattern: by the file's name
+        form = {"delimiter": "\t" if suffix == "tsv" else ",", "quotechar": '"', "doublequote": True, "skipinitialspace": False, "escapechar": None}
+    rows = [r for r in csv.reader(io.StringIO(text), **form) if r]
+    width = Counter(len(r) for r in rows).most_common(1)[0][0] if rows else 1
+    regular = [r for r in rows if len(r) == width][:25]
+    out = io.StringIO()
+    csv.writer(out, delimiter=form["delimiter"], lineterminator="\n").writerows(regular)
+    try:
+        header = csv.Sniffer().has_header(out.getvalue()) if len(regular) > 1 else True
+    except csv.Error:
+        header = True
+    names = display_columns(regular[0] if header and regular else [f"column_{i + 1}" for i in range(width)])
+    return {"delimiter": form["delimiter"], "quote": form["quotechar"], "escape": form["escapechar"], "has_header": header, "columns": names, "modal_width": width}
 
 
 def display_columns(raw: list[str]) -> list[str]:
@@ -79,13 +88,13 @@ def _inspect(batches):
         for path, size, sha, head in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             encoding = detect_encoding(head or b"", size > len(head or b""))
             if encoding is None:
-                rows.append((path, size, sha, None, None, None, None, None, "failed", "binary data"))
+                rows.append((path, size, sha, *[None] * 7, "failed", "binary data"))
                 continue
             text = head.decode(encoding, "ignore")
             if size > len(head):
                 text = text.rsplit("\n", 1)[0]
-            rows.append((path, size, sha, encoding, *sniff(text, path.rsplit(".", 1)[-1].lower()), "parsed", None))
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string())
+            rows.append((path, size, sha, encoding, *sniff(text, path.rsplit(".", 1)[-1].lower()).values(), "parsed", None))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string())
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
         names = [x.strip().split(" ")[0] for x in _SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -100,29 +109,76 @@ def inventory_summary(inspected: DataFrame) -> DataFrame:
     return inspected.groupBy("status").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", header: bool = True, encoding: str = "utf-8") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], columns: list[str], delimiter: str = ",", header: bool = True, encoding: str = "utf-8", quote: str = '"', escape: str | None = None) -> DataFrame:
     """All columns as text, with ``_row_id`` in file order and ``_malformed`` (the raw line of a row that is too wide or too narrow)."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_malformed", T.StringType())])
-    df = spark.read.schema(schema).csv(path, sep=delimiter, header=header, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed", nullValue="", enforceSchema=True)
-    return df.withColumn(ROW, F.monotonically_increasing_id())
-
-
-def malformed_rows(df: DataFrame, width: int, delimiter: str = ",", keep: int = 20) -> tuple[int, list]:
-    """How many rows have a wrong width, and the first of them with the width they have."""
-    cached = df.cache()  # a scan for the malformed column alone isn't allowed
-    bad = cached.filter("_malformed IS NOT NULL")
-    first = bad.orderBy(ROW).select(ROW, F.size(F.split("_malformed", f"[{delimiter}]")).alias("observed"), F.lit(width).alias("expected")).limit(keep).collect()
-    n = bad.count()
-    cached.unpersist()
-    return n, first
-
-
-def exported_index(df: DataFrame, c: str, order: str = ROW) -> DataFrame:
-    """Whether a column holds consecutive integers from zero or one, and is named like an index."""
-    v = F.col(f"`{c}`").try_cast("long")
-    s = df.agg(F.count("*").alias("rows"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.count_distinct(v).alias("u"))
-    named = F.lit(c.strip().lower() in INDEX_NAMES or c.lower().startswith("unnamed:"))
-    ints = (F.col("rows") > 0) & (F.col("n") == F.col("rows")) & F.col("low").isin(0, 1) & (F.col("high") - F.col("low") + 1 == F.col("n")) & (F.col("u") == F.col("n"))
+    # a reader that leaves columns out doesn't see how wide a row is
+    options = {"sep": delimiter, "header": header, "encoding": encoding, "quote": quote, "escape": escape or quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "nullValue": "", "enforceSchema": True}
+    return spark.read.schema(schema).option("columnPruning", False).csv(path, **options).withColumn(ROW, F.monotonically_increasing_id())
+
+
+def malformed_rows(df: DataFrame, width: int, delimiter: str = ",", keep: int = 20, quote: str = '"') -> tuple[int, list]:
+    """How many rows have a wrong width, and the first of them as ``(row, observed, expected)``; quoted delimiters don't count."""
+    bad = df.select(ROW, "_malformed", F.col(f"`{df.columns[0]}`").alias("_first")).filter("_malformed IS NOT NULL")  # a scan for the malformed column alone isn't allowed
+    n = bad.agg(F.count("_malformed"), F.count("_first")).first()[0]
+    first = bad.orderBy(ROW).limit(keep).collect() if n else []
+    observed = [len(next(csv.reader([r["_malformed"]], delimiter=delimiter, quotechar=quote), [])) for r in first]
+    return n, [Malformed(r[ROW], o, width) for r, o in zip(first, observed, strict=True)]
+
+
+def regular_rows(df: DataFrame, width: int, delimiter: str = ",", allow_malformed: bool = False) -> DataFrame:
+    """The rows of the right width. Others are refused, unless they are allowed: then they are left out."""
+    n, first = malformed_rows(df, width, delimiter)
+    if n and not allow_malformed:
+        raise ValueError(f"{n} rows don't have {width} fields; the first: {first[:3]}")
+    kept = df.filter("_malformed IS NULL") if n else df
+    return kept.drop("_malformed")
+
+
+def load_features(frames: list[DataFrame], targets: list[str], features: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """One table of several files' features and targets, and the features' names.
+
+    Files may order their columns as they like but must have the same; a missing
+    cell, or a name that isn't there, is an error.
+    """
+    if any(set(f.columns) != set(frames[0].columns) for f in frames):
+        raise ValueError("the files have different columns")
+    names = features or [c for c in frames[0].columns if c not in targets and not c.startswith("_")]
+    if wrong := [c for c in [*names, *targets] if c not in frames[0].columns] + [c for c in names if c in targets]:
+        raise ValueError(f"unknown, or both feature and target: {', '.join(wrong)}")
+    every = reduce(DataFrame.unionByName, [f.select(*[F.col(f"`{c}`") for c in [*names, *targets]]) for f in frames])
+    missing = every.agg(*[F.count_if(F.col(f"`{c}`").isNull() | (F.trim(F.col(f"`{c}`").cast("string")) == "")).alias(c) for c in every.columns]).first().asDict()
+    if any(missing.values()):
+        raise ValueError(f"missing cells: { {c: n for c, n in missing.items() if n} }")
+    return every, names
+
+
+#: A column of remarks that is no feature unless it is named; fixed value.
+RESERVED = ("Comments",)
+
+
+def column_roles(columns: list[str], features: list[str] | None, targets: list[str]) -> dict[str, list[str]]:
+    """``features``, ``targets`` and ``ignored`` of a table: unique, known, and never both; without a choice all others are features, but for reserved ones."""
+    chosen = features if features is not None else [c for c in columns if c not in targets and c not in RESERVED]
+    for what, names in (("features", chosen), ("targets", targets)):
+        if len(set(names)) < len(names):
+            raise ValueError(f"{what} are named twice")
+        if unknown := [c for c in names if c not in columns]:
+            raise ValueError(f"unknown {what}: {', '.join(unknown)}")
+    if both := [c for c in chosen if c in targets]:
+        raise ValueError(f"both feature and target: {', '.join(both)}")
+    if not chosen:
+        raise ValueError("no feature is left")
+    return {"features": chosen, "targets": list(targets), "ignored": [c for c in columns if c not in chosen and c not in targets]}
+
+
+def exported_index(df: DataFrame, c: str, raw: str | None = None, first: bool = False) -> DataFrame:
+    """``column, exported_index``: whether a column holds consecutive integers from zero or one and is named like an index; ``raw`` is its name in the file, where a blank one counts in the ``first`` column."""
+    name = (c if raw is None else raw).strip().lower()
+    v = F.col(f"`{c}`").cast("string").try_cast("double")
+    s = df.agg(F.count("*").alias("rows"), F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.count_distinct(v).alias("u"), F.count_if(v != F.floor(v)).alias("parts"))
+    named = F.lit(name in INDEX_NAMES or name.startswith("unnamed:") or (first and not name))
+    ints = (F.col("rows") > 1) & (F.col("n") == F.col("rows")) & (F.col("parts") == 0) & F.col("low").isin(0.0, 1.0) & (F.col("high") - F.col("low") + 1 == F.col("n")) & (F.col("u") == F.col("n"))
     return s.select(F.lit(c).alias("column"), (named & ints).alias("exported_index"))
 
 

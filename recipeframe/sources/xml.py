@@ -3,14 +3,17 @@
 Each document is parsed once, in a task; all that follows is joins and
 aggregates of the node table. A node knows its ancestors' ids, so the record or
 branch it belongs to is a lookup in an array, not a join. A document that isn't
-well-formed, has a DTD, or passes a limit gives one row with ``error``.
+well-formed, has a DTD, or passes a limit gives one row with ``error``: it is
+read once to see that it is fine, and then again for its nodes, which leave in
+batches, so that a task never holds more of a document than its bytes, the
+branch being read and a batch.
 """
 
 from __future__ import annotations
 
-import io
-import xml.etree.ElementTree as ET
+from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +23,11 @@ _ARROW = pa.schema([
     ("source_file", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("ancestors", pa.list_(pa.int64())), ("path", pa.string()), ("tag", pa.string()), ("depth", pa.int32()), ("sibling", pa.int32()),
     ("text", pa.string()), ("tail", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("nil", pa.bool_()), ("leaf", pa.bool_()), ("error", pa.string()),
 ])
+_NAMESPACES = "source_file string, prefix string, uri string"
 _NIL = "{http://www.w3.org/2001/XMLSchema-instance}nil"
+#: Limits of a document; fixed values.
 MOST_ELEMENTS, MOST_DEPTH = 2_000_000, 512
+_BATCH = 50_000
 
 
 def step(qname: str) -> str:
@@ -29,43 +35,156 @@ def step(qname: str) -> str:
     return qname.replace("~", "~0").replace("/", "~1")
 
 
-def shred(source: str, content: bytes) -> list[tuple]:
-    """All nodes of a document in order, or one row with an error."""
-    bad = lambda why: [(source, *[None] * 12, why)]
-    if b"<!DOCTYPE" in content or b"<!ENTITY" in content:
-        return bad("document type declarations are not read")
-    rows, stack = [], []
+def _name(x: str) -> str:
+    """``{uri}local`` of a parser's name."""
+    return "{" + x if "}" in x else x
+
+
+class _Refused(Exception):
+    pass
+
+
+def _check(content: bytes) -> str | None:
+    """Why a document isn't read, or None."""
+    parser, count, depth = expat.ParserCreate(namespace_separator="}"), 0, 0
+
+    def start(name, attributes):
+        nonlocal count, depth
+        count, depth = count + 1, depth + 1
+        if count > MOST_ELEMENTS or depth > MOST_DEPTH:
+            raise _Refused("too many elements or levels")
+
+    def doctype(*_):
+        raise _Refused("document type declarations are not read")
+
+    def end(name):
+        nonlocal depth
+        depth -= 1
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = start, end, doctype
     try:
-        for event, e in ET.iterparse(io.BytesIO(content), events=("start", "end")):
-            if event == "start":
-                if len(rows) >= MOST_ELEMENTS or len(stack) >= MOST_DEPTH:
-                    return bad("too many elements or levels")
-                up = stack[-1] if stack else None
-                node = [source, len(rows), up[1] if up else None, [*(up[3] if up else []), len(rows)], f"{up[4] if up else ''}/{step(e.tag)}", e.tag, len(stack), up[14] if up else 0, None, None, [], False, True, None, 0, []]
-                if up:
-                    up[14], up[12] = up[14] + 1, False
-                    up[15].append(len(rows))
-                rows.append(node)
-                stack.append(node)
+        parser.Parse(content, True)
+    except _Refused as x:
+        return str(x)
+    except expat.ExpatError as x:
+        return f"not well-formed: {x}"
+    return None
+
+
+class _Shredder:
+    """Collects the nodes of one document as columns; each is complete once the text behind it is known."""
+
+    def __init__(self, source: str):
+        self.source, self.count, self.paths = source, 0, {}
+        self.stack: list[list] = []  # open nodes: id, path, tag, children, text, attributes
+        self.closed: list[tuple | None] = []  # for each open node, its last closed child, whose tail is awaited
+        self.chars: list[str] = []
+        self.clear()
+
+    def clear(self):
+        self.ids, self.parents, self.flat, self.path, self.tag, self.depth, self.sibling = [], [], [], [], [], [], []
+        self.text, self.tail, self.names, self.values, self.own, self.nil, self.leaf = [], [], [], [], [], [], []
+
+    def _chars(self) -> str | None:
+        """The text since the last mark."""
+        out = "".join(self.chars) if self.chars else None
+        self.chars.clear()
+        return out
+
+    def start(self, name, attributes):
+        text, name = self._chars(), _name(name)
+        up = self.stack[-1] if self.stack else None
+        if up is None:
+            path, sibling = "/" + step(name), 0
+        else:
+            if up[3]:
+                self._write(self.closed[-1], text)
+                self.closed[-1] = None
             else:
-                node = stack.pop()
-                node[8], node[10] = e.text, sorted(e.attrib.items())
-                node[11] = (e.attrib.get(_NIL) or "").strip() in ("true", "1")
-                for child, place in zip(e, node[15], strict=True):
-                    rows[place][9] = child.tail
-                del e[:]
-    except ET.ParseError as x:
-        return bad(f"not well-formed: {x}")
-    return [tuple(r[:14]) for r in rows]
+                up[4] = text
+            key = (up[1], name)
+            path, sibling = self.paths.get(key) or self.paths.setdefault(key, f"{up[1]}/{step(name)}"), up[3]
+            up[3] += 1
+        self.stack.append([self.count, path, name, 0, None, attributes, sibling])
+        self.closed.append(None)
+        self.count += 1
+
+    def end(self, _):
+        text = self._chars()
+        node, last = self.stack.pop(), self.closed.pop()
+        if node[3]:
+            self._write(last, text)
+        else:
+            node[4] = text
+        done = (node, [n[0] for n in self.stack])
+        if self.closed:
+            self.closed[-1] = done
+        else:
+            self._write(done, None)
+
+    def _write(self, done, tail):
+        (node, children_of), above = done, done[1]
+        at, path, tag, children, text, attributes, sibling = node
+        self.ids.append(at)
+        self.parents.append(above[-1] if above else None)
+        self.flat += above
+        self.flat.append(at)
+        self.path.append(path)
+        self.tag.append(tag)
+        self.depth.append(len(above))
+        self.sibling.append(sibling)
+        self.text.append(text)
+        self.tail.append(tail)
+        self.leaf.append(not children)
+        self.own.append(len(attributes))
+        if attributes:
+            own = sorted((_name(k), v) for k, v in attributes.items())
+            self.names += [k for k, _ in own]
+            self.values += [v for _, v in own]
+            self.nil.append(any(k == _NIL and v.strip().lower() in ("true", "1") for k, v in own))
+        else:
+            self.nil.append(False)
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.ids)
+        offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        columns = [
+            pa.array([self.source] * n, pa.string()), pa.array(self.ids, pa.int64()), pa.array(self.parents, pa.int64()),
+            pa.ListArray.from_arrays(offsets(np.array(self.depth, dtype=np.int64) + 1), pa.array(self.flat, pa.int64())),
+            pa.array(self.path, pa.string()), pa.array(self.tag, pa.string()), pa.array(self.depth, pa.int32()), pa.array(self.sibling, pa.int32()),
+            pa.array(self.text, pa.string()), pa.array(self.tail, pa.string()), pa.MapArray.from_arrays(offsets(self.own), pa.array(self.names, pa.string()), pa.array(self.values, pa.string())),
+            pa.array(self.nil, pa.bool_()), pa.array(self.leaf, pa.bool_()), pa.nulls(n, pa.string()),
+        ]
+        self.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
+def shred(source: str, content: bytes) -> list[tuple]:
+    """All nodes of a document in order, or one row with an error."""
+    rows = [tuple(r.values()) for b in shred_batches(source, content) for r in b.to_pylist()]
+    return sorted(rows, key=lambda r: r[1] or 0)
+
+
+def shred_batches(source: str, content: bytes):
+    """Batches of the nodes of a document, or of one row with an error."""
+    if why := _check(content):
+        yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), *[pa.nulls(1, f.type) for f in list(_ARROW)[1:-1]], pa.array([why], pa.string())], schema=_ARROW)
+        return
+    parser, nodes = expat.ParserCreate(namespace_separator="}"), _Shredder(source)
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = nodes.start, nodes.end, nodes.chars.append
+    for i in range(0, len(content), 1 << 18):
+        parser.Parse(content[i : i + (1 << 18)], False)
+        if len(nodes.ids) >= _BATCH:
+            yield nodes.batch()
+    parser.Parse(b"", True)
+    yield nodes.batch()
 
 
 def _shred_batches(batches):
     for b in batches:
-        for source, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows = shred(source, content or b"")
-            for i in range(0, len(rows), 50_000):
-                columns = zip(*rows[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+        for source, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            yield from shred_batches(source, content.as_py() or b"")
 
 
 def shred_documents(documents: DataFrame) -> DataFrame:
@@ -73,6 +192,26 @@ def shred_documents(documents: DataFrame) -> DataFrame:
     return documents.select("source_file", "content").mapInArrow(_shred_batches, SCHEMA)
 
 
+def _prefixes(batches):
+    for b in batches:
+        rows = []
+        for source, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            content = content.as_py() or b""
+            if _check(content):
+                continue
+            parser, seen = expat.ParserCreate(namespace_separator="}"), {}
+            parser.StartNamespaceDeclHandler = lambda prefix, uri, seen=seen: seen.setdefault((prefix or "", uri or ""), len(seen))
+            parser.Parse(content, True)
+            rows += [(source, prefix, uri) for prefix, uri in seen]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["source_file", "prefix", "uri"])
+
+
+def namespaces(documents: DataFrame) -> DataFrame:
+    """``source_file, prefix, uri`` of each distinct declaration; the default namespace has an empty prefix."""
+    return documents.select("source_file", "content").mapInArrow(_prefixes, _NAMESPACES)
+
+
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
     """Files below a folder, as ``source_file, content``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)

@@ -46,7 +46,7 @@ def test_nested_branches(spark):
 def test_groups_in_path_order(spark):
     docs = {"a": "<r><x/><y/></r>", "b": "<r><x/><y/><z/></r>", "c": "<q><w/></q>", "d": "<r><x/><y/></r>"}
     nodes = shred_documents(spark.createDataFrame([(k, bytearray(v.encode())) for k, v in docs.items()], "source_file string, content binary"))
-    got = {r["source_file"]: r["group"] for r in Z.complete_link_groups(nodes, 0.7).collect()}
+    got = {r["source_file"]: r["group"] for r in Z.complete_link_groups(nodes).collect()}
     assert got == {"a": 1, "b": 1, "c": 2, "d": 1}
 
 
