@@ -51,14 +51,19 @@ class DisclosureParameters:
     broadcast_rows: int = 100_000  # of terms, or of texts that hold some: beyond, they are joined by shuffles
 
 
+def _quoted(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    pattern = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{pattern}'"
+
+
 def _matches(text: str, pattern: str) -> str:
-    """SQL for an array of ``start, end, text`` of the matches in a text that holds neither mark.
+    """SQL for an array of ``start, end, text`` of the matches in a text that holds neither mark; ``pattern`` is SQL, too.
 
     Matches are handled a thousand at a time, so that the time for a text grows
     with its matches and not with their square.
     """
-    pattern = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    marked = f"split(regexp_replace({text}, '{pattern}', '{OPEN}$0{CLOSE}'), '{OPEN}')"
+    marked = f"split(regexp_replace({text}, {pattern}, '{OPEN}$0{CLOSE}'), '{OPEN}')"
     found = f"struct(a.pos AS start, a.pos + length(substring_index(m, '{CLOSE}', 1)) AS end, substring_index(m, '{CLOSE}', 1) AS text)"
     chunk = f"aggregate(z.parts, struct(z.at AS pos, CAST(array() AS array<{_SPAN}>) AS found), (a, m) -> struct(a.pos + length(m) - 1 AS pos, concat(a.found, array({found})) AS found), a -> a.found)"
     parts = "transform(sequence(1, greatest(size(p), 1), 1000), i -> slice(p, i + 1, 1000))"
@@ -103,15 +108,18 @@ def find_entities(docs: DataFrame, text: str = "_text") -> DataFrame:
     """Add one array of ``start, end, text`` for each of KINDS; ``text`` must be ``plain``."""
     out = docs
     for kind in KINDS:
-        array = F.expr(f"filter({_matches(text, PATTERNS[kind])}, x -> {_valid(kind, 'x.text')})")
+        array = F.expr(f"filter({_matches(text, _quoted(PATTERNS[kind]))}, x -> {_valid(kind, 'x.text')})")
         sign = {"email": "@", "phone": "+"}.get(kind)
         empty = F.expr(f"CAST(array() AS array<{_SPAN}>)")
         out = out.withColumn(kind, F.when(F.contains(F.col(text), F.lit(sign)) if sign else F.col(text).rlike(PATTERNS[kind]), array).otherwise(empty))
     return out
 
 
+_EDGE = (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])")
+
+
 def _word(p: DisclosureParameters) -> str:
-    return rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{p.least_letters},}}+(?![\p{{L}}\p{{N}}])"
+    return rf"{_EDGE[0]}\p{{L}}{{{p.least_letters},}}+{_EDGE[1]}"
 
 
 def _near_terms(found: DataFrame, p: DisclosureParameters) -> DataFrame:
@@ -127,7 +135,7 @@ def _near_terms(found: DataFrame, p: DisclosureParameters) -> DataFrame:
         )).alias("_s"),
     )
     sides = sides.select("row", "_all", "entity", "_s.*")
-    words = sides.select("row", "_all", "entity", "at", "cut_left", "cut_right", F.length("side").alias("n"), F.explode(F.expr(_matches("side", _word(p)))).alias("m"))
+    words = sides.select("row", "_all", "entity", "at", "cut_left", "cut_right", F.length("side").alias("n"), F.explode(F.expr(_matches("side", _quoted(_word(p))))).alias("m"))
     whole = words.filter("NOT (cut_left AND m.start = 0) AND NOT (cut_right AND m.end = n)")
     out = whole.select("row", "_all", "entity", F.lower("m.text").alias("term"), F.expr("at + m.start").cast("int").alias("start"), F.expr("at + m.end").cast("int").alias("end"))
     return out.filter("NOT exists(_all, x -> x.start < end AND x.end > start)").select("row", "entity", "term", "start", "end")
@@ -146,14 +154,20 @@ def _words(docs: DataFrame, p: DisclosureParameters) -> DataFrame:
 
 def _disclosing(near: DataFrame, found: DataFrame, docs: DataFrame, p: DisclosureParameters) -> DataFrame:
     """``entity, term, action``: the pairs whose information passes a threshold."""
+    total = F.lit(float(max(docs.count(), 1)))
     together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= p.least_texts)
     entities = found.select("row", F.explode(F.array_distinct(F.concat(*[F.expr(f"transform({k}, x -> concat('{k}:', lower(x.text)))") for k in KINDS]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    together = materialize(together.join(entities, "entity"), "pairs")
+    seen = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+
+    def share_of(n_t):
+        known = F.log2(total / F.col("n_e"))
+        return F.when(known > 0, F.log2(F.col("n_te") * total / (F.greatest(n_t, F.col("n_te")) * F.col("n_e"))) / known)
+
+    # a term is in no fewer texts than it was seen near entities: what fails by that count fails by the whole one
+    together = together.join(entities, "entity").join(seen, "term").filter(share_of(F.col("n_near")) >= p.generalise_at).drop("n_near")
+    together = materialize(together, "pairs")
     texts = _words(docs, p).join(_small(together.select("term").distinct(), p), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count()
-    known = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    told = F.log2(F.col("n_te") * F.lit(float(max(total, 1))) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    share = F.when(known > 0, told / known)
+    share = share_of(F.col("n_t"))
     action = F.when(share >= p.remove_at, "remove").when(share >= p.generalise_at, "generalise")
     return together.join(texts, "term").select("entity", "term", action.alias("action")).filter("action IS NOT NULL")
 
@@ -177,7 +191,9 @@ def inspect_texts(docs: DataFrame, parameters: DisclosureParameters | None = Non
     columns = ["own", "_text", "of", *KINDS]
     every = found.select(*columns).unionByName(own.filter("NOT may").select("own", "_text", "of", *none)).join(held, "of", "left")
     inside = " OR ".join(f"exists({k}, x -> x.start < m.end AND x.end > m.start)" for k in KINDS)
-    terms = f"transform(filter({_matches('_text', _word(p))}, m -> map_contains_key(told, lower(m.text)) AND NOT ({inside})), m -> struct(m.start AS start, m.end AS end, told[lower(m.text)] AS action))"
+    # only the terms that a text holds are looked for in it
+    these = f"concat({_quoted('(?iu)' + _EDGE[0] + '(?:')}, array_join(map_keys(told), '|'), {_quoted(')' + _EDGE[1])})"
+    terms = f"transform(filter({_matches('_text', these)}, m -> map_contains_key(told, lower(m.text)) AND NOT ({inside})), m -> struct(m.start AS start, m.end AS end, told[lower(m.text)] AS action))"
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,action:string>>)")
     return every.select("own", "_text", *KINDS, F.when(F.col("told").isNotNull(), F.expr(terms)).otherwise(empty).alias("terms"))
 
