@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +24,27 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float]) ->
     for k in keys:
         same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
     placed = ranked.alias("r").join(totals.alias("t"), same).select(*[F.col(f"t.{k}").alias(k) for k in keys], "n", "_value", (F.col("_upto") - F.col("_c") - F.col("_base")).alias("_from"), (F.col("_upto") - F.col("_base")).alias("_to"))
-    picks = []
-    for i, p in enumerate(at):
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        for end, place_of in (("a", F.floor(place)), ("b", F.ceil(place))):
-            picks.append(F.max(F.when((F.col("_from") <= place_of) & (place_of < F.col("_to")), F.col("_value"))).alias(f"_{end}{i}"))
-    found = placed.groupBy(*keys, "n").agg(*picks)
-
-    def between(i: int, p: float) -> Column:
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        share = place - F.floor(place)
-        return F.when(share == 0, F.col(f"_a{i}")).otherwise((1 - share) * F.col(f"_a{i}") + share * F.col(f"_b{i}"))
-
-    return found.select(*keys, "n", F.array(*[between(i, p) for i, p in enumerate(at)]).alias("q"))
+    fields = ", ".join(f"`{n}` {t}" for n, t in placed.dtypes[: len(keys) + 1])
+    met = placed.mapInArrow(lambda it: _hits(it, at, len(keys)), f"{fields}, _i int, _low boolean, _value double")
+    ends = met.groupBy(*keys, "n", "_i").agg(F.max(F.when(F.col("_low"), F.col("_value"))).alias("_a"), F.max(F.when(~F.col("_low"), F.col("_value"))).alias("_b"))
+    place = F.element_at(F.array(*[F.lit(float(p)) for p in at]), F.col("_i") + 1) * (F.col("n") - 1)
+    share = place - F.floor(place)
+    one = ends.withColumn("_q", F.when(share == 0, F.col("_a")).otherwise((1 - share) * F.col("_a") + share * F.col("_b")))
+    return one.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias("q"))
+
+
+def _hits(batches, at: list[float], keys: int):
+    """For each row of ``keys, n, value, from, to`` and each quantile: whether the places beside it are in the row."""
+    for b in batches:
+        n, value, low, high = (b.column(keys + i).to_numpy(zero_copy_only=False) for i in range(4))
+        for i, p in enumerate(at):
+            place = p * (n - 1)
+            for is_low, x in ((True, np.floor(place)), (False, np.ceil(place))):
+                rows = np.flatnonzero((low <= x) & (x < high))
+                if len(rows):
+                    own = [b.column(k).take(pa.array(rows)) for k in range(keys + 1)]
+                    added = [pa.array(np.full(len(rows), i, dtype=np.int32)), pa.array([is_low] * len(rows)), pa.array(value[rows])]
+                    yield pa.RecordBatch.from_arrays([*own, *added], names=[*b.schema.names[: keys + 1], "_i", "_low", "_value"])
 
 
 def column_quantiles(df: DataFrame, columns: dict[str, Column], at: list[float]) -> dict[str, list[float]]:

@@ -298,7 +298,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, vector: str, label:
         near = near.withColumn("w", F.lit(1.0))
     if task == "regression":
         return near.groupBy("query").agg((F.sum(F.col("w") * F.col("label")) / F.sum("w")).alias("prediction"))
-    votes = near.groupBy("query", "label").agg(F.sum("w").alias("n"))
+    votes = near.withColumn("label", F.col("label").cast(train.schema[label].dataType)).groupBy("query", "label").agg(F.sum("w").alias("n"))
     return votes.groupBy("query").agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("l"))).alias("prediction"))
 
 

@@ -23,7 +23,7 @@ _SCHEMA = "path string, size long, sha256 string, encoding string, delimiter str
 
 
 def discover(spark: SparkSession, path: str, recursive: bool = True, suffixes: tuple = ("csv", "tsv", "txt", "xml"), hidden: bool = False) -> DataFrame:
-    """``path, size, sha256, content`` of the allowed files, each once; without ``hidden``, none that is hidden or in a hidden folder below ``path``."""
+    """``path, size, sha256, content`` of the allowed files, each once; without ``hidden``, none that is hidden or in a hidden folder below ``path`` (Spark itself lists none whose name begins with a dot or an underscore)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     base = path.rstrip("/").split("://", 1)[-1]
     below = F.substring(F.col("path"), F.locate(base, F.col("path")) + len(base), F.length("path"))
