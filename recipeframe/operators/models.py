@@ -376,3 +376,18 @@ def synthetic_gaussian(df: DataFrame, columns: list[str], rows: int, seed: int =
     return base.select("id", *[(F.lit(float(s[i] / n)) + sum((F.col(f"z{j}") * float(root[i, j]) for j in range(k)), F.lit(0.0))).alias(c) for i, c in enumerate(columns)])
 
 
+#: How synthetic rows can be made; fixed values.
+SYNTHETIC = ("bootstrap", "independent_gaussian", "correlated_gaussian", "student_t")
+
+
+def synthetic_plan_errors(plan: dict, most_rows: int = 1_000_000_000) -> list[str]:
+    """What is wrong with a plan for synthetic rows (``method, rows, seed, df``): none, if it can be run."""
+    out = [] if plan.get("method") in SYNTHETIC else [f"unknown method {plan.get('method')}"]
+    rows, seed, df = plan.get("rows"), plan.get("seed", 42), plan.get("df", 5.0)
+    if not isinstance(rows, int) or isinstance(rows, bool) or not 1 <= rows <= most_rows:
+        out.append(f"rows must be a whole number from 1 to {most_rows}")
+    if not isinstance(seed, int) or isinstance(seed, bool) or seed < 0:
+        out.append("seed must be a whole number from 0")
+    if plan.get("method") == "student_t" and not df > 2:
+        out.append("df must be above 2: the covariance is matched")
+    return out

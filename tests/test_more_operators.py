@@ -196,6 +196,13 @@ def test_plans():
         assert N.plan_errors(fine | change)
 
 
+def test_synthetic_plans():
+    fine = {"method": "student_t", "rows": 10, "seed": 1, "df": 3}
+    assert O.synthetic_plan_errors(fine) == [] and O.synthetic_plan_errors({"method": "bootstrap", "rows": 1}) == []
+    for change in ({"method": "luck"}, {"rows": 0}, {"rows": 1.5}, {"seed": -1}, {"df": 2}):
+        assert O.synthetic_plan_errors(fine | change)
+
+
 def test_selection(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(i % 2), Vectors.dense((rng.normal(size=2) + 3 * (i % 2)).tolist())) for i in range(120)]
