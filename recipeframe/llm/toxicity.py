@@ -163,8 +163,9 @@ class Matcher:
         words, known = _WORD.findall(lower), self.known
         if len(known) > 400_000:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.kind(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = self.kind(w)
         found = [i for i, w in enumerate(words) if known[w]]
         if not found:
             return
