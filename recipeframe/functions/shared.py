@@ -90,3 +90,11 @@ def keep_in_memory(df: DataFrame) -> DataFrame:
 
 def nan_to_null(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared one that no later step reads."""
+    if not path.startswith(f"{shared_dir(spark)}/recipeframe/"):
+        raise ValueError(f"{path} is not an intermediate table")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
