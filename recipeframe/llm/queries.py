@@ -14,6 +14,8 @@ from recipeframe.llm.chat import rotate
 from recipeframe.llm.context_mixing import score_texts
 from recipeframe.llm.decontamination import find_contamination
 from recipeframe.llm.mixing import mix, with_domain
+from recipeframe.llm.phrases import SQL as PHRASE_SQL
+from recipeframe.llm.phrases import collocations
 from recipeframe.llm.pii import report as report_pii
 from recipeframe.llm.simhash import simhash_components
 from recipeframe.llm.toxicity import fit as fit_toxicity
@@ -78,6 +80,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_warc": op2_warc,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_decontamination": op10_decontamination,
+    "op13_phrases": op13_phrases,
 }
 
 
@@ -110,6 +117,7 @@ SQL: dict[str, str] = {
         FROM p LEFT JOIN g ON p.html = g.html AND p.b >= 1000
     """,
     "op8_chat": CHAT_SQL,
+    "op13_phrases": PHRASE_SQL,
     "op6_url_filters": """
         WITH u AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
