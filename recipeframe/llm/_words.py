@@ -19,7 +19,7 @@ def byte_kinds(gaps: bytes, breaks: bytes = b"") -> np.ndarray:
 
 
 def cut_words(buf: bytes, kinds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The words of ``buf``, and for each whether a break (or nothing) stands before it."""
+    """The words of ``buf``, and for each the number of breaks before it."""
     own = np.frombuffer(buf, dtype=np.uint8)
     kind = kinds[own]
     edge = np.diff(np.concatenate(([0], (kind == WORD).view(np.int8), [0])))
@@ -27,10 +27,7 @@ def cut_words(buf: bytes, kinds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     offsets = np.zeros(len(starts) + 1, dtype=np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(own[kind == WORD]))])
-    piece = np.cumsum(kind == BREAK)[starts] if len(starts) else np.zeros(0, dtype=np.int64)
-    fresh = np.ones(len(starts), dtype=bool)
-    fresh[1:] = piece[1:] != piece[:-1]
-    return words, fresh
+    return words, np.cumsum(kind == BREAK)[starts]
 
 
 def cut_text(text: bytes, most: int, delimiters: bytes, carry: int):

@@ -71,7 +71,7 @@ def _due(start: np.ndarray, step: int, cycle: int) -> np.ndarray:
 
 def count_piece(lang: bytes, blob: bytes, carried: int, step: int, cycle: int, since: list[np.ndarray]):
     """``phrase, size, n`` of what is due in ``blob``; phrases that end in the first ``carried`` words count elsewhere."""
-    words, fresh = cut_words(blob.translate(LOWER), _KINDS)
+    words, piece = cut_words(blob.translate(LOWER), _KINDS)
     if not len(words):
         return
     coded = words.dictionary_encode()
@@ -85,7 +85,7 @@ def count_piece(lang: bytes, blob: bytes, carried: int, step: int, cycle: int, s
         return
     own = _word_hashes(lang, vocabulary.to_pylist())
     start = since[0][_slot(own, len(since[0]))][code]
-    joined = ~fresh[1:]
+    joined = piece[1:] == piece[:-1]
     ends_here = np.arange(1, len(code)) >= carried
     both = np.maximum(start[:-1], start[1:])
     pair = code[:-1] * size + code[1:]

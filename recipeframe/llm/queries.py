@@ -13,6 +13,7 @@ from recipeframe.llm.chat import SQL as CHAT_SQL
 from recipeframe.llm.chat import rotate
 from recipeframe.llm.context_mixing import score_texts
 from recipeframe.llm.decontamination import find_contamination
+from recipeframe.llm.licenses import scan as scan_licenses
 from recipeframe.llm.mixing import mix, with_domain
 from recipeframe.llm.phrases import SQL as PHRASE_SQL
 from recipeframe.llm.phrases import collocations
@@ -80,6 +81,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_decontamination": op10_decontamination,
+    "op12_licenses": op12_licenses,
     "op13_phrases": op13_phrases,
 }
 
