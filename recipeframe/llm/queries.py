@@ -12,6 +12,8 @@ from recipeframe.llm.additive_quantisation import nearest
 from recipeframe.llm.chat import SQL as CHAT_SQL
 from recipeframe.llm.chat import rotate
 from recipeframe.llm.context_mixing import score_texts
+from recipeframe.llm.conversation_trie import SQL as TRIE_SQL
+from recipeframe.llm.conversation_trie import conversation_trie
 from recipeframe.llm.decontamination import find_contamination
 from recipeframe.llm.licenses import scan as scan_licenses
 from recipeframe.llm.mixing import mix, with_domain
@@ -81,6 +83,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_licenses": op12_licenses,
     "op13_phrases": op13_phrases,
 }
@@ -123,6 +130,7 @@ SQL: dict[str, str] = {
         FROM p LEFT JOIN g ON p.html = g.html AND p.b >= 1000
     """,
     "op8_chat": CHAT_SQL,
+    "op11_conversation_trie": TRIE_SQL,
     "op13_phrases": PHRASE_SQL,
     "op6_url_filters": """
         WITH u AS (
