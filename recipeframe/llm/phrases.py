@@ -12,7 +12,12 @@ are counted in full.
 What is active is told to the tasks by two tables of ``slots`` bytes, whatever
 the corpus: a slot holds the scan from which the words (or pairs) that hash to it
 are of use. Phrases that share a slot start together, which costs rows but
-changes no count. Counts are summed up in tasks before they are shuffled.
+changes no count.
+
+Counts travel packed: a task sends each bucket of phrases (by hash) one compressed
+block of all that it has counted for it, and a bucket's blocks are merged, with
+what earlier scans have left there, in one task at a time. There are as many
+buckets as keep one of them within a few million phrases.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,7 +50,8 @@ class PhraseParameters:
     first: int = 2000  #: rows of each language in the report
     shards: int = 4  #: parts of a scan cycle; at most 80
     slots: int = 1 << 22  #: bytes of each of the two tables of what is active, a power of two
-    piece_bytes: int = 8 << 20  #: text that a task counts at once
+    piece_bytes: int = 16 << 20  #: text that a task counts at once
+    bucket_bytes: int = 8 << 20  #: text for each bucket of phrases
 
 
 # ---------------------------------------------------------------- in tasks
@@ -70,20 +77,20 @@ def _due(start: np.ndarray, step: int, cycle: int) -> np.ndarray:
 
 
 def count_piece(lang: bytes, blob: bytes, carried: int, step: int, cycle: int, since: list[np.ndarray]):
-    """``phrase, size, n`` of what is due in ``blob``; phrases that end in the first ``carried`` words count elsewhere."""
+    """``size, phrases, hashes, n`` of what is due in ``blob``; phrases that end in the first ``carried`` words count elsewhere."""
     words, piece = cut_words(blob.translate(LOWER), _KINDS)
     if not len(words):
         return
     coded = words.dictionary_encode()
     vocabulary, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     size = len(vocabulary)
+    own = _word_hashes(lang, vocabulary.to_pylist())
     if step < cycle:
         n = np.bincount(code[carried:], minlength=size)
         at = np.flatnonzero(n)
-        yield vocabulary.take(pa.array(at)), 1, n[at]
+        yield 1, vocabulary.take(pa.array(at)), own[at], n[at]
     if step == 0 or len(code) < 2:
         return
-    own = _word_hashes(lang, vocabulary.to_pylist())
     start = since[0][_slot(own, len(since[0]))][code]
     joined = piece[1:] == piece[:-1]
     ends_here = np.arange(1, len(code)) >= carried
@@ -92,8 +99,8 @@ def count_piece(lang: bytes, blob: bytes, carried: int, step: int, cycle: int, s
     at = np.flatnonzero(joined & ends_here & _due(both, step, cycle))
     if len(at):
         met, n = np.unique(pair[at], return_counts=True)
-        left, right = (vocabulary.take(pa.array(x)) for x in (met // size, met % size))
-        yield pc.binary_join_element_wise(left, right, b" "), 2, n
+        left, right = met // size, met % size
+        yield 2, pc.binary_join_element_wise(vocabulary.take(pa.array(left)), vocabulary.take(pa.array(right)), b" "), _pair_hashes(own[left], own[right]), n
     active = joined & (both <= step)  # a triple's words are all frequent
     at = np.flatnonzero(active[:-1] & active[1:] & ends_here[1:])
     if len(at):
@@ -106,20 +113,52 @@ def count_piece(lang: bytes, blob: bytes, carried: int, step: int, cycle: int, s
     if len(at):
         distinct, of = np.unique(pair[at], return_inverse=True)
         met, n = np.unique(of * size + code[at + 2], return_counts=True)
-        first = distinct[met // size]
-        parts = [vocabulary.take(pa.array(x)) for x in (first // size, first % size, met % size)]
-        yield pc.binary_join_element_wise(*parts, b" "), 3, n
+        first, third = distinct[met // size], met % size
+        left, right = first // size, first % size
+        parts = [vocabulary.take(pa.array(x)) for x in (left, right, third)]
+        yield 3, pc.binary_join_element_wise(*parts, b" "), _pair_hashes(_pair_hashes(own[left], own[right]), own[third]), n
+
+
+def pack(phrases: pa.Array, n: np.ndarray) -> bytes:
+    """A block of phrases and their counts."""
+    rows = len(phrases)
+    offsets = np.frombuffer(phrases.buffers()[1], dtype=np.int32)[phrases.offset : phrases.offset + rows + 1]
+    data = phrases.buffers()[2]
+    own = b"" if data is None else memoryview(data)[offsets[0] : offsets[-1]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((n.astype("<i8").tobytes(), np.diff(offsets).astype("<u4").tobytes(), own, np.uint32(rows).tobytes())))
+
+
+def unpack(block: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    rows = int(np.frombuffer(raw, dtype="<u4", offset=len(raw) - 4)[0])
+    offsets = np.zeros(rows + 1, dtype=np.int32)
+    np.cumsum(np.frombuffer(raw, dtype="<u4", count=rows, offset=8 * rows), out=offsets[1:])
+    n = np.frombuffer(raw, dtype="<i8", count=rows)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(raw).slice(12 * rows, int(offsets[-1]))]), n
+
+
+_BLOCK = "size int, bucket long, lang binary, block binary, slots binary"
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["size", "bucket", "lang", "block", "slots"])
 
 
-def _counts(batches, step, cycle, since, most):
-    """``lang, phrase, size, n`` of a shard's ``lang, text``, piece by piece."""
+def _counts(batches, step, cycle, since, p, buckets):
+    """Blocks of a shard's ``lang, text``, piece by piece."""
     tables = [np.frombuffer(x.value, dtype=np.uint8) for x in since]
     held: dict[bytes, list[bytes]] = {}
 
     def counted(lang, blob, carried):
-        for phrases, size, n in count_piece(lang, blob, carried, step, cycle, tables):
-            rows = len(phrases)
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang.decode(), rows), phrases.cast(pa.string()), pa.array(np.full(rows, size, dtype=np.int32)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "size", "n"])
+        for size, phrases, hashes, n in count_piece(lang, blob, carried, step, cycle, tables):
+            bucket = ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            phrases, n, edges = phrases.take(pa.array(order)), n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = [(size, k, lang, pack(phrases.slice(a, b - a), n[a:b]), None) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+            for i in range(0, len(rows), 1024):
+                yield _blocks(rows[i : i + 1024])
 
     def flush():
         for lang, texts in held.items():
@@ -129,30 +168,73 @@ def _counts(batches, step, cycle, since, most):
     waiting = 0
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if len(text) > most:
-                for part, carried in cut_text(text, most, _GAPS + _BREAKS, 2):
+            if len(text) > p.piece_bytes:
+                for part, carried in cut_text(text, p.piece_bytes, _GAPS + _BREAKS, 2):
                     yield from counted(lang, part, carried)
                 continue
             held.setdefault(lang, []).append(text)
             waiting += len(text)
-            if waiting >= most:
+            if waiting >= p.piece_bytes:
                 yield from flush()
                 waiting = 0
     yield from flush()
 
 
-def _slots_met(batches, size, since):
-    """The slots of frequent phrases, each once a batch, that aren't in use yet."""
-    table = np.frombuffer(since.value, dtype=np.uint8)
-    for b in batches:
-        by: dict[bytes, list[bytes]] = {}
-        for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).append(phrase)
-        for lang, phrases in by.items():
-            split = [x.split(b" ") for x in phrases]
+def _summed(phrases: list[pa.Array], n: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    table = pa.table({"phrase": pa.chunked_array(phrases), "n": pa.chunked_array([pa.array(x) for x in n])})
+    total = table.group_by("phrase").aggregate([("n", "sum")]).combine_chunks()
+    return total.column("phrase").combine_chunks(), total.column("n_sum").to_numpy()
+
+
+def _merged(batches, since, least):
+    """One block for each ``size, bucket, lang`` of a sorted partition, and the slots of its frequent phrases that aren't in use yet."""
+    tables = [np.frombuffer(x.value, dtype=np.uint8) for x in since]
+    key, phrases, n = None, [], []
+
+    def block():
+        size, bucket, lang = key
+        own, count = _summed(phrases, n)
+        slots = None
+        if size < 3:
+            split = [x.split(b" ") for x in own.filter(pa.array(count >= least)).to_pylist()]
             hashed = [_word_hashes(lang, [x[i] for x in split]) for i in range(size)]
-            at = np.unique(_slot(hashed[0] if size == 1 else _pair_hashes(*hashed), len(table)))
-            yield pa.RecordBatch.from_arrays([pa.array(at[table[at] == _NEVER].astype(np.int32))], names=["slot"])
+            at = np.unique(_slot(hashed[0] if size == 1 else _pair_hashes(*hashed), len(tables[0])))
+            slots = at[tables[size - 1][at] == _NEVER].astype("<i4").tobytes()
+        return _blocks([(size, bucket, lang, pack(own, count), slots)])
+
+    rows = 0
+    for b in batches:
+        for *now, packed in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if key and key != tuple(now):
+                yield block()
+                phrases, n, rows = [], [], 0
+            key = tuple(now)
+            added = unpack(packed)
+            phrases.append(added[0])
+            n.append(added[1])
+            rows += len(added[1])
+            if rows > 4_000_000 and len(n) > 1:  # most are the same phrases
+                (one, two), rows = _summed(phrases, n), 0
+                phrases, n = [one], [two]
+    if key:
+        yield block()
+
+
+def _slot_rows(batches):
+    for b in batches:
+        slots = [np.frombuffer(x, dtype="<i4") for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(slots)) if slots else np.zeros(0, dtype=np.int32), pa.int32())], names=["slot"])
+
+
+def _phrase_rows(batches, least):
+    for b in batches:
+        for size, lang, packed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            phrases, n = unpack(packed)
+            at = np.flatnonzero((n >= least) | (size == 1))
+            for i in range(0, len(at), 1 << 16):
+                part = at[i : i + (1 << 16)]
+                rows = len(part)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang.decode(), rows), phrases.take(pa.array(part)).cast(pa.string()), pa.array(np.full(rows, size, dtype=np.int32)), pa.array(n[part])], names=["lang", "phrase", "size", "n"])
 
 
 # ---------------------------------------------------------------- counting
@@ -167,34 +249,48 @@ def count_phrases(docs: DataFrame, p: PhraseParameters = PhraseParameters(), tex
     if not 1 <= p.shards <= 80:
         raise ValueError("shards must be between 1 and 80")
     spark = docs.sparkSession
-    kept, counted = fresh_path(spark, "shards"), fresh_path(spark, "phrases")
+    kept, base = fresh_path(spark, "shards"), fresh_path(spark, "phrases")
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary").alias("lang"), F.col(text).cast("binary").alias("text"))
     dealt = own.filter("length(text) > 0").withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(p.shards)))
     dealt.write.partitionBy("shard").parquet(kept)
+    texts = spark.read.schema("lang binary, text binary, shard int").parquet(kept)
+    buckets = max(1, -(-(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // p.bucket_bytes))
     since = [np.full(p.slots, _NEVER, dtype=np.uint8) for _ in range(2)]
-    written = spark.createDataFrame([], "lang string, phrase string, size int, n long")
+    state: dict[int, str] = {}  # the folder with the blocks of each size
     for step in range(3 * p.shards):
-        due = [step < p.shards, *(bool(((x != _NEVER) & (x.astype(np.int16) > step - p.shards)).any()) for x in since)]
-        if not any(due):
+        due = {1: step < p.shards} | {k + 2: bool(((x != _NEVER) & (x.astype(np.int16) > step - p.shards)).any()) for k, x in enumerate(since)}
+        if not any(due.values()):
             break
         sent = [spark.sparkContext.broadcast(x.tobytes()) for x in since]
-        shard = spark.read.schema("lang binary, text binary, shard int").parquet(kept).filter(F.col("shard") == step % p.shards).select("lang", "text")
-        counts = shard.mapInArrow(lambda it, s=step, t=sent: _counts(it, s, p.shards, t, p.piece_bytes), "lang string, phrase string, size int, n long")
-        counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).write.partitionBy("size").parquet(f"{counted}/step={step}")
-        written = spark.read.schema("lang string, phrase string, n long, step int, size int").parquet(counted)
+        shard = texts.filter(F.col("shard") == step % p.shards).select("lang", "text")
+        blocks = shard.mapInArrow(lambda it, s=step, t=sent: _counts(it, s, p.shards, t, p, buckets), _BLOCK)
+        for size, path in state.items():
+            if due[size]:
+                blocks = blocks.unionByName(spark.read.schema(_BLOCK).parquet(path))
+        ordered = blocks.select("size", "bucket", "lang", "block").repartition("bucket").sortWithinPartitions("size", "bucket", "lang")
+        merged = ordered.mapInArrow(lambda it, t=sent: _merged(it, t, p.least), _BLOCK)
+        path = f"{base}/{step}"
+        merged.withColumn("part", F.col("size")).write.partitionBy("part").parquet(path)
+        done = spark.read.schema(f"{_BLOCK}, part int").parquet(path)
+        met = done.filter("slots is not null").select("part", "slots")
         for size in (1, 2):
-            if due[size - 1]:
-                frequent = written.filter(F.col("size") == size).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.least)
-                met = frequent.select(F.col("lang").cast("binary"), F.col("phrase").cast("binary")).mapInArrow(lambda it, z=size, t=sent[size - 1]: _slots_met(it, z, t), "slot int")
-                since[size - 1][met.distinct().toArrow().column(0).to_numpy()] = step + 1  # at most one row a slot
+            if due[size]:
+                slots = met.filter(F.col("part") == size).select("slots").mapInArrow(_slot_rows, "slot int").distinct()
+                since[size - 1][slots.toArrow().column(0).to_numpy()] = step + 1  # at most one row a slot
+        for size in (1, 2, 3):
+            if due[size] and not done.filter(F.col("part") == size).isEmpty():
+                if size in state:
+                    discard(spark, state[size])
+                state[size] = f"{path}/part={size}"
         for x in sent:
             x.destroy()
     discard(spark, kept)
-    total = written.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    words = materialize(total.filter("size = 1"), "words")
-    longer = materialize(total.filter((F.col("size") > 1) & (F.col("n") >= p.least)), "longer")
-    discard(spark, counted)
-    return words, longer
+    blocks = spark.createDataFrame([], _BLOCK)
+    for path in state.values():
+        blocks = blocks.unionByName(spark.read.schema(_BLOCK).parquet(path))
+    total = materialize(blocks.select("size", "lang", "block").mapInArrow(lambda it: _phrase_rows(it, p.least), "lang string, phrase string, size int, n long"), "counts")
+    discard(spark, base)
+    return total.filter("size = 1").select("lang", "phrase", "n"), total.filter("size > 1")
 
 
 # ---------------------------------------------------------------- scores
