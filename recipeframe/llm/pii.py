@@ -1,21 +1,27 @@
-"""Personal data by patterns, and the terms around it that give it away.
+"""Personal data by patterns, and the terms that give it away.
 
 Patterns find protected entities: e-mail and IP addresses, card and phone
-numbers. A term near an entity may name it as surely as its own text, so the
-corpus is asked how much each term tells: with ``M`` texts, ``n_t`` that hold the
-term, ``n_e`` that hold the entity and ``n_te`` where they stand together, the
-term's information about the entity, log2(n_te M / (n_t n_e)), is set against
+numbers. A term that stands in the same texts may name one as surely as its own
+text, so the corpus is asked how much each term tells, about each entity and
+about the groups it belongs to: the domain and the local part of an address, an
+IP network, a card's issuer, a phone number's country and area. With ``M`` texts,
+``n_t`` that hold the term, ``n_e`` that hold the entity and ``n_te`` that hold
+both, whoever reads the term expects the entity with probability
+(n_te + prior n_e / M) / (n_t + prior): what was counted, drawn towards what is
+expected of any text, so that a word met once tells less than one met often. The
+information that the term gives, log2 of this over n_e / M, is set against
 what there is to know, log2(M / n_e). From ``generalise_at`` of it a term is
-replaced by a general word, from ``remove_at`` it is removed, wherever it stands:
-in the texts that hold the entity and in those that only hold the term, where it
-tells as much. Pairs are learned from windows around entities, which keeps their
-number in proportion to the text; whole texts are searched for the terms found.
+replaced by a general word, from ``remove_at`` it is removed, wherever it stands.
+
+Counts are over whole texts. Only terms are paired with entities that stand
+mostly in texts with some entity: a term's expectation of one entity is never
+above that of any, so no pair that passes is lost. Exact copies are paired once,
+and count as often as they occur.
 
 Only DataFrame expressions are used. A pattern's matches are found by marking
 them with two private-use characters and splitting at these, which gives their
-places in code points. Term counts are combined before each shuffle, and pairs
-of terms and entities are counted only inside windows, never within a group. No
-text is shuffled, unless the texts with telling terms are too many to broadcast.
+places in code points. Counts are combined before each shuffle. No text is
+shuffled, unless the texts with telling terms are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -43,9 +49,9 @@ _SPAN = "struct<start:int,end:int,text:string>"
 
 @dataclass
 class DisclosureParameters:
-    window: int = 80  # code points to either side of an entity
-    least_letters: int = 4  # of a term
-    least_texts: int = 3  # where term and entity stand together
+    least_length: int = 4  # letters and digits of a term
+    prior: float = 1.0  # texts that count as if they held a term, and entities as any text does
+    least_expected: float = 0.6  # probability of an entity, given a term, from which the term tells of it
     generalise_at: float = 0.8
     remove_at: float = 0.9
     broadcast_rows: int = 100_000  # of terms, or of texts that hold some: beyond, they are joined by shuffles
@@ -118,58 +124,62 @@ def find_entities(docs: DataFrame, text: str = "_text") -> DataFrame:
 _EDGE = (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])")
 
 
-def _word(p: DisclosureParameters) -> str:
-    return rf"{_EDGE[0]}\p{{L}}{{{p.least_letters},}}+{_EDGE[1]}"
+#: Keys of an entity, by kind: SQL of its text x.text; a group's key is null where it has none.
+GROUPS = {
+    "email": ("concat('local:', substring_index(lower(x.text), '@', 1))", "concat('domain:', substring_index(lower(x.text), '@', -1))"),
+    "ip": ("concat('net:', substring_index(x.text, '.', 3))",),
+    "card": ("concat('issuer:', left(regexp_replace(x.text, '[ -]', ''), 6))",),
+    "phone": ("concat('country:', regexp_extract(x.text, '^[+][0-9]{1,3}', 0))", "concat('area:', left(regexp_replace(x.text, '[^0-9]', ''), 5))"),
+}
 
 
-def _near_terms(found: DataFrame, p: DisclosureParameters) -> DataFrame:
-    """``row, entity, term, start, end`` of the words in the windows around entities, outside of all entities."""
-    arrays = [F.expr(f"transform({k}, x -> struct(x.start AS start, x.end AS end, concat('{k}:', lower(x.text)) AS entity))") for k in KINDS]
-    one = found.withColumn("_all", F.concat(*arrays)).select("row", "_text", "_all", F.explode("_all").alias("_e"))
-    w = p.window
-    sides = one.select(
-        "row", "_all", F.col("_e.entity").alias("entity"),
-        F.explode(F.array(
-            F.struct(F.expr(f"greatest(_e.start - {w}, 0)").alias("at"), F.expr(f"substring(_text, greatest(_e.start - {w}, 0) + 1, least({w}, _e.start))").alias("side"), F.expr(f"_e.start > {w}").alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(F.col("_e.end").alias("at"), F.expr(f"substring(_text, _e.end + 1, {w})").alias("side"), F.lit(False).alias("cut_left"), F.expr(f"length(substring(_text, _e.end + 1, {w + 1})) > {w}").alias("cut_right")),
-        )).alias("_s"),
-    )
-    sides = sides.select("row", "_all", "entity", "_s.*")
-    words = sides.select("row", "_all", "entity", "at", "cut_left", "cut_right", F.length("side").alias("n"), F.explode(F.expr(_matches("side", _quoted(_word(p))))).alias("m"))
-    whole = words.filter("NOT (cut_left AND m.start = 0) AND NOT (cut_right AND m.end = n)")
-    out = whole.select("row", "_all", "entity", F.lower("m.text").alias("term"), F.expr("at + m.start").cast("int").alias("start"), F.expr("at + m.end").cast("int").alias("end"))
-    return out.filter("NOT exists(_all, x -> x.start < end AND x.end > start)").select("row", "entity", "term", "start", "end")
+def _keys(kind: str) -> str:
+    own = ", ".join((f"concat('{kind}:', lower(x.text))", *GROUPS[kind]))
+    return f"flatten(transform({kind}, x -> array({own})))"
 
 
-def _small(table: DataFrame, p: DisclosureParameters) -> DataFrame:
-    """A table to join to, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(table) if table.count() <= p.broadcast_rows else table
+def _terms(text: Column, p: DisclosureParameters) -> Column:
+    """The distinct runs of letters and digits of a text, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda x: F.length(x) >= p.least_length)
 
 
-def _words(docs: DataFrame, p: DisclosureParameters) -> DataFrame:
-    """``of`` (a hash of the text) and ``term``, for each distinct run of letters of each text."""
-    runs = docs.select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    return runs.filter(F.length("term") >= p.least_letters)
+def _masked(text: str) -> Column:
+    """A text with a blank line in place of each entity; where they overlap, of all that they cover."""
+    spans = ", ".join(f"transform({k}, x -> struct(x.start AS start, x.end AS end))" for k in KINDS)
+    fold = f"aggregate(array_sort(concat({spans})), struct(0 AS pos, '' AS out), (a, s) -> struct(greatest(a.pos, s.end) AS pos, IF(s.start > a.pos, concat(a.out, substring({text}, a.pos + 1, s.start - a.pos), '\n'), concat(a.out, '\n')) AS out), a -> concat(a.out, substring({text}, a.pos + 1)))"
+    return F.expr(fold)
 
 
-def _disclosing(near: DataFrame, found: DataFrame, docs: DataFrame, p: DisclosureParameters) -> DataFrame:
-    """``entity, term, action``: the pairs whose information passes a threshold."""
-    total = F.lit(float(max(docs.count(), 1)))
-    together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= p.least_texts)
-    entities = found.select("row", F.explode(F.array_distinct(F.concat(*[F.expr(f"transform({k}, x -> concat('{k}:', lower(x.text)))") for k in KINDS]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    seen = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+def _small(table: DataFrame, p: DisclosureParameters) -> DataFrame:
+    """A table to join to, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(table) if table.count() <= p.broadcast_rows else table
 
-    def share_of(n_t):
-        known = F.log2(total / F.col("n_e"))
-        return F.when(known > 0, F.log2(F.col("n_te") * total / (F.greatest(n_t, F.col("n_te")) * F.col("n_e"))) / known)
 
-    # a term is in no fewer texts than it was seen near entities: what fails by that count fails by the whole one
-    together = together.join(entities, "entity").join(seen, "term").filter(share_of(F.col("n_near")) >= p.generalise_at).drop("n_near")
-    together = materialize(together, "pairs")
-    texts = _words(docs, p).join(_small(together.select("term").distinct(), p), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    share = share_of(F.col("n_t"))
+def _disclosing(found: DataFrame, clear: DataFrame, p: DisclosureParameters) -> DataFrame:
+    """``entity, term, action``: the pairs whose information passes a threshold.
+
+    ``found``: ``of, words, keys`` of the texts with entities; ``clear``: ``words`` of the others.
+    """
+    texts = found.groupBy("of").agg(F.count("*").alias("m"), F.any_value("keys").alias("keys"), F.any_value("words").alias("words"))
+    texts = materialize(texts.select("m", "keys", "words"), "texts")
+    total = float((texts.agg(F.sum("m")).first()[0] or 0) + clear.count())
+    beside = texts.select(F.explode("words").alias("term"), F.col("m").alias("n_near"), F.col("m").alias("n"))
+    alone = clear.select(F.explode("words").alias("term"), F.lit(0).cast("long").alias("n_near"), F.lit(1).cast("long").alias("n"))
+    counted = beside.unionByName(alone).groupBy("term").agg(F.sum("n_near").alias("n_near"), F.sum("n").alias("n_t"))
+    # no entity is expected more than in as many of the term's texts as hold any, nor more than always
+    telling = counted.filter("n_near > 0").filter((F.col("n_near") + p.prior) / (F.col("n_t") + p.prior) >= p.least_expected).select("term", "n_t")
+    telling = materialize(telling, "terms")
+    entities = texts.select(F.explode("keys").alias("entity"), "m").groupBy("entity").agg(F.sum("m").alias("n_e"))
+    held = texts.select("keys", "m", F.explode("words").alias("term")).join(_small(telling, p), "term")
+    pairs = held.select(F.explode("keys").alias("entity"), "term", "n_t", "m").groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.max("n_t").alias("n_t"))
+    # the same bound for each pair, before entities are looked up
+    pairs = pairs.filter((F.col("n_te") + p.prior) / (F.col("n_t") + p.prior) >= p.least_expected)
+    among = F.col("n_e") / F.lit(total)
+    expected = (F.col("n_te") + p.prior * among) / (F.col("n_t") + p.prior)
+    known = -F.log2(among)
+    share = F.when(known > 0, F.log2(expected / among) / known)
     action = F.when(share >= p.remove_at, "remove").when(share >= p.generalise_at, "generalise")
-    return together.join(texts, "term").select("entity", "term", action.alias("action")).filter("action IS NOT NULL")
+    return pairs.join(entities, "entity").filter(expected >= p.least_expected).select("entity", "term", action.alias("action")).filter("action IS NOT NULL")
 
 
 def inspect_texts(docs: DataFrame, parameters: DisclosureParameters | None = None) -> DataFrame:
@@ -181,11 +191,16 @@ def inspect_texts(docs: DataFrame, parameters: DisclosureParameters | None = Non
     """
     p = parameters or DisclosureParameters()
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), plain(F.col("text")).alias("_text"), F.xxhash64("text").alias("of"), F.coalesce(may_hold("text"), F.lit(False)).alias("may"))
-    found = materialize(find_entities(own.filter("may").withColumn("row", F.monotonically_increasing_id())), "entities")
-    near = materialize(_near_terms(found, p), "near")
-    # a term that tells of two entities gets the stronger action: "remove" sorts last
-    telling = materialize(_disclosing(near, found, docs, p).groupBy("term").agg(F.max("action").alias("action")), "telling")
-    held = _words(docs, p).join(_small(telling, p), "term").groupBy("of").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("told"))
+    keys = F.expr(f"array_distinct(concat({', '.join(_keys(k) for k in KINDS)}))")
+    found = find_entities(own.filter("may")).withColumn("keys", keys)
+    found = materialize(found.withColumn("words", _terms(F.when(F.size("keys") > 0, _masked("_text")).otherwise(F.col("_text")), p)), "entities")
+    private = F.size("keys") > 0
+    rest = materialize(own.filter("NOT may").select("of", _terms(F.col("_text"), p).alias("words")), "words")
+    clear = found.filter(~private).select("of", "words").unionByName(rest)
+    # a term that tells of several entities gets the strongest action: "remove" sorts last
+    pairs = _disclosing(found.filter(private).select("of", "words", "keys"), clear, p)
+    telling = materialize(pairs.groupBy("term").agg(F.max("action").alias("action")), "telling")
+    held = found.select("of", "words").unionByName(rest).select("of", F.explode("words").alias("term")).join(_small(telling, p), "term").groupBy("of").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("told"))
     held = _small(materialize(held, "held"), p)
     none = [F.expr(f"CAST(array() AS array<{_SPAN}>)").alias(k) for k in KINDS]
     columns = ["own", "_text", "of", *KINDS]

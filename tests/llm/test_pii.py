@@ -2,6 +2,7 @@ import hashlib
 import re
 from math import log2
 
+import pytest
 import regex
 
 from recipeframe.llm.pii import KINDS, DisclosureParameters, report, sanitise
@@ -76,47 +77,76 @@ def test_telling_terms(spark):
     assert report(docs.limit(0)).count() == 0 and sanitise(docs.limit(0)).count() == 0
 
 
+def keys_of(kind, text):
+    low, digits = text.lower(), re.sub("[^0-9]", "", text)
+    groups = {
+        "email": lambda: ["local:" + low.split("@")[0], "domain:" + low.split("@")[-1]], "ip": lambda: ["net:" + ".".join(text.split(".")[:3])],
+        "card": lambda: ["issuer:" + digits[:6]], "phone": lambda: ["country:" + re.match("[+][0-9]{1,3}", text)[0], "area:" + digits[:5]],
+    }
+    return {f"{kind}:{low}", *groups[kind]()}
+
+
 def brute_force_terms(texts, p):
-    """Action of each term, by counting over plain Python sets."""
-    word = regex.compile(r"(?<![\p{L}\p{N}])\p{L}{%d,}+(?![\p{L}\p{N}])" % p.least_letters)
-    holds, near = {}, {}
+    """Action of each term, by counting over plain Python sets of texts."""
+    holds, terms = {}, {}
     for i, t in texts.items():
-        spans = [(a, b, k) for k, own in base(t).items() for a, b in own]
-        for a, b, k in spans:
-            entity = f"{k}:{t[a:b].lower()}"
-            holds.setdefault(entity, set()).add(i)
-            for m in word.finditer(t):
-                inside = a - p.window <= m.start() and m.end() <= a or b <= m.start() and m.end() <= b + p.window
-                # a word that a window's edge cuts off from its neighbours doesn't count
-                edge = m.end() == b + p.window and len(t) > b + p.window or m.start() == a - p.window and a > p.window
-                if inside and not edge and not any(x < m.end() and y > m.start() for x, y, _ in spans):
-                    near.setdefault((entity, m.group().lower()), set()).add(i)
-    words = [set(regex.split(r"[^\p{L}]+", t.lower())) for t in texts.values()]
+        cover = set()
+        for kind, own in base(t).items():
+            for a, b in own:
+                cover |= set(range(a, b))
+                for k in keys_of(kind, t[a:b]):
+                    holds.setdefault(k, set()).add(i)
+        masked = "".join("\n" if j in cover else c for j, c in enumerate(t))
+        for w in regex.split(r"[^\p{L}\p{N}]+", masked.lower()):
+            if len(w) >= p.least_length:
+                terms.setdefault(w, set()).add(i)
+    by_text = {}
+    for e, own in holds.items():
+        for i in own:
+            by_text.setdefault(i, []).append(e)
     out = {}
-    for (entity, term), both in near.items():
-        if len(both) >= p.least_texts:
-            n_t, known = max(sum(term in w for w in words), len(both)), log2(len(texts) / len(holds[entity]))
-            share = log2(len(both) * len(texts) / (n_t * len(holds[entity]))) / known if known > 0 else 0
-            if share >= p.generalise_at:
+    for term, own in terms.items():
+        for e in {e for i in own for e in by_text.get(i, [])}:
+            among = len(holds[e]) / len(texts)
+            expected = (len(own & holds[e]) + p.prior * among) / (len(own) + p.prior)
+            share = log2(expected / among) / -log2(among) if among < 1 else 0
+            if expected >= p.least_expected and share >= p.generalise_at:
                 out[term] = max(out.get(term, ""), "remove" if share >= p.remove_at else "generalise")
-    return out, word
-
-
-def test_terms_of_a_real_table_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
-    # copies of texts with personal data, so that their words stand by it often
-    some = docs.filter("contains(text, '@') OR text RLIKE '[+][0-9]'").limit(60)
-    copies = some.selectExpr("doc_id", "explode(sequence(1, 3)) AS k", "text").selectExpr("100000 + 10 * doc_id + k AS doc_id", "concat(text, ' copy', k) AS text")
-    docs = docs.select("doc_id", "text").unionByName(copies)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    p = DisclosureParameters()
-    want, word = brute_force_terms(texts, p)
-    assert len(want) > 50
-    for r in report(docs, p).collect():
-        t = texts[r.doc_id]
-        spans = [x for own in base(t).values() for x in own]
-        own = [(m.start(), m.end()) for m in word.finditer(t) if m.group().lower() in want and not any(x < m.end() and y > m.start() for x, y in spans)]
-        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")] == own, r.doc_id
+    return out
+
+
+def marked(t, want):
+    """Places of the terms outside of entities."""
+    spans = [x for own in base(t).values() for x in own]
+    words = regex.finditer(r"[\p{L}\p{N}]+", t)
+    return [(m.start(), m.end()) for m in words if m.group().lower() in want and not any(x < m.end() and y > m.start() for x, y in spans)]
+
+
+def spans_of(r):
+    return [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")]
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_terms_of_the_unmodified_tables_against_brute_force(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = brute_force_terms(texts, DisclosureParameters())
+    assert len(want) > 100
+    for r in report(docs).collect():
+        assert spans_of(r) == marked(texts[r.doc_id], want), r.doc_id
+
+
+def test_terms_far_away_of_groups_and_with_digits(spark):
+    """A project's name 600 code points from addresses that share a domain only; a badge number by phones of one area."""
+    rows = [(i, f"Zephyr{i % 2}falcon " + "filler words " * 50 + f" p{i}@falcon.example.org") for i in range(8)]
+    rows += [(20 + i, f"badge k7x9q2 and +49 30 12{i}45 67{i}9 call") for i in range(6)]
+    rows += [(100 + i, f"filler words badge number call {i} and other things") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    want = brute_force_terms(texts, DisclosureParameters())
+    assert {"zephyr0falcon", "zephyr1falcon", "k7x9q2"} <= set(want) and not {"filler", "words", "badge", "call"} & set(want)
+    for r in report(docs).collect():
+        assert spans_of(r) == marked(texts[r.doc_id], want)
 
 
 def test_odd_rows(spark):
