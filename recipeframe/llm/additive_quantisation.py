@@ -1,17 +1,24 @@
 """Nearest neighbours by additive quantisation with exact reranking.
 
 A vector is stored as one codeword from each of several full-dimensional
-codebooks, whose sum approximates it, and the squared norm of that sum. The
-codebooks are fitted on the residuals of those before, then all at once by least
-squares; vectors are encoded by beam search. For a query, one table of its inner
-products with all codewords makes every row's approximate distance a few table
-lookups. In each slab of rows the nearest by that estimate are reranked with
-their original vectors in double precision, and only those are merged.
+codebooks, whose sum approximates it, and the squared norm of that sum. Each
+codebook is fitted on the residuals of those before, then all are refined in
+turn, each on what the others leave; vectors are encoded by beam search. For a
+query, one table of its inner products with all codewords makes every row's
+approximate distance a few table lookups. The codes alone choose ``rerank`` rows
+of the whole table for each query; only these are fetched, and ranked by their
+original vectors in double precision.
+
+What a task sends for a query is bounded from above beforehand: a few thousand
+pilot rows tell the approximate distance within which a little more than
+``rerank`` rows of the table are expected. A query that gets fewer rows than it
+has to return is asked again without this bound.
 
 The codebooks come from a bounded sample (``sample_rows``); every row is indexed
 and searched. Queries come in blocks of about ``block_bytes`` of vectors, each
-broadcast by itself, against all rows. Vectors of different lengths have no
-distance; each length has an index of its own, and is searched by its own queries.
+broadcast by itself to a job over all codes, and released after it. Vectors of
+different lengths have no distance; each length has an index of its own, and is
+searched by its own queries.
 """
 
 from __future__ import annotations
@@ -24,18 +31,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from recipeframe.functions.shared import materialize
+from recipeframe.functions.shared import fresh_path, materialize
 
 
 @dataclass
 class QuantisationParameters:
-    books: int = 8
+    books: int = 16
     words: int = 256
     sample_rows: int = 16384
-    rounds: int = 6
+    rounds: int = 5  # of each codebook on residuals
+    passes: int = 1  # of refining all codebooks
     beam: int = 4
-    slab_rows: int = 8192
-    rerank: int = 1024  # rows of a slab that are reranked for each query
+    rerank: int = 256  # rows of the whole table that are reranked for each query, at least
+    rerank_roots: float = 2.0  # the same in square roots of the table's rows: the larger counts
+    pilot_rows: int = 4096
+    slab_rows: int = 8192  # rows that a task scores at once
+    task_lookups: int = 1 << 30  # table lookups of a search task, at about 2 ns each
     block_bytes: int = 32 << 20  # vectors of queries that are broadcast at once
 
 
@@ -67,17 +78,22 @@ def fit_codebooks(x: np.ndarray, p: QuantisationParameters) -> np.ndarray:
         books.append(book)
         rest = rest - book[_nearest(rest, book)]
     books = np.stack(books).astype(np.float32)
-    codes = encode(books, x, p.beam)
-    gram, right = np.zeros((p.books * words,) * 2), np.zeros((p.books * words, x.shape[1]))
-    for a in range(p.books):
-        for d in range(x.shape[1]):
-            right[a * words : (a + 1) * words, d] = np.bincount(codes[:, a], weights=x[:, d], minlength=words)
-        for b in range(p.books):
-            pair = np.bincount(codes[:, a].astype(np.int64) * words + codes[:, b], minlength=words * words)
-            gram[a * words : (a + 1) * words, b * words : (b + 1) * words] = pair.reshape(words, words)
-    ridge = 0.1 * np.eye(len(gram))
-    solved = np.linalg.solve(gram + ridge, right + 0.1 * books.reshape(-1, x.shape[1]))
-    return solved.reshape(books.shape).astype(np.float32)
+    for _ in range(p.passes):
+        codes = encode(books, x, p.beam)
+        rest = x - decode(books, codes)
+        for _ in range(4):
+            for m, book in enumerate(books):
+                code = codes[:, m]
+                own = rest + book[code]
+                n = np.bincount(code, minlength=words)
+                new = np.stack([np.bincount(code, weights=own[:, d], minlength=words) for d in range(x.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
+                books[m] = np.where(n[:, None] > 0, new, book)
+                rest = own - books[m][code]
+    return books
+
+
+def decode(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return sum(book[codes[:, m]] for m, book in enumerate(books))
 
 
 def encode(books: np.ndarray, x: np.ndarray, beam: int) -> np.ndarray:
@@ -106,114 +122,146 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _index(row: pa.Array, vec_id: pa.Array, x: np.ndarray, books: np.ndarray, beam: int) -> pa.RecordBatch:
+    codes = encode(books, x.astype(np.float32), beam)
+    norm = (decode(books, codes) ** 2).sum(1)
+    return pa.RecordBatch.from_arrays([row, vec_id, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["row", "vec_id", "codes", "norm"])
+
+
 def _encode(batches, books, beam):
     for b in batches:
         if b.num_rows:
-            x = _rows(b.column(2)).astype(np.float32)
-            codes = encode(books, x, beam)
-            norm = (sum(books[m][codes[:, m]] for m in range(len(books))) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["row", "vec_id", "vector", "codes", "norm"])
-
-
-def build_index(own: DataFrame, p: QuantisationParameters):
-    """Codebooks, and a table ``row, vec_id, vector, codes, norm`` of all of ``own``: ``row, vec_id, vector``, of one length."""
-    order = F.xxhash64("row", F.lit(5))
-    sample = own.select("vector", order.alias("at")).orderBy("at").limit(p.sample_rows).select("vector").toArrow()
-    books = fit_codebooks(_rows(sample.column("vector").combine_chunks()).astype(np.float32), p)
-    shared, beam = own.sparkSession.sparkContext.broadcast(books), p.beam
-    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "row long, vec_id long, vector array<double>, codes binary, norm float"
-    return books, materialize(own.repartition(parts, "row").mapInArrow(lambda it: _encode(it, shared.value, beam), schema), "index")
-
-
-def _smallest(scores: np.ndarray, k: int):
-    """Rows and columns of each row's ``k`` smallest entries; of equal ones the first."""
-    n = scores.shape[1]
-    if n <= k:
-        return np.repeat(np.arange(len(scores)), n), np.tile(np.arange(n), len(scores))
-    edge = np.partition(scores, k - 1, axis=1)[:, k - 1 : k]
-    inside = scores <= edge
-    over = np.flatnonzero(inside.sum(1) > k)
-    if len(over):  # ties at the edge: later ones go
-        tie = scores[over] == edge[over]
-        room = k - (scores[over] < edge[over]).sum(1, keepdims=True)
-        inside[over] &= ~tie | (np.cumsum(tie, axis=1) <= room)
-    return np.nonzero(inside)
-
-
-def _search(batches, books, ids, queries, p, k):
-    """The ``k`` nearest of the rows of some batches to each query: its row, its place among the queries, id, distance."""
-    if not len(ids):
-        return
-    best: list = []
-    words = books.reshape(-1, books.shape[2]).T
-
-    def slab(rows):
-        order = np.argsort(rows[1], kind="stable")
-        own, vec, x, codes, norm = (r[order] for r in rows)
-        for i in range(0, len(ids), 256):
-            part = slice(i, i + 256)
-            tables = (queries[part].astype(np.float32) @ words).reshape(-1, *books.shape[:2])
-            near = np.broadcast_to(norm[None], (len(tables), len(norm))).copy()
-            for m in range(len(books)):
-                near -= 2 * np.take(tables[:, m], codes[:, m], axis=1)
-            near[ids[part][:, None] == own[None]] = np.inf
-            q, r = _smallest(near, p.rerank)
-            fine = np.isfinite(near[q, r])
-            q, r = q[fine] + i, r[fine]
-            exact = np.sqrt(((queries[q] - x[r]) ** 2).sum(1))
-            at = np.lexsort((vec[r], exact, q))
-            q, r, exact = q[at], r[at], exact[at]
-            first = np.searchsorted(q, q)  # the query's first row
-            top = np.arange(len(q)) - first < k
-            best.append((q[top], vec[r[top]], exact[top]))
-
-    def merged():
-        q, v, s = (np.concatenate(x) for x in zip(*best, strict=True))
-        at = np.lexsort((v, s, q))
-        q, v, s = q[at], v[at], s[at]
-        top = np.arange(len(q)) - np.searchsorted(q, q) < k
-        best[:] = [(q[top], v[top], s[top])]
-
-    held, n, slabs = [], 0, 0
+            yield _index(b.column(0), b.column(1), _rows(b.column(2)), books, beam)
+
+
+def _scorer(books: np.ndarray, queries: np.ndarray):
+    """A function of codes and norms: squared approximate distances to the queries, less the queries' own norms."""
+    tables = (queries.astype(np.float32) @ books.reshape(-1, books.shape[2]).T).reshape(-1, *books.shape[:2])
+
+    def score(codes: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(tables), len(norm)), dtype=np.float32)
+        for m in range(tables.shape[1]):
+            out += np.take(tables[:, m], codes[:, m], axis=1)
+        return norm[None] - 2 * out
+
+    return score
+
+
+def _codes(column: pa.Array, books: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8 if books.shape[1] <= 256 else np.uint16).reshape(len(column), -1)
+
+
+def _bounds(batches, books, pilot, place):
+    """Add to ``row, vec_id, vector`` the score of the pilot row at ``place``, from 0."""
+    codes, norm = pilot
     for b in batches:
-        if not b.num_rows:
-            continue
-        codes = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8 if books.shape[1] <= 256 else np.uint16).reshape(b.num_rows, -1)
-        own, vec, norm = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
-        held.append((own, vec, _rows(b.column(2)), codes, norm))
-        n += b.num_rows
-        if n >= p.slab_rows:
-            slab([np.concatenate(x) for x in zip(*held, strict=True)])
-            held, n, slabs = [], 0, slabs + 1
-            if slabs % 8 == 0:
-                merged()
+        bound = np.full(b.num_rows, np.inf, dtype=np.float32)
+        if place < len(norm):
+            x = _rows(b.column(2)) if b.num_rows else np.zeros((0, books.shape[2]))
+            for i in range(0, len(x), 256):
+                bound[i : i + 256] = np.partition(_scorer(books, x[i : i + 256])(codes, norm), place, axis=1)[:, place]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound)], names=[*b.schema.names, "bound"])
+
+
+def _candidates(batches, books, rows, queries, bounds, quota, slab_rows):
+    """``query_row, row, near`` of up to ``quota`` nearest codes of some batches to each query, within its bound."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def trimmed():
+        q, r, s = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.lexsort((r, s, q))
+        q, r, s = q[at], r[at], s[at]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < quota
+        held[:] = [(q[top], r[top], s[top])]
+
+    waiting = 0
+    for b in batches:
+        codes = _codes(b.column(1), books) if b.num_rows else None
+        own, norm = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        for a in range(0, b.num_rows, slab_rows):
+            slab = slice(a, a + slab_rows)
+            for i in range(0, len(rows), 256):
+                part = slice(i, i + 256)
+                near = _scorer(books, queries[part])(codes[slab], norm[slab])
+                near[rows[part][:, None] == own[slab][None]] = np.inf
+                # a slab's own quota tells as well what can't be among the nearest
+                limit = bounds[part][:, None]
+                if near.shape[1] > quota:
+                    limit = np.minimum(limit, np.partition(near, quota - 1, axis=1)[:, quota - 1 : quota])
+                q, r = np.nonzero((near <= limit) & np.isfinite(near))
+                held.append((q + i, own[slab][r], near[q, r]))
+                waiting += len(q)
+            if waiting > 2_000_000:
+                trimmed()
+                waiting = len(held[0][0])
     if held:
-        slab([np.concatenate(x) for x in zip(*held, strict=True)])
-    if best:
-        merged()
-        q, v, s = best[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(s)], names=["query_row", "vec_id", "score"])
-
-
-def _search_length(own: DataFrame, k: int, every: int, p: QuantisationParameters) -> DataFrame | None:
-    """``query_row, query_id, vec_id, score`` of vectors of one length: what each task found for each query."""
-    asked = materialize(own.filter(F.col("vec_id") % every == 0), "queries")
-    n = asked.count()
-    if not n:
-        return None
-    spark = own.sparkSession
-    books, index = build_index(own, p)
-    blocks = -(-n * books.shape[2] * 8 // p.block_bytes)
-    shared, found = spark.sparkContext.broadcast(books), None
-    for i in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("row", F.lit(9)), F.lit(blocks)) == i).toArrow().combine_chunks()
-        if not block.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((block.column("row").to_numpy(), _rows(block.column("vector").combine_chunks())))
-        part = index.mapInArrow(lambda it, sent=sent: _search(it, shared.value, *sent.value, p, k), "query_row long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    return found.join(asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
+        trimmed()
+        q, r, s = held[0]
+        for i in range(0, len(q), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[q[part]]), pa.array(r[part]), pa.array(s[part])], names=["query_row", "row", "near"])
+
+
+def _exact(batches):
+    for b in batches:
+        if b.num_rows:
+            x, q = _rows(b.column(3)), _rows(b.column(4))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.sqrt(((q - x) ** 2).sum(1)))], names=[*b.schema.names[:3], "score"])
+
+
+class Index:
+    """Codes of all of ``own``: ``row, vec_id, vector``, of one length."""
+
+    def __init__(self, own: DataFrame, p: QuantisationParameters):
+        self.own, self.p = own, p
+        # by content, so that the codebooks don't depend on how rows are dealt to tasks
+        order = F.struct(F.xxhash64("vec_id", "vector"), "row")
+        sample = own.select("vector", order.alias("at")).orderBy("at").limit(p.sample_rows).select("vector").toArrow()
+        self.books = fit_codebooks(_rows(sample.column("vector").combine_chunks()).astype(np.float32), p)
+        self.shared, beam = own.sparkSession.sparkContext.broadcast(self.books), p.beam
+        self.codes = materialize(own.mapInArrow(lambda it, books=self.shared: _encode(it, books.value, beam), "row long, vec_id long, codes binary, norm float"), "index")
+        self.rows = self.codes.count()
+        self.quota = max(p.rerank, int(p.rerank_roots * self.rows**0.5))
+
+    def bounded(self, asked: DataFrame) -> DataFrame:
+        """Add ``bound`` to queries ``row, vec_id, vector``."""
+        p = self.p
+        pilot = self.codes.orderBy(F.xxhash64(F.lit(3), "vec_id", "codes"), "row").limit(p.pilot_rows).select("codes", "norm").toArrow().combine_chunks()
+        expected = self.quota * pilot.num_rows / max(self.rows, 1)
+        place = int(expected + 4 * expected**0.5 + 5) if self.rows > pilot.num_rows else pilot.num_rows
+        own = (_codes(pilot.column(0), self.books), pilot.column(1).to_numpy())
+        return asked.mapInArrow(lambda it, books=self.shared: _bounds(it, books.value, own, place), "row long, vec_id long, vector array<double>, bound float")
+
+    def candidates(self, asked: DataFrame) -> DataFrame:
+        """``query_row, row``: for each of ``row, vector, bound`` the ``quota`` rows of the whole table whose codes are nearest."""
+        p, spark, n, quota = self.p, self.own.sparkSession, asked.count(), self.quota
+        blocks = max(1, -(-n * self.books.shape[2] * 8 // p.block_bytes))
+        parts = max(1, -(-self.rows * min(n, -(-n // blocks)) * len(self.books) // p.task_lookups))
+        index, path = self.codes.select("row", "codes", "norm").repartition(parts), fresh_path(spark, "candidates")
+        for i in range(blocks):
+            block = asked.filter(F.pmod(F.xxhash64("row", F.lit(9)), F.lit(blocks)) == i).select("row", "vector", "bound").toArrow().combine_chunks()
+            if not block.num_rows:
+                continue
+            sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), _rows(block.column(1).combine_chunks()), block.column(2).to_numpy()))
+            found = index.mapInArrow(lambda it, books=self.shared, sent=sent: _candidates(it, books.value, *sent.value, quota, p.slab_rows), "query_row long, row long, near float")
+            found.write.mode("append").parquet(path)
+            sent.destroy()
+        near = W.partitionBy("query_row").orderBy("near", "row")
+        every = spark.read.schema("query_row long, row long, near float").parquet(path)
+        return every.withColumn("_place", F.row_number().over(near)).filter(F.col("_place") <= quota).select("query_row", "row")
+
+    def search(self, k: int, asked: DataFrame) -> DataFrame:
+        """``query_row, query_id, vec_id, score`` of the rows reranked for each of ``row, vec_id, vector``."""
+        bounded = materialize(self.bounded(asked), "queries")
+        found = materialize(self.candidates(bounded), "candidates")
+        enough = found.groupBy("query_row").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, self.rows - 1))
+        short = materialize(bounded.join(enough.select(F.col("query_row").alias("row")), "row", "left_anti").withColumn("bound", F.lit(float("inf")).cast("float")), "short")
+        if not short.isEmpty():
+            again = short.select(F.col("row").alias("query_row"))
+            found = found.join(again, "query_row", "left_anti").unionByName(self.candidates(short))
+        of = bounded.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+        both = found.join(self.own, "row").join(of, "query_row").select("query_row", "query_id", "vec_id", "vector", "query")
+        return both.mapInArrow(_exact, "query_row long, query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, p: QuantisationParameters | None = None, vector: str = "embedding") -> DataFrame:
@@ -232,9 +280,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, p: QuantisationPa
     own = materialize(own.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "vector"), "vectors")
     found = None
     for length in sorted(r[0] for r in own.select(F.size("vector")).distinct().collect()):
-        part = _search_length(own.filter(F.size("vector") == length), k, every, p)
-        if part is not None:
-            found = part if found is None else found.unionByName(part)
+        rows = own.filter(F.size("vector") == length)
+        asked = materialize(rows.filter(F.col("vec_id") % every == 0), "asked")
+        if asked.isEmpty():
+            continue
+        part = Index(rows, p).search(k, asked)
+        found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = W.partitionBy("query_row").orderBy("score", "vec_id")

@@ -1,10 +1,7 @@
-import os
-
 import numpy as np
-import pyarrow as pa
-import pytest
+from pyspark.sql import functions as F
 
-from recipeframe.llm.additive_quantisation import QuantisationParameters, _search, encode, fit_codebooks, nearest
+from recipeframe.llm.additive_quantisation import Index, QuantisationParameters, encode, fit_codebooks, nearest
 
 
 def brute(rows, every=100, k=10):
@@ -61,29 +58,53 @@ def test_each_length_is_searched(spark):
     assert got == want  # so few rows are all reranked
 
 
-def test_recall_in_full_slabs(spark):
-    """One task that holds 50,000 rows, so that few of each slab are reranked."""
-    path = "/root/testdata/check_l/embeddings.parquet"
-    if not os.path.exists(path):
-        pytest.skip("the larger tables aren't here")
-    table = spark.read.parquet(path).filter("embedding IS NOT NULL").orderBy("vec_id").limit(50_000).toArrow()
-    ids, x = table.column("vec_id").to_numpy(), np.stack(table.column("embedding").to_numpy()).astype(np.float64)
-    p = QuantisationParameters()
-    fine = np.isfinite(x).all(1) & (x != 0).any(1)
-    ids, x = ids[fine], x[fine]
-    books = fit_codebooks(x[np.random.default_rng(1).choice(len(x), p.sample_rows, replace=False)].astype(np.float32), p)
-    codes = encode(books, x.astype(np.float32), p.beam)
-    norm = (sum(books[m][codes[:, m]] for m in range(p.books)) ** 2).sum(1).astype(np.float32)
-    asked = np.flatnonzero(ids % 100 == 0)[:300]
-    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.array(ids), pa.array(list(x), pa.list_(pa.float64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["row", "vec_id", "vector", "codes", "norm"])
-    slabs = [batch.slice(i, p.slab_rows) for i in range(0, len(ids), p.slab_rows)]
-    found = next(_search(iter(slabs), books, asked, x[asked], p, 10)).to_pydict()
-    got = {q: set() for q in asked.tolist()}
-    for q, v in zip(found["query_row"], found["vec_id"]):
-        got[q].add(v)
-    hits = 0
-    for q in asked:
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        d[q] = np.inf
-        hits += len(got[q] & set(ids[np.argsort(d, kind="stable")[:10]].tolist()))
-    assert hits >= 0.95 * 10 * len(asked)
+def found_by(df, p=None):
+    out = {}
+    for r in nearest(df, p=p).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_codes_choose_among_50_000_rows(spark):
+    """Vectors without any structure, the hardest case: one per cent of the rows is reranked, whatever the partitions."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(1, 50_001)
+    ids[:400] = np.arange(1, 401) * 1000  # 400 queries
+    ids[400:] = np.setdiff1d(np.arange(1, 200_000), np.arange(0, 500_000, 100))[: 49_600]
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": list(x)}))
+    one, many = found_by(df.coalesce(1)), found_by(df.repartition(64))
+    assert one == many and len(one) == 400
+    hits, at = 0, {int(i): k for k, i in enumerate(ids)}
+    for q, own in one.items():
+        d = np.sqrt(((x - x[at[q]]) ** 2).sum(1))
+        d[at[q]] = np.inf
+        hits += len({int(ids[i]) for i in np.argsort(d, kind="stable")[:10]} & {v for v, _ in own})
+        assert all(abs(s - d[at[v]]) < 1e-12 for v, s in own)
+    assert hits >= 0.95 * 4000
+    own = df.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding").toDF("row", "vec_id", "vector")
+    index = Index(own, QuantisationParameters())
+    reranked = index.search(10, own.filter("vec_id % 100 = 0")).groupBy("query_row").count().agg(F.max("count"), F.count("*")).first()
+    assert index.quota <= 500 and tuple(reranked) == (index.quota, 400)
+
+
+def test_blocks_of_queries_and_few_pilots_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    p = QuantisationParameters(rerank=64, rerank_roots=0, block_bytes=6 * 8 * 7, pilot_rows=200, slab_rows=100, task_lookups=1 << 14)
+    got = found_by(df, p)
+    assert got == found_by(df, QuantisationParameters(rerank=64, rerank_roots=0)) and len(got) == 30 and all(len(v) == 10 for v in got.values())
+
+
+def test_queries_that_a_bound_leaves_short_are_asked_again(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 4)))]
+    own = spark.createDataFrame(rows, "vec_id long, vector array<double>").select(F.col("vec_id").alias("row"), "vec_id", "vector")
+    index = Index(own, QuantisationParameters(rerank=20, rerank_roots=0))
+    index.bounded = lambda asked: asked.withColumn("bound", F.lit(float("-inf")).cast("float"))
+    found = index.search(10, own.filter("vec_id % 100 = 0")).groupBy("query_row").count().collect()
+    assert [r["count"] for r in found] == [20] * 6
