@@ -38,6 +38,14 @@ class MixParameters:
     most_leaves: int = 1_000_000
 
 
+#: Targets of the query and the pipeline, at each of the three levels: two web tokens for each curated one, half of all English,
+#: and in the English web twice as many tokens of the first sources as of others. Other siblings weigh 1.
+TARGET_WEIGHTS = {
+    ("web",): 2.0, ("curated",): 1.0,
+    ("web", "en"): 3.0, ("curated", "en"): 3.0,
+    ("web", "en", "src0"): 2.0, ("web", "en", "src1"): 2.0, ("web", "en", "src2"): 2.0,
+}
+
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 

@@ -16,7 +16,7 @@ from recipeframe.llm.conversation_trie import SQL as TRIE_SQL
 from recipeframe.llm.conversation_trie import conversation_trie
 from recipeframe.llm.decontamination import find_contamination
 from recipeframe.llm.licenses import scan as scan_licenses
-from recipeframe.llm.mixing import mix, with_domain
+from recipeframe.llm.mixing import TARGET_WEIGHTS, MixParameters, mix, with_domain
 from recipeframe.llm.phrases import SQL as PHRASE_SQL
 from recipeframe.llm.phrases import collocations
 from recipeframe.llm.pii import report as report_pii
@@ -68,7 +68,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(with_domain(_table(spark, sf_dir, "documents")))
+    return mix(with_domain(_table(spark, sf_dir, "documents")), MixParameters(weights=TARGET_WEIGHTS))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +158,11 @@ SQL: dict[str, str] = {
         dm AS (SELECT domain, (k + sd * m) / (n + sd) AS m FROM d JOIN sm USING (suffix), z),
         hm AS (SELECT host, (k + sh * m) / (n + sh) AS m, n + sh AS total FROM h JOIN dm USING (domain), z),
         ab AS (SELECT host, m * total AS a, total - m * total AS b FROM hm),
-        -- the beta distribution below and above the limit of 0.3: each integral is taken over a power of its variable, where it has no pole
+        -- the beta distribution below and above twice the rate of all pages: each integral is taken over a power of its variable, where it has no pole
         hb AS (
-            SELECT host, list_sum(list_transform(range(4000), lambda i: pow(1 - pow((i + 0.5) / 4000 * pow(0.3, a), 1 / a), b - 1))) * pow(0.3, a) / a AS under,
-                   list_sum(list_transform(range(4000), lambda i: pow(1 - pow((i + 0.5) / 4000 * pow(0.7, b), 1 / b), a - 1))) * pow(0.7, b) / b AS over, a, b FROM ab
+            SELECT host, list_sum(list_transform(range(4000), lambda i: pow(1 - pow((i + 0.5) / 4000 * pow(x, a), 1 / a), b - 1))) * pow(x, a) / a AS under,
+                   list_sum(list_transform(range(4000), lambda i: pow(1 - pow((i + 0.5) / 4000 * pow(1 - x, b), 1 / b), a - 1))) * pow(1 - x, b) / b AS over, a, b, x
+            FROM ab, (SELECT least(2 * top, 0.95) AS x FROM z)
         ),
         f AS (
             SELECT page_id, host, path, CASE
@@ -171,7 +172,7 @@ SQL: dict[str, str] = {
                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
             FROM p
         )
-        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN under <= 0.1 * (under + over) AND a >= 0.3 * (a + b) THEN 'block' ELSE 'allow' END AS verdict
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN under <= 0.1 * (under + over) AND a >= x * (a + b) THEN 'block' ELSE 'allow' END AS verdict
         FROM f JOIN hb USING (host)
     """,
 }

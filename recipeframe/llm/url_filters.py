@@ -6,7 +6,7 @@ towards the rate of all pages, by beta-binomial priors. A prior's strength comes
 from the data: the more the units of a level differ beyond chance, the weaker.
 A host is blocked if even the lower bound of its posterior rate, a quantile of
 the beta distribution (or the mean, if that is lower), is too high, so a host with few labels is never blocked by
-bad luck.
+bad luck. Too high means ``limit_ratio`` times the rate of all labelled pages.
 
 Which suffixes have two labels is a table (``suffixes``, short or of any size); a
 two-label ending also counts as one where the pages show it: at least
@@ -40,7 +40,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass
 class ReputationParameters:
     below: float = 0.1  # probability that a rate is below its lower bound
-    limit: float = 0.3  # least bad rate that is blocked
+    limit_ratio: float = 2.0  # least bad rate that is blocked, in rates of all labelled pages
+    most_limit: float = 0.95  # and where that is more than this: this
     least_correlation: float = 0.001
     most_correlation: float = 0.5
     suffixes: tuple = TWO_LABELS
@@ -131,7 +132,7 @@ def _strength(groups: DataFrame, p: ReputationParameters) -> tuple[float, float,
 
 
 def reputation(pages: DataFrame, p: ReputationParameters | None = None) -> DataFrame:
-    """Posterior of each host: ``host, n_pages, n, k, mean, bound``.
+    """Posterior of each host: ``host, n_pages, n, k, mean, bound``, and the ``limit`` that all share.
 
     ``pages`` has ``host`` and ``bad`` (1, 0, or null for pages without a label).
     Hosts without labels have their domain's posterior mean and the prior's width.
@@ -159,7 +160,8 @@ def reputation(pages: DataFrame, p: ReputationParameters | None = None) -> DataF
     full = lookup_join(hosts, domain_mean, "domain", hot_keys(domains, "domain", "members"))
     a, total = F.col("k") + s_host * F.col("prior"), F.col("n") + s_host
     rows = full.select("host", "n_pages", "n", "k", (a / total).alias("mean"), a.alias("_a"), (total - a).alias("_b"))
-    return rows.mapInArrow(lambda it: _bounds(it, p.below), "host string, n_pages long, n long, k long, mean double, bound double")
+    bounds = rows.mapInArrow(lambda it: _bounds(it, p.below), "host string, n_pages long, n long, k long, mean double, bound double")
+    return bounds.withColumn("limit", F.lit(min(p.limit_ratio * top, p.most_limit)))
 
 
 def _two_label_suffixes(hosts: DataFrame, p: ReputationParameters) -> DataFrame:
@@ -176,7 +178,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, p: ReputationParameters | None
 
     ``outcomes`` has ``page_id`` and ``bad`` (the larger counts if an id repeats).
     The longest fitting rule decides; else the host is blocked if its posterior's
-    lower bound is at least ``limit``. Null urls and urls without ``://`` belong to
+    lower bound is at least the limit. Null urls and urls without ``://`` belong to
     the empty host, which is judged like any other. Repeated rows and null ids
     give a row each; a null id has no outcome. An empty table gives an empty result.
     """
@@ -185,7 +187,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, p: ReputationParameters | None
     labelled = own.join(outcomes.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id", "left")
     known = materialize(reputation(labelled, p), "reputation")
     known = materialize(known.join(host_rules(known.select("host"), rules), "host", "left"), "judged-hosts")
-    found = lookup_join(own, known.select("host", "bound", "rules"), "host", hot_keys(known, "host", "n_pages"))
+    found = lookup_join(own, known.select("host", "bound", "limit", "rules"), "host", hot_keys(known, "host", "n_pages"))
     first = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1))
-    by_host = F.when(F.col("bound") >= p.limit, "block").otherwise("allow")
+    by_host = F.when(F.col("bound") >= F.col("limit"), "block").otherwise("allow")
     return found.select("page_id", "host", "path", first["rule"].alias("rule"), F.coalesce(first["kind"], by_host).alias("verdict"))

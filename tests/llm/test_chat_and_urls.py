@@ -94,3 +94,21 @@ def test_many_rules(spark):
     pages = spark.createDataFrame([(0, "http://a.h1499.net/"), (1, "http://h7.net/ok/1"), (2, "http://q.net/x/"), (3, "http://q.net/")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in judge(pages, spark.createDataFrame([], "page_id long, bad int"), rules=rules).collect()}
     assert got == {0: ("h1499.net/", "block"), 1: ("h7.net/ok/", "allow"), 2: ("net/x/", "block"), 3: (None, "allow")}
+
+
+def test_bad_hosts_of_the_given_pages_are_blocked(spark):
+    """Pages of hosts with telling names are labelled bad, one in fifteen of the others; half of the labels are held back."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    own = split_urls(pages)
+    worse = F.col("host").rlike("spam|adult")
+    outcomes = own.filter("page_id % 2 = 0").select("page_id", F.when(worse, 1).otherwise((F.col("page_id") % 30 == 0).cast("int")).alias("bad"))
+    known = {r.host: r for r in reputation(own.join(outcomes, "page_id", "left")).collect()}
+    judged = judge(pages, outcomes).filter("rule IS NULL").join(own.select("page_id", worse.alias("worse")), "page_id").collect()
+    blocked = [r for r in judged if r.verdict == "block"]
+    assert blocked and all(known[r.host].bound >= known[r.host].limit for r in blocked)
+    assert all(known[r.host].bound < known[r.host].limit for r in judged if r.verdict == "allow")
+    assert sum(r.worse for r in blocked) >= 0.9 * len(blocked) and any(known[r.host].n < known[r.host].n_pages for r in blocked)
+    # with a limit below the rate of all pages the query's own labels block hosts, too
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    strict = judge(pages, labels, ReputationParameters(limit_ratio=0.9)).filter("rule IS NULL")
+    assert strict.filter("verdict = 'block'").count() > 0 and strict.filter("verdict = 'allow'").count() > 0

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from recipeframe.llm.mixing import MixParameters, budgets, cut_text, mix, pour, with_domain
+from recipeframe.llm.mixing import TARGET_WEIGHTS, MixParameters, budgets, cut_text, mix, pour, with_domain
 
 SCHEMA = "doc_id long, text string, lang string, source string, place string, n_tokens string"
 
@@ -69,3 +69,36 @@ def test_texts_are_cut_after_a_token(spark):
     for t, n, c in got:
         m = [x.end() for x in re.finditer("[^\\x20\\x09-\\x0D]+", t)]
         assert c == (t[: m[n - 1]] if n <= len(m) else t)
+
+
+def test_target_weights_over_the_table(spark):
+    """The query's unequal weights over sf0.01, against budgets worked out from plain Python counts."""
+    docs = with_domain(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    p = MixParameters(weights=TARGET_WEIGHTS)
+    supply = {}
+    for r in docs.collect():
+        n = len([w for w in re.split("[\\x20\\x09-\\x0D]+", r.text or "") if w])
+        if n:
+            leaf = (r.domain, r.lang or "", r.source or "")
+            supply[leaf] = supply.get(leaf, 0) + n
+    taken = {tuple(r[:3]): r[3] for r in mix(docs, p).groupBy("domain", "lang", "source").agg(F.sum("take_tokens")).collect()}
+    total = int(sum(supply.values()) * p.share)
+    assert sum(taken.values()) == total
+
+    def shares(level, within, amount):
+        """What the children of a node get by their weights alone, if none of them is short."""
+        names = sorted({leaf[: level + 1] for leaf in supply if leaf[:level] == within})
+        weight = {n: TARGET_WEIGHTS.get(n, 1.0) for n in names}
+        room = {n: p.most_epochs * sum(v for k, v in supply.items() if k[: level + 1] == n) for n in names}
+        want = {n: amount * w / sum(weight.values()) for n, w in weight.items()}
+        return want if all(want[n] <= room[n] for n in names) else None
+
+    met = 0
+    for level, within in [(0, ()), *[(1, (d,)) for d in ("web", "curated")], *sorted({(2, k[:2]) for k in supply})]:
+        got = lambda n: sum(v for k, v in taken.items() if k[: len(n)] == n)
+        want = shares(level, within, got(within) if within else total)
+        if want:
+            met += 1
+            assert all(abs(got(n) - w) <= len(want) for n, w in want.items()), (within, want)
+    assert met >= 4 and len({TARGET_WEIGHTS.get(k, 1.0) for k in supply}) > 1
+    assert budgets(supply, p) == {k: taken.get(k, 0) for k in supply}
