@@ -18,7 +18,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as G
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Binarizer, MaxAbsScaler, MinMaxScaler, PCA, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Binarizer, MaxAbsScaler, MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +158,41 @@ def moments(df: DataFrame, columns: list[str], by: str | None = None) -> dict:
     return {g: (float(p[0, 0]), p[0, 1:], p[1:, 1:]) for g, p in full.items()}
 
 
+def _vector_sums(batches, shift: np.ndarray):
+    """Row number, sums and second moments of vectors less ``shift``, of each task."""
+    total = np.zeros((len(shift) + 1,) * 2)
+    for b in batches:
+        if b.num_rows:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - shift
+            full = np.hstack([np.ones((len(x), 1)), x])
+            total += full.T @ full
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "value"])
+
+
+def vector_moments(df: DataFrame, vector: str, centred: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, means, and the sums of outer products of vectors (``centred``: about their means); null vectors don't count.
+
+    Sums are taken about the first row, so that large means don't swallow small spreads.
+    """
+    own = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v IS NOT NULL")
+    first = own.first()
+    if first is None:
+        return 0.0, np.zeros(0), np.zeros((0, 0))
+    shift = np.array(first["v"], dtype=np.float64) if centred else np.zeros(len(first["v"]))
+    k, out = len(shift) + 1, np.zeros((len(shift) + 1) ** 2)
+    for r in own.mapInArrow(lambda it: _vector_sums(it, shift), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out[r["at"]] = r["value"]
+    full = out.reshape(k, k)
+    n, s = full[0, 0], full[0, 1:]
+    return float(n), shift + s / n, full[1:, 1:] - np.outer(s, s) / n if centred else full[1:, 1:]
+
+
+def project(c: Column, weights: np.ndarray) -> Column:
+    """A vector times a matrix (features by components) of literals."""
+    dot = lambda w: F.aggregate(F.zip_with(c, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    return F.array(*[dot(weights[:, i]) for i in range(weights.shape[1])])
+
+
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 0.0) -> tuple[float, np.ndarray]:
     """Intercept and coefficients of least squares with an L2 penalty, from the normal equations."""
     k = len(features)
@@ -352,15 +387,26 @@ def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, least: int) -> D
     return full.select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def principal_components(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[float]]:
-    """Centred projections on the first ``k`` components (largest weight positive) and their explained shares."""
-    own = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    centred = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(own).transform(own)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    weights = model.pc.toArray()
-    signs = [float(np.sign(weights[np.abs(weights[:, i]).argmax(), i]) or 1.0) for i in range(k)]
-    projected = F.zip_with(vector_to_array("_p"), F.array(*[F.lit(s) for s in signs]), lambda a, s: a * s)
-    return model.transform(centred).withColumn("components", projected).drop("_v", "_c", "_p"), [float(x) for x in model.explainedVariance.toArray()]
+def principal_components(df: DataFrame, vector: str, k: int | float) -> tuple[DataFrame, list[float]]:
+    """Centred projections on the first ``k`` components (largest weight positive) and their explained shares.
+
+    ``k`` below one is a share of the variance: the fewest components that explain more than it.
+    The components are eigenvectors of the covariance, whose sums are one aggregate.
+    """
+    n, mean, scatter = vector_moments(df, vector)
+    if n < 2:
+        raise ValueError("components need at least two rows")
+    values, vectors = np.linalg.eigh(scatter)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    share = values / values.sum() if values.sum() > 0 else np.zeros_like(values)
+    if 0 < k < 1:
+        k = min(int(np.searchsorted(np.cumsum(share), k, side="right")) + 1, len(share))
+    if not 1 <= int(k) <= len(share):
+        raise ValueError(f"components must be a share below one, or a number from 1 to {len(share)}")
+    weights = vectors[:, : int(k)]
+    weights = weights * np.where(weights[np.abs(weights).argmax(axis=0), range(weights.shape[1])] < 0, -1.0, 1.0)
+    centred = F.zip_with(F.transform(vector, lambda x: x.cast("double")), F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)
+    return df.withColumn("components", project(centred, weights)), [float(x) for x in share[: int(k)]]
 
 
 def synthetic_gaussian(df: DataFrame, columns: list[str], rows: int, seed: int = 42, correlated: bool = True) -> DataFrame:

@@ -211,12 +211,35 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("mi", F.coalesce(F.try_divide("mi", (F.col("hna") + F.col("hnb")) / 2), F.lit(0.0)).alias("nmi"))
 
 
+def pairwise_information(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``left, right, n, mi, nmi`` of every two discrete columns, over the rows where both are present.
+
+    All pairs' cells are counted in one pass and one shuffle; a row sends a cell for each
+    pair, which are summed up in its task first. Sums by row and column of a pair's cells, of which there
+    are as many as pairs of values that occur, follow from these counts.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, n long, mi double, nmi double")
+    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")) for a, b in pairs])
+    keys = ["left", "right"]
+    joint = df.select(F.explode(F.filter(cells, lambda c: c["a"].isNotNull() & c["b"].isNotNull())).alias("c")).select("c.*").groupBy(*keys, "a", "b").agg(F.count("*").alias("c"))
+    joint = materialize(joint, "joint")
+    na, nb = (joint.groupBy(*keys, x).agg(F.sum("c").alias(f"n{x}")) for x in ("a", "b"))
+    total = joint.groupBy(*keys).agg(F.sum("c").alias("n"))  # a row for each pair
+    share = F.col("c") / F.col("n")
+    mi = joint.join(na, [*keys, "a"]).join(nb, [*keys, "b"]).join(F.broadcast(total), keys).groupBy(*keys, "n").agg(F.sum(share * F.ln(F.col("c") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mi"))
+    entropy = lambda t, x: t.join(F.broadcast(total), keys).groupBy(*keys).agg((-F.sum(F.col(f"n{x}") / F.col("n") * F.ln(F.col(f"n{x}") / F.col("n")))).alias(f"h{x}"))
+    both = mi.join(entropy(na, "a"), keys).join(entropy(nb, "b"), keys)
+    return both.select(*keys, "n", "mi", F.coalesce(F.try_divide("mi", (F.col("ha") + F.col("hb")) / 2), F.lit(0.0)).alias("nmi"))
+
+
 def association_matrix(pairs: DataFrame, metric: str, columns: list[str]) -> DataFrame:
     """Symmetric cells ``left, right, value, strength`` (0 to 4, of the strongest)."""
-    own = pairs.filter(F.col("left").isin(*columns) & F.col("right").isin(*columns)).select("left", "right", F.col(metric).alias("value"))
+    own = materialize(pairs.filter(F.col("left").isin(*columns) & F.col("right").isin(*columns)).select("left", "right", F.col(metric).alias("value")), "cells")  # sums in another order differ in their last bits
     both = own.unionByName(own.select(F.col("right").alias("left"), F.col("left").alias("right"), "value"))
     peak = float(own.agg(F.max(F.abs("value"))).first()[0] or 0.0)
-    strength = F.when(F.lit(peak) > 0, F.ceil(4 * F.abs("value") / F.lit(peak or 1.0))).otherwise(0)
+    strength = F.when(F.lit(peak) > 0, F.least(F.ceil(4 * F.abs("value") / F.lit(peak or 1.0)), F.lit(4))).otherwise(0)
     return both.withColumn("strength", F.coalesce(strength.cast("int"), F.lit(0)))
 
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.recommendation import ALS
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from recipeframe.functions.ranks import numbered, running_sum
-from recipeframe.functions.shared import materialize
-from recipeframe.operators.models import moments
+from recipeframe.functions.shared import fresh_path, materialize
+from recipeframe.operators.models import moments, project as _project, vector_moments
 
 MOST_QUERIES = 10_000
 
@@ -20,32 +20,8 @@ def _doubles(c: str) -> Column:
 
 
 def gram(df: DataFrame, vector: str) -> np.ndarray:
-    """Sum of the outer products of a vector column: added up in each task, then by matrix row; features squared in size."""
-
-    def part(frames):
-        total = None
-        for f in frames:
-            if len(f):
-                x = np.stack(f["v"].to_numpy())
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            import pandas as pd
-
-            yield pd.DataFrame({"i": range(len(total)), "g": list(total)})
-
-    parts = df.select(_doubles(vector).alias("v")).filter("v IS NOT NULL").mapInPandas(part, "i int, g array<double>")
-    rows = parts.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    k = max((r["i"] for r in rows), default=-1) + 1
-    out = np.zeros((k, k))
-    for r in rows:
-        out[r["i"], r["j"]] = r["x"]
-    return out
-
-
-def _project(c: Column, weights: np.ndarray) -> Column:
-    """A vector times a matrix (features by components) of literals."""
-    dot = lambda w: F.aggregate(F.zip_with(c, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    return F.array(*[dot(weights[:, i]) for i in range(weights.shape[1])])
+    """Sum of the outer products of a vector column; features squared in size."""
+    return vector_moments(df, vector, centred=False)[2]
 
 
 def truncated_svd(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[float]]:
@@ -59,24 +35,77 @@ def truncated_svd(df: DataFrame, vector: str, k: int) -> tuple[DataFrame, list[f
 
 def pca_restored(df: DataFrame, vector: str, k: int) -> DataFrame:
     """``components`` and ``restored``: the rows built again from ``k`` centred components."""
-    n = df.count()
-    mean = np.array([r["m"] for r in df.select(F.posexplode(_doubles(vector)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()])
-    values, vectors = np.linalg.eigh(gram(df, vector) - n * np.outer(mean, mean))
+    _, mean, scatter = vector_moments(df, vector)
+    values, vectors = np.linalg.eigh(scatter)
     v = vectors[:, np.argsort(-values)[:k]]
     centre = F.array(*[F.lit(float(m)) for m in mean])
     own = df.withColumn("components", _project(F.zip_with(_doubles(vector), centre, lambda a, b: a - b), v))
     return own.withColumn("restored", F.zip_with(_project(F.col("components"), v.T), centre, lambda a, b: a + b))
 
 
-def factorise_nonnegative(df: DataFrame, vector: str, key: str, k: int, rounds: int = 5, seed: int = 42) -> DataFrame:
-    """``key, components, restored`` by alternating least squares with factors of at least zero; negative cells are an error."""
-    cells = df.select(F.col(key).cast("int").alias("row"), F.posexplode(_doubles(vector)).alias("cell", "value"))
-    if not cells.filter("value < 0").isEmpty():
-        raise ValueError("negative cells can't be factorised")
-    model = ALS(rank=k, maxIter=rounds, regParam=1e-3, nonnegative=True, userCol="row", itemCol="cell", ratingCol="value", seed=seed).fit(cells)
-    parts = np.array([r["features"] for r in model.itemFactors.orderBy("id").collect()])  # features by components
-    rows = model.userFactors.select(F.col("id").alias(key), F.transform("features", lambda x: x.cast("double")).alias("components"))
-    return df.withColumn(key, F.col(key).cast("int")).join(rows.withColumn("restored", _project(F.col("components"), parts.T)), key)
+def _row_factors(x: np.ndarray, parts: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The factors of at least zero that restore each row best from ``parts`` (features by components), one component after another."""
+    own, right = parts.T @ parts, x @ parts
+    out = np.full(right.shape, 1e-3)
+    for _ in range(rounds):
+        for j in range(out.shape[1]):
+            if own[j, j] > 0:
+                out[:, j] = np.maximum(out[:, j] + (right[:, j] - out @ own[:, j]) / own[j, j], 0.0)
+    return out
+
+
+def _factor_sums(batches, parts):
+    """Sums over rows of the products of their factors with each other and with their cells, and the smallest cell."""
+    k, total, least = parts.shape[1], np.zeros((parts.shape[1], parts.shape[0] + parts.shape[1])), 0.0
+    for b in batches:
+        if b.num_rows:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            w = _row_factors(x, parts)
+            total += w.T @ np.hstack([w, x])
+            least = min(least, float(x.min()))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), least))], names=["at", "value"])
+
+
+def _factors(batches, parts):
+    for b in batches:
+        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, parts.shape[0]))
+        w = _row_factors(x, parts)
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(list(w), pa.list_(pa.float64())), pa.array(list(w @ parts.T), pa.list_(pa.float64()))], names=[*b.schema.names[1:], "components", "restored"])
+
+
+def factorise_nonnegative(df: DataFrame, vector: str, key: str, k: int, rounds: int = 20, seed: int = 42) -> DataFrame:
+    """``df`` with ``components, restored``: factors of at least zero; negative cells are an error.
+
+    Each round finds all rows' factors for the features' parts as they are, in the
+    tasks, and sums up their products; from these small sums the parts are moved,
+    one component after another. No factors are kept between rounds, and keys are
+    only carried along. Rows without a vector are left out.
+    """
+    own = df.filter(F.col(vector).isNotNull())
+    n, mean, _ = vector_moments(own, vector)
+    size = len(mean)
+    parts = np.random.default_rng(seed).random((size, k)) * np.sqrt(np.maximum(mean, 1e-12) / k)[:, None] * 2
+    cells = materialize(own.select(_doubles(vector).alias("_x")), "cells") if n else own
+    for _ in range(rounds if n else 0):
+        sums = np.zeros(k * (k + size))
+        sums_of = cells.mapInArrow(lambda it, p=parts: _factor_sums(it, p), "at long, value double").groupBy("at").agg(F.sum("value").alias("value"), F.min("value").alias("least"))
+        for r in sums_of.collect():
+            if r["at"] == len(sums):
+                if r["least"] < 0:
+                    raise ValueError("negative cells can't be factorised")
+            else:
+                sums[r["at"]] = r["value"]
+        both = sums.reshape(k, k + size)
+        gram_w, right = both[:, :k], both[:, k:]
+        for _ in range(10):
+            for j in range(k):
+                if gram_w[j, j] > 0:
+                    parts[:, j] = np.maximum(parts[:, j] + (right[j] - parts @ gram_w[:, j]) / gram_w[j, j], 0.0)
+        scale = np.sqrt((parts**2).sum(0))
+        parts = parts / np.where(scale > 0, scale, 1.0)
+    names = own.columns
+    fields = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
+    return own.select(_doubles(vector).alias("_x"), *[F.col(f"`{c}`") for c in names]).mapInArrow(lambda it: _factors(it, parts), f"{fields}, components array<double>, restored array<double>")
 
 
 def restoration_error(df: DataFrame, vector: str, restored: str = "restored") -> DataFrame:
@@ -97,10 +126,15 @@ def compare_representations(df: DataFrame, vector: str, key: str, k: int, method
     return df.sparkSession.createDataFrame(out, "method string, mse double, rmse double, mae double, error string")
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of about MOST_QUERIES, each small enough to be broadcast."""
+    stored = materialize(queries, "queries")
+    blocks = max(1, -(-stored.count() // MOST_QUERIES))
+    return [stored.filter(F.pmod(F.xxhash64(*stored.columns), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [stored]
+
+
 def _asked(df: DataFrame, queries: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Squared distances in both spaces of each query to every other row. Queries are a stated block that is checked and broadcast."""
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries in a block")
+    """Squared distances in both spaces of each query of a block to every other row."""
     own = df.select(F.col(key).alias("id"), _doubles(a).alias("a"), _doubles(b).alias("b"))
     asked = F.broadcast(queries.select(F.col(key).alias("q"), _doubles(a).alias("qa"), _doubles(b).alias("qb")))
     d = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, t: s + t)
@@ -108,8 +142,14 @@ def _asked(df: DataFrame, queries: DataFrame, key: str, a: str, b: str) -> DataF
 
 
 def rank_agreement(df: DataFrame, queries: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Spearman's correlation of the distances of the queries to all rows, in the spaces ``a`` and ``b``."""
-    pairs = materialize(_asked(df, queries, key, a, b), "distances")
+    """Spearman's correlation of the distances of the queries to all rows, in the spaces ``a`` and ``b``.
+
+    The queries are the stated set; blocks of them meet all rows one after another.
+    """
+    path = fresh_path(df.sparkSession, "distances")
+    for block in _blocks(queries.select(key, a, b)):
+        _asked(df, block, key, a, b).select("da", "db").write.mode("append").parquet(path)
+    pairs = df.sparkSession.read.schema("da double, db double").parquet(path)
 
     def ranks(c):
         n = pairs.groupBy(c).agg(F.count("*").alias("n"))
@@ -121,17 +161,19 @@ def rank_agreement(df: DataFrame, queries: DataFrame, key: str, a: str, b: str)
 def trustworthiness(df: DataFrame, queries: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """How far the queries' neighbours in ``b`` are neighbours in ``a`` too (one: all are), with k = min(5, (n - 1) // 2).
 
-    Ranks in ``a`` are counts of nearer rows, so no list of rows is ever sorted.
+    Ranks in ``a`` are counts of nearer rows, so no list of rows is ever sorted and
+    no pair is stored; queries come in blocks, of each only its sum is kept.
     """
-    n, m = df.count(), queries.count()
+    n, m, over = df.count(), queries.count(), 0
     k = min(5, (n - 1) // 2)
-    pairs = _asked(df, queries, key, a, b)
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("db", "id"))).filter(F.col("r") <= k)
-    near = materialize(near.select("q", F.col("id").alias("j"), F.col("da").alias("dj")), "near")  # k rows a query
-    nearer = pairs.join(F.broadcast(near), "q").filter((F.col("da") < F.col("dj")) | ((F.col("da") == F.col("dj")) & (F.col("id") < F.col("j"))))
-    rank = nearer.groupBy("q", "j").agg((F.count("*") + 1).alias("rank"))
-    over = F.coalesce(F.sum(F.greatest(F.col("rank") - k, F.lit(0))), F.lit(0))
-    return rank.agg((1 - F.lit(2.0) / (m * k * (2 * n - 3 * k - 1)) * over).alias("trustworthiness"))
+    for block in _blocks(queries.select(key, a, b)):
+        pairs = _asked(df, block, key, a, b)
+        near = pairs.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("db", "id"))).filter(F.col("r") <= k)
+        near = materialize(near.select("q", F.col("id").alias("j"), F.col("da").alias("dj")), "near")  # k rows a query
+        nearer = pairs.join(F.broadcast(near), "q").filter((F.col("da") < F.col("dj")) | ((F.col("da") == F.col("dj")) & (F.col("id") < F.col("j"))))
+        rank = nearer.groupBy("q", "j").agg((F.count("*") + 1).alias("rank"))
+        over += rank.agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0)))).first()[0] or 0
+    return df.sparkSession.createDataFrame([(1 - 2.0 / (m * k * (2 * n - 3 * k - 1)) * over,)] if m and k else [(None,)], "trustworthiness double")
 
 
 def tokens(df: DataFrame, vector: str, key: str, width: int) -> DataFrame:

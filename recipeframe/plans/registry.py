@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from recipeframe.plans import intake_queries, learning_queries, metric_queries, model_queries, more_queries, profile_queries, recipe_queries, selection_queries, store_queries, xml_queries  # noqa: F401
+    from recipeframe.plans import intake_queries, learning_queries, metric_queries, model_queries, more_queries, profile_queries, recipe_queries, selection_queries, store_queries, whole_vector_queries, xml_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
