@@ -13,13 +13,14 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as G
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Binarizer, MaxAbsScaler, MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,27 @@ def _bernoulli(threshold: float = 0.0, **o):
     return Pipeline(stages=[Binarizer(threshold=threshold, outputCol="binary"), C.NaiveBayes(modelType="bernoulli", featuresCol="binary", **o)])
 
 
+class FromZero(Transformer, HasInputCol, HasOutputCol):
+    """A vector whose entries below zero are zero: a scaler's range is that of the rows it was fitted on."""
+
+    def setInputCol(self, value: str):
+        return self._set(inputCol=value)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        entries = F.transform(vector_to_array(self.getInputCol()), lambda x: F.greatest(x, F.lit(0.0)))
+        return df.withColumn(self.getOutputCol(), array_to_vector(entries))
+
+
+def _counting_bayes(kind: str):
+    """Naive Bayes over features that count, so must not be below zero."""
+
+    def make(**o):
+        first = FromZero()._set(outputCol="from_zero")
+        return Pipeline(stages=[first, C.NaiveBayes(modelType=kind, featuresCol="from_zero", **o)])
+
+    return make
+
+
 def perceptron(features: int, classes: int, hidden: tuple = ((8,), (16,))) -> Spec:
     """A multilayer perceptron for as many features and classes, with some hidden layers to choose from."""
     return Spec(C.MultilayerPerceptronClassifier, {"layers": [[features, *h, classes] for h in hidden], "maxIter": [100], "seed": [42]}, "standard")
@@ -54,7 +76,7 @@ def perceptron(features: int, classes: int, hidden: tuple = ((8,), (16,))) -> Sp
 
 CLASSIFIERS = {
     "dt": Spec(C.DecisionTreeClassifier, {"maxDepth": [3, 6]}), "rf": Spec(C.RandomForestClassifier, {"numTrees": [20], "maxDepth": [5]}), "hgbc": Spec(_ovr(lambda **o: C.GBTClassifier(**o)), {"maxIter": [10]}),
-    "gnb": Spec(lambda **o: C.NaiveBayes(modelType="gaussian", **o)), "mnb": Spec(lambda **o: C.NaiveBayes(modelType="multinomial", **o), scaling="minmax"), "compnb": Spec(lambda **o: C.NaiveBayes(modelType="complement", **o), scaling="minmax"),
+    "gnb": Spec(lambda **o: C.NaiveBayes(modelType="gaussian", **o)), "mnb": Spec(_counting_bayes("multinomial"), scaling="minmax"), "compnb": Spec(_counting_bayes("complement"), scaling="minmax"),
     "bnb": Spec(_bernoulli, scaling="standard"), "lsvc": Spec(_ovr(lambda **o: C.LinearSVC(**o)), {"regParam": [0.01]}, "standard"), "sgd": Spec(C.LogisticRegression, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5]}, "standard"),
 }
 REGRESSORS = {
@@ -242,6 +264,38 @@ def discriminant(df: DataFrame, features: list[str], label: str, quadratic: bool
     return F.array_max(F.array(*entries))["label"]
 
 
+def _quadratic_classes(batches, centres: np.ndarray, roots: np.ndarray, base: np.ndarray):
+    for b in batches:
+        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, centres.shape[1]))
+        score = np.stack([c - 0.5 * (((x - m) @ r) ** 2).sum(1) for m, r, c in zip(centres, roots, base, strict=True)], axis=1) if len(x) else np.zeros((0, 1))
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(score.argmax(1) if len(x) else [], pa.int32())], names=[*b.schema.names[1:], "_class"])
+
+
+def quadratic_discriminant(train: DataFrame, rows: DataFrame, features: list[str], label: str, keep: list[str], ridge: float = 1e-9) -> DataFrame:
+    """``keep`` and ``prediction`` of ``rows``: a covariance for each class, for any number of features.
+
+    The classes' moments are one aggregate; the quadratic forms go to the tasks as
+    matrices and are worked out for whole batches. Of equal scores the smaller class wins.
+    """
+    found = moments(train, features, label)
+    kind = train.schema[label].dataType
+    order = [str(r[0]) for r in train.select(label).distinct().orderBy(label).collect() if r[0] is not None]
+    total, centres, roots, base = sum(found[g][0] for g in order), [], [], []
+    for g in order:
+        n, s, p = found[g]
+        cov = (p - np.outer(s, s) / n) / max(n - 1, 1)
+        values, vectors = np.linalg.eigh(cov)
+        values = np.maximum(values, ridge * max(float(values.max(initial=0.0)), ridge))
+        centres.append(s / n)
+        roots.append(vectors / np.sqrt(values))
+        base.append(float(np.log(n / total) - 0.5 * np.log(values).sum()))
+    own = rows.select(F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x"), *keep)
+    fields = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[1:])
+    sent = tuple(np.array(v) for v in (centres, roots, base))
+    out = own.mapInArrow(lambda it: _quadratic_classes(it, *sent), f"{fields}, _class int")
+    return out.select(*keep, F.element_at(F.array(*[F.lit(g) for g in order]), F.col("_class") + 1).cast(kind).alias("prediction"))
+
+
 def ridge_classifier(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> Column:
     """The predicted class as an expression: the largest of one ridge regression for each class, on targets of one and minus one."""
     x, entries = [F.col(f"`{f}`").cast("double") for f in features], []

@@ -42,16 +42,52 @@ def candidate_table(spark: SparkSession, space: list[Parameter], n: int, seed: i
     return spark.range(n).select(F.col("id").alias("candidate"), *[p.decode(place(i)).alias(p.name) for i, p in enumerate(space)])
 
 
-def random_search(spark: SparkSession, space: list[Parameter], fitness: Callable[[dict], float], n: int, seed: int = 42, worst: float = float("inf")) -> DataFrame:
-    """Every candidate with ``fitness`` (smaller is better; ``worst`` where the fit failed), ``failed`` and ``best``."""
+@dataclass
+class Evaluation:
+    """What an evaluator found for a candidate: ``terms`` by name, and the ``fitness`` or weights to compose it of them."""
+
+    fitness: float | None = None
+    terms: dict[str, float] | None = None
+    status: str = "ok"
+
+
+def compose(terms: dict[str, float], weights: dict[str, tuple[float, bool]]) -> float:
+    """Fitness (smaller is better) of terms with ``(weight, whether larger is better)``; a missing or not finite term is an error."""
+    wrong = [n for n in weights if not np.isfinite(terms.get(n, np.nan))]
+    if wrong:
+        raise ValueError(f"no finite value of {', '.join(sorted(wrong))}")
+    return float(sum(w * (-terms[n] if larger else terms[n]) for n, (w, larger) in weights.items()))
+
+
+def random_search(spark: SparkSession, space: list[Parameter], fitness: Callable[[dict], float | dict | Evaluation], n: int, seed: int = 42, worst: float = float("inf"), weights: dict[str, tuple[float, bool]] | None = None) -> DataFrame:
+    """Every candidate with ``fitness`` (smaller is better; ``worst`` where the fit failed), ``terms``, ``error``, ``failed`` and ``best``.
+
+    An evaluator may return a number, an ``Evaluation``, or a dict of one: several
+    terms, whose fitness is given or composed by ``weights``.
+    """
+
+    def judged(params: dict) -> tuple[float, dict | None]:
+        out = fitness(params)
+        if isinstance(out, dict):
+            out = Evaluation(**out)
+        if not isinstance(out, Evaluation):
+            return float(out), {"objective": float(out)}
+        terms = {k: float(v) for k, v in (out.terms or {}).items()}
+        if out.status != "ok":
+            raise RuntimeError(out.status)
+        if out.fitness is None and weights is None:
+            raise ValueError("terms need a fitness or weights")
+        return float(out.fitness) if out.fitness is not None else compose(terms, weights), terms
+
     rows = []
     for r in candidate_table(spark, space, n, seed).orderBy("candidate").collect():  # as many as were asked for
         params = r.asDict()
         try:
-            rows.append((params["candidate"], float(fitness({p.name: params[p.name] for p in space})), False))
-        except Exception:  # noqa: BLE001  a failed fit is the worst candidate
-            rows.append((params["candidate"], worst, True))
-    scored = candidate_table(spark, space, n, seed).join(F.broadcast(spark.createDataFrame(rows, "candidate long, fitness double, failed boolean")), "candidate")
+            rows.append((params["candidate"], *judged({p.name: params[p.name] for p in space}), None, False))
+        except Exception as e:  # noqa: BLE001  a failed fit is the worst candidate
+            rows.append((params["candidate"], worst, None, str(e).splitlines()[0][:200] if str(e) else type(e).__name__, True))
+    found = spark.createDataFrame(rows, "candidate long, fitness double, terms map<string,double>, error string, failed boolean")
+    scored = candidate_table(spark, space, n, seed).join(F.broadcast(found), "candidate")
     best = min(rows, key=lambda r: (r[1], r[0]))[0] if rows else -1
     return scored.withColumn("best", F.col("candidate") == best)
 

@@ -8,7 +8,9 @@ from recipeframe.operators import clusterings as K
 from recipeframe.operators import models as M
 from recipeframe.operators import profile as P
 from recipeframe.operators import vector_clusters as V
-from recipeframe.plans.model_queries import _vectors
+from recipeframe.operators import model_selection as Y
+from recipeframe.operators import search as S
+from recipeframe.plans.model_queries import _LINES, _coordinates, _plain, _two_classes, _vectors
 from recipeframe.plans.recipe_queries import rounded
 from recipeframe.plans.registry import query, table
 
@@ -73,3 +75,40 @@ _USED = ("l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax")
 )
 def _(s, d):
     return rounded(P.pairwise_information(table(s, d, "lineitem"), list(_USED)))
+
+
+# ---- families of the registries
+
+@query("m12_m14_m16_classifiers")
+def _(s, d):
+    """Boosting, three kinds of naive Bayes and linear support vectors, by cross-validated accuracy."""
+    return Y.run_suite(_two_classes(s, d), _plain(("hgbc", "mnb", "compnb", "bnb", "lsvc")), "vec_id", folds=2)[0]
+
+
+@query("m23_regressors")
+def _(s, d):
+    o = table(s, d, "lineitem").withColumn("row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
+    df = M.assemble(o, [*_LINES, "l_tax"], "l_extendedprice").select("row", "features", F.col("l_extendedprice").alias("label"))
+    return Y.run_suite(df, {k: M.Spec(M.REGRESSORS[k].make, {n: v[:1] for n, v in M.REGRESSORS[k].grid.items()}) for k in ("decision_tree", "random_forest", "boosting")}, "row", "regression", folds=2)[0]
+
+
+@query("m15_quadratic_discriminant_whole")
+def _(s, d):
+    """All dimensions; the classes are odd and even labels."""
+    e, names = _coordinates(s, d)
+    own = e.withColumn("odd", F.col("label") % 2)
+    return M.quadratic_discriminant(own, own, names, "odd", ["vec_id"])
+
+
+@query("o07_terms_search")
+def _(s, d):
+    """Ridge regressions of random strength, by two terms: the error and the size of the weights."""
+    lines = table(s, d, "lineitem")
+
+    def judge(p):
+        b, w = M.ridge(lines, _LINES, "l_extendedprice", p["alpha"])
+        error = lines.agg(F.avg(F.pow(F.col("l_extendedprice") - (F.lit(b) + sum((F.col(c) * float(v) for c, v in zip(_LINES, w, strict=True)), F.lit(0.0))), 2)).alias("e")).first()["e"]
+        return {"terms": {"error": error**0.5, "size": float(abs(w).sum())}}
+
+    found = S.random_search(s, [S.Parameter("alpha", "log", 0.1, 1e6)], judge, 4, weights={"error": (1.0, False), "size": (0.001, False)})
+    return found.select("candidate", "fitness", F.map_keys("terms").alias("terms"), "failed", "best")

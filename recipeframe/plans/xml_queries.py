@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recipeframe.functions.shared import materialize
+from recipeframe.functions.shared import fresh_path, materialize
 from recipeframe.operators import xml_tables as X
 from recipeframe.plans.recipe_queries import rounded
 from recipeframe.plans.registry import query, table
 from recipeframe.sources.xml import escape, namespaces, shred_documents
+from recipeframe.streaming.xml_export import export_collection, source_states
 
 ROOT, ITEM = "/orders/order", "/orders/order/item"
 KEY, STATUS, PRICE = f"attribute:{ROOT}@key", f"text:{ROOT}/status", f"text:{ROOT}/price"
@@ -54,6 +55,17 @@ def _nodes(s, d):
 _STATUS = "CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus WHEN o_orderkey % 3 = 1 THEN '' END"
 
 
+@query("x46_export_states", f"SELECT 'done' AS state, count(DISTINCT {BLOCK_SQL}) AS sources, CAST(NULL AS BIGINT) AS records FROM orders UNION ALL SELECT 'exported', NULL, count(*) FROM orders")
+def _(s, d):
+    """Documents as files of their own, exported twice: the second run finds them all in the ledger and adds nothing."""
+    files, out, check = (fresh_path(s, f"export-{x}") for x in ("in", "out", "check"))
+    _documents(s, d).select("source_file", F.col("content").cast("string")).write.partitionBy("source_file").text(files)
+    for _ in range(2):
+        export_collection(s, files, out, check, ROOT, {"key": KEY}, pattern="*.txt")
+    states = source_states(s, files, check, "*.txt").groupBy("state").agg(F.count("*").alias("sources"), F.lit(None).cast("long").alias("records"))
+    return states.unionByName(s.read.parquet(out).agg(F.lit("exported").alias("state"), F.lit(None).cast("long").alias("sources"), F.count("key").alias("records")))
+
+
 @query("x01_shred", f"SELECT 'order' AS tag, count(*) AS n FROM orders UNION ALL SELECT 'orders', count(DISTINCT {BLOCK_SQL}) FROM orders UNION ALL SELECT 'status', count(*) FROM orders UNION ALL SELECT 'price', count(*) FILTER (WHERE o_orderkey % 4 <> 0) FROM orders UNION ALL SELECT t, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey, (VALUES ('item'), ('qty'), ('flag')) v(t) GROUP BY 1")
 def _(s, d):
     return _nodes(s, d).groupBy("tag").agg(F.count("*").alias("n"))

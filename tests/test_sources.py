@@ -1,8 +1,11 @@
+import os
+import pytest
+
 from recipeframe.functions.graph import connected_components
 from recipeframe.operators import xml_tables as X
 from recipeframe.sources import delimited as D
 from recipeframe.sources.xml import read_documents, shred, shred_documents
-from recipeframe.streaming.xml_export import export_collection
+from recipeframe.streaming.xml_export import SourceChanged, export_collection, source_states
 
 
 def test_shredder():
@@ -52,3 +55,29 @@ def test_components(spark):
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 160)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_changed_sources_are_refused(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"s{i}.xml").write_text(f"<r><rec><n>{i}</n></rec></r>")
+    args = (spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check"), "/r/rec", {"n": "text:/r/rec/n"})
+    states = lambda: {r.path.rsplit("/", 1)[1]: r.state for r in source_states(spark, str(folder), str(tmp_path / "check")).collect()}
+    assert set(states().values()) == {"new"}
+    export_collection(*args)
+    (folder / "s0.xml").write_text("<r><rec><n>0</n></rec></r>")  # touched, the same bytes
+    os.utime(folder / "s0.xml", (1, 1))
+    (folder / "s2.xml").unlink()
+    (folder / "s5.xml").write_text("<r><rec><n>5</n></rec></r>")
+    assert states() == {"s0.xml": "done", "s1.xml": "done", "s2.xml": "gone", "s5.xml": "new"}
+    export_collection(*args)
+    rows = lambda: sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows() == ["0", "1", "2", "5"] and states()["s5.xml"] == "done"
+    (folder / "s1.xml").write_text("<r><rec><n>7</n></rec></r>")
+    (folder / "s6.xml").write_text("<r><rec><n>6</n></rec></r>")
+    os.utime(folder / "s1.xml", (5, 5))
+    assert states()["s1.xml"] == "changed"
+    with pytest.raises(SourceChanged, match="s1.xml"):
+        export_collection(*args)
+    assert rows() == ["0", "1", "2", "5"]  # nothing was written
