@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from recipeframe.functions.graph import connected_components
+from recipeframe.functions.ranks import numbered
 from recipeframe.functions.shared import materialize
 from recipeframe.operators import xml_tables as X
 
@@ -113,38 +116,41 @@ def shape_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, X.shape_similarity(shapes)
 
 
+def _fill_groups(component: pd.DataFrame) -> pd.DataFrame:
+    """``representative, lead`` of one component's ``left, right``; a row without ``right`` names a shape."""
+    links: dict[str, set] = {}
+    for left, right in component[["left", "right"]].itertuples(index=False):
+        links.setdefault(left, set())
+        if right is not None:
+            links.setdefault(right, set()).add(left)
+    groups: list[list[str]] = []
+    for head in sorted(links):
+        own = links[head]
+        group = next((g for g in groups if len(g) <= len(own) and all(h in own for h in g)), None)
+        if group is None:
+            groups.append([head])
+        else:
+            group.append(head)
+    return pd.DataFrame([(h, g[0]) for g in groups for h in g], columns=["representative", "lead"])
+
+
 def complete_link_groups(nodes: DataFrame) -> DataFrame:
     """``source_file, group``: in path order, a source joins the first group whose sources are all compatible with its own.
 
     Pairs that lack nothing but a shared record root may stand together. Sources
-    of one shape share a group. Groups are filled one after another; the driver
-    holds the names of shapes and one group's links at a time, never all pairs.
+    of one shape share a group. Groups never reach beyond a connected component of
+    compatible shapes, so each component is filled by itself in a task; a task holds
+    the links of one component's shapes, whatever the number of sources.
     """
     members, pairs = shape_pairs(nodes)
     alike = materialize(pairs.filter(F.col("classification").isin("exact", "compatible_variant_candidate") | (F.col("reason") == "no_shared_record_root_evidence")).select("left", "right"), "alike")
-    left = [r[0] for r in members.select("representative").distinct().orderBy("representative").toLocalIterator()]
-    found, number = [], 0
-    while left:
-        number += 1
-        lead, near = left[0], {left[0]}
-        near |= {r[0] for r in alike.filter(F.col("left") == lead).select("right").collect()}
-        candidates = [h for h in left if h in near]
-        inside = alike.filter(F.col("left").isin(candidates) & F.col("right").isin(candidates)) if len(candidates) <= 1000 else alike.join(_names(nodes, candidates, "left"), "left", "left_semi").join(_names(nodes, candidates, "right"), "right", "left_semi")
-        links: dict[str, set] = {}
-        for r in inside.toLocalIterator():
-            links.setdefault(r["right"], set()).add(r["left"])
-        group: list[str] = []
-        for head in candidates:  # each is like the lead; it joins if it is like all that have joined
-            if len(links.get(head, set()).intersection(group)) == len(group):
-                group.append(head)
-        found += [(h, number) for h in group]
-        left = [h for h in left if h not in set(group)]
-    table = nodes.sparkSession.createDataFrame(found, "representative string, group int")
-    return members.join(table, "representative").select("source_file", "group")
-
-
-def _names(nodes: DataFrame, names: list[str], column: str) -> DataFrame:
-    return nodes.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
+    shapes = members.select(F.col("representative").alias("left")).distinct()
+    parts = connected_components(alike.select(F.col("left").alias("a"), F.col("right").alias("b"))).withColumnRenamed("node", "left")
+    rows = alike.unionByName(shapes.withColumn("right", F.lit(None).cast("string"))).join(parts, "left", "left")
+    groups = rows.withColumn("component", F.coalesce("label", "left")).groupBy("component").applyInPandas(_fill_groups, "representative string, lead string")
+    groups = materialize(groups, "groups")
+    places = numbered(groups.select("lead").distinct(), ["lead"], "place")
+    return members.join(groups, "representative").join(places, "lead").select("source_file", F.col("place").cast("int").alias("group"))
 
 
 def review(nodes: DataFrame, selected: DataFrame) -> DataFrame:

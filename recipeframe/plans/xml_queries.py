@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recipeframe.functions.shared import fresh_path, materialize
 from recipeframe.operators import xml_tables as X
+from recipeframe.operators.xml_selection import shape_pairs
 from recipeframe.plans.recipe_queries import rounded
 from recipeframe.plans.registry import query, table
 from recipeframe.sources.xml import escape, namespaces, shred_documents
@@ -212,6 +213,16 @@ def _(s, d):
     return prints.join(prints.groupBy("shape").agg(F.count("*").alias("of_its_shape")), "shape").select("source_file", "of_its_shape")
 
 
+@query("x29_shape_pairs", f"""WITH k AS (SELECT kind, min(source_file) AS rep, count(*) AS n FROM {VARIED} GROUP BY 1), c AS (SELECT x.rep AS "left", y.rep AS "right", x.kind AS xk, y.kind AS yk, {_REASON} AS reason, x.n * y.n AS pairs FROM k AS x JOIN k AS y ON x.rep < y.rep)
+    SELECT "left", "right", {_CLASS} AS classification, reason, CASE WHEN reason = 'different_expanded_root_qname' THEN 0.0 WHEN (xk = 'plain') <> (yk = 'plain') THEN round(0.8 * 6 / 7 + 0.2, 6) ELSE 1.0 END AS similarity, pairs FROM c""")
+def _(s, d):
+    """One row for each two shapes, with how many pairs of sources it stands for: all pairs, without writing them."""
+    members, pairs = shape_pairs(_varied_nodes(s, d))
+    sizes = members.groupBy("representative").agg(F.count("*").alias("n"))
+    of = lambda side: sizes.select(F.col("representative").alias(side), F.col("n").alias(f"n_{side}"))
+    return rounded(pairs.join(of("left"), "left").join(of("right"), "right").select("left", "right", "classification", "reason", "similarity", (F.col("n_left") * F.col("n_right")).alias("pairs")))
+
+
 @query("x29_pair_similarity", f"""SELECT source_file AS "left", other AS "right", {_CLASS} AS classification, reason, CASE WHEN reason = 'different_expanded_root_qname' THEN 0.0 WHEN (x = 'plain') <> (y = 'plain') THEN round(0.8 * 6 / 7 + 0.2, 6) ELSE 1.0 END AS similarity
     FROM (SELECT x.source_file, y.source_file AS other, x.kind AS x, y.kind AS y, {_REASON} AS reason FROM {VARIED} x JOIN {VARIED} y ON x.source_file < y.source_file)""")
 def _(s, d):
