@@ -52,6 +52,30 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one job, each of which can be dropped as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._stored = spark, []
+
+    def store(self, df: DataFrame, tag: str = "step") -> DataFrame:
+        """As ``materialize``."""
+        path = fresh_path(self._spark, tag)
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._stored.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Remove tables that ``store`` returned; None and all else is ignored."""
+        for t in tables:
+            for at, (own, path) in enumerate(self._stored):
+                if own is t:
+                    discard(self._spark, path)
+                    del self._stored[at]
+                    break
+
+
 def truncate(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for small loop state (never the local variant)."""
     shared_dir(df.sparkSession)
