@@ -146,29 +146,35 @@ class Matcher:
     def __init__(self, model: ToxicityModel):
         self.model, self.p = model, model.parameters
         self.automaton = Automaton(model)
-        self.known: dict = {}
+        self.known: set = set()  # all words looked up
+        self.telling: dict = {}  # of those that hit: their kind
+        self.short = min(self.p.stem_lengths, default=0)
+        self.heads = {s[: self.short] for s in model.stems}
 
     def kind(self, word: str) -> str:
         """``word, rare, stem, near`` or an empty string."""
         n = self.model.words.get(word, 0)
         if n:
             return "word" if n >= self.p.common_texts else "rare"
-        if any(word[:k] in self.model.stems for k in self.p.stem_lengths if len(word) >= k):
+        if word[: self.short] in self.heads and any(word[:k] in self.model.stems for k in self.p.stem_lengths if len(word) >= k):
             return "stem"
         return "near" if len(word) >= self.p.near_length - 1 and self.automaton.near(word) else ""
 
     def hits(self, text: str | None):
         """Kind and context of each hit: words of its window, and QUOTED if it stands inside quotation marks of its line."""
         lower = (text or "").lower()
-        words, known = _WORD.findall(lower), self.known
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self.kind(w)
-        found = [i for i, w in enumerate(words) if known[w]]
-        if not found:
+        words, known = _WORD.findall(lower), self.telling
+        distinct = set(words)
+        new = distinct - self.known
+        if new:
+            if len(self.known) > 400_000:
+                self.known, new = set(), distinct
+                known.clear()
+            self.known |= new
+            known.update((w, kind) for w in new if (kind := self.kind(w)))
+        if distinct.isdisjoint(known):
             return
+        found = [i for i, w in enumerate(words) if w in known]
         starts = [m.start() for m in _WORD.finditer(lower)]
         marks = [m.start() for m in _MARKS.finditer(lower)]
         at, open_, reach = 0, 0, self.p.window
