@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from recipeframe.functions.graph import connected_components
-from recipeframe.functions.shared import materialize
+from recipeframe.functions.shared import fresh_path, materialize
 
 
 @dataclass
@@ -363,12 +363,15 @@ def neighbours(train: DataFrame, queries: DataFrame, vector: str, label: str, ke
         raise ValueError(f"unknown distance {metric}")
     own = train.select(F.col(key).cast("long").alias("id"), F.col(label).cast("double").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     asked = materialize(queries.select(F.col(key).cast("long").alias("query"), F.transform(vector, lambda x: x.cast("double")).alias("q")), "queries")
-    blocks, found = max(1, -(-asked.count() // block)), None
-    for i in range(blocks):
+    blocks, spark = max(1, -(-asked.count() // block)), train.sparkSession
+    schema, path = "query long, id long, label double, d double", fresh_path(spark, "neighbours")
+    for i in range(blocks):  # each block is sent by itself, and released when what it found is stored
         rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).collect()
-        sent = train.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64)))
-        part = own.mapInArrow(lambda it, sent=sent: _top_k(it, *sent.value, metric, k) if len(sent.value[0]) else iter(()), "query long, id long, label double, d double")
-        found = part if found is None else found.unionByName(part)
+        sent = spark.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64)))
+        part = own.mapInArrow(lambda it, sent=sent: _top_k(it, *sent.value, metric, k) if len(sent.value[0]) else iter(()), schema)
+        part.write.mode("append").parquet(path)
+        sent.destroy()
+    found = spark.read.schema(schema).parquet(path)
     ranked = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("d", "id")))
     return ranked.filter(F.col("r") <= k)
 

@@ -46,6 +46,15 @@ def profile_tables(tables: dict[str, Callable[[], DataFrame]]) -> tuple[DataFram
     return out, failed
 
 
+def profiled_counts(tables: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> DataFrame:
+    """``table, columns, failed``: how many columns each table's profile has, or why there is none; all of them may fail."""
+    out, failed = profile_tables(tables)
+    lost = spark.createDataFrame([(n, 0, why) for n, why in failed.items()], "table string, columns long, failed string")
+    if out is None:
+        return lost
+    return out.groupBy("table").agg(F.count("*").alias("columns")).withColumn("failed", F.lit(None).cast("string")).unionByName(lost)
+
+
 def settings_key(fingerprint: str, settings: dict) -> str:
     return hashlib.sha256(json.dumps([fingerprint, settings], sort_keys=True).encode()).hexdigest()
 

@@ -235,3 +235,13 @@ def test_closed_forms(spark):
         d = (np.abs(x - x[q]) / (np.abs(x) + np.abs(x[q]))).sum(1)
         d[q] = np.inf
         assert [r.id for r in sorted((r for r in near if r.query == q), key=lambda r: r.r)] == np.argsort(d, kind="stable")[:4].tolist()
+
+
+def test_profiles_when_every_table_fails(spark):
+    from recipeframe.operators import stores as S
+
+    def lost():
+        raise OSError("gone")
+
+    got = S.profiled_counts({"a": lost, "b": lost}, spark).collect()
+    assert sorted((r["table"], r["columns"], r["failed"]) for r in got) == [("a", 0, "OSError"), ("b", 0, "OSError")]
