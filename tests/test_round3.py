@@ -3,10 +3,12 @@
 import math
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as E
+from recipeframe.operators import vector_clusters as V
 
 
 def _embeddings(tmp_path, vectors):
@@ -21,3 +23,39 @@ def test_tokens_keep_the_sign_of_rounded_zeros(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
     want = {(i, t): ([repr(x) for x in v], m) for i, t, v, m in con.execute(E.oracle_sql()["r08_tokens"]).fetchall()}
     assert got == want and got[0, 0][0][0] == "-0.0"
+
+
+def test_block_pairs_grow_as_the_table(spark, monkeypatch):
+    """No more block pairs for more vectors, and vectors that one range holds aren't copied into its neighbours."""
+    monkeypatch.setattr(V, "BLOCK", 10)
+    x = np.random.default_rng(2).random((1500, 3)) - 0.5
+    for n in (300, 1500):
+        points = spark.createDataFrame([(i, v) for i, v in enumerate(x[:n].tolist())], "p long, v array<double>")
+        pairs = V._paired(points, 1.2).groupBy("pair").count().collect()
+        assert len(pairs) <= V.PARTS * (V.PARTS + 1) // 2 and sum(r["count"] for r in pairs) <= V.PARTS * n
+
+
+def test_tiles_of_two_blocks(monkeypatch):
+    """Tiles of a few distances give the same forest, counts and links as all at once."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (60, 3)).astype(np.float64)  # many equal distances
+    p = rng.permutation(60).astype(np.int64)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    monkeypatch.setattr(V, "_each_pair", lambda batches, columns: batches)
+    home, core = np.ones(60, dtype=bool), np.arange(60) % 3 > 0
+    found = []
+    for tile in (7, 1 << 22):
+        monkeypatch.setattr(V, "TILE", tile)
+        cut = lambda s, *more: [x[s], home[s], p[s], *[m[s] for m in more]]
+        forest = [pa.Table.from_batches(V._forests([(cut(slice(0, 60)), None)], r)).to_pydict() for r in (None, 1.0)]
+        two = pa.Table.from_batches(V._forests([(cut(slice(0, 25)), cut(slice(25, 60)))], None)).to_pydict()
+        counts = pa.Table.from_batches(V._counts([(cut(slice(0, 25), np.ones(60), ~home), cut(slice(25, 60), np.ones(60), ~home))], 1.0)).to_pydict()
+        links = pa.Table.from_batches(V._links([(cut(slice(0, 60), core), None)], 1.0)).to_pylist()
+        found.append((forest, two, {*zip(counts["p"], counts["n"], strict=True)}, {(r["a"], r["b"]) for r in links if not r["core"]}))
+        assert len(forest[0]["a"]) == 59 and len(two["a"]) == 59
+        assert found[-1][2] == {(int(p[i]), int(n)) for i in range(60) if (n := (d[i, 25:] if i < 25 else d[i, :25]).__le__(1).sum())}
+        assert found[-1][3] == {(int(p[i]), int(p[j])) for i in range(60) for j in range(60) if d[i, j] <= 1 and not core[i] and core[j]}
+    same = lambda f: sorted(zip(f["a"], f["b"], f["w"], strict=True))
+    for one, other in zip((*found[0][0], found[0][1]), (*found[1][0], found[1][1]), strict=True):
+        assert same(one) == same(other)
+    assert found[0][2:] == found[1][2:]
