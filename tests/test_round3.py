@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as E
+from recipeframe.operators import clusterings as K
 from recipeframe.operators import vector_clusters as V
 
 
@@ -59,3 +60,28 @@ def test_tiles_of_two_blocks(monkeypatch):
     for one, other in zip((*found[0][0], found[0][1]), (*found[1][0], found[1][1]), strict=True):
         assert same(one) == same(other)
     assert found[0][2:] == found[1][2:]
+
+
+def test_affinity_sums_and_no_stored_affinities(spark, monkeypatch):
+    """Sums over a plane's close points by blocks and tiles, and no table of affinities: 3,000 points have 3.5 million of them."""
+    rng = np.random.default_rng(6)
+    x = rng.random((40, 2))
+    p, home = np.arange(40), np.ones(40, dtype=bool)
+    monkeypatch.setattr(K, "TILE", 50)
+    value = rng.random(40)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = np.where((d <= 0.09) & (d > 0), np.exp(-d / 0.09), 0) @ value
+    with monkeypatch.context() as m:
+        m.setattr(K, "_each_pair", lambda batches, columns: batches)
+        cut = lambda s: [x[s], home[s], p[s], value[s]]
+        for pairs in ([(cut(slice(0, 40)), None)], [(cut(slice(0, 15)), None), (cut(slice(15, 40)), None), (cut(slice(0, 15)), cut(slice(15, 40)))]):
+            got = pa.Table.from_batches(K._affinities(pairs, 0.3)).group_by("p").aggregate([("s", "sum")]).sort_by("p")
+            assert np.allclose(got.column("s_sum").to_numpy(), want, rtol=1e-12)
+    monkeypatch.setattr(K, "TILE", V.TILE)
+    written = []
+    real = K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df, tag="step": written.append((out := real(df, tag)).count()) or out)
+    groups = np.concatenate([rng.normal(c, 0.1, (1000, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate([*groups, (50.0, 50.0)])], "id long, x double, y double")
+    found = {r["id"]: r["cluster"] for r in K.spectral(df, "x", "y", "id", 0.6, 3).collect()}
+    assert max(written) <= 4 * 3001 and found[3000] == -1 and set(found.values()) <= {-1, 0, 1, 2} and all(found[i] >= 0 for i in range(3000))
