@@ -174,7 +174,7 @@ def field_catalog(nodes: DataFrame, root: str) -> DataFrame:
     """``path, present, missing, repeated_in``: of each path below a root, how many sources have it, lack it, and repeat it within a parent."""
     own = nodes.filter(F.col("error").isNull() & F.col("path").startswith(root + "/"))
     total = nodes.filter("error IS NULL").agg(F.count_distinct("source_file")).first()[0]
-    per = own.groupBy("source_file", "path", "parent_id").agg(F.count("*").alias("n")).groupBy("source_file", "path").agg(F.max("n").alias("n"))
+    per = own.groupBy("source_file", "path").agg((F.max("occurrence") + 1).alias("n"))
     return per.groupBy("path").agg(F.count("*").alias("present"), F.count_if(F.col("n") > 1).alias("repeated_in")).select("path", "present", (F.lit(total) - F.col("present")).alias("missing"), "repeated_in")
 
 

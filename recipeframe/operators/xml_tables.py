@@ -35,10 +35,16 @@ def named_like_id(name: Column) -> Column:
 
 def path_profile(nodes: DataFrame) -> DataFrame:
     """Each path's occurrences, cardinality below its parents, text, and whether it repeats, is optional or a leaf."""
-    own = nodes.filter("error IS NULL").withColumn("parent_path", F.regexp_replace("path", "/[^/]*$", ""))
     has = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    per = own.groupBy("source_file", "path", "parent_path", "parent_id").agg(F.count("*").alias("n"), F.sum(has.cast("long")).alias("t"), F.max((~F.col("leaf")).cast("int")).alias("inner"))
-    by = per.groupBy("path", "parent_path").agg(F.sum("n").alias("occurrences"), F.count("parent_id").alias("parents_with"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.sum("t").alias("with_text"), F.max("inner").alias("inner"))
+    # nodes by their number among equal siblings: of the parents with a k-th, those without a next one have just k
+    at = nodes.filter("error IS NULL").groupBy("path", "occurrence").agg(F.count("*").alias("c"), F.count_if(F.col("parent_id").isNotNull()).alias("below"), F.count_if(has).alias("t"), F.max((~F.col("leaf")).cast("int")).alias("inner"))
+    at = at.withColumn("next", F.coalesce(F.lead("c").over(W.partitionBy("path").orderBy("occurrence")), F.lit(0)))
+    number, first = (F.col("occurrence") + 1).cast("long"), F.col("occurrence") == 0
+    by = at.groupBy("path").agg(
+        F.sum("c").alias("occurrences"), F.sum(F.when(first, F.col("below")).otherwise(0)).alias("parents_with"), F.min(F.when(F.col("c") > F.col("next"), number)).alias("least"), F.max(number).alias("most"),
+        (F.sum("c") / F.sum(F.when(first, F.col("c")))).alias("mean"), F.sum("t").alias("with_text"), F.max("inner").alias("inner"),
+    ).withColumn("parent_path", F.regexp_replace("path", "/[^/]*$", ""))
+    by = materialize(by, "paths")
     total = by.select(F.col("path").alias("parent_path"), F.col("occurrences").alias("parents"))
     full = by.join(total, "parent_path", "left")
     optional = F.coalesce(F.col("parents_with") < F.col("parents"), F.lit(False))
@@ -110,14 +116,16 @@ def source_shapes(nodes: DataFrame) -> DataFrame:
     keys = ["source_file", "path"]
     filled = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
     names = own.select(*keys, F.explode(F.map_keys("attributes")).alias("name")).groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("attributes"))
-    parents = own.select(*keys, F.col("parent_id"), F.regexp_replace("path", "/[^/]*$", "").alias("parent_path"), filled("text").alias("t"), (filled("text") & ~F.col("leaf")).alias("m"), F.col("leaf"))
-    per = parents.groupBy(*keys, "parent_path", "parent_id").agg(F.count("*").alias("n"), F.bool_or("t").alias("t"), F.bool_or("m").alias("m"), F.bool_or(~F.col("leaf")).alias("inner"))
-    by = per.groupBy(*keys, "parent_path").agg(F.sum("n").alias("occurrences"), F.count("parent_id").alias("parents_with"), F.max("n").alias("most"), F.bool_or("t").alias("has_text"), F.bool_or("m").alias("m"), F.bool_or("inner").alias("inner"))
+    by = own.groupBy(*keys).agg(
+        F.count("*").alias("occurrences"), F.count_if((F.col("occurrence") == 0) & F.col("parent_id").isNotNull()).alias("parents_with"), (F.max("occurrence") + 1).cast("long").alias("most"),
+        F.bool_or(filled("text")).alias("has_text"), F.bool_or(filled("text") & ~F.col("leaf")).alias("m"), F.bool_or(~F.col("leaf")).alias("inner"),
+    ).withColumn("parent_path", F.regexp_replace("path", "/[^/]*$", ""))
+    by = materialize(by, "paths")
     above = by.select("source_file", F.col("path").alias("parent_path"), F.col("occurrences").alias("parents"))
     # text between children makes their parent mixed
     tails = own.filter(filled("tail")).select("source_file", F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().withColumn("tail", F.lit(True))
-    ids = own.select(*keys, F.explode("attributes").alias("name", "value")).groupBy(*keys, "name").agg(F.count("*").alias("present"), F.count_distinct("value").alias("u"))
-    ids = ids.filter(named_like_id(F.col("name")) & (F.col("u") / F.col("present") >= 0.95)).groupBy(*keys).agg(F.max("present").alias("id_present"))
+    ids = own.select(*keys, F.explode("attributes").alias("name", "value")).filter(named_like_id(F.col("name"))).groupBy(*keys, "name").agg(F.count("*").alias("present"), F.count_distinct("value").alias("u"))
+    ids = ids.filter(F.col("u") / F.col("present") >= 0.95).groupBy(*keys).agg(F.max("present").alias("id_present"))
     texts = own.filter(filled("text") & named_like_id(F.col("tag"))).groupBy(*keys).agg(F.count("*").alias("some"), F.count_distinct(F.trim("text")).alias("u"))
     texts = texts.join(by.select(*keys, "occurrences"), keys).filter((F.col("some") / F.col("occurrences") >= 0.8) & (F.col("u") / F.col("some") >= 0.95))
     texts = texts.select("source_file", F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().withColumn("child_id", F.lit(True))
@@ -212,8 +220,11 @@ def field_value(field: str) -> tuple[str, Column]:
     return path, F.try_element_at("attributes", F.lit(name))
 
 
-def _below(nodes: DataFrame, root: str) -> DataFrame:
+def _below(nodes: DataFrame, root: str, paths: list[str] | None = None) -> DataFrame:
+    """The nodes of all records with their ``record``; with ``paths`` only the records' roots and what lies there."""
     own = nodes.filter(F.col("error").isNull() & ((F.col("path") == root) | F.col("path").startswith(root + "/")))
+    if paths is not None:
+        own = own.filter(F.col("path").isin(root, *paths))
     return own.withColumn("record", F.try_element_at("ancestors", F.lit(depth_of(root) + 1)))
 
 
@@ -252,12 +263,12 @@ def extract(nodes: DataFrame, root: str, fields: dict[str, str], rules: dict[str
         else:
             raise ValueError(f"unknown strategy {kind}")
         aggregates.append(out.alias(name))
-    return _below(nodes, root).groupBy("source_file", "record").agg(*aggregates)
+    return _below(nodes, root, [field_value(f)[0] for f in fields.values()]).groupBy("source_file", "record").agg(*aggregates)
 
 
 def branch_rows(nodes: DataFrame, root: str, branch: str, fields: dict[str, str]) -> DataFrame:
     """A child table: one row for each occurrence of a repeated branch, with its record and the first value of each field."""
-    below = _below(nodes, root).filter((F.col("path") == branch) | F.col("path").startswith(branch + "/"))
+    below = _below(nodes, root, [branch, *[field_value(f)[0] for f in fields.values()]]).filter((F.col("path") == branch) | F.col("path").startswith(branch + "/"))
     below = below.withColumn("occurrence", F.try_element_at("ancestors", F.lit(depth_of(branch) + 1)))
     picks = []
     for name, field in fields.items():
@@ -285,7 +296,7 @@ def null_reasons(nodes: DataFrame, root: str, fields: dict[str, str]) -> DataFra
     Where a field occurs several times in a record, a reason holds only if it is
     that of all occurrences; ``multiple`` are those that disagree or have values.
     """
-    parts, below = [], _below(nodes, root)
+    parts, below = [], _below(nodes, root, [field_value(f)[0] for f in fields.values()])
     for name, field in fields.items():
         path, _ = field_value(field)
         here = F.col("path") == path

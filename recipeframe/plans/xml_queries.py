@@ -49,8 +49,13 @@ def _made(s, d):
 
 
 def _nodes(s, d):
-    """Parsed once and stored: most queries read the nodes several times."""
-    return materialize(shred_documents(_documents(s, d)), "nodes")
+    """Parsed once and stored, for queries that read the nodes several times."""
+    return materialize(_parsed(s, d), "nodes")
+
+
+def _parsed(s, d):
+    """For queries that read the nodes once: nothing is stored."""
+    return shred_documents(_documents(s, d))
 
 
 _STATUS = "CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus WHEN o_orderkey % 3 = 1 THEN '' END"
@@ -69,7 +74,7 @@ def _(s, d):
 
 @query("x01_shred", f"SELECT 'order' AS tag, count(*) AS n FROM orders UNION ALL SELECT 'orders', count(DISTINCT {BLOCK_SQL}) FROM orders UNION ALL SELECT 'status', count(*) FROM orders UNION ALL SELECT 'price', count(*) FILTER (WHERE o_orderkey % 4 <> 0) FROM orders UNION ALL SELECT t, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey, (VALUES ('item'), ('qty'), ('flag')) v(t) GROUP BY 1")
 def _(s, d):
-    return _nodes(s, d).groupBy("tag").agg(F.count("*").alias("n"))
+    return _parsed(s, d).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 _LINES = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -83,14 +88,14 @@ _LINES = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
     UNION ALL SELECT '/orders', count(*), 0, 1, 1, false, false, false FROM b
     UNION ALL SELECT '{ROOT}/price', count(*) FILTER (WHERE o_orderkey % 4 <> 0), count(*) FILTER (WHERE o_orderkey % 4 <> 0), 0, 1, false, true, true FROM orders UNION ALL SELECT '{ROOT}/status', count(*), count(*), 1, 1, false, false, true FROM orders""")
 def _(s, d):
-    return X.path_profile(_nodes(s, d)).select("path", "occurrences", "parents_with", F.col("min_per_parent").cast("long").alias("min_per_parent"), "max_per_parent", "repeated", "optional", "leaf")
+    return X.path_profile(_parsed(s, d)).select("path", "occurrences", "parents_with", F.col("min_per_parent").cast("long").alias("min_per_parent"), "max_per_parent", "repeated", "optional", "leaf")
 
 
 @query("x03_text_presence", f"""SELECT '{ROOT}/status' AS path, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS with_text FROM orders
     UNION ALL SELECT '{ROOT}/price', count(*) FILTER (WHERE o_orderkey % 4 <> 0) FROM orders UNION ALL SELECT p, count(*) {_LINES}, (VALUES ('{ITEM}/qty'), ('{ITEM}/flag')) t(p) GROUP BY 1
     UNION ALL SELECT * FROM (VALUES ('/orders', 0), ('{ROOT}', 0), ('{ITEM}', 0))""")
 def _(s, d):
-    return X.path_profile(_nodes(s, d)).select("path", "with_text")
+    return X.path_profile(_parsed(s, d)).select("path", "with_text")
 
 
 @query("x04_attribute_profile", f"""SELECT '{ROOT}' AS path, 'key' AS name, count(*) AS present, count(DISTINCT o_orderkey) AS distinct_values, true AS likely_id FROM orders UNION ALL SELECT '{ITEM}', 'n', count(*), count(DISTINCT l_linenumber), false {_LINES}
@@ -140,17 +145,17 @@ def _(s, d):
 
 @query("x08_structure_summary", f"SELECT CAST((SELECT count(*) FROM (SELECT {BLOCK_SQL} FROM orders GROUP BY 1)) + (SELECT 2 * count(*) + count(*) FILTER (WHERE o_orderkey % 4 <> 0) FROM orders) + (SELECT 3 * count(*) {_LINES}) AS BIGINT) AS elements, 7 AS paths, 4 AS depth, 4 AS leaf_paths, 2 AS repeated_paths, 2 AS optional_paths")
 def _(s, d):
-    return X.structure_summary(_nodes(s, d)).select("elements", "paths", "depth", "leaf_paths", "repeated_paths", "optional_paths")
+    return X.structure_summary(_parsed(s, d)).select("elements", "paths", "depth", "leaf_paths", "repeated_paths", "optional_paths")
 
 
 @query("x09_hierarchy", f"SELECT * FROM (VALUES ('/orders', NULL, 'orders'), ('{ROOT}', '/orders', 'order'), ('{ROOT}/status', '{ROOT}', 'status'), ('{ROOT}/price', '{ROOT}', 'price'), ('{ITEM}', '{ROOT}', 'item'), ('{ITEM}/qty', '{ITEM}', 'qty'), ('{ITEM}/flag', '{ITEM}', 'flag')) t(path, parent_path, label)")
 def _(s, d):
-    return X.hierarchy(_nodes(s, d))
+    return X.hierarchy(_parsed(s, d))
 
 
 @query("x13_direct_fields", f"SELECT CAST(o_orderkey AS VARCHAR) AS key, {_STATUS} AS status, CASE WHEN o_orderkey % 4 <> 0 THEN printf('%.2f', o_totalprice) END AS price FROM orders")
 def _(s, d):
-    return X.extract(_nodes(s, d), ROOT, {"key": KEY, "status": STATUS, "price": PRICE}).select("key", "status", "price")
+    return X.extract(_parsed(s, d), ROOT, {"key": KEY, "status": STATUS, "price": PRICE}).select("key", "status", "price")
 
 
 _L = "FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
@@ -159,7 +164,7 @@ _L = "FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_order
 def _strategy(name, field, rule, sql):
     @query(name, f"SELECT CAST(o_orderkey AS VARCHAR) AS key, {sql} AS v {_L}")
     def build(s, d):
-        return rounded(X.extract(_nodes(s, d), ROOT, {"key": KEY, "v": field}, {"v": rule}).select("key", "v"))
+        return rounded(X.extract(_parsed(s, d), ROOT, {"key": KEY, "v": field}, {"v": rule}).select("key", "v"))
 
 
 _strategy("x14_keep_nested", FLAG, {"strategy": "nested"}, "coalesce(list(l_returnflag ORDER BY l_linenumber, l_returnflag) FILTER (WHERE l_returnflag IS NOT NULL), [])")
@@ -185,7 +190,7 @@ def _(s, d):
 
 @query("x22_j08_separate_table", "SELECT CAST(l_linenumber AS VARCHAR) AS n, l_returnflag AS flag, count(*) AS rows, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS parents FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def _(s, d):
-    rows = X.branch_rows(_nodes(s, d), ROOT, ITEM, {"n": NUM, "flag": FLAG})
+    rows = X.branch_rows(_parsed(s, d), ROOT, ITEM, {"n": NUM, "flag": FLAG})
     return rows.groupBy("n", "flag").agg(F.count("*").alias("rows"), F.count_distinct("source_file", "record").alias("parents"))
 
 
@@ -239,13 +244,13 @@ _REASONS = "SELECT o_orderkey AS k, 'status' AS field, CASE o_orderkey % 3 WHEN
 
 @query("x38_null_status", f"SELECT field, status, count(*) AS n FROM ({_REASONS}) GROUP BY 1, 2")
 def _(s, d):
-    r = X.null_reasons(_nodes(s, d), ROOT, {"status": STATUS, "price": PRICE, "key": KEY, "lang": f"attribute:{ROOT}@lang"})
+    r = X.null_reasons(_parsed(s, d), ROOT, {"status": STATUS, "price": PRICE, "key": KEY, "lang": f"attribute:{ROOT}@lang"})
     return r.groupBy("field", "status").agg(F.count("*").alias("n"))
 
 
 @query("x40_comments", "SELECT CASE WHEN o_orderkey % 4 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN '{\"price\":\"path_absent\",\"status\":\"explicit_xsi_nil\"}' WHEN 1 THEN '{\"price\":\"path_absent\",\"status\":\"empty_element\"}' ELSE '{\"price\":\"path_absent\"}' END WHEN o_orderkey % 3 = 0 THEN '{\"status\":\"explicit_xsi_nil\"}' ELSE '{\"status\":\"empty_element\"}' END AS Comments, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 3 < 2 GROUP BY 1")
 def _(s, d):
-    return X.comments(X.null_reasons(_nodes(s, d), ROOT, {"status": STATUS, "price": PRICE})).groupBy("Comments").agg(F.count("*").alias("n"))
+    return X.comments(X.null_reasons(_parsed(s, d), ROOT, {"status": STATUS, "price": PRICE})).groupBy("Comments").agg(F.count("*").alias("n"))
 
 
 @query("s17_s18_null_round_trip", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '\\N' WHEN 1 THEN '\\E' WHEN 2 THEN '\\\\N' WHEN 3 THEN '\\\\\\x' ELSE o_orderstatus END AS encoded, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '\\N' WHEN 3 THEN '\\\\x' ELSE o_orderstatus END AS decoded FROM orders")

@@ -10,6 +10,8 @@ import pyarrow.parquet as pq
 import __spark_entry__ as E
 from recipeframe.operators import clusterings as K
 from recipeframe.operators import vector_clusters as V
+from recipeframe.operators import xml_tables as X
+from recipeframe.sources.xml import shred, shred_documents
 
 
 def _embeddings(tmp_path, vectors):
@@ -85,3 +87,19 @@ def test_affinity_sums_and_no_stored_affinities(spark, monkeypatch):
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate([*groups, (50.0, 50.0)])], "id long, x double, y double")
     found = {r["id"]: r["cluster"] for r in K.spectral(df, "x", "y", "id", 0.6, 3).collect()}
     assert max(written) <= 4 * 3001 and found[3000] == -1 and set(found.values()) <= {-1, 0, 1, 2} and all(found[i] >= 0 for i in range(3000))
+
+
+def test_profiles_of_paths_need_no_group_for_each_parent(spark):
+    """Numbers among equal siblings give the cardinalities; what is aggregated has no parents in it."""
+    docs = [("s1", b"<r><a><b/><c>t</c><b/></a><a/><d>x<e/></d></r>"), ("s2", b"<r><a><b/></a><a><b/><b/><b/></a></r>"), ("s3", b"<r"), ("s4", b"<q/>")]
+    nodes = spark.createDataFrame(docs, "source_file string, content binary")
+    nodes = shred_documents(nodes).cache()
+    assert [(r[4], r[-1]) for r in shred(*docs[0])] == [("/r", 0), ("/r/a", 0), ("/r/a/b", 0), ("/r/a/c", 0), ("/r/a/b", 1), ("/r/a", 1), ("/r/d", 0), ("/r/d/e", 0)]
+    got = {r["path"]: tuple(r)[2:] for r in X.path_profile(nodes).collect()}
+    #                  occurrences, parents with, min, max, mean, repeated, optional, with text, leaf
+    assert got["/r/a/b"] == (6, 3, 0, 3, 2.0, True, True, 0, True) and got["/r/a"] == (4, 2, 2, 2, 2.0, True, False, 0, False)
+    assert got["/r"] == (2, 0, 1, 1, 1.0, False, False, 0, False) and got["/r/d"] == (1, 1, 0, 1, 1.0, False, True, 1, False) and got["/q"][:2] == (1, 0)
+    shapes = {(r["source_file"], r["path"]): (r["repeated"], r["optional"], r["mixed"]) for r in X.source_shapes(nodes).collect()}
+    assert shapes["s1", "/r/a/b"] == (True, True, False) and shapes["s2", "/r/a/b"] == (True, False, False) and shapes["s1", "/r/d"] == (False, False, True)
+    rows = X.extract(nodes, "/r/a", {"c": "text:/r/a/c"}, {"c": {"strategy": "count"}}).collect()
+    assert sorted((r["source_file"], r["c"]) for r in rows) == [("s1", 0), ("s1", 1), ("s2", 0), ("s2", 0)]
