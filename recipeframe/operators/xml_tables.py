@@ -19,6 +19,7 @@ ID_NAMES = ("id", "identifier", "uuid", "guid", "key", "uid")
 ROOT_WEIGHTS = {"several": 0.25, "repeated": 0.35, "children": 0.15, "identifier": 0.2, "below_the_root": 0.05}
 LEAST_ROOT_SCORE = 0.4
 PATH_WEIGHT, ATTRIBUTE_WEIGHT = 0.8, 0.2
+PAIR_BLOCK = 1000
 
 
 def depth_of(path: str) -> int:
@@ -159,10 +160,13 @@ def shape_members(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def all_pairs(sources: DataFrame) -> DataFrame:
-    """``left, right`` for each two of ``source_file``, in order: the matrix that is asked for, by an equi join on places."""
-    placed = materialize(numbered(sources.select("source_file").distinct(), ["source_file"], "place"), "placed")
-    earlier = placed.filter("place > 1").select(F.col("source_file").alias("right"), F.explode(F.expr("sequence(1L, place - 1)")).alias("place"))
-    return earlier.join(placed.withColumnRenamed("source_file", "left"), "place").select("left", "right")
+    """``left, right`` for each two of ``source_file``, in order: the matrix that is asked for, by an equi join on two blocks of PAIR_BLOCK sources, so no pair is shuffled."""
+    placed = numbered(sources.select("source_file").distinct(), ["source_file"], "place")
+    placed = materialize(placed.select("source_file", F.floor((F.col("place") - 1) / PAIR_BLOCK).alias("block")), "placed")
+    last = placed.agg(F.max("block")).first()[0] or 0
+    left = placed.select(F.col("source_file").alias("left"), F.col("block").alias("lb"), F.explode(F.sequence("block", F.lit(last).cast("long"))).alias("rb"))
+    right = placed.select(F.col("source_file").alias("right"), F.col("block").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("lb"))
+    return left.join(right, ["lb", "rb"]).filter(F.col("left") < F.col("right")).select("left", "right")
 
 
 def shape_similarity(shapes: DataFrame) -> DataFrame:
@@ -198,8 +202,14 @@ def shape_similarity(shapes: DataFrame) -> DataFrame:
 
 
 def pair_similarity(nodes: DataFrame) -> DataFrame:
-    """``shape_similarity`` of each two sources of a collection."""
-    return shape_similarity(materialize(source_shapes(nodes), "shapes"))
+    """``shape_similarity`` of each two sources of a collection: found for each two shapes, and given to all pairs of their sources."""
+    members, shapes = shape_members(nodes)
+    members, own = materialize(members, "members"), shape_similarity(shapes)
+    turned = own.select(F.col("right").alias("left"), F.col("left").alias("right"), *own.columns[2:])
+    same = members.select(F.col("representative").alias("left")).distinct().select("left", F.col("left").alias("right"), *[F.lit(1.0).alias(c) for c in own.columns[2:5]], F.lit("exact").alias("classification"), F.lit("identical_structural_fingerprint").alias("reason"))
+    known = materialize(own.unionByName(turned).unionByName(same).withColumnsRenamed({"left": "_l", "right": "_r"}), "similarities")
+    side = lambda s, r: members.select(F.col("source_file").alias(s), F.col("representative").alias(r))
+    return all_pairs(members).join(side("left", "_l"), "left").join(side("right", "_r"), "right").join(known, ["_l", "_r"]).select("left", "right", *own.columns[2:])
 
 
 def observed_union(nodes: DataFrame) -> DataFrame:

@@ -103,3 +103,15 @@ def test_profiles_of_paths_need_no_group_for_each_parent(spark):
     assert shapes["s1", "/r/a/b"] == (True, True, False) and shapes["s2", "/r/a/b"] == (True, False, False) and shapes["s1", "/r/d"] == (False, False, True)
     rows = X.extract(nodes, "/r/a", {"c": "text:/r/a/c"}, {"c": {"strategy": "count"}}).collect()
     assert sorted((r["source_file"], r["c"]) for r in rows) == [("s1", 0), ("s1", 1), ("s2", 0), ("s2", 0)]
+
+
+def test_pairs_of_sources_meet_by_shapes(spark, monkeypatch):
+    """The same rows as comparing all sources, in blocks of two, with one comparison for each two shapes."""
+    monkeypatch.setattr(X, "PAIR_BLOCK", 2)
+    kinds = [b"<r><a i='1'/><a i='2'/></r>", b"<r><a/><a/>x</r>", b"<q/>", b"<r><b/></r>", b"<r><a i='3'/><a i='4'/></r>"]
+    nodes = shred_documents(spark.createDataFrame([(f"s{i}", kinds[i % 5]) for i in range(11)], "source_file string, content binary")).cache()
+    want = X.shape_similarity(X.source_shapes(nodes).cache()).collect()
+    met = []
+    real = X.shape_similarity
+    monkeypatch.setattr(X, "shape_similarity", lambda shapes: met.append(shapes.select("source_file").distinct().count()) or real(shapes))
+    assert sorted(map(tuple, X.pair_similarity(nodes).collect())) == sorted(map(tuple, want)) and len(want) == 55 and met == [4]
