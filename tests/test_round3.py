@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 
 import __spark_entry__ as E
 from recipeframe.operators import clusterings as K
+from recipeframe.operators import representations as R
 from recipeframe.operators import vector_clusters as V
 from recipeframe.operators import xml_tables as X
 from recipeframe.sources.xml import shred, shred_documents
@@ -115,3 +116,21 @@ def test_pairs_of_sources_meet_by_shapes(spark, monkeypatch):
     real = X.shape_similarity
     monkeypatch.setattr(X, "shape_similarity", lambda shapes: met.append(shapes.select("source_file").distinct().count()) or real(shapes))
     assert sorted(map(tuple, X.pair_similarity(nodes).collect())) == sorted(map(tuple, want)) and len(want) == 55 and met == [4]
+
+
+def test_distances_by_tiles(spark, monkeypatch):
+    """Ranks with ties, copies and missing vectors, in tiles of a few rows and queries, as by hand; pairs never leave the tasks."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (60, 6)).astype(np.float64)
+    rows = [(i, v, v[:2]) for i, v in enumerate(x.tolist())] + [(60, None, None), (61, [1.0] * 5 + [None], [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>, low array<double>")
+    monkeypatch.setattr(R, "QUERY_TILE", 3)
+    monkeypatch.setattr(R, "ROW_TILE", 7)
+    over, n, m = 0, 62, 12
+    for q in range(0, 60, 5):
+        d = [sorted((sum((x[i, c] - x[q, c]) ** 2 for c in range(w)), i) for i in range(60) if i != q) for w in (6, 2)]
+        rank = {i: r + 1 for r, (_, i) in enumerate(d[0])}
+        over += sum(max(rank[i] - 5, 0) for _, i in d[1][:5])
+    got = R.trustworthiness(df, df.filter("id % 5 = 0 AND id < 60"), "id", "v", "low").first()[0]
+    assert math.isclose(got, 1 - 2.0 / (m * 5 * (2 * n - 16)) * over, rel_tol=1e-12)
+    assert R.trustworthiness(df.limit(0), df.limit(0), "id", "v", "low").first()[0] is None and R.rank_agreement(df, df.limit(0), "id", "v", "low").first()[0] is None
