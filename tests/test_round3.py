@@ -134,3 +134,13 @@ def test_distances_by_tiles(spark, monkeypatch):
     got = R.trustworthiness(df, df.filter("id % 5 = 0 AND id < 60"), "id", "v", "low").first()[0]
     assert math.isclose(got, 1 - 2.0 / (m * 5 * (2 * n - 16)) * over, rel_tol=1e-12)
     assert R.trustworthiness(df.limit(0), df.limit(0), "id", "v", "low").first()[0] is None and R.rank_agreement(df, df.limit(0), "id", "v", "low").first()[0] is None
+
+
+def test_links_of_a_plane_leave_as_forests(spark, monkeypatch):
+    """Two neighbouring crowds have a million close pairs; what is stored of them is a forest."""
+    stored, real = {}, V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, tag="step": stored.update({tag: (out := real(df, tag))}) or out)
+    x = np.random.default_rng(9).random((2000, 2)) * [0.09, 0.03]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate([*x, (9.0, 9.0)])], "id long, x double, y double")
+    got = {r["id"]: r["cluster"] for r in K.single_linkage(df, "x", "y", "id", 0.05).collect()}
+    assert stored["links"].count() < 4000 * 4 and set(got.values()) == {0, 2000} and got[2000] == 2000
