@@ -205,7 +205,8 @@ def simhash_components(docs: DataFrame, keep: list[str] | None = None) -> DataFr
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Keep one row of each component of near copies: that of the smallest id (null last), then of the smallest text hash.
 
-    Near copies are those of ``near_copies``, not the links of ``simhash_components``.
+    Near copies are those of ``near_copies`` (five-word fingerprints with their pivots, then whole sets), not the
+    links of ``simhash_components``.
     Rows that repeat both id and text count as one. Null and blank texts have no
     shingle; they are copies of each other. All columns of ``docs`` stay as they
     are, whatever their names. An empty table gives an empty result. Ids and hashes are
