@@ -1,14 +1,15 @@
 """The corpus pipeline: toxic texts go, one of each group of near copies stays,
 texts with benchmark passages go, personal data is replaced, and what is left is
 mixed to target weights. Each stage calls one operator and works on all that the
-stage before has kept."""
+stage before has kept. Whole texts pass through Python tasks in each of the first
+three, so their batches are kept small there."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recipeframe.functions.shared import fresh_path
+from recipeframe.functions.shared import fresh_path, small_batches
 from recipeframe.llm.decontamination import drop_contaminated
 from recipeframe.llm.mixing import TARGET_WEIGHTS, MixParameters, cut_text, mix, with_domain
 from recipeframe.llm.pii import sanitise
@@ -21,17 +22,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and repeated texts are scored like any other; all columns stay.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, fit(training_rows(docs, labels)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, with all its columns; null and blank texts are copies of each other."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that hold a test item; null and empty texts hold none, repeated rows go or stay together."""
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -71,7 +71,7 @@ def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     edges = offsets[:-1][offsets[:-1] < len(data)]
     begins[edges] = inside[edges]  # a text's first byte begins a word though the text before ended in one
     starts = np.flatnonzero(begins)
-    kept = np.cumsum(inside)
+    kept = np.cumsum(inside, dtype=np.int32)
     ends = np.append(kept[starts[1:] - 1], kept[-1] if len(kept) else 0) if len(starts) else np.zeros(0, np.int64)
     places = np.zeros(len(starts) + 1, dtype=np.int32)
     places[1:] = ends
@@ -98,7 +98,7 @@ def _keys(ids: np.ndarray, at: np.ndarray, pattern: tuple) -> np.ndarray:
     return out
 
 
-def _pieces(batches, text: int, most: int = 4 << 20):
+def _pieces(batches, text: int, most: int = 1 << 20):
     """Slices of batches of about ``most`` bytes of text (or one longer text), so that working arrays stay small."""
     for b in batches:
         if not b.num_rows:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -57,6 +58,17 @@ def test_clashing_columns_stay(spark):
     assert set(docs.columns[len(columns) :]) == {"domain", "n_tokens"}
 
 
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id"), F.lpad(F.lit(""), 6000, " some words")).alias("text"))
+    rows.write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(1, "one test item of a few words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents").coalesce(1)
+    assert P.decontamination(spark, docs, str(tmp_path)).count() == 4000
+    sizes = docs.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in it), "n long").collect()
+    assert sum(r.n for r in sizes) > 20e6 and max(r.n for r in sizes) < 6e6
+
+
 def test_cut_texts_are_beginnings(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     whole = {r.doc_id: r.text for r in docs.collect()}
