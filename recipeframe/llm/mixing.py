@@ -11,7 +11,9 @@ tokens: whole epochs, then the first texts of one more, the last of them cut.
 Only the leaves' totals come to the driver (``most_leaves`` at most). A prefix
 needs running sums in seeded order; a leaf is cut into hash ranges of about a
 thousand texts, whose sums are added up first, so a leaf that holds a third of
-the corpus is spread over as many tasks as its texts ask for.
+the corpus is spread over as many tasks as its texts ask for. Ranges that end before
+their leaf's budget are taken whole, without a shuffle of their texts: only the one
+range of each leaf that the budget ends in is put in order.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ TARGET_WEIGHTS = {
     ("web", "en", "src0"): 2.0, ("web", "en", "src1"): 2.0, ("web", "en", "src2"): 2.0,
 }
 
-_SPACES = "[\\x20\\x09-\\x0D]+"
+_SPACES, _TOKEN = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
 
 
 def count_tokens(text: str = "text") -> Column:
@@ -110,6 +112,11 @@ def _leaves(rows: DataFrame, p: MixParameters) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, schema)
 
 
+def _small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table to join to, marked for broadcast if it is few enough rows (a checked size)."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def mix(docs: DataFrame, p: MixParameters | None = None, keep: list[str] | None = None) -> DataFrame:
     """Choose what each leaf gives: one row for each text and epoch that is taken.
 
@@ -123,26 +130,30 @@ def mix(docs: DataFrame, p: MixParameters | None = None, keep: list[str] | None
     """
     p = p or MixParameters()
     keep = [c for c in keep or [] if c not in ("doc_id", *p.levels)]
-    rows = docs.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in p.levels], *keep, count_tokens().alias("n_tokens"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash"))
-    rows = rows.filter("n_tokens > 0")
-    slim = materialize(rows.drop(*keep) if not keep else rows, "counted")
-    leaves = _leaves(slim, p)
-    if leaves.count() <= 100_000:  # a checked size
-        leaves = F.broadcast(leaves)
-    own = slim.join(leaves, list(p.levels)).filter("epochs > 0 OR rest > 0")
+    levels = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in p.levels]
+    rows = docs.filter(F.col("text").rlike(_TOKEN)).select("doc_id", *levels, *keep, F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
+    slim = materialize(rows.select("doc_id", *p.levels, "_hash", count_tokens("_text").alias("n_tokens")), "counted")
+    leaves = _small(_leaves(slim, p))
     place = lambda epoch: F.shiftrightunsigned(F.xxhash64(F.lit(p.seed), epoch, "doc_id", "_hash"), 1)
-    whole = own.filter("epochs > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, epochs - 1)"))).withColumn("place", place(F.col("epoch"))).withColumn("take_tokens", F.col("n_tokens"))
-    part = own.filter("rest > 0").withColumn("epoch", F.col("epochs")).withColumn("place", place(F.col("epoch")))
     ranges = F.ceil(F.col("n") / p.range_rows)
-    part = part.withColumn("_range", F.floor(F.col("place") / F.lit(float(1 << 63)) * ranges).cast("long"))
-    sums = part.groupBy(*p.levels, "_range").agg(F.sum("n_tokens").alias("_sum"), F.first("rest").alias("_rest"))
+    ranged = lambda own: own.join(leaves, list(p.levels)).withColumn("_range", F.floor(place(F.col("epochs")) / F.lit(float(1 << 63)) * ranges).cast("long"))
+    sums = ranged(slim).filter("rest > 0").groupBy(*p.levels, "_range").agg(F.sum("n_tokens").alias("_sum"), F.first("rest").alias("_rest"))
     # over all ranges of all leaves at once, by ranges of their own: a leaf may have any number of them
     every = running_sum(sums, [*p.levels, "_range"], F.col("_sum"), "_upto")
     first = every.groupBy(*p.levels).agg(F.min(F.col("_upto") - F.col("_sum")).alias("_first"))
     offsets = every.join(first, list(p.levels)).withColumn("_before", F.col("_upto") - F.col("_sum") - F.col("_first"))
-    offsets = offsets.filter("_before < _rest").select(*p.levels, "_range", "_before")
+    offsets = offsets.filter("_before < _rest").select(*p.levels, "_range", "_before", (F.col("_before") + F.col("_sum") <= F.col("_rest")).alias("_inside"))
+    offsets = _small(materialize(offsets, "offsets"))
+    # texts are read again, so that none is stored; where none is asked for, the counted rows do
+    own = ranged(rows if keep else slim).filter("epochs > 0 OR rest > 0")
+    counted = lambda found: found.withColumn("n_tokens", count_tokens("_text")) if keep else found
+    inside = offsets.filter("_inside").select(*p.levels, "_range", F.lit(1).alias("_last"))
+    whole = counted(own.join(inside, [*p.levels, "_range"], "left").withColumn("_times", F.col("epochs") + F.coalesce("_last", F.lit(0))).filter("_times > 0"))
+    whole = whole.withColumn("epoch", F.explode(F.expr("sequence(0L, _times - 1)"))).withColumn("place", place(F.col("epoch"))).withColumn("take_tokens", F.col("n_tokens"))
+    edge = own.join(offsets.filter("NOT _inside").drop("_inside"), [*p.levels, "_range"])
+    edge = counted(edge.withColumn("epoch", F.col("epochs")).withColumn("place", place(F.col("epoch"))))
     order = W.partitionBy(*p.levels, "_range").orderBy("place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
-    part = part.join(offsets, [*p.levels, "_range"]).withColumn("_start", F.col("_before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
+    part = edge.withColumn("_start", F.col("_before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
     part = part.filter("_start < rest").withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("_start")))
     columns = ["doc_id", *p.levels, *keep, "n_tokens", "epoch", "place", "take_tokens"]
     return whole.select(*columns).unionByName(part.select(*columns))

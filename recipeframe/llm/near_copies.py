@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recipeframe.functions.graph import connected_components
-from recipeframe.functions.shared import Scratch, hot_keys, lookup_join
+from recipeframe.functions.shared import Scratch, hot_keys, key_filter, lookup_join, with_marks
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -245,7 +245,12 @@ def verified_links(sets: DataFrame, members: DataFrame, scratch: Scratch, part:
 
 
 def near_copy_components(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, ``node`` and ``root`` (the smallest node of the component) of each row of ``docs``."""
+    """``keep``, ``node``, ``root`` (the smallest node of the component) and ``alone`` (no other row is in it) of each row of ``docs``.
+
+    Only what may have a copy is shuffled with its buckets or text: small filters of
+    the keys asked for tell most other rows before they move. Of the tables stored
+    on the way only the result is left.
+    """
     own = docs.select(F.col(text).cast("binary").alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_of"), *keep)
     fields = ", ".join(f"`{n}` {t}" for n, t in own.dtypes[1:])
     scratch = Scratch(docs.sparkSession)
@@ -254,15 +259,22 @@ def near_copy_components(docs: DataFrame, keep: list[str], text: str = "text") -
     nodes = store(rows.groupBy("node").agg(F.min("_of").alias("_of"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.count("*").alias("n")), "nodes")
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node", "size")
     shared = store(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    met = lookup_join(buckets, shared, "bucket", hot_keys(shared, "bucket", "n"), "inner").select("bucket", "node", "size")
+    marks = store(key_filter(shared, ["bucket"]), "marks")
+    meeting = with_marks(buckets, marks, ["bucket"]).filter("_marked").drop("_marked")
+    met = lookup_join(meeting, shared, "bucket", hot_keys(shared, "bucket", "n"), "inner").select("bucket", "node", "size")
     met = store(met.join(nodes.select("node", "fp"), "node"), "buckets")
-    scratch.drop(shared)
+    scratch.drop(shared, marks)
     near = store(connected_components(candidate_links(met, scratch)).join(nodes.select("node", "size", "_of"), "node"), "candidates")
     scratch.drop(met)
-    asked = near.select("_of").distinct()
-    texts = lookup_join(own.select("_text", "_of"), asked, "_of", hot_keys(nodes.groupBy("_of").agg(F.sum("n").alias("n")), "_of", "n"), "left_semi")
-    sets = store(texts.dropDuplicates(["_of"]).select("_text").mapInArrow(_sets, "node long, hashes array<bigint>"), "sets")
+    asked = near.select("_of")
+    marks = store(key_filter(asked, ["_of"]), "marks")
+    # each task's copies are one row before they are shuffled
+    texts = with_marks(own.select("_text", "_of"), marks, ["_of"]).filter("_marked").dropDuplicates(["_of"]).join(asked, "_of", "left_semi")
+    sets = store(texts.select("_text").mapInArrow(_sets, "node long, hashes array<bigint>"), "sets")
     labels = store(connected_components(verified_links(sets, near.select("node", "label", "size"), scratch)), "labels")
-    scratch.drop(sets, near)
-    rooted = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("root"))
-    return lookup_join(rows.select("node", *keep), rooted, "node", hot_keys(nodes, "node", "n"))
+    scratch.drop(sets, near, marks)
+    alone = F.col("label").isNull() & (F.col("n") == 1)
+    rooted = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("root"), alone.alias("alone"))
+    found = store(lookup_join(rows.select("node", *keep), rooted, "node", hot_keys(nodes, "node", "n")), "found")
+    scratch.drop(rows, nodes, labels)
+    return found

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recipeframe.functions.shared import materialize
+from recipeframe.functions.shared import Scratch
 
 OPEN, CLOSE = "\ue000", "\ue001"
 KINDS = ("email", "ip", "card", "phone")
@@ -155,20 +155,20 @@ def _small(table: DataFrame, p: DisclosureParameters) -> DataFrame:
     return F.broadcast(table) if table.count() <= p.broadcast_rows else table
 
 
-def _disclosing(found: DataFrame, clear: DataFrame, p: DisclosureParameters) -> DataFrame:
-    """``entity, term, action``: the pairs whose information passes a threshold.
+def _disclosing(found: DataFrame, clear: DataFrame, p: DisclosureParameters, scratch: Scratch) -> DataFrame:
+    """``entity, term, action``: the pairs whose information passes a threshold; reads tables of ``scratch``.
 
     ``found``: ``of, words, keys`` of the texts with entities; ``clear``: ``words`` of the others.
     """
     texts = found.groupBy("of").agg(F.count("*").alias("m"), F.any_value("keys").alias("keys"), F.any_value("words").alias("words"))
-    texts = materialize(texts.select("m", "keys", "words"), "texts")
+    texts = scratch.store(texts.select("m", "keys", "words"), "texts")
     total = float((texts.agg(F.sum("m")).first()[0] or 0) + clear.count())
     beside = texts.select(F.explode("words").alias("term"), F.col("m").alias("n_near"), F.col("m").alias("n"))
     alone = clear.select(F.explode("words").alias("term"), F.lit(0).cast("long").alias("n_near"), F.lit(1).cast("long").alias("n"))
     counted = beside.unionByName(alone).groupBy("term").agg(F.sum("n_near").alias("n_near"), F.sum("n").alias("n_t"))
     # no entity is expected more than in as many of the term's texts as hold any, nor more than always
     telling = counted.filter("n_near > 0").filter((F.col("n_near") + p.prior) / (F.col("n_t") + p.prior) >= p.least_expected).select("term", "n_t")
-    telling = materialize(telling, "terms")
+    telling = scratch.store(telling, "terms")
     entities = texts.select(F.explode("keys").alias("entity"), "m").groupBy("entity").agg(F.sum("m").alias("n_e"))
     held = texts.select("keys", "m", F.explode("words").alias("term")).join(_small(telling, p), "term")
     pairs = held.select(F.explode("keys").alias("entity"), "term", "n_t", "m").groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.max("n_t").alias("n_t"))
@@ -193,15 +193,17 @@ def inspect_texts(docs: DataFrame, parameters: DisclosureParameters | None = Non
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), plain(F.col("text")).alias("_text"), F.xxhash64("text").alias("of"), F.coalesce(may_hold("text"), F.lit(False)).alias("may"))
     keys = F.expr(f"array_distinct(concat({', '.join(_keys(k) for k in KINDS)}))")
     found = find_entities(own.filter("may")).withColumn("keys", keys)
-    found = materialize(found.withColumn("words", _terms(F.when(F.size("keys") > 0, _masked("_text")).otherwise(F.col("_text")), p)), "entities")
+    result, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)  # what the result reads, and what goes again
+    found = result.store(found.withColumn("words", _terms(F.when(F.size("keys") > 0, _masked("_text")).otherwise(F.col("_text")), p)), "entities")
     private = F.size("keys") > 0
-    rest = materialize(own.filter("NOT may").select("of", _terms(F.col("_text"), p).alias("words")), "words")
+    rest = scratch.store(own.filter("NOT may").select("of", _terms(F.col("_text"), p).alias("words")), "words")
     clear = found.filter(~private).select("of", "words").unionByName(rest)
     # a term that tells of several entities gets the strongest action: "remove" sorts last
-    pairs = _disclosing(found.filter(private).select("of", "words", "keys"), clear, p)
-    telling = materialize(pairs.groupBy("term").agg(F.max("action").alias("action")), "telling")
+    pairs = _disclosing(found.filter(private).select("of", "words", "keys"), clear, p, scratch)
+    telling = scratch.store(pairs.groupBy("term").agg(F.max("action").alias("action")), "telling")
     held = found.select("of", "words").unionByName(rest).select("of", F.explode("words").alias("term")).join(_small(telling, p), "term").groupBy("of").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("told"))
-    held = _small(materialize(held, "held"), p)
+    held = _small(result.store(held, "held"), p)
+    scratch.drop_all()
     none = [F.expr(f"CAST(array() AS array<{_SPAN}>)").alias(k) for k in KINDS]
     columns = ["own", "_text", "of", *KINDS]
     every = found.select(*columns).unionByName(own.filter("NOT may").select("own", "_text", "of", *none)).join(held, "of", "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recipeframe.functions.graph import connected_components
-from recipeframe.functions.shared import hot_keys, lookup_join, materialize
+from recipeframe.functions.shared import hot_keys, key_filter, lookup_join, materialize, with_marks
 from recipeframe.llm.near_copies import near_copy_components
 
 RADIUS = 4
@@ -210,11 +210,18 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat both id and text count as one. Null and blank texts have no
     shingle; they are copies of each other. All columns of ``docs`` stay as they
     are, whatever their names. An empty table gives an empty result. Ids and hashes are
-    shuffled to choose, and the texts that may have a near copy; then texts move once, to meet the choice.
+    shuffled to choose, and the texts that may have a near copy; rows that have none stay
+    where they are, the others move once, to meet the choice.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = docs.select(row, F.col("text"), F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
     found = near_copy_components(own, ["doc_id", "hash", "id"])
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "id")).alias("first")).select("first.id", "first.hash")
-    once = own.select("row", "id", "hash").join(kept, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
-    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    key, crowd = ["id", "hash"], found.filter("NOT alone")
+    kept = crowd.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "id")).alias("first")).select("first.id", "first.hash")
+    marks = materialize(key_filter(crowd, key), "marks")
+    there = with_marks(own.select("row", *key), marks, key)
+    # rows that are marked by chance stay, too
+    kept = kept.unionByName(with_marks(found.filter("alone").select(*key), marks, key).filter("_marked").select(*key))
+    once = there.filter("_marked").select("row", *key).dropDuplicates(key).join(kept, key, "left_semi")
+    every = there.filter("NOT _marked").select("row").unionByName(once.select("row"))
+    return every.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recipeframe.functions.shared import materialize
+from recipeframe.functions.shared import Scratch
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile('["“”„«»‹›\n]')
@@ -269,7 +269,8 @@ def fit(labelled: DataFrame, parameters: ToxicityParameters | None = None) -> To
     """Learn from the rows of ``training_rows``: ``doc_id, text, toxic`` (0 or 1; rows with a null label are left out)."""
     p = parameters or ToxicityParameters()
     own = labelled.filter("toxic is not null").select("text", (F.col("toxic") > 0).alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("at"))
-    own = materialize(own, "labelled")  # at most ``fit_rows`` texts, read several times below
+    scratch = Scratch(labelled.sparkSession)
+    own = scratch.store(own, "labelled")  # at most ``fit_rows`` texts, read several times below
     first, second, rest = own.filter(F.col("at") % 6 < 4), own.filter(F.col("at") % 6 == 4), own.filter(F.col("at") % 6 > 3)
     base = first.agg(F.sum(F.col("label").cast("int")).alias("toxic"), F.count("*").alias("n")).first()
     rate = ((base["toxic"] or 0) + 0.5) / (base["n"] + 1)
@@ -289,6 +290,7 @@ def fit(labelled: DataFrame, parameters: ToxicityParameters | None = None) -> To
     sent = spark.sparkContext.broadcast(model)
     vectors = rest.select("text", "label").mapInArrow(lambda it: _vectors(it, sent.value), "counts array<long>, label long, n long")
     table = vectors.groupBy("counts", "label").agg(F.sum("n").alias("n")).collect()
+    scratch.drop(own)
     if not table:
         model.bias = float(np.log(rate / (1 - rate))) if base["n"] else -5.0
         return model
