@@ -6,6 +6,7 @@ all datasets joined to itself on the hash gives every pair in one job.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import pandas as pd
@@ -221,11 +222,21 @@ def table_fingerprint(df: DataFrame, order: str | None = None) -> DataFrame:
 
     Row hashes are added up as numbers, so no task sees more than its own rows.
     """
+    sums, head = fingerprint_sums(df, order)
+    return df.agg(*sums).select("rows", F.sha2(F.concat_ws("|", F.lit(head), F.col("rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(5)]), 256).alias("fingerprint"))
+
+
+def fingerprint_sums(df: DataFrame, order: str | None = None) -> tuple[list[Column], str]:
+    """The aggregates of a fingerprint (``rows, s0`` to ``s4``), which a write can observe, and the text of names and types before them."""
     columns = [c for c in df.columns if c != order]
     cells = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns] + ([F.col(order)] if order else [])), {"ignoreNullFields": "false"}), 256)
-    parts = [F.coalesce(F.sum(F.conv(F.substring(cells, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in range(5)]
-    head = F.lit("|".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields if f.name != order))
-    return df.agg(F.count("*").alias("rows"), F.concat_ws("|", *parts).alias("sums")).select("rows", F.sha2(F.concat_ws("|", head, F.col("rows").cast("string"), F.col("sums")), 256).alias("fingerprint"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring(cells, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).alias(f"s{i}") for i in range(5)]
+    return [F.count("*").alias("rows"), *parts], "|".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields if f.name != order)
+
+
+def fingerprint_of(sums: dict, head: str) -> str:
+    """The fingerprint of the values of ``fingerprint_sums``."""
+    return hashlib.sha256("|".join([head, str(sums["rows"]), *[str(sums[f"s{i}"]) for i in range(5)]]).encode()).hexdigest()
 
 
 def event_id(*columns: str) -> Column:

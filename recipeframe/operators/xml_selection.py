@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +20,7 @@ from recipeframe.functions.graph import connected_components
 from recipeframe.functions.ranks import numbered
 from recipeframe.functions.shared import materialize
 from recipeframe.operators import xml_tables as X
+from recipeframe.sources.xml import MOST_AT_ONCE, dealt, shred_batches, shred_documents
 
 #: Strategies for a repeated branch and the options each needs; fixed values.
 STRATEGIES = {
@@ -273,6 +277,53 @@ def record_ids(records: DataFrame, sha: Column, root: str) -> DataFrame:
     return records.withColumn("id", F.concat_ws(":", sha, F.lit(root), place))
 
 
+_RECORDS = "source_file string, record long, content_tokens array<string>, path_tokens array<string>, children array<string>, place int"
+
+
+def _typed_rows(nodes: pa.Table, root: str) -> pa.RecordBatch | None:
+    """The rows of ``typed_records`` of one document's nodes, with each record's ``place``."""
+    path = nodes.column("path")
+    inside = pc.fill_null(pc.and_(pc.is_null(nodes.column("error")), pc.or_(pc.equal(path, root), pc.starts_with(path, root + "/"))), False)
+    own = nodes.filter(inside)
+    own = own.take(pc.sort_indices(own.column("node_id"))).combine_chunks()
+    if not own.num_rows:
+        return None
+    source, path, node, ancestors, text = (own.column(c).chunk(0) for c in ("source_file", "path", "node_id", "ancestors", "text"))
+    at = ancestors.offsets.to_numpy()[:-1] + X.depth_of(root)
+    record = ancestors.values.to_numpy()[at]
+    starts = np.flatnonzero(np.diff(record, prepend=-1))
+    lists = lambda each, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.add.reduceat(each, starts).cumsum()).astype(np.int32)), values)
+    words = pc.ascii_split_whitespace(pc.fill_null(text, ""))
+    of, words = pc.list_parent_indices(words).to_numpy(), words.flatten()
+    full = pc.not_equal(words, "")
+    child = own.column("depth").chunk(0).to_numpy() == X.depth_of(root) + 1
+    address = pc.binary_join_element_wise(path, node.cast(pa.string()), "#").filter(pa.array(child))
+    counts = np.bincount(of[full.to_numpy(zero_copy_only=False)], minlength=len(record))
+    columns = [source.take(pa.array(starts)), pa.array(record[starts]), lists(counts, words.filter(full)), lists(np.ones(len(record), dtype=np.int64), path), lists(child.astype(np.int64), address), pa.array(np.arange(len(starts)), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["source_file", "record", "content_tokens", "path_tokens", "children", "place"])
+
+
+def _typed_documents(batches, root):
+    for b in batches:
+        for source, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rows = _typed_rows(pa.Table.from_batches(shred_batches(source, content.as_py() or b"")), root)
+            if rows is not None:
+                yield rows
+
+
+def identified_records(documents: DataFrame, root: str, sha: Column) -> DataFrame:
+    """``typed_records`` with their ``record_ids`` of ``source_file, content``: a document's in the task that parses it, so no nodes are stored or shuffled.
+
+    Documents of more than MOST_AT_ONCE bytes are parsed piece by piece, and their nodes grouped.
+    """
+    large = F.length("content") > MOST_AT_ONCE
+    made = dealt(documents.filter(~F.coalesce(large, F.lit(False)))).mapInArrow(lambda it: _typed_documents(it, root), _RECORDS)
+    own = made.withColumn("id", F.concat_ws(":", sha, F.lit(root), "place")).drop("place")
+    if documents.filter(large).isEmpty():
+        return own
+    return own.unionByName(record_ids(typed_records(shred_documents(documents.filter(large)), root), sha, root))
+
+
 def recipe_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``field, change``: added, removed, rule_changed or unchanged, of two recipes (``root, field, strategy``)."""
     both = old.alias("o").join(new.alias("n"), "field", "full")

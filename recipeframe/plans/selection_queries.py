@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recipeframe.functions.shared import fresh_path, materialize
+from recipeframe.functions.shared import fresh_path
 from recipeframe.operators import stores as S
 from recipeframe.operators import xml_selection as Z
 from recipeframe.operators import xml_tables as X
@@ -117,9 +117,8 @@ def _(s, d):
 
 @query("x45_json_lines", "SELECT count(*) AS rows, true AS verified, count(*) AS ids FROM orders")
 def _(s, d):
-    r = materialize(Z.record_ids(Z.typed_records(_nodes(s, d), ROOT), F.sha2("source_file", 256), ROOT), "records")
-    out = S.write_json_lines(r, fresh_path(s, "json-lines"))
-    return r.agg(F.count_distinct("id").alias("ids")).select(F.lit(out["rows"]).cast("long").alias("rows"), F.lit(out["verified"]).alias("verified"), "ids")
+    out = S.write_json_lines(Z.identified_records(_documents(s, d), ROOT, F.sha2("source_file", 256)), fresh_path(s, "json-lines"))
+    return out["table"].agg(F.count_distinct("id").alias("ids")).select(F.lit(out["rows"]).cast("long").alias("rows"), F.lit(out["verified"]).alias("verified"), "ids")
 
 
 @query("x48_recipe_changes", f"SELECT f AS field, CASE WHEN f = '{PRICE}' THEN 'added' ELSE 'unchanged' END AS change FROM (VALUES ('{KEY}'), ('{STATUS}'), ('{NIL}'), ('{PRICE}'), ('{QTY}'), ('{FLAG}'), ('{NUM}')) t(f)")

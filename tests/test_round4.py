@@ -33,3 +33,28 @@ def test_distance_ranks_of_few_different_distances(spark, monkeypatch):
     whole = R.rank_agreement(df, asked, "id", "v", "low").first()[0]
     monkeypatch.setattr(R, "FEW", 0)
     assert abs(R.rank_agreement(df, asked, "id", "v", "low").first()[0] - whole) < 1e-12
+
+
+def test_typed_records_are_made_where_documents_are_parsed(spark, tmp_path, monkeypatch):
+    """As from the node table, also of nested, mixed, broken and large documents; the export stores nothing beside its file."""
+    import pytest
+    from recipeframe.operators import stores as S
+    from recipeframe.operators import xml_selection as Z
+    from recipeframe.sources.xml import shred_documents
+
+    docs = [
+        ("a", b"<r>x<e k='1'> one  two<f>3</f>tail<f/></e><g><e/></g><e>\tfour\n</e></r>"), ("b", b"<r><e><f><h>deep</h></f></e></r>"),
+        ("c", b"<r><e>"), ("d", b"<r/>"), ("e", b"<q><e/></q>"), ("f", b"<!-- c --><r><e><![CDATA[ a b ]]>\xc3\xa9\xc2\xa0z</e></r>"), ("g", b"<r>" + b"<e>w<f>v</f></e>" * 30 + b"</r>"),
+    ]
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c in docs], "source_file string, content binary")
+    rows = lambda x: sorted(map(str, x.select("source_file", "record", "content_tokens", "path_tokens", "children", "id").collect()))
+    sha = F.sha2("source_file", 256)
+    by_nodes = rows(Z.record_ids(Z.typed_records(shred_documents(df), "/r/e"), sha, "/r/e"))
+    assert len(by_nodes) == 34 and rows(Z.identified_records(df, "/r/e", sha)) == by_nodes
+    monkeypatch.setattr(Z, "MOST_AT_ONCE", 100)
+    assert rows(Z.identified_records(df, "/r/e", sha)) == by_nodes
+    monkeypatch.setattr(S, "materialize", lambda *a: 1 / 0)
+    out = S.write_json_lines(Z.identified_records(df, "/r/e", sha), str(tmp_path / "out"))
+    assert out["rows"] == 34 and out["verified"] and rows(out["table"]) == by_nodes
+    with pytest.raises(Exception):
+        S.write_json_lines(df, str(tmp_path / "out"))
