@@ -159,14 +159,17 @@ def shape_members(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prints.join(heads, "shape").select("source_file", "representative"), shapes.join(heads.select(F.col("representative").alias("source_file")), "source_file", "left_semi")
 
 
-def all_pairs(sources: DataFrame) -> DataFrame:
-    """``left, right`` for each two of ``source_file``, in order: the matrix that is asked for, by an equi join on two blocks of PAIR_BLOCK sources, so no pair is shuffled."""
-    placed = numbered(sources.select("source_file").distinct(), ["source_file"], "place")
-    placed = materialize(placed.select("source_file", F.floor((F.col("place") - 1) / PAIR_BLOCK).alias("block")), "placed")
+def all_pairs(sources: DataFrame, carried: tuple = ()) -> DataFrame:
+    """``left, right`` for each two of ``source_file``, in order, with both sides' ``carried`` columns: the matrix that is asked for, by an equi join on two blocks of PAIR_BLOCK sources, so no pair is shuffled."""
+    placed = numbered(sources.select("source_file", *carried).distinct(), ["source_file"], "place")
+    placed = materialize(placed.withColumn("block", F.floor((F.col("place") - 1) / PAIR_BLOCK)), "placed")
     last = placed.agg(F.max("block")).first()[0] or 0
-    left = placed.select(F.col("source_file").alias("left"), F.col("block").alias("lb"), F.explode(F.sequence("block", F.lit(last).cast("long"))).alias("rb"))
-    right = placed.select(F.col("source_file").alias("right"), F.col("block").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("lb"))
-    return left.join(right, ["lb", "rb"]).filter(F.col("left") < F.col("right")).select("left", "right")
+    side = lambda s: [F.col("source_file").alias(s), F.col("place").alias(f"_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in carried]]
+    left = placed.select(*side("left"), F.col("block").alias("lb"), F.explode(F.sequence("block", F.lit(last).cast("long"))).alias("rb"))
+    right = placed.select(*side("right"), F.col("block").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("lb"))
+    tasks = min(1024, (last + 1) * (last + 2) // 2)  # by number: the work isn't in the bytes
+    left, right = left.repartition(tasks, "lb", "rb"), right.repartition(tasks, "lb", "rb")
+    return left.join(right, ["lb", "rb"]).filter(F.col("_left") < F.col("_right")).select("left", "right", *[f"{s}_{c}" for c in carried for s in ("left", "right")])
 
 
 def shape_similarity(shapes: DataFrame) -> DataFrame:
@@ -207,9 +210,15 @@ def pair_similarity(nodes: DataFrame) -> DataFrame:
     members, own = materialize(members, "members"), shape_similarity(shapes)
     turned = own.select(F.col("right").alias("left"), F.col("left").alias("right"), *own.columns[2:])
     same = members.select(F.col("representative").alias("left")).distinct().select("left", F.col("left").alias("right"), *[F.lit(1.0).alias(c) for c in own.columns[2:5]], F.lit("exact").alias("classification"), F.lit("identical_structural_fingerprint").alias("reason"))
-    known = materialize(own.unionByName(turned).unionByName(same).withColumnsRenamed({"left": "_l", "right": "_r"}), "similarities")
-    side = lambda s, r: members.select(F.col("source_file").alias(s), F.col("representative").alias(r))
-    return all_pairs(members).join(side("left", "_l"), "left").join(side("right", "_r"), "right").join(known, ["_l", "_r"]).select("left", "right", *own.columns[2:])
+    heads = materialize(numbered(members.select("representative").distinct(), ["representative"], "shape"), "heads")
+    shapes = heads.count()
+    both = F.col("left_shape") * F.lit(shapes + 1) + F.col("right_shape")
+    head = lambda s: heads.select(F.col("representative").alias(s), F.col("shape").alias(f"{s}_shape"))
+    known = own.unionByName(turned).unionByName(same).join(head("left"), "left").join(head("right"), "right")
+    known = materialize(known.select(both.alias("_shapes"), *own.columns[2:]), "similarities")
+    known = F.broadcast(known) if shapes * shapes <= 100_000 else known  # a checked size, else as many pairs of shapes as of sources
+    pairs = all_pairs(members.join(heads, "representative"), ("shape",))
+    return pairs.withColumn("_shapes", both).join(known, "_shapes").select("left", "right", *own.columns[2:])
 
 
 def observed_union(nodes: DataFrame) -> DataFrame:

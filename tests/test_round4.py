@@ -58,3 +58,21 @@ def test_typed_records_are_made_where_documents_are_parsed(spark, tmp_path, monk
     assert out["rows"] == 34 and out["verified"] and rows(out["table"]) == by_nodes
     with pytest.raises(Exception):
         S.write_json_lines(df, str(tmp_path / "out"))
+
+
+def test_pairs_of_sources_are_never_shuffled(spark):
+    """Also where no table is small enough for Spark to broadcast it by itself."""
+    from recipeframe.operators import xml_tables as X
+    from recipeframe.sources.xml import shred_documents
+
+    kinds = [b"<r><a i='1'/><a i='2'/></r>", b"<r><a/><a/>x</r>", b"<q/>"]
+    nodes = shred_documents(spark.createDataFrame([(f"s{i}", bytearray(kinds[i % 3])) for i in range(12)], "source_file string, content binary")).cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = X.pair_similarity(nodes)
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1, plan  # that of blocks, and that to the shapes
+        assert made.count() == 66
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
