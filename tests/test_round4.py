@@ -76,3 +76,27 @@ def test_pairs_of_sources_are_never_shuffled(spark):
         assert made.count() == 66
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_trees_of_equal_features_are_fitted_from_groups(spark):
+    """A tree and boosting predict from groups what they predict from all rows; a forest's draws are those of rows."""
+    from recipeframe.operators import model_selection as Y
+    from recipeframe.operators import models as M
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, size=(640, 2))
+    y = x[:, 0] * 2.0 - (x[:, 1] > 1) * x[:, 0] + rng.normal(size=640)
+    df = M.assemble(spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "row long, a double, b double, label double"), ["a", "b"], "label").select("row", "features", "label").cache()
+    one = lambda k, **g: M.Spec(M.REGRESSORS[k].make, {n: v[:1] for n, v in (M.REGRESSORS[k].grid | g).items()}, grouped=M.REGRESSORS[k].grouped)
+    train, _ = Y.prepare(df, "row", "regression", folds=2)
+    groups = Y.label_groups(train)
+    assert groups.count() == 32 and Y.label_groups(train.filter("row < 300")) is None
+    for kind in ("decision_tree", "boosting"):
+        plain = Y.cross_validate(train, M.Spec(M.REGRESSORS[kind].make, one(kind).grid), "fold", "regression")
+        assert abs(plain[0]["mean"] - Y.cross_validate(train, one(kind), "fold", "regression", groups=groups)[0]["mean"]) < 1e-9
+    drawn = Y.drawn_groups(train, "row", 4)
+    n = [r[1] for r in drawn.groupBy("tree").agg(F.sum("weight")).orderBy("tree").collect()]
+    assert len(n) == 4 and len(set(n)) > 1 and all(abs(w - train.count()) < 100 for w in n), (n, train.count())
+    assert drawn.filter("weight <> floor(weight)").count() == 0
+    forest = Y.select_model(df, one("random_forest", numTrees=[4]), "row", "regression", folds=2)
+    assert isinstance(forest.model, M.MeanOf) and abs(forest.score - 1.0) < 0.4 and forest.predictions.count() == 160
