@@ -100,3 +100,37 @@ def test_trees_of_equal_features_are_fitted_from_groups(spark):
     assert drawn.filter("weight <> floor(weight)").count() == 0
     forest = Y.select_model(df, one("random_forest", numTrees=[4]), "row", "regression", folds=2)
     assert isinstance(forest.model, M.MeanOf) and abs(forest.score - 1.0) < 0.4 and forest.predictions.count() == 160
+
+
+def test_density_clusters_of_a_plane_store_no_pairs(spark, monkeypatch):
+    """As by all pairs, with noise, borders and rows without a point; two dense crowds have 700,000 close pairs, of which forests are stored."""
+    from recipeframe.operators import models as M
+    from recipeframe.operators import vector_clusters as V
+
+    stored, real = {}, V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, tag="step": stored.update({tag: (out := real(df, tag))}) or out)
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.random((700, 2)) * 0.03, rng.random((700, 2)) * 0.03 + 0.1, rng.random((60, 2))))
+    table = [(i, *map(float, v)) for i, v in enumerate(x)] + [(5000, None, 1.0), (5001, float("nan"), 1.0), (5002, 0.5, float("inf"))]
+    got = {r["id"]: r["cluster"] for r in M.dbscan(spark.createDataFrame(table, "id long, x double, y double"), "x", "y", "id", 0.02, 4).collect()}
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.02 * 0.02
+    core = near.sum(1) >= 4
+    label = np.where(core, np.arange(len(x)), len(x))
+    for _ in range(len(x)):
+        new = np.where(core, np.where(near & core[None], label[None], len(x)).min(1), len(x))
+        if (new == label).all():
+            break
+        label = new
+    want = np.where(core, label, np.where(near & core[None], label[None], len(x)).min(1))
+    assert [got[i] for i in range(len(x))] == np.where(want == len(x), -1, want).tolist() and {got[i] for i in (5000, 5001, 5002)} == {-1}
+    assert near.sum() > 600_000 and stored["links"].count() < 20 * len(x)
+
+
+def test_single_precision_vectors_travel_as_such(spark):
+    from recipeframe.operators import vector_clusters as V
+
+    df = _rows(spark, np.random.default_rng(2).normal(size=(60, 3)).astype(np.float32)).withColumn("w", F.col("v").cast("array<float>"))
+    by = [sorted(map(tuple, V.density_clusters(df, c, "id", 0.9, 3).collect())) for c in ("v", "w")]
+    assert by[0] == by[1] and len({c for _, c in by[0]}) > 1
+    kinds = [V._paired(df.select(F.col("id").alias("p"), "v"), 0.9, None, False, narrow).schema["v"].dataType.simpleString() for narrow in (False, True)]
+    assert kinds == ["array<double>", "array<float>"]
